@@ -78,7 +78,8 @@ def format_compact(col) -> Column:
     DecimalFormat does; ``-0.0004`` prints ``-0``)."""
     c = _col(col).cast("double")
     integral = (c == F.floor(c)) & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-    return F.when(integral, F.format_number(c, "#")).otherwise(F.format_number(c, "#.###"))
+    return F.when(integral, F.call_function("format_number", c, F.lit("#"))).otherwise(
+        F.call_function("format_number", c, F.lit("#.###")))
 
 
 def hash_uniform(*parts) -> Column:

@@ -208,6 +208,9 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
             enc = enc.join(lst.withColumnRenamed("features", f"_l{i}"), "row_id", "left")
             arrays.append(F.coalesce(F.col(f"_l{i}"), F.array().cast(FEATURES)))
     feats = F.concat(*arrays) if arrays else F.array().cast(FEATURES)
+    # a sparse vector stores no zeros: a zero-valued entry is absent, so the
+    # learner never treats its feature as present
+    feats = F.filter(feats, lambda e: e["value"] != F.lit(0.0))
     rows = enc.select(*keep, feats.cast(FEATURES).alias("features"))
     return Vectorized(rows, layout, dictionary, dimension)
 

@@ -163,3 +163,270 @@ def q_mean_signed_error(spark, sf_dir):
 @query("sign_accuracy")
 def q_sign_accuracy(spark, sf_dir):
     return M.sign_accuracy(events_scored(spark, sf_dir)).select(r6("sign_accuracy").alias("sign_accuracy"))
+
+
+# ---- 2.1 / 2.2 delimited text: orders written as '::' lines --------------------
+# line = key::cust::price::priority::status; status emptied when it is 'P'
+# (a trailing empty piece: the line then has 4 fields), and '::x' appended when
+# the priority is '5-LOW' (6 fields).  Both kinds fail the arity check.
+
+from ..operators.fields import Identity as _Identity, Target as _Target  # noqa: E402
+from ..operators.vectorize import fields_to_columns, filter_arity  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import text as S  # noqa: E402
+
+ORDERS_TEXT_ARITY = 5
+
+
+def orders_text(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.col("o_orderstatus"))
+    line = F.concat_ws("::", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
+                       F.col("o_totalprice").cast("string"), F.col("o_orderpriority"), status)
+    line = F.when(F.col("o_orderpriority") == "5-LOW", F.concat(line, F.lit("::x"))).otherwise(line)
+    path = scratch_path(spark, "orders-text")
+    o.select(line.alias("value")).write.text(path)
+    return S.read_delimited(spark, path, "::")
+
+
+@query("read_delimited")
+def q_read_delimited(spark, sf_dir):
+    raw = orders_text(spark, sf_dir)
+    return raw.select(big(F.col("fields")[0]).alias("o_orderkey"), big(F.size("fields")).alias("n_fields"))
+
+
+@query("filter_arity")
+def q_filter_arity(spark, sf_dir):
+    raw = filter_arity(orders_text(spark, sf_dir), ORDERS_TEXT_ARITY)
+    return raw.select(big(F.col("fields")[0]).alias("o_orderkey"))
+
+
+def orders_text_inputs(spark, sf_dir):
+    from ..operators.fields import split_target_inputs
+    cols = fields_to_columns(filter_arity(orders_text(spark, sf_dir), ORDERS_TEXT_ARITY),
+                             ORDERS_TEXT_ARITY)
+    specs = [_Identity("c0"), _Identity("c1"), _Target("c2"), _Identity("c3"), _Identity("c4")]
+    target, inputs = split_target_inputs(specs)
+    return cols, target, inputs
+
+
+@query("split_target_inputs")
+def q_split_target_inputs(spark, sf_dir):
+    cols, target, inputs = orders_text_inputs(spark, sf_dir)
+    return cols.select(*[F.col(s.column).alias(f"in{j}") for j, s in enumerate(inputs)]).select(
+        big("in0").alias("in0"), big("in1").alias("in1"), "in2", "in3")
+
+
+@query("cast_target")
+def q_cast_target(spark, sf_dir):
+    cols, target, _ = orders_text_inputs(spark, sf_dir)
+    return cols.select(big("c0").alias("o_orderkey"), r6(F.col(target.column).cast("double")).alias("y"))
+
+
+# ---- libFM text: lineitem -------------------------------------------------------
+
+def lineitem_vectorized(spark, sf_dir):
+    from ..operators.fields import Number, Identity, Target
+    li = X.table(spark, sf_dir, "lineitem")
+    specs = [Number("l_discount"), Number("l_tax"), Identity("l_returnflag"), Identity("l_linestatus"),
+             Target("l_quantity")]
+    return standard_vectorize(li, specs)
+
+
+def lineitem_libfm_dir(spark, sf_dir):
+    vec = lineitem_vectorized(spark, sf_dir)
+    path = scratch_path(spark, "lineitem-libfm")
+    S.write_libfm(vec.rows, path)
+    spark.createDataFrame([("# written by the lineitem query",), ("",), ("   ",), ("  # indented",)],
+                          "value string").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+@query("write_libfm")
+def q_write_libfm(spark, sf_dir):
+    vec = lineitem_vectorized(spark, sf_dir)
+    return S.libfm_lines(vec.rows).select(F.col("value").alias("line"))
+
+
+@query("filter_comment_blank")
+def q_filter_comment_blank(spark, sf_dir):
+    path = lineitem_libfm_dir(spark, sf_dir)
+    return S.filter_comment_blank(spark.read.text(path)).select(F.col("value").alias("line"))
+
+
+def _libfm_row_summary(rows):
+    ids = F.array_join(F.transform("features", lambda e: e["feature_id"].cast("string")), " ")
+    vsum = F.aggregate("features", F.lit(0.0), lambda acc, e: acc + e["value"])
+    return rows.select(r6("y").alias("y"), ids.alias("feature_ids"), r6(vsum).alias("value_sum"))
+
+
+@query("read_libfm")
+def q_read_libfm(spark, sf_dir):
+    rows = S.read_libfm(spark, lineitem_libfm_dir(spark, sf_dir))
+    return _libfm_row_summary(rows)
+
+
+@query("libfm_infer_dimension")
+def q_libfm_infer_dimension(spark, sf_dir):
+    rows = S.read_libfm(spark, lineitem_libfm_dir(spark, sf_dir))
+    return spark.createDataFrame([(S.libfm_dimension(rows),)], "dimension bigint")
+
+
+@query("format_compact")
+def q_format_compact(spark, sf_dir):
+    from ..functions import format_compact
+    li = X.table(spark, sf_dir, "lineitem")
+    xs = (li.select(F.col("l_discount").alias("x"))
+          .unionByName(li.select(F.col("l_tax").alias("x")))
+          .unionByName(li.select(F.col("l_quantity").alias("x")))
+          .unionByName(li.select((F.col("l_extendedprice") / 7).alias("x")))
+          .unionByName(li.select((F.col("l_discount") - F.col("l_tax")).alias("x")))).distinct()
+    return xs.select(r6("x").alias("x"), format_compact(F.col("x")).alias("text"))
+
+
+# ---- list fields: part.p_name split by space ------------------------------------
+
+def part_vectorized(spark, sf_dir):
+    return standard_vectorize(X.table(spark, sf_dir, "part"), X.PART_SPECS, row_id="p_partkey")
+
+
+@query("split_list")
+def q_split_list(spark, sf_dir):
+    from ..functions import split_list
+    p = X.table(spark, sf_dir, "part")
+    t = split_list(F.col("p_name"), " ")
+    return p.select(big("p_partkey").alias("p_partkey"), big(F.size(t)).alias("n_tokens"),
+                    F.array_join(t, "|").alias("tokens"))
+
+
+@query("list_weights")
+def q_list_weights(spark, sf_dir):
+    from ..functions import list_weights, split_list
+    p = X.table(spark, sf_dir, "part")
+    return p.select(big("p_partkey").alias("p_partkey"),
+                    r6(list_weights(split_list(F.col("p_name"), " "))).alias("weight"))
+
+
+@query("build_list_dictionary")
+def q_build_list_dictionary(spark, sf_dir):
+    vec = part_vectorized(spark, sf_dir)
+    return vec.dictionary.where(F.col("field") == 0).select("token", big("code").alias("code"))
+
+
+@query("encode_list")
+def q_encode_list(spark, sf_dir):
+    vec = part_vectorized(spark, sf_dir)
+    lay = vec.layout[0]
+    return (vec.entries().where(F.col("feature_id") < lay.offset + lay.size)
+            .select(big("row_id").alias("p_partkey"), big("feature_id").alias("feature_id"),
+                    r6("value").alias("value")))
+
+
+# ---- numbers and time: orders ---------------------------------------------------
+
+def orders_numbers_vectorized(spark, sf_dir):
+    from ..operators.fields import Number, Time, Identity, Target
+    o = X.table(spark, sf_dir, "orders")
+    specs = [Identity("o_orderstatus"), Number("o_totalprice", transform=X.price_target),
+             Time("o_orderdate"),
+             Number("o_custkey", transform=lambda c: F.log1p(c.cast("double"))),
+             Target("o_totalprice", transform=X.price_target)]
+    return standard_vectorize(o, specs, row_id="o_orderkey")
+
+
+@query("to_number")
+def q_to_number(spark, sf_dir):
+    from ..functions import to_number
+    o = X.table(spark, sf_dir, "orders")
+    return o.select(big("o_orderkey").alias("o_orderkey"),
+                    r6(to_number(F.col("o_totalprice").cast("string"))).alias("x"))
+
+
+@query("epoch_to_days")
+def q_epoch_to_days(spark, sf_dir):
+    from ..functions import epoch_to_days
+    o = X.table(spark, sf_dir, "orders")
+    return o.select(big("o_orderkey").alias("o_orderkey"),
+                    r6(epoch_to_days(F.col("o_orderdate"), "timestamp")).alias("days"))
+
+
+def _field_entries(vec, i, key="row_id"):
+    lay = vec.layout[i]
+    return (vec.entries().where((F.col("feature_id") >= lay.offset) &
+                                (F.col("feature_id") < lay.offset + lay.size))
+            .select(big("row_id").alias(key), big("feature_id").alias("feature_id"),
+                    r6("value").alias("value")))
+
+
+@query("encode_number")
+def q_encode_number(spark, sf_dir):
+    return _field_entries(orders_numbers_vectorized(spark, sf_dir), 1, "o_orderkey")
+
+
+@query("custom_transform")
+def q_custom_transform(spark, sf_dir):
+    return _field_entries(orders_numbers_vectorized(spark, sf_dir), 3, "o_orderkey")
+
+
+# ---- 2.6 data-set operators: events ---------------------------------------------
+
+from ..operators import dataset as D  # noqa: E402
+
+
+@query("is_empty")
+def q_is_empty(spark, sf_dir):
+    vec = events_vectorized(spark, sf_dir)
+    flags = [(1 if D.is_empty(vec.rows) else 0,
+              1 if D.is_empty(vec.rows.where(F.col("y") > 1e9)) else 0)]
+    return spark.createDataFrame(flags, "events_empty bigint, none_over_1e9_empty bigint")
+
+
+@query("dataset_size")
+def q_dataset_size(spark, sf_dir):
+    vec = events_vectorized(spark, sf_dir)
+    return spark.createDataFrame([(D.dataset_size(vec.rows),)], "size bigint")
+
+
+@query("dataset_dimension")
+def q_dataset_dimension(spark, sf_dir):
+    return D.dimension_frame(events_vectorized(spark, sf_dir).rows)
+
+
+@query("transpose")
+def q_transpose(spark, sf_dir):
+    t = D.transpose(events_vectorized(spark, sf_dir, X.EVENTS_MODEL_SPECS).rows)
+    return t.select(big("feature_id").alias("feature_id"), big("row_id").alias("row_id"),
+                    r6("value").alias("value"))
+
+
+@query("project_inputs")
+def q_project_inputs(spark, sf_dir):
+    rows = D.project_inputs(events_vectorized(spark, sf_dir).rows)
+    return rows.select(big("row_id").alias("row_id"), F.inline("features")).select(
+        "row_id", big("feature_id").alias("feature_id"), r6("value").alias("value"))
+
+
+@query("project_targets")
+def q_project_targets(spark, sf_dir):
+    rows = D.project_targets(events_vectorized(spark, sf_dir).rows)
+    return rows.select(big("row_id").alias("row_id"), r6("y").alias("y"))
+
+
+# ---- 2.5 split: orders ----------------------------------------------------------
+
+def orders_vectorized(spark, sf_dir):
+    return standard_vectorize(X.table(spark, sf_dir, "orders"), X.ORDERS_SPECS, row_id="o_orderkey")
+
+
+@query("random_split")
+def q_random_split(spark, sf_dir):
+    vec = orders_vectorized(spark, sf_dir)
+    s = D.random_split(vec.rows, *X.SPLIT3_WEIGHTS, seed=X.SPLIT_SEED)
+    return s.select(big("row_id").alias("o_orderkey"), "split")
+
+
+@query("collection_dimension")
+def q_collection_dimension(spark, sf_dir):
+    vec = orders_vectorized(spark, sf_dir)
+    s = D.random_split(vec.rows, *X.SPLIT3_WEIGHTS, seed=X.SPLIT_SEED)
+    return D.collection_dimension(s)

@@ -15,7 +15,7 @@ from ..session import ensure_checkpoint_dir
 # Fixed values of the query set (parameters, not data).
 EVENTS_TARGET_CENTER = 50.0
 EVENTS_TARGET_SCALE = 100.0
-PRICE_SCALE = 1e5
+PRICE_SCALE = 1e4
 ACCTBAL_SCALE = 1e4
 SCORE_CFG = FMConfig(k=2, init_stdev=0.1, seed=7)
 SCORE_W0 = 0.25

@@ -144,3 +144,154 @@ SELECT {r6('avg(y - prediction)')} AS mean_signed_error FROM evm_pred"""))
 oracle("sign_accuracy", with_(EV_MODEL, f"""
 SELECT {r6("avg(CASE WHEN (y >= 0 AND prediction >= 0) OR (y < 0 AND prediction < 0) THEN 1.0 ELSE 0.0 END)")}
        AS sign_accuracy FROM evm_pred"""))
+
+
+# ---- delimited orders text -------------------------------------------------------
+ORD_TXT = """
+ord_txt AS (
+  SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, o_totalprice,
+         CASE WHEN o_orderpriority = '5-LOW' THEN 6 WHEN o_orderstatus = 'P' THEN 4 ELSE 5 END AS n_fields
+    FROM orders)
+"""
+
+oracle("read_delimited", with_(ORD_TXT, """
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(n_fields AS BIGINT) AS n_fields FROM ord_txt"""))
+
+oracle("filter_arity", with_(ORD_TXT, """
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM ord_txt WHERE n_fields = 5"""))
+
+oracle("split_target_inputs", with_(ORD_TXT, """
+SELECT CAST(o_orderkey AS BIGINT) AS in0, CAST(o_custkey AS BIGINT) AS in1,
+       o_orderpriority AS in2, o_orderstatus AS in3 FROM ord_txt WHERE n_fields = 5"""))
+
+oracle("cast_target", with_(ORD_TXT, f"""
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, {r6('o_totalprice')} AS y FROM ord_txt WHERE n_fields = 5"""))
+
+
+# ---- libFM text from lineitem ------------------------------------------------------
+
+def fmt(x: str) -> str:
+    """Compact number text: integral -> digits, else at most 3 decimals."""
+    return (f"(CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) "
+            f"ELSE rtrim(rtrim(printf('%.3f', {x}), '0'), '.') END)")
+
+
+LI_LIBFM = f"""
+li AS (SELECT row_number() OVER () AS rid, * FROM lineitem),
+li_rf AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+            FROM (SELECT DISTINCT l_returnflag AS token FROM lineitem)),
+li_ls AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+            FROM (SELECT DISTINCT l_linestatus AS token FROM lineitem)),
+li_nrf AS (SELECT count(*) AS n FROM li_rf),
+li_ent AS (
+  SELECT rid, 0 AS fid, l_discount AS v FROM li WHERE l_discount <> 0
+  UNION ALL SELECT rid, 1, l_tax FROM li WHERE l_tax <> 0
+  UNION ALL SELECT rid, 2 + rf.code, 1.0 FROM li JOIN li_rf rf ON rf.token = li.l_returnflag
+  UNION ALL SELECT rid, 2 + (SELECT n FROM li_nrf) + ls.code, 1.0 FROM li JOIN li_ls ls ON ls.token = li.l_linestatus),
+li_lines AS (
+  SELECT li.rid, li.l_quantity AS y,
+         {fmt('li.l_quantity')} || ' ' || string_agg(CAST(e.fid + 1 AS VARCHAR) || ':' || {fmt('e.v')}, ' ' ORDER BY e.fid) AS line,
+         string_agg(CAST(e.fid + 1 AS VARCHAR), ' ' ORDER BY e.fid) AS ids_read,
+         sum(e.v) AS vsum
+    FROM li JOIN li_ent e USING (rid) GROUP BY li.rid, li.l_quantity)
+"""
+
+oracle("write_libfm", with_(LI_LIBFM, "SELECT line FROM li_lines"))
+oracle("filter_comment_blank", with_(LI_LIBFM, "SELECT line FROM li_lines"))
+oracle("read_libfm", with_(LI_LIBFM, f"""
+SELECT {r6('y')} AS y, ids_read AS feature_ids, {r6('vsum')} AS value_sum FROM li_lines"""))
+oracle("libfm_infer_dimension", with_(LI_LIBFM, """
+SELECT CAST(max(fid) + 1 AS BIGINT) AS dimension FROM li_ent"""))
+
+oracle("format_compact", f"""
+WITH xs AS (
+  SELECT DISTINCT x FROM (
+    SELECT l_discount AS x FROM lineitem UNION ALL SELECT l_tax FROM lineitem
+    UNION ALL SELECT l_quantity FROM lineitem UNION ALL SELECT l_extendedprice / 7 FROM lineitem
+    UNION ALL SELECT l_discount - l_tax FROM lineitem))
+SELECT {r6('x')} AS x, {fmt('x')} AS text FROM xs""")
+
+
+# ---- list field: part.p_name ---------------------------------------------------------
+PART_LIST = """
+pt_tok AS (SELECT p_partkey, len(string_split(p_name, ' ')) AS m,
+                  unnest(string_split(p_name, ' ')) AS token FROM part),
+pt_dict AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+              FROM (SELECT DISTINCT token FROM pt_tok))
+"""
+
+oracle("split_list", """
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(len(string_split(p_name, ' ')) AS BIGINT) AS n_tokens,
+       array_to_string(string_split(p_name, ' '), '|') AS tokens FROM part""")
+
+oracle("list_weights", f"""
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, {r6("1.0 / len(string_split(p_name, ' '))")} AS weight FROM part""")
+
+oracle("build_list_dictionary", with_(PART_LIST, """
+SELECT token, CAST(code AS BIGINT) AS code FROM pt_dict"""))
+
+oracle("encode_list", with_(PART_LIST, f"""
+SELECT DISTINCT CAST(t.p_partkey AS BIGINT) AS p_partkey, CAST(d.code AS BIGINT) AS feature_id,
+       {r6('1.0 / t.m')} AS value
+  FROM pt_tok t JOIN pt_dict d USING (token)"""))
+
+
+# ---- numbers and time: orders ----------------------------------------------------------
+ORD_NUM = """
+on_nstatus AS (SELECT count(DISTINCT o_orderstatus) AS n FROM orders)
+"""
+
+oracle("to_number", f"""
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, {r6('o_totalprice')} AS x FROM orders""")
+
+oracle("epoch_to_days", f"""
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey,
+       {r6('(epoch_us(o_orderdate) // 1000000) // 86400')} AS days FROM orders""")
+
+oracle("encode_number", with_(ORD_NUM, f"""
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST((SELECT n FROM on_nstatus) AS BIGINT) AS feature_id,
+       {r6(f'o_totalprice / {X.PRICE_SCALE!r}')} AS value FROM orders WHERE o_totalprice <> 0"""))
+
+oracle("custom_transform", with_(ORD_NUM, f"""
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST((SELECT n FROM on_nstatus) + 2 AS BIGINT) AS feature_id,
+       {r6('ln(1 + CAST(o_custkey AS DOUBLE))')} AS value FROM orders WHERE o_custkey <> 0"""))
+
+
+# ---- data-set operators: events ------------------------------------------------------------
+oracle("is_empty", """
+SELECT CAST(CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS BIGINT) AS events_empty,
+       CAST(1 AS BIGINT) AS none_over_1e9_empty FROM events""")
+
+oracle("dataset_size", "SELECT CAST(count(*) AS BIGINT) AS size FROM events")
+
+oracle("dataset_dimension", with_(EV_BASE, """
+SELECT CAST(max(feature_id) AS BIGINT) AS dimension FROM ev_entries"""))
+
+oracle("transpose", with_(EV_BASE, f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, CAST(row_id AS BIGINT) AS row_id, {r6('value')} AS value
+  FROM ev_id_entries"""))
+
+oracle("project_inputs", with_(EV_BASE, f"""
+SELECT CAST(row_id AS BIGINT) AS row_id, CAST(feature_id AS BIGINT) AS feature_id, {r6('value')} AS value
+  FROM ev_entries"""))
+
+oracle("project_targets", with_(EV_BASE, f"""
+SELECT CAST(row_id AS BIGINT) AS row_id, {r6('y')} AS y FROM ev_rows"""))
+
+
+# ---- split: orders ----------------------------------------------------------------------------
+from ..operators.dataset import split_thresholds  # noqa: E402
+
+_A3, _B3 = split_thresholds(*X.SPLIT3_WEIGHTS)
+ORD_SPLIT = f"""
+ord_u AS (SELECT o_orderkey, {uniform(f"concat_ws(':', {X.SPLIT_SEED}, o_orderkey)")} AS u FROM orders),
+ord_split AS (SELECT o_orderkey, CASE WHEN u < {_A3!r} THEN 'train' WHEN u < {_B3!r} THEN 'test'
+                                      ELSE 'validate' END AS split FROM ord_u)
+"""
+
+oracle("random_split", with_(ORD_SPLIT, """
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, split FROM ord_split"""))
+
+oracle("collection_dimension", """
+SELECT CAST((SELECT count(DISTINCT o_custkey) FROM orders) + (SELECT count(DISTINCT o_orderpriority) FROM orders)
+            + (SELECT count(DISTINCT o_orderstatus) FROM orders) - 1 AS BIGINT) AS dimension""")
