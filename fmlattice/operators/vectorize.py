@@ -157,9 +157,16 @@ def standard_vectorize(df: DataFrame, specs: list[FieldSpec], row_id: str | None
 
 
 def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, str],
-                   extra_cols: list[str] | None = None) -> Vectorized:
-    """Encode a frame holding ``row_id, y`` and one ``_c{i}`` per input field."""
+                   extra: dict[int, tuple[int, list[Block]]] | None = None,
+                   substitute=None) -> Vectorized:
+    """Encode a frame holding ``row_id, y`` and one ``_c{i}`` per input field.
+
+    ``extra[i] = (width, blocks)`` reserves ids right after field ``i``'s own
+    block (side-table features, see ``relations``); ``substitute(frame,
+    layout)`` may then replace the per-field arrays ``_a{i}`` before they are
+    concatenated."""
     spark = base.sparkSession
+    extra = extra or {}
     cat = [(i, s) for i, s in enumerate(inputs) if s.categorical]
     dicts, sizes = learn_dictionaries(base, cat)
 
@@ -167,9 +174,14 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
     offset = 0
     for i, s in enumerate(inputs):
         size = sizes[i] if s.categorical else 1
-        layout.append(FieldLayout(i, s.column, s.kind, offset, size,
-                                  [Block(s.column, offset, size, s.kind == LIST)]))
-        offset += size
+        blocks = [Block(s.column, offset, size, s.kind == LIST)]
+        width = size
+        if i in extra:
+            ew, eblocks = extra[i]
+            blocks += [Block(b.name, offset + size + b.offset, b.size, b.multi) for b in eblocks]
+            width += ew
+        layout.append(FieldLayout(i, s.column, s.kind, offset, width, blocks))
+        offset += width
     dimension = offset
 
     dict_parts = [d.select(F.lit(i).alias("field"), "token", "code",
@@ -182,9 +194,7 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
     else:
         dictionary = spark.createDataFrame([], "field int, token string, code bigint, feature_id bigint")
 
-    keep = ["row_id", "y"] + (extra_cols or [])
     enc = base
-    arrays: list[Column] = []
     for i, s in enumerate(inputs):
         lay = layout[i]
         c = F.col(f"_c{i}")
@@ -194,24 +204,27 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
             enc = enc.withColumn(f"_t{i}", c.cast("string")).join(
                 maybe_broadcast(d, sizes[i], spark), f"_t{i}", "left")
             val = s.transform(F.col(f"_t{i}")).cast("double") if s.transform else F.lit(1.0)
-            arrays.append(F.when(F.col(f"_id{i}").isNotNull(),
-                                 F.array(F.struct(F.col(f"_id{i}").alias("feature_id"),
-                                                  val.alias("value"))))
-                          .otherwise(F.array().cast(FEATURES)))
+            arr = (F.when(F.col(f"_id{i}").isNotNull(),
+                          F.array(F.struct(F.col(f"_id{i}").alias("feature_id"), val.alias("value"))))
+                   .otherwise(F.array().cast(FEATURES)))
         elif s.kind in (NUMBER, TIME):
             val = _number_value(s, c, dtypes.get(s.column, "string"))
-            arrays.append(F.when(val.isNotNull(), F.array(F.struct(
+            arr = (F.when(val.isNotNull(), F.array(F.struct(
                 F.lit(lay.offset).cast("bigint").alias("feature_id"), val.alias("value"))))
                 .otherwise(F.array().cast(FEATURES)))
-        elif s.kind == LIST:
+        else:  # LIST
             lst = encode_list(enc.select("row_id", c.alias("_raw")), s, dicts[i], sizes[i], lay.offset)
             enc = enc.join(lst.withColumnRenamed("features", f"_l{i}"), "row_id", "left")
-            arrays.append(F.coalesce(F.col(f"_l{i}"), F.array().cast(FEATURES)))
+            arr = F.coalesce(F.col(f"_l{i}"), F.array().cast(FEATURES))
+        enc = enc.withColumn(f"_a{i}", arr.cast(FEATURES))
+    if substitute is not None:
+        enc = substitute(enc, layout)
+    arrays = [F.col(f"_a{i}") for i in range(len(inputs))]
     feats = F.concat(*arrays) if arrays else F.array().cast(FEATURES)
     # a sparse vector stores no zeros: a zero-valued entry is absent, so the
     # learner never treats its feature as present
     feats = F.filter(feats, lambda e: e["value"] != F.lit(0.0))
-    rows = enc.select(*keep, feats.cast(FEATURES).alias("features"))
+    rows = enc.select("row_id", "y", feats.cast(FEATURES).alias("features"))
     return Vectorized(rows, layout, dictionary, dimension)
 
 

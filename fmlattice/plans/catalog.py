@@ -430,3 +430,68 @@ def q_collection_dimension(spark, sf_dir):
     vec = orders_vectorized(spark, sf_dir)
     s = D.random_split(vec.rows, *X.SPLIT3_WEIGHTS, seed=X.SPLIT_SEED)
     return D.collection_dimension(s)
+
+
+# ---- 2.5 side tables: orders -> customer ------------------------------------------
+
+from ..operators import relations as R  # noqa: E402
+
+
+def customer_relation(spark, sf_dir, drop_segment=True):
+    cu = X.table(spark, sf_dir, "customer")
+    if drop_segment:
+        cu = cu.where(F.col("c_mktsegment") != X.RELATION_DROP_SEGMENT)
+    return R.Relation(cu, X.CUSTOMER_SPECS)
+
+
+def orders_relation_vectorized(spark, sf_dir, keep_key=False, drop_segment=True):
+    o = X.table(spark, sf_dir, "orders")
+    return R.relation_vectorize(o, X.ORDERS_SPECS,
+                                {"o_custkey": customer_relation(spark, sf_dir, drop_segment)},
+                                row_id="o_orderkey", keep_key=keep_key)
+
+
+def _entries_out(vec, lo=None, hi=None, key="o_orderkey", with_y=False):
+    e = vec.rows.select("row_id", "y", F.inline("features"))
+    if lo is not None:
+        e = e.where((F.col("feature_id") >= lo) & (F.col("feature_id") < hi))
+    cols = [big("row_id").alias(key)] + ([r6("y").alias("y")] if with_y else [])
+    return e.select(*cols, big("feature_id").alias("feature_id"), r6("value").alias("value"))
+
+
+@query("encode_relation")
+def q_encode_relation(spark, sf_dir):
+    enc = R.encode_relation(customer_relation(spark, sf_dir))
+    return enc.rows.select(big("key").alias("c_custkey"), F.inline("features")).select(
+        "c_custkey", big("feature_id").alias("feature_id"), r6("value").alias("value"))
+
+
+@query("relation_join")
+def q_relation_join(spark, sf_dir):
+    vec = orders_relation_vectorized(spark, sf_dir)
+    lay = vec.layout[0]
+    return _entries_out(vec, lay.offset + lay.blocks[0].size, lay.offset + lay.size)
+
+
+@query("relation_fallback")
+def q_relation_fallback(spark, sf_dir):
+    vec = orders_relation_vectorized(spark, sf_dir)
+    lay = vec.layout[0]
+    return _entries_out(vec, lay.offset, lay.offset + lay.blocks[0].size)
+
+
+@query("relation_layout")
+def q_relation_layout(spark, sf_dir):
+    vec = orders_relation_vectorized(spark, sf_dir)
+    rows = [(j, name, off, width) for j, (name, off, width) in enumerate(R.relation_layout(vec))]
+    return spark.createDataFrame(rows, "block bigint, name string, feature_offset bigint, width bigint")
+
+
+@query("relation_vectorize")
+def q_relation_vectorize(spark, sf_dir):
+    return _entries_out(orders_relation_vectorized(spark, sf_dir), with_y=True)
+
+
+@query("relation_keep_key")
+def q_relation_keep_key(spark, sf_dir):
+    return _entries_out(orders_relation_vectorized(spark, sf_dir, keep_key=True), with_y=True)

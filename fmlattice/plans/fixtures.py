@@ -58,3 +58,6 @@ CUSTOMER_SPECS = [Target("c_custkey"), Identity("c_mktsegment"), Identity("c_nat
 # part: list field (name tokens) + identities
 PART_SPECS = [List("p_name", sep=" "), Identity("p_brand"), Identity("p_type"),
               Number("p_size"), Target("p_retailprice")]
+
+# side table with natural misses: customers outside one market segment
+RELATION_DROP_SEGMENT = "BUILDING"

@@ -295,3 +295,75 @@ SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, split FROM ord_split"""))
 oracle("collection_dimension", """
 SELECT CAST((SELECT count(DISTINCT o_custkey) FROM orders) + (SELECT count(DISTINCT o_orderpriority) FROM orders)
             + (SELECT count(DISTINCT o_orderstatus) FROM orders) - 1 AS BIGINT) AS dimension""")
+
+
+# ---- side tables: orders -> customer (one segment dropped, so some orders miss) ------
+REL = f"""
+cu AS (SELECT * FROM customer WHERE c_mktsegment <> '{X.RELATION_DROP_SEGMENT}'),
+cu_seg AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+             FROM (SELECT DISTINCT c_mktsegment AS token FROM cu)),
+cu_nat AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+             FROM (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS token FROM cu)),
+cu_dims AS (SELECT (SELECT count(*) FROM cu_seg) AS nseg, (SELECT count(*) FROM cu_nat) AS nnat),
+cu_ent AS (
+  SELECT c_custkey AS key, s.code AS fid, 1.0 AS v FROM cu JOIN cu_seg s ON s.token = cu.c_mktsegment
+  UNION ALL SELECT c_custkey, d.nseg + n.code, 1.0
+    FROM cu JOIN cu_nat n ON n.token = CAST(cu.c_nationkey AS VARCHAR) CROSS JOIN cu_dims d
+  UNION ALL SELECT c_custkey, d.nseg + d.nnat, c_acctbal / {X.ACCTBAL_SCALE!r}
+    FROM cu CROSS JOIN cu_dims d WHERE c_acctbal <> 0),
+o_ck AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+           FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS token FROM orders)),
+o_pr AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+           FROM (SELECT DISTINCT o_orderpriority AS token FROM orders)),
+o_st AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+           FROM (SELECT DISTINCT o_orderstatus AS token FROM orders)),
+o_dims AS (SELECT (SELECT count(*) FROM o_ck) AS nck, (SELECT nseg + nnat + 1 FROM cu_dims) AS nrel,
+                  (SELECT count(*) FROM o_pr) AS npr),
+rel_match AS (
+  SELECT o.o_orderkey AS row_id, d.nck + e.fid AS fid, e.v
+    FROM orders o JOIN cu_ent e ON e.key = o.o_custkey CROSS JOIN o_dims d),
+rel_miss AS (
+  SELECT o.o_orderkey AS row_id, k.code AS fid, 1.0 AS v
+    FROM orders o JOIN o_ck k ON k.token = CAST(o.o_custkey AS VARCHAR)
+   WHERE o.o_custkey NOT IN (SELECT c_custkey FROM cu)),
+rel_key_all AS (
+  SELECT o.o_orderkey AS row_id, k.code AS fid, 1.0 AS v
+    FROM orders o JOIN o_ck k ON k.token = CAST(o.o_custkey AS VARCHAR)),
+rel_rest AS (
+  SELECT o.o_orderkey AS row_id, d.nck + d.nrel + p.code AS fid, 1.0 AS v
+    FROM orders o JOIN o_pr p ON p.token = o.o_orderpriority CROSS JOIN o_dims d
+  UNION ALL
+  SELECT o.o_orderkey, d.nck + d.nrel + d.npr + s.code, 1.0
+    FROM orders o JOIN o_st s ON s.token = o.o_orderstatus CROSS JOIN o_dims d),
+rel_y AS (SELECT o_orderkey AS row_id, o_totalprice / {X.PRICE_SCALE!r} AS y FROM orders)
+"""
+
+oracle("encode_relation", with_(REL, f"""
+SELECT CAST(key AS BIGINT) AS c_custkey, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM cu_ent"""))
+
+oracle("relation_join", with_(REL, f"""
+SELECT CAST(row_id AS BIGINT) AS o_orderkey, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM rel_match"""))
+
+oracle("relation_fallback", with_(REL, f"""
+SELECT CAST(row_id AS BIGINT) AS o_orderkey, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM rel_miss"""))
+
+oracle("relation_layout", with_(REL, """
+SELECT CAST(b AS BIGINT) AS block, name, CAST(off AS BIGINT) AS feature_offset, CAST(w AS BIGINT) AS width FROM (
+  SELECT 0 AS b, 'o_custkey' AS name, 0 AS off, nck AS w FROM o_dims
+  UNION ALL SELECT 1, 'c_mktsegment', nck, (SELECT nseg FROM cu_dims) FROM o_dims
+  UNION ALL SELECT 2, 'c_nationkey', nck + (SELECT nseg FROM cu_dims), (SELECT nnat FROM cu_dims) FROM o_dims
+  UNION ALL SELECT 3, 'c_acctbal', nck + nrel - 1, 1 FROM o_dims
+  UNION ALL SELECT 4, 'o_orderpriority', nck + nrel, npr FROM o_dims
+  UNION ALL SELECT 5, 'o_orderstatus', nck + nrel + npr, (SELECT count(*) FROM o_st) FROM o_dims)"""))
+
+oracle("relation_vectorize", with_(REL, f"""
+SELECT CAST(e.row_id AS BIGINT) AS o_orderkey, {r6('y.y')} AS y, CAST(e.fid AS BIGINT) AS feature_id,
+       {r6('e.v')} AS value
+  FROM (SELECT * FROM rel_match UNION ALL SELECT * FROM rel_miss UNION ALL SELECT * FROM rel_rest) e
+  JOIN rel_y y USING (row_id)"""))
+
+oracle("relation_keep_key", with_(REL, f"""
+SELECT CAST(e.row_id AS BIGINT) AS o_orderkey, {r6('y.y')} AS y, CAST(e.fid AS BIGINT) AS feature_id,
+       {r6('e.v')} AS value
+  FROM (SELECT * FROM rel_match UNION ALL SELECT * FROM rel_key_all UNION ALL SELECT * FROM rel_rest) e
+  JOIN rel_y y USING (row_id)"""))
