@@ -495,3 +495,114 @@ def q_relation_vectorize(spark, sf_dir):
 @query("relation_keep_key")
 def q_relation_keep_key(spark, sf_dir):
     return _entries_out(orders_relation_vectorized(spark, sf_dir, keep_key=True), with_y=True)
+
+
+# ---- 2.8 learner: events (user_id, event_type) -----------------------------------
+
+from ..operators import als as A  # noqa: E402
+from ..operators.blocks import conflict_free_blocks  # noqa: E402
+
+
+def events_learning(spark, sf_dir):
+    vec = events_vectorized(spark, sf_dir, X.EVENTS_MODEL_SPECS)
+    rows = A.prepare_rows(vec.rows)
+    blocks = conflict_free_blocks(rows, vec.blocks())
+    params = M.init_params(spark, vec.dimension, X.LEARN_CFG)
+    return rows, blocks, params, vec.dimension
+
+
+def _state_after_bias(spark, sf_dir):
+    rows, blocks, params, dim = events_learning(spark, sf_dir)
+    state = A.residuals(rows, params, 0.0, X.LEARN_CFG, dim)
+    state, w0 = A.global_bias_step(state, 0.0, X.LEARN_CFG)
+    return state, w0, params, blocks, dim
+
+
+@query("residuals")
+def q_residuals(spark, sf_dir):
+    rows, _, params, dim = events_learning(spark, sf_dir)
+    return A.residuals(rows, params, 0.0, X.LEARN_CFG, dim).select(
+        big("row_id").alias("row_id"), r6("e").alias("e"))
+
+
+@query("factor_sums")
+def q_factor_sums(spark, sf_dir):
+    rows, _, params, dim = events_learning(spark, sf_dir)
+    return A.factor_sums(rows, params, X.LEARN_CFG, dim).select(
+        big("row_id").alias("row_id"), r6("q0").alias("q0"), r6("q1").alias("q1"))
+
+
+@query("global_bias_step")
+def q_global_bias_step(spark, sf_dir):
+    _, w0, _, _, _ = _state_after_bias(spark, sf_dir)
+    return spark.createDataFrame([(w0,)], "w0 double").select(r6("w0").alias("w0"))
+
+
+@query("theta_stats")
+def q_theta_stats(spark, sf_dir):
+    state, _, params, blocks, _ = _state_after_bias(spark, sf_dir)
+    st = A.theta_stats(state, params, blocks[0], "w", None)
+    return st.select(big("feature_id").alias("feature_id"), r6("sum_hh").alias("sum_hh"),
+                     r6("sum_eh").alias("sum_eh"))
+
+
+@query("theta_update")
+def q_theta_update(spark, sf_dir):
+    state, _, params, blocks, _ = _state_after_bias(spark, sf_dir)
+    st = A.theta_stats(state, params, blocks[0], "w", None)
+    new = A.updated_theta(F.col("theta"), F.col("sum_hh"), F.col("sum_eh"), X.LEARN_CFG.regw)
+    return st.select(big("feature_id").alias("feature_id"), r6(new).alias("w"))
+
+
+@query("error_update")
+def q_error_update(spark, sf_dir):
+    state, _, params, blocks, _ = _state_after_bias(spark, sf_dir)
+    delta = A.theta_update(A.theta_stats(state, params, blocks[0], "w", None), X.LEARN_CFG.regw)
+    out = A.error_update(state, delta, blocks[0], None, blocks[0].size)
+    return out.select(big("row_id").alias("row_id"), r6("e").alias("e"))
+
+
+def _events_pass(spark, sf_dir, stop_after=None):
+    rows, blocks, params, dim = events_learning(spark, sf_dir)
+    return A.als_iteration(rows, params, 0.0, X.LEARN_CFG, blocks, dim, stop_after=stop_after)
+
+
+@query("linear_sweep")
+def q_linear_sweep(spark, sf_dir):
+    res = _events_pass(spark, sf_dir, "w")
+    return res.params.select(big("feature_id").alias("feature_id"), r6("w").alias("w"))
+
+
+@query("factor_sweep")
+def q_factor_sweep(spark, sf_dir):
+    res = _events_pass(spark, sf_dir, "v0")
+    return res.params.select(big("feature_id").alias("feature_id"), r6("v0").alias("v0"))
+
+
+def _params_out(params, w0):
+    return params.select(big("feature_id").alias("feature_id"), r6("w").alias("w"), r6("v0").alias("v0"),
+                         r6("v1").alias("v1"), r6(F.lit(float(w0))).alias("w0"))
+
+
+@query("als_iteration")
+def q_als_iteration(spark, sf_dir):
+    res = _events_pass(spark, sf_dir)
+    return _params_out(res.params, res.w0)
+
+
+def events_fit(spark, sf_dir):
+    vec = events_vectorized(spark, sf_dir, X.EVENTS_MODEL_SPECS)
+    blocks = conflict_free_blocks(vec.rows, vec.blocks())
+    return A.fit(vec.rows, X.LEARN_CFG, vec.dimension, blocks)
+
+
+@query("fit")
+def q_fit(spark, sf_dir):
+    m = events_fit(spark, sf_dir)
+    return _params_out(m.params, m.w0)
+
+
+@query("training_trace")
+def q_training_trace(spark, sf_dir):
+    m = events_fit(spark, sf_dir)
+    return m.trace.select(big("iteration").alias("iteration"), r6("rmse").alias("rmse"))

@@ -367,3 +367,134 @@ SELECT CAST(e.row_id AS BIGINT) AS o_orderkey, {r6('y.y')} AS y, CAST(e.fid AS B
        {r6('e.v')} AS value
   FROM (SELECT * FROM rel_match UNION ALL SELECT * FROM rel_key_all UNION ALL SELECT * FROM rel_rest) e
   JOIN rel_y y USING (row_id)"""))
+
+
+# ---- learner: events (user_id, event_type), unrolled into CTEs --------------------------
+# Two one-hot fields: every row holds exactly one id of each, x = 1.
+
+def _upd(theta: str, hh: str, eh: str, reg: float) -> str:
+    t = f"(-({eh} - {theta} * {hh}) / ({reg!r} + {hh}))"
+    return (f"(CASE WHEN {reg!r} + {hh} = 0 THEN {theta} "
+            f"WHEN isfinite({t}) THEN {t} ELSE {theta} END)")
+
+
+def als_ctes(iterations: int) -> tuple[str, dict]:
+    """CTE text for ``iterations`` passes; returns it and the names of the
+    intermediate tables of the first pass."""
+    cfg = X.LEARN_CFG
+    k, G = cfg.k, 2
+    parts = [EV_BASE.strip(), f"""
+lr AS (SELECT e.event_id AS row_id, {events_y('e.value')} AS y,
+              du.feature_id AS id0, CAST(1.0 AS DOUBLE) AS x0, dt.feature_id AS id1, CAST(1.0 AS DOUBLE) AS x1
+         FROM events e JOIN ev_dict du ON du.field = 0 AND du.token = CAST(e.user_id AS VARCHAR)
+                       JOIN ev_dict dt ON dt.field = 1 AND dt.token = e.event_type),
+p_1 AS (SELECT feature_id, CAST(0.0 AS DOUBLE) AS w,
+               {', '.join(gauss(cfg.init_mean, cfg.init_stdev, str(cfg.seed), str(f), 'feature_id') + f' AS v{f}' for f in range(k))}
+          FROM ev_dict WHERE field IN (0, 1)),
+w0_1 AS (SELECT CAST(0.0 AS DOUBLE) AS w0)"""]
+    names = {}
+    scols = "row_id, y, " + ", ".join(f"id{g}, x{g}" for g in range(G))
+    for t in range(1, iterations + 1):
+        P, W0 = f"p_{t}", f"w0_{t}"
+        joins = " ".join(f"JOIN {P} a{g} ON a{g}.feature_id = lr.id{g}" for g in range(G))
+        lin = " + ".join(f"a{g}.w * lr.x{g}" for g in range(G))
+        inter = " + ".join(
+            "0.5 * ((" + " + ".join(f"a{g}.v{f} * lr.x{g}" for g in range(G)) + ") * (" +
+            " + ".join(f"a{g}.v{f} * lr.x{g}" for g in range(G)) + ") - (" +
+            " + ".join(f"(a{g}.v{f} * lr.x{g}) * (a{g}.v{f} * lr.x{g})" for g in range(G)) + "))"
+            for f in range(k))
+        qs = ", ".join("(" + " + ".join(f"a{g}.v{f} * lr.x{g}" for g in range(G)) + f") AS q{f}"
+                       for f in range(k))
+        S = f"s{t}_0"
+        parts.append(f"""{S} AS (SELECT lr.row_id, lr.y, {', '.join(f'lr.id{g}, lr.x{g}' for g in range(G))},
+      ((SELECT w0 FROM {W0}) + {lin} + {inter}) - lr.y AS e, {qs}
+    FROM lr {joins})""")
+        parts.append(f"rmse_{t} AS (SELECT sqrt(avg(e * e)) AS rmse FROM {S})")
+        parts.append(f"""w0n_{t} AS (SELECT {_upd('o.w0', 'CAST(count(*) AS DOUBLE)', 'sum(s.e)', cfg.reg0)} AS w0
+    FROM {S} s CROSS JOIN {W0} o GROUP BY o.w0)""")
+        S2 = f"s{t}_b"
+        qcols = ", ".join(f"q{f}" for f in range(k))
+        parts.append(f"""{S2} AS (SELECT {scols}, e + ((SELECT w0 FROM w0n_{t}) - (SELECT w0 FROM {W0})) AS e, {qcols}
+    FROM {S})""")
+        if t == 1:
+            names.update(state0=S, w0n=f"w0n_{t}", rmse=f"rmse_{t}", stateb=S2)
+        cur = S2
+        new_tables = {"w": []} | {f"v{f}": [] for f in range(k)}
+        # linear sweep
+        for g in range(G):
+            st, nw, nxt = f"st{t}_w{g}", f"nw{t}_w{g}", f"s{t}_w{g}"
+            parts.append(f"""{st} AS (SELECT id{g} AS feature_id, sum(x{g} * x{g}) AS hh, sum(e * x{g}) AS eh
+    FROM {cur} GROUP BY id{g})""")
+            parts.append(f"""{nw} AS (SELECT st.feature_id, p.w AS theta, st.hh, st.eh,
+      {_upd('p.w', 'st.hh', 'st.eh', cfg.regw)} AS new FROM {st} st JOIN {P} p USING (feature_id))""")
+            parts.append(f"""{nxt} AS (SELECT {', '.join('s.' + c.strip() for c in scols.split(','))},
+      s.e + coalesce(s.x{g} * (n.new - n.theta), 0.0) AS e, {', '.join(f's.q{f}' for f in range(k))}
+    FROM {cur} s LEFT JOIN {nw} n ON n.feature_id = s.id{g})""")
+            if t == 1 and g == 0:
+                names.update(stats=st, upd=nw, err=nxt)
+            new_tables["w"].append(nw)
+            cur = nxt
+        if t == 1:
+            names["after_w"] = cur
+        # factor sweeps
+        for f in range(k):
+            for g in range(G):
+                hh_src = f"hs{t}_v{f}_{g}"
+                st, nv, nxt = f"st{t}_v{f}_{g}", f"nv{t}_v{f}_{g}", f"s{t}_v{f}_{g}"
+                parts.append(f"""{hh_src} AS (SELECT s.*, p.v{f} AS theta,
+      s.x{g} * s.q{f} - s.x{g} * s.x{g} * p.v{f} AS h FROM {cur} s JOIN {P} p ON p.feature_id = s.id{g})""")
+                parts.append(f"""{st} AS (SELECT id{g} AS feature_id, sum(h * h) AS hh, sum(e * h) AS eh
+    FROM {hh_src} GROUP BY id{g})""")
+                parts.append(f"""{nv} AS (SELECT st.feature_id, p.v{f} AS theta,
+      {_upd(f'p.v{f}', 'st.hh', 'st.eh', cfg.regv)} AS new FROM {st} st JOIN {P} p USING (feature_id))""")
+                qsel = ", ".join(
+                    (f"s.q{ff} + coalesce(s.x{g} * (n.new - n.theta), 0.0) AS q{ff}" if ff == f else f"s.q{ff}")
+                    for ff in range(k))
+                parts.append(f"""{nxt} AS (SELECT {', '.join('s.' + c.strip() for c in scols.split(','))},
+      s.e + coalesce((s.x{g} * s.q{f} - s.x{g} * s.x{g} * n.theta) * (n.new - n.theta), 0.0) AS e, {qsel}
+    FROM {cur} s LEFT JOIN {nv} n ON n.feature_id = s.id{g})""")
+                new_tables[f"v{f}"].append(nv)
+                cur = nxt
+            if t == 1 and f == 0:
+                names["after_v0"] = new_tables["v0"]
+        sel, jn = ["p.feature_id"], []
+        for slot, tabs in new_tables.items():
+            u = " UNION ALL ".join(f"SELECT feature_id, new FROM {x}" for x in tabs)
+            jn.append(f"LEFT JOIN ({u}) u_{slot} ON u_{slot}.feature_id = p.feature_id")
+            sel.append(f"coalesce(u_{slot}.new, p.{slot}) AS {slot}")
+        parts.append(f"p_{t + 1} AS (SELECT {', '.join(sel)} FROM {P} p {' '.join(jn)})")
+        parts.append(f"w0_{t + 1} AS (SELECT w0 FROM w0n_{t})")
+        if t == 1:
+            names["p_after_w"] = f"pw_{t}"
+            u = " UNION ALL ".join(f"SELECT feature_id, new FROM {x}" for x in new_tables["w"])
+            parts.append(f"pw_{t} AS (SELECT p.feature_id, coalesce(u.new, p.w) AS w FROM {P} p "
+                         f"LEFT JOIN ({u}) u ON u.feature_id = p.feature_id)")
+            u = " UNION ALL ".join(f"SELECT feature_id, new FROM {x}" for x in new_tables["v0"])
+            parts.append(f"pv0_{t} AS (SELECT p.feature_id, coalesce(u.new, p.v0) AS v0 FROM {P} p "
+                         f"LEFT JOIN ({u}) u ON u.feature_id = p.feature_id)")
+    return ",\n".join(parts), names
+
+
+_C1, _N = als_ctes(1)
+_C2, _ = als_ctes(2)
+
+oracle("residuals", with_(_C1, f"SELECT CAST(row_id AS BIGINT) AS row_id, {r6('e')} AS e FROM {_N['state0']}"))
+oracle("factor_sums", with_(_C1, f"""
+SELECT CAST(row_id AS BIGINT) AS row_id, {r6('q0')} AS q0, {r6('q1')} AS q1 FROM {_N['state0']}"""))
+oracle("global_bias_step", with_(_C1, f"SELECT {r6('w0')} AS w0 FROM {_N['w0n']}"))
+oracle("theta_stats", with_(_C1, f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('hh')} AS sum_hh, {r6('eh')} AS sum_eh FROM {_N['stats']}"""))
+oracle("theta_update", with_(_C1, f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('new')} AS w FROM {_N['upd']}"""))
+oracle("error_update", with_(_C1, f"SELECT CAST(row_id AS BIGINT) AS row_id, {r6('e')} AS e FROM {_N['err']}"))
+oracle("linear_sweep", with_(_C1, f"SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('w')} AS w FROM pw_1"))
+oracle("factor_sweep", with_(_C1, f"SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('v0')} AS v0 FROM pv0_1"))
+oracle("als_iteration", with_(_C1, f"""
+SELECT CAST(p.feature_id AS BIGINT) AS feature_id, {r6('p.w')} AS w, {r6('p.v0')} AS v0, {r6('p.v1')} AS v1,
+       {r6('o.w0')} AS w0 FROM p_2 p CROSS JOIN w0_2 o"""))
+oracle("fit", with_(_C2, f"""
+SELECT CAST(p.feature_id AS BIGINT) AS feature_id, {r6('p.w')} AS w, {r6('p.v0')} AS v0, {r6('p.v1')} AS v1,
+       {r6('o.w0')} AS w0 FROM p_3 p CROSS JOIN w0_3 o"""))
+oracle("training_trace", with_(_C2, f"""
+SELECT CAST(1 AS BIGINT) AS iteration, {r6('rmse')} AS rmse FROM rmse_1
+UNION ALL SELECT CAST(2 AS BIGINT), {r6('rmse')} FROM rmse_2"""))
