@@ -17,9 +17,17 @@ A block holds at most one id per row, so updating it at once equals updating
 its ids one by one.  Per block the state is read once (from cache), the
 per-feature sums are shuffled (map-side combined), and the new values come
 back by a join that is broadcast when the block's width is under the bound.
-The small per-block tables of new values are checkpointed (fixed numbers, so
-a re-computation after an executor loss gives the same state); the state is
-checkpointed after every parameter family, which bounds its lineage.
+Cut points are tables written to the shared checkpoint folder: the training
+rows once per fit, each block's small table of new values (fixed numbers, so
+a re-computation after an executor loss gives the same state, and no plan
+holds the state twice), and the parameter table once per pass.  Within a pass
+each block's update is applied lazily to the family's starting state (a
+chain of at most one narrow broadcast join per block), and the state is
+written at the end of every parameter family; no cached plan is nested in
+another (their printed plans would double per level).  A lost partition is
+re-computed from the rows, the written state and the written blocks.  Written tables also reset the
+optimizer's size estimates, which a ``checkpoint()`` would carry over and
+compound over the chained joins.
 Nothing row- or feature-sized reaches the driver: only ``w0``, the RMSE and
 block bounds do.
 """
@@ -31,7 +39,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_rows
+from ..session import Scratch, broadcast_rows
 from .model import FMConfig, FMModel, init_params, interaction_expr, score_sums, vcols
 from .vectorize import Block
 
@@ -55,19 +63,38 @@ def _bcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= broadcast_rows(df.sparkSession) else df
 
 
-def _cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder."""
-    return df.checkpoint(eager=eager)
+def _scratch(df: DataFrame, scratch: Scratch | None) -> Scratch:
+    return scratch if scratch is not None else Scratch(df.sparkSession, "als")
 
 
 # ---- state -----------------------------------------------------------------
 
-def prepare_rows(rows: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Hash-partition the training rows by ``row_id`` once and keep them:
-    every later scoring pass then groups and joins by ``row_id`` without a
-    shuffle."""
+def prepare_rows(rows: DataFrame, partitions: int | None = None,
+                 scratch: Scratch | None = None) -> DataFrame:
+    """Write the training rows once (a shallow plan for every later job),
+    then hash-partition them by ``row_id`` and keep them: every scoring pass
+    groups and joins by ``row_id`` without a shuffle."""
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("row_id", "y", "features").repartition(n, "row_id").persist()
+    base = rows.select("row_id", "y", "features")
+    if scratch is not None:
+        base = scratch.write(base, "rows")
+    out = base.repartition(n, "row_id").persist()
+    out.count()
+    return out
+
+
+def occupied_blocks(rows: DataFrame, blocks: list[Block]) -> list[Block]:
+    """Blocks that some row touches (one small aggregation; one count per
+    block reaches the driver).  An untouched block has no update."""
+    if not blocks:
+        return []
+    bounds = [b.end for b in blocks]
+    ids = rows.select(F.explode("features").alias("e")).select(F.col("e.feature_id").alias("i"))
+    idx = F.lit(len(bounds))
+    for j in range(len(bounds) - 1, -1, -1):
+        idx = F.when(F.col("i") < F.lit(bounds[j]), F.lit(j)).otherwise(idx)
+    hit = {r["b"] for r in ids.select(idx.alias("b")).distinct().collect()}
+    return [b for j, b in enumerate(blocks) if j in hit]
 
 
 def residuals(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
@@ -89,13 +116,27 @@ def factor_sums(rows: DataFrame, params: DataFrame, cfg: FMConfig, dimension: in
         "row_id", *[F.coalesce(F.col(f"s{f}"), F.lit(0.0)).alias(f"q{f}") for f in range(cfg.k)])
 
 
-def global_bias_step(state: DataFrame, w0: float, cfg: FMConfig) -> tuple[DataFrame, float]:
-    """One scalar job: ``Σe`` and ``n``."""
-    r = state.agg(F.sum("e").alias("se"), F.count(F.lit(1)).alias("n")).first()
-    se, n = float(r["se"] or 0.0), int(r["n"])
-    denom = cfg.reg0 + n
+def state_summary(state: DataFrame) -> tuple[float, int, float]:
+    """One scalar job over the residual state: ``Σe``, ``n``, RMSE."""
+    r = state.agg(F.sum("e").alias("se"), F.count(F.lit(1)).alias("n"),
+                  F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")).first()
+    return float(r["se"] or 0.0), int(r["n"]), float(r["rmse"] or 0.0)
+
+
+def global_bias_update(w0: float, se: float, n: int, reg0: float) -> float:
+    denom = reg0 + n
     new = -(se - w0 * n) / denom if denom != 0 else float("nan")
-    if new != new or new in (float("inf"), float("-inf")) or new == w0:
+    if new != new or new in (float("inf"), float("-inf")):
+        return w0
+    return new
+
+
+def global_bias_step(state: DataFrame, w0: float, cfg: FMConfig,
+                     summary: tuple[float, int, float] | None = None) -> tuple[DataFrame, float]:
+    """``w0' = −(Σe − w0·n)/(reg0 + n)`` and ``e += w0' − w0``."""
+    se, n, _ = summary or state_summary(state)
+    new = global_bias_update(w0, se, n, cfg.reg0)
+    if new == w0:
         return state, w0
     return state.withColumn("e", F.col("e") + F.lit(new - w0)), new
 
@@ -164,21 +205,20 @@ class SweepResult:
 
 
 def sweep(state: DataFrame, params: DataFrame, blocks: list[Block], slot: str, reg: float,
-          factor: int | None = None) -> SweepResult:
-    """All blocks of one parameter family, ascending ids."""
+          factor: int | None = None, scratch: Scratch | None = None,
+          write_state: bool = True) -> SweepResult:
+    """All blocks of one parameter family, ascending ids.  The family's
+    start state is read once per block; each block's written table of new
+    values is joined on lazily; the end state is written."""
+    scratch = _scratch(state, scratch)
     updates = []
-    cached: list[DataFrame] = []
     for blk in blocks:
         stats = theta_stats(state, params, blk, slot, factor)
-        delta = _cut(theta_update(stats, reg))          # small; materializes ``state``
-        while len(cached) > 1:                          # the one before is no longer read
-            cached.pop(0).unpersist()
+        delta = scratch.write(theta_update(stats, reg), "delta")
         updates.append(delta.select("feature_id", "new"))
-        state = error_update(state, delta, blk, factor, blk.size).persist()
-        cached.append(state)
-    state = _cut(state)
-    for c in cached:
-        c.unpersist()
+        state = error_update(state, delta, blk, factor, blk.size)
+    if write_state and blocks:
+        state = scratch.write(state, "state")
     upd = None
     for u in updates:
         upd = u if upd is None else upd.unionByName(u)
@@ -205,49 +245,60 @@ class IterationResult:
 
 
 def als_iteration(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
-                  blocks: list[Block], dimension: int, stop_after: str | None = None
-                  ) -> IterationResult:
+                  blocks: list[Block], dimension: int, stop_after: str | None = None,
+                  scratch: Scratch | None = None) -> IterationResult:
     """One pass: residuals, w0, every w, then every v_f (ascending ids).
     ``stop_after`` (``w0``, ``w``, ``v0`` ...) ends the pass early (for tests)."""
-    state = _cut(residuals(rows, params, w0, cfg, dimension))
-    r = state.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")).first()
-    rmse_before = float(r["rmse"]) if r["rmse"] is not None else 0.0
+    scratch = _scratch(rows, scratch)
+    start = residuals(rows, params, w0, cfg, dimension).persist()
+    summary = state_summary(start)
+    rmse_before = summary[2]
+    state = start
     if cfg.k0:
-        state, w0 = global_bias_step(state, w0, cfg)
+        state, w0 = global_bias_step(state, w0, cfg, summary)
+    families = (["w"] if cfg.k1 else []) + [f"v{f}" for f in range(cfg.k)]
     if stop_after == "w0":
-        return IterationResult(params, w0, rmse_before, state)
-    if cfg.k1:
-        res = sweep(state, params, blocks, "w", cfg.regw)
+        families = []
+    elif stop_after in families:
+        families = families[:families.index(stop_after) + 1]
+    for j, slot in enumerate(families):
+        last = j == len(families) - 1 and stop_after is None
+        factor = None if slot == "w" else int(slot[1:])
+        reg = cfg.regw if slot == "w" else cfg.regv
+        res = sweep(state, params, blocks, slot, reg, factor=factor, scratch=scratch,
+                    write_state=not last)
         state = res.state
-        params = apply_updates(params, res.updates, "w", dimension)
-    if stop_after == "w":
-        return IterationResult(_cut(params), w0, rmse_before, state)
-    for f in range(cfg.k):
-        res = sweep(state, params, blocks, f"v{f}", cfg.regv, factor=f)
-        state = res.state
-        params = apply_updates(params, res.updates, f"v{f}", dimension)
-        if stop_after == f"v{f}":
-            return IterationResult(_cut(params), w0, rmse_before, state)
-    params = _cut(params)
+        params = apply_updates(params, res.updates, slot, dimension)
+        if j == 0:
+            start.unpersist()
+    params = scratch.write(params, "params")
+    start.unpersist()
     return IterationResult(params, w0, rmse_before, state)
 
 
 def fit(rows: DataFrame, cfg: FMConfig, dimension: int, blocks: list[Block],
-        learner=als_iteration, params: DataFrame | None = None, w0: float = 0.0) -> FMModel:
+        learner=als_iteration, params: DataFrame | None = None, w0: float = 0.0,
+        scratch: Scratch | None = None) -> FMModel:
     """``FM(dataset, k, iterations).learnWith(learner)``: initialise, then
-    iterate; the trace holds the training RMSE before each iteration."""
+    iterate; the trace holds the training RMSE before each iteration.  Only
+    the final parameter table is kept in the scratch folder."""
     spark = rows.sparkSession
-    rows = prepare_rows(rows)
-    params = params if params is not None else _cut(init_params(spark, dimension, cfg))
+    scratch = _scratch(rows, scratch)
+    rows = prepare_rows(rows, scratch=scratch)
+    blocks = occupied_blocks(rows, blocks)
+    rows_path = scratch.paths[-1]
+    if params is None:
+        params = scratch.write(init_params(spark, dimension, cfg), "params")
     trace = []
-    state = None
     for it in range(1, cfg.iterations + 1):
-        res = learner(rows, params, w0, cfg, blocks, dimension)
+        mark = scratch.mark()
+        res = learner(rows, params, w0, cfg, blocks, dimension, scratch=scratch)
         params, w0 = res.params, res.w0
         trace.append((it, res.rmse_before))
-        if state is not None:
-            state.unpersist()
-        state = res.state
-    trace_df = spark.createDataFrame(trace, "iteration bigint, rmse double")
+        # what this pass read (old params, earlier deltas) is no longer needed
+        scratch.drop_before(mark, keep=(rows_path,))
+    final = scratch.paths[-1] if scratch.paths else None
     rows.unpersist()
+    scratch.drop_all(keep=(final,) if final else ())
+    trace_df = spark.createDataFrame(trace, "iteration bigint, rmse double")
     return FMModel(w0, params, cfg, dimension, trace_df)

@@ -83,3 +83,45 @@ def broadcast_rows(spark: SparkSession) -> int:
 
 def single_task_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("fmlattice.singleTaskRows", str(DEFAULT_SINGLE_TASK_ROWS)))
+
+
+class Scratch:
+    """Tables written into the shared checkpoint folder to cut lineage.
+
+    A written-and-reread table has no lineage and fresh statistics (the
+    size of its files); ``DataFrame.checkpoint`` keeps the original plan's
+    estimates, which compound over the learner's chained joins.  Tables are
+    deleted when the owner says they are no longer read."""
+
+    def __init__(self, spark: SparkSession, prefix: str = "t"):
+        self.spark = spark
+        self.prefix = prefix
+        self.paths: list[str] = []
+
+    def write(self, df, name: str | None = None):
+        path = scratch_path(self.spark, name or self.prefix)
+        df.write.mode("overwrite").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def mark(self) -> int:
+        return len(self.paths)
+
+    def drop_before(self, mark: int, keep: tuple = ()) -> None:
+        """Delete tables written before ``mark`` (except paths in ``keep``)."""
+        old, self.paths = self.paths[:mark], self.paths[mark:]
+        for p in old:
+            if p in keep:
+                self.paths.insert(0, p)
+            else:
+                delete_path(self.spark, p)
+
+    def drop_all(self, keep: tuple = ()) -> None:
+        self.drop_before(len(self.paths), keep)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(jpath, True)
