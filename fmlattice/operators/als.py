@@ -18,9 +18,12 @@ its ids one by one.  Per block the state is read once (from cache), the
 per-feature sums are shuffled (map-side combined), and the new values come
 back by a join that is broadcast when the block's width is under the bound.
 Cut points are tables written to the shared checkpoint folder: the training
-rows once per fit, each block's small table of new values (fixed numbers, so
-a re-computation after an executor loss gives the same state, and no plan
-holds the state twice), and the parameter table once per pass.  Within a pass
+rows once per fit, the state after each parameter family and the parameter
+table once per pass.  A block's table of new values has at most one row per
+feature of the block; when the block's width is under a checked bound it
+comes back as a local relation (it is broadcast anyway), otherwise it is
+written.  Either way it holds fixed numbers, so a re-computation after an
+executor loss gives the same state, and no plan holds the state twice.  Within a pass
 each block's update is applied lazily to the family's starting state (a
 chain of at most one narrow broadcast join per block), and the state is
 written at the end of every parameter family; no cached plan is nested in
@@ -39,7 +42,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, broadcast_rows
+from ..session import Scratch, broadcast_rows, local_delta_rows
 from .model import FMConfig, FMModel, init_params, interaction_expr, score_sums, vcols
 from .vectorize import Block
 
@@ -212,9 +215,14 @@ def sweep(state: DataFrame, params: DataFrame, blocks: list[Block], slot: str, r
     values is joined on lazily; the end state is written."""
     scratch = _scratch(state, scratch)
     updates = []
+    spark = state.sparkSession
     for blk in blocks:
         stats = theta_stats(state, params, blk, slot, factor)
-        delta = scratch.write(theta_update(stats, reg), "delta")
+        upd = theta_update(stats, reg)
+        if blk.size <= local_delta_rows(spark):
+            delta = spark.createDataFrame(upd.toPandas(), upd.schema)   # ≤ blk.size rows
+        else:
+            delta = scratch.write(upd, "delta")
         updates.append(delta.select("feature_id", "new"))
         state = error_update(state, delta, blk, factor, blk.size)
     if write_state and blocks:

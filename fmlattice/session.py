@@ -77,6 +77,16 @@ def scratch_path(spark: SparkSession, name: str = "t") -> str:
     return os.path.join(base, "fmlattice-scratch", f"{name}-{uuid.uuid4().hex}")
 
 
+# Blocks at most this wide bring their table of new values (one row per
+# feature of the block) back as a local relation: it is broadcast anyway, so
+# this only skips writing and re-reading a tiny table.  Wider blocks write it.
+DEFAULT_LOCAL_DELTA_ROWS = 200_000
+
+
+def local_delta_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get("fmlattice.localDeltaRows", str(DEFAULT_LOCAL_DELTA_ROWS)))
+
+
 def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("fmlattice.broadcastRows", str(DEFAULT_BROADCAST_ROWS)))
 
