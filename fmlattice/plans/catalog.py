@@ -606,3 +606,68 @@ def q_fit(spark, sf_dir):
 def q_training_trace(spark, sf_dir):
     m = events_fit(spark, sf_dir)
     return m.trace.select(big("iteration").alias("iteration"), r6("rmse").alias("rmse"))
+
+
+# ---- 2.9 relation-level learning: orders -> customer (misses kept) ------------------
+
+from ..operators import relational as RL  # noqa: E402
+
+
+def orders_relational(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    return RL.relational_dataset(o, X.ORDERS_SPECS, {"o_custkey": customer_relation(spark, sf_dir)},
+                                 row_id="o_orderkey")
+
+
+@query("relation_block")
+def q_relation_block(spark, sf_dir):
+    rb = orders_relational(spark, sf_dir).relations[0]
+    return rb.rows.select(big("key").alias("c_custkey"), F.inline("features")).select(
+        "c_custkey", big("feature_id").alias("feature_id"), r6("value").alias("value"))
+
+
+@query("relational_dimension")
+def q_relational_dimension(spark, sf_dir):
+    return spark.createDataFrame([(RL.relational_dimension(orders_relational(spark, sf_dir)),)],
+                                 "dimension bigint")
+
+
+@query("relational_dataset")
+def q_relational_dataset(spark, sf_dir):
+    d = orders_relational(spark, sf_dir)
+    return d.fact.select("row_id", "key_0", F.inline("features")).select(
+        big("row_id").alias("o_orderkey"), big("key_0").alias("c_custkey"),
+        big("feature_id").alias("feature_id"), r6("value").alias("value"))
+
+
+@query("attribute_groups")
+def q_attribute_groups(spark, sf_dir):
+    return RL.attribute_groups(orders_relational(spark, sf_dir))
+
+
+@query("relation_cache")
+def q_relation_cache(spark, sf_dir):
+    d = orders_relational(spark, sf_dir)
+    params = M.init_params(spark, d.dimension, X.LEARN_CFG)
+    state = RL.relational_residuals(d, d.fact, params, 0.0, X.LEARN_CFG)
+    c = RL.relation_cache(state, d.relations[0], params, 0, d.dimension)
+    return c.select(big("key").alias("c_custkey"), big("n").alias("n"), r6("E").alias("e_sum"),
+                    r6("C").alias("c_sum"), r6("C2").alias("c2_sum"), r6("EC").alias("ec_sum"))
+
+
+def _relational_pass(spark, sf_dir, stop):
+    d = orders_relational(spark, sf_dir)
+    params = M.init_params(spark, d.dimension, X.LEARN_CFG)
+    return RL.relational_iteration(d, d.fact, params, 0.0, X.LEARN_CFG, stop_after=stop)
+
+
+@query("relation_linear_sweep")
+def q_relation_linear_sweep(spark, sf_dir):
+    res = _relational_pass(spark, sf_dir, "w")
+    return res.params.select(big("feature_id").alias("feature_id"), r6("w").alias("w"))
+
+
+@query("relation_factor_sweep")
+def q_relation_factor_sweep(spark, sf_dir):
+    res = _relational_pass(spark, sf_dir, "v0")
+    return res.params.select(big("feature_id").alias("feature_id"), r6("v0").alias("v0"))

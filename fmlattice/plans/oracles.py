@@ -498,3 +498,129 @@ SELECT CAST(p.feature_id AS BIGINT) AS feature_id, {r6('p.w')} AS w, {r6('p.v0')
 oracle("training_trace", with_(_C2, f"""
 SELECT CAST(1 AS BIGINT) AS iteration, {r6('rmse')} AS rmse FROM rmse_1
 UNION ALL SELECT CAST(2 AS BIGINT), {r6('rmse')} FROM rmse_2"""))
+
+
+# ---- relation-level learning: orders -> customer; must equal the flat sweep --------------
+# Slots of a flat row (at most one id each): 0 key one-hot (misses), 1 segment,
+# 2 nation, 3 account balance, 4 priority, 5 status.
+REL_ROWS = REL + """,
+rl AS (
+  SELECT o.o_orderkey AS row_id, o.o_totalprice / """ + repr(X.PRICE_SCALE) + """ AS y,
+         CASE WHEN cu.c_custkey IS NULL THEN k.code END AS id0, CAST(1.0 AS DOUBLE) AS x0,
+         CASE WHEN cu.c_custkey IS NOT NULL THEN d.nck + s.code END AS id1, CAST(1.0 AS DOUBLE) AS x1,
+         CASE WHEN cu.c_custkey IS NOT NULL THEN d.nck + cd.nseg + n.code END AS id2, CAST(1.0 AS DOUBLE) AS x2,
+         CASE WHEN cu.c_custkey IS NOT NULL AND cu.c_acctbal <> 0 THEN d.nck + cd.nseg + cd.nnat END AS id3,
+         cu.c_acctbal / """ + repr(X.ACCTBAL_SCALE) + """ AS x3,
+         d.nck + d.nrel + p.code AS id4, CAST(1.0 AS DOUBLE) AS x4,
+         d.nck + d.nrel + d.npr + st.code AS id5, CAST(1.0 AS DOUBLE) AS x5
+    FROM orders o CROSS JOIN o_dims d CROSS JOIN cu_dims cd
+    JOIN o_ck k ON k.token = CAST(o.o_custkey AS VARCHAR)
+    LEFT JOIN cu ON cu.c_custkey = o.o_custkey
+    LEFT JOIN cu_seg s ON s.token = cu.c_mktsegment
+    LEFT JOIN cu_nat n ON n.token = CAST(cu.c_nationkey AS VARCHAR)
+    JOIN o_pr p ON p.token = o.o_orderpriority
+    JOIN o_st st ON st.token = o.o_orderstatus),
+rl_ids AS (
+  SELECT code AS feature_id FROM o_ck
+  UNION ALL SELECT d.nck + s.code FROM cu_seg s CROSS JOIN o_dims d
+  UNION ALL SELECT d.nck + cd.nseg + n.code FROM cu_nat n CROSS JOIN o_dims d CROSS JOIN cu_dims cd
+  UNION ALL SELECT d.nck + cd.nseg + cd.nnat FROM o_dims d CROSS JOIN cu_dims cd
+  UNION ALL SELECT d.nck + d.nrel + p.code FROM o_pr p CROSS JOIN o_dims d
+  UNION ALL SELECT d.nck + d.nrel + d.npr + st.code FROM o_st st CROSS JOIN o_dims d)
+"""
+
+
+def flat_sweep_ctes(base: str, G: int, stop: str) -> str:
+    """One flat pass (w0, w, v0 ...) over ``rl`` rows whose slots may be
+    NULL; stops after family ``stop`` (``w`` or ``v0``)."""
+    cfg = X.LEARN_CFG
+    k = cfg.k
+    P = "fp_1"
+    parts = [base.strip(), f"""
+{P} AS (SELECT feature_id, CAST(0.0 AS DOUBLE) AS w,
+        {', '.join(gauss(cfg.init_mean, cfg.init_stdev, str(cfg.seed), str(f), 'feature_id') + f' AS v{f}' for f in range(k))}
+      FROM rl_ids)"""]
+    joins = " ".join(f"LEFT JOIN {P} a{g} ON a{g}.feature_id = rl.id{g}" for g in range(G))
+
+    def c(expr):
+        return f"coalesce({expr}, 0.0)"
+    lin = " + ".join(c(f"a{g}.w * rl.x{g}") for g in range(G))
+    qf = {f: " + ".join(c(f"a{g}.v{f} * rl.x{g}") for g in range(G)) for f in range(k)}
+    ssf = {f: " + ".join(c(f"(a{g}.v{f} * rl.x{g}) * (a{g}.v{f} * rl.x{g})") for g in range(G)) for f in range(k)}
+    inter = " + ".join(f"0.5 * (({qf[f]}) * ({qf[f]}) - ({ssf[f]}))" for f in range(k))
+    slots = ", ".join(f"rl.id{g}, rl.x{g}" for g in range(G))
+    parts.append(f"""fs_0 AS (SELECT rl.row_id, rl.y, {slots}, ({lin} + {inter}) - rl.y AS e,
+      {', '.join(f'({qf[f]}) AS q{f}' for f in range(k))} FROM rl {joins})""")
+    parts.append(f"""fw0 AS (SELECT {_upd('0.0', 'CAST(count(*) AS DOUBLE)', 'sum(e)', cfg.reg0)} AS w0 FROM fs_0)""")
+    scols = "row_id, y, " + ", ".join(f"id{g}, x{g}" for g in range(G))
+    qcols = ", ".join(f"q{f}" for f in range(k))
+    parts.append(f"fs_b AS (SELECT {scols}, e + (SELECT w0 FROM fw0) AS e, {qcols} FROM fs_0)")
+    cur = "fs_b"
+    fams = ["w"] + [f"v{f}" for f in range(k)]
+    fams = fams[:fams.index(stop) + 1]
+    for fam in fams:
+        news = []
+        for g in range(G):
+            tag = f"{fam}_{g}"
+            if fam == "w":
+                parts.append(f"""fst_{tag} AS (SELECT id{g} AS feature_id, sum(x{g} * x{g}) AS hh, sum(e * x{g}) AS eh
+    FROM {cur} WHERE id{g} IS NOT NULL GROUP BY id{g})""")
+                parts.append(f"""fnw_{tag} AS (SELECT st.feature_id, p.w AS theta,
+      {_upd('p.w', 'st.hh', 'st.eh', cfg.regw)} AS new FROM fst_{tag} st JOIN {P} p USING (feature_id))""")
+                parts.append(f"""fs_{tag} AS (SELECT {', '.join('s.' + cc.strip() for cc in scols.split(','))},
+      s.e + coalesce(s.x{g} * (n.new - n.theta), 0.0) AS e, {', '.join(f's.q{f}' for f in range(k))}
+    FROM {cur} s LEFT JOIN fnw_{tag} n ON n.feature_id = s.id{g})""")
+            else:
+                f = int(fam[1:])
+                parts.append(f"""fh_{tag} AS (SELECT s.*, s.x{g} * s.q{f} - s.x{g} * s.x{g} * p.v{f} AS h
+    FROM {cur} s JOIN {P} p ON p.feature_id = s.id{g})""")
+                parts.append(f"""fst_{tag} AS (SELECT id{g} AS feature_id, sum(h * h) AS hh, sum(e * h) AS eh
+    FROM fh_{tag} GROUP BY id{g})""")
+                parts.append(f"""fnw_{tag} AS (SELECT st.feature_id, p.v{f} AS theta,
+      {_upd(f'p.v{f}', 'st.hh', 'st.eh', cfg.regv)} AS new FROM fst_{tag} st JOIN {P} p USING (feature_id))""")
+                qsel = ", ".join((f"s.q{ff} + coalesce(s.x{g} * (n.new - n.theta), 0.0) AS q{ff}" if ff == f
+                                  else f"s.q{ff}") for ff in range(k))
+                parts.append(f"""fs_{tag} AS (SELECT {', '.join('s.' + cc.strip() for cc in scols.split(','))},
+      s.e + coalesce((s.x{g} * s.q{f} - s.x{g} * s.x{g} * n.theta) * (n.new - n.theta), 0.0) AS e, {qsel}
+    FROM {cur} s LEFT JOIN fnw_{tag} n ON n.feature_id = s.id{g})""")
+            news.append(f"fnw_{tag}")
+            cur = f"fs_{tag}"
+        u = " UNION ALL ".join(f"SELECT feature_id, new FROM {x}" for x in news)
+        parts.append(f"fp_{fam} AS (SELECT p.feature_id, coalesce(u.new, p.{fam}) AS {fam} FROM {P} p "
+                     f"LEFT JOIN ({u}) u ON u.feature_id = p.feature_id)")
+    return ",\n".join(parts)
+
+
+oracle("relation_block", with_(REL, f"""
+SELECT CAST(e.key AS BIGINT) AS c_custkey, CAST(d.nck + e.fid AS BIGINT) AS feature_id, {r6('e.v')} AS value
+  FROM cu_ent e CROSS JOIN o_dims d"""))
+
+oracle("relational_dimension", with_(REL, """
+SELECT CAST(nck + nrel + npr + (SELECT count(*) FROM o_st) AS BIGINT) AS dimension FROM o_dims"""))
+
+oracle("relational_dataset", with_(REL, f"""
+SELECT CAST(e.row_id AS BIGINT) AS o_orderkey,
+       CAST(CASE WHEN o.o_custkey IN (SELECT c_custkey FROM cu) THEN o.o_custkey END AS BIGINT) AS c_custkey,
+       CAST(e.fid AS BIGINT) AS feature_id, {r6('e.v')} AS value
+  FROM (SELECT * FROM rel_miss UNION ALL SELECT * FROM rel_rest) e JOIN orders o ON o.o_orderkey = e.row_id"""))
+
+oracle("attribute_groups", with_(REL, """
+SELECT CAST(g AS BIGINT) AS group_id, CAST(n AS BIGINT) AS n_features FROM (
+  SELECT 0 AS g, nck AS n FROM o_dims UNION ALL SELECT 1, nseg FROM cu_dims UNION ALL SELECT 2, nnat FROM cu_dims
+  UNION ALL SELECT 3, 1 UNION ALL SELECT 4, npr FROM o_dims UNION ALL SELECT 5, (SELECT count(*) FROM o_st))"""))
+
+_RC = flat_sweep_ctes(REL_ROWS, 6, "w")
+oracle("relation_cache", with_(_RC + ",\n" + """
+rc_qb AS (SELECT e.key, sum(p.v0 * e.v) AS qb FROM cu_ent e JOIN fp_1 p ON p.feature_id = (SELECT nck FROM o_dims) + e.fid
+          GROUP BY e.key),
+rc AS (SELECT o.o_custkey AS key, s.e, s.q0 - q.qb AS c
+         FROM fs_0 s JOIN orders o ON o.o_orderkey = s.row_id JOIN rc_qb q ON q.key = o.o_custkey)""", f"""
+SELECT CAST(key AS BIGINT) AS c_custkey, CAST(count(*) AS BIGINT) AS n, {r6('sum(e)')} AS e_sum,
+       {r6('sum(c)')} AS c_sum, {r6('sum(c * c)')} AS c2_sum, {r6('sum(e * c)')} AS ec_sum
+  FROM rc GROUP BY key"""))
+
+oracle("relation_linear_sweep", with_(flat_sweep_ctes(REL_ROWS, 6, "w"), f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('w')} AS w FROM fp_w"""))
+
+oracle("relation_factor_sweep", with_(flat_sweep_ctes(REL_ROWS, 6, "v0"), f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('v0')} AS v0 FROM fp_v0"""))
