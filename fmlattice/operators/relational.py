@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, broadcast_rows, local_delta_rows
 from . import als as A
+from .blocks import conflict_free_blocks
 from .fields import IDENTITY, FieldSpec, split_target_inputs
 from .model import FMConfig, FMModel, init_params, score_sums
 from .relations import Relation, encode_relation
@@ -119,12 +120,15 @@ def relational_dataset(df: DataFrame, specs: list[FieldSpec], relations: dict[st
     for f in vec.layout:
         if f.index in encoded:
             enc = encoded[f.index]
-            rb = RelationBlock(f.column, f.index, rel_rows[f.index], f.blocks[1:], enc.size)
+            # a list field of the side table is cut on the side rows: any
+            # conflict-free cut in ascending order gives the flat result
+            rb = RelationBlock(f.column, f.index, rel_rows[f.index],
+                               conflict_free_blocks(rel_rows[f.index], f.blocks[1:]), enc.size)
             rels.append(rb)
             segments.append(f.blocks[0])
             segments.append(rb)
         else:
-            segments.extend(f.blocks)
+            segments.extend(conflict_free_blocks(fact, f.blocks))
     return RelationalData(fact, rels, segments, vec.dimension, vec.layout)
 
 

@@ -1,0 +1,3 @@
+"""Nothing here: the original reads batch text files only and has no
+streaming source, window, watermark or state.  A fitted model scores a
+stream with the batch operator inside ``foreachBatch`` (``model.predict``)."""
