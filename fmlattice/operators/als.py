@@ -17,6 +17,11 @@ A block holds at most one id per row, so updating it at once equals updating
 its ids one by one.  Per block the state is read once (from cache), the
 per-feature sums are shuffled (map-side combined), and the new values come
 back by a join that is broadcast when the block's width is under the bound.
+A block at most ``fmlattice.literalBlockRows`` wide needs no join at all: its
+old values and changes (one number per feature of the block, so bounded by
+that width) travel as array literals indexed by ``feature_id − block start``,
+and the state update is a projection.  Wider blocks join.
+
 Cut points are tables written to the shared checkpoint folder: the training
 rows once per fit, the state after each parameter family and the parameter
 table once per pass.  A block's table of new values has at most one row per
@@ -42,7 +47,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, broadcast_rows, local_delta_rows
+import json
+
+from ..session import Scratch, broadcast_rows, literal_block_rows, local_delta_rows
 from .model import FMConfig, FMModel, init_params, interaction_expr, score_sums, vcols
 from .vectorize import Block
 
@@ -54,6 +61,30 @@ def block_entry(lo: int, hi: int) -> Column:
     return F.get(F.filter("features", lambda e: (e["feature_id"] >= lo) & (e["feature_id"] < hi)), 0)
 
 
+MAX_BLOCK_COLUMNS = 64
+
+
+def with_block_columns(state: DataFrame, blocks: list[Block]) -> DataFrame:
+    """Extract each block's entry into plain columns once per pass, so the
+    block steps stay in generated code (the array ``filter`` is a
+    higher-order function, evaluated without codegen)."""
+    if len(blocks) > MAX_BLOCK_COLUMNS:
+        return state
+    cols = []
+    for b in blocks:
+        e = block_entry(b.offset, b.end)
+        cols += [e["feature_id"].alias(f"_bf{b.offset}"), e["value"].alias(f"_bx{b.offset}")]
+    return state.select("*", *cols)
+
+
+def entry_of(state: DataFrame, blk: Block) -> tuple[Column, Column]:
+    """``(feature_id, value)`` of the row's entry in ``blk`` (null if none)."""
+    if f"_bf{blk.offset}" in state.columns:
+        return F.col(f"_bf{blk.offset}"), F.col(f"_bx{blk.offset}")
+    e = block_entry(blk.offset, blk.end)
+    return e["feature_id"], e["value"]
+
+
 def updated_theta(theta: Column, sum_hh: Column, sum_eh: Column, reg: float) -> Column:
     """``−(Σeh − θΣh²)/(reg + Σh²)``; the old value is kept when the new one
     is not finite (or the denominator is 0)."""
@@ -151,21 +182,20 @@ def theta_stats(state: DataFrame, params: DataFrame, block: Block, slot: str, fa
     """``feature_id, theta, sum_hh, sum_eh`` for the ids of one block.
     ``slot`` is ``w`` or ``v{f}``; for ``v`` the old value is looked up per row
     (broadcast when the block is narrow)."""
-    b = block_entry(block.offset, block.end)
-    st = state.select("e", *([f"q{factor}"] if factor is not None else []), b.alias("_b")) \
-              .where(F.col("_b").isNotNull())
+    bid, bx = entry_of(state, block)
+    st = state.select("e", *([f"q{factor}"] if factor is not None else []),
+                      bid.alias("_bid"), bx.alias("_bx")).where(F.col("_bid").isNotNull())
     theta = params.where((F.col("feature_id") >= block.offset) & (F.col("feature_id") < block.end)) \
                   .select("feature_id", F.col(slot).alias("theta"))
-    x = F.col("_b.value")
+    x = F.col("_bx")
     if factor is None:
         h = x
-        g = st.groupBy(F.col("_b.feature_id").alias("feature_id"))
     else:
         th = _bcast_if(theta.withColumnRenamed("feature_id", "_tid"), block.size)
-        st = st.join(th, F.col("_b.feature_id") == F.col("_tid"), "left")
+        st = st.join(th, F.col("_bid") == F.col("_tid"), "left")
         h = x * F.col(f"q{factor}") - x * x * F.coalesce(F.col("theta"), F.lit(0.0))
-        g = st.groupBy(F.col("_b.feature_id").alias("feature_id"))
-    stats = g.agg(F.sum(h * h).alias("sum_hh"), F.sum(F.col("e") * h).alias("sum_eh"))
+    stats = st.groupBy(F.col("_bid").alias("feature_id")).agg(
+        F.sum(h * h).alias("sum_hh"), F.sum(F.col("e") * h).alias("sum_eh"))
     return stats.join(theta, "feature_id", "left").select(
         "feature_id", F.coalesce(F.col("theta"), F.lit(0.0)).alias("theta"), "sum_hh", "sum_eh")
 
@@ -181,13 +211,13 @@ def theta_update(stats: DataFrame, reg: float) -> DataFrame:
 def error_update(state: DataFrame, delta: DataFrame, block: Block, factor: int | None,
                  width: int) -> DataFrame:
     """``e += h·Δ`` (and ``q_f += x·Δ``) on the rows holding an updated id."""
-    b = block_entry(block.offset, block.end)
+    bid, bx = entry_of(state, block)
     d = _bcast_if(delta.select(F.col("feature_id").alias("_did"), F.col("theta").alias("_dth"),
                                F.col("delta").alias("_dd")), width)
-    j = state.withColumn("_bid", b["feature_id"]).withColumn("_bx", b["value"]) \
-             .join(d, F.col("_bid") == F.col("_did"), "left")
-    x, dd = F.col("_bx"), F.coalesce(F.col("_dd"), F.lit(0.0))
-    cols = [c for c in state.columns]
+    j = state.withColumn("_jid", bid).withColumn("_jx", bx) \
+             .join(d, F.col("_jid") == F.col("_did"), "left")
+    x, dd = F.col("_jx"), F.coalesce(F.col("_dd"), F.lit(0.0))
+    cols = list(state.columns)
     if factor is None:
         e_new = F.col("e") + F.coalesce(x * dd, F.lit(0.0))
         out = [e_new.alias("e") if c == "e" else F.col(c) for c in cols]
@@ -207,16 +237,80 @@ class SweepResult:
     updates: DataFrame | None   # feature_id, new  (ids whose value changed)
 
 
+def array_literal(values: list, dtype: str) -> Column:
+    """A constant array (one JSON string, folded by the optimizer)."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{dtype}>")
+
+
+def narrow_thetas(params: DataFrame, blocks: list[Block], slot: str) -> dict[int, list[float]]:
+    """Old values of the narrow blocks of one family, one job; bounded by
+    the blocks' widths (each at most the literal bound)."""
+    if not blocks:
+        return {}
+    cond = None
+    for b in blocks:
+        c = (F.col("feature_id") >= b.offset) & (F.col("feature_id") < b.end)
+        cond = c if cond is None else cond | c
+    got = {int(r[0]): float(r[1]) for r in params.where(cond).select("feature_id", slot).collect()}
+    return {b.offset: [got.get(i, 0.0) for i in range(b.offset, b.end)] for b in blocks}
+
+
+def narrow_step(state: DataFrame, blk: Block, theta: list[float], reg: float,
+                factor: int | None) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """One narrow block: the stats and the new values in one job (at most
+    ``blk.size`` rows come back), then the state update as a projection."""
+    th_arr = array_literal(theta, "double")
+    bid, bx = entry_of(state, blk)
+    st = state.select("e", *([f"q{factor}"] if factor is not None else []),
+                      bid.alias("_bid"), bx.alias("_bx")).where(F.col("_bid").isNotNull())
+    x = F.col("_bx")
+    if factor is None:
+        h = x
+    else:
+        th = F.element_at(th_arr, (F.col("_bid") - F.lit(blk.offset) + 1).cast("int"))
+        h = x * F.col(f"q{factor}") - x * x * th
+    stats = st.groupBy(F.col("_bid").alias("feature_id")).agg(
+        F.sum(h * h).alias("sum_hh"), F.sum(F.col("e") * h).alias("sum_eh"))
+    old = F.element_at(th_arr, (F.col("feature_id") - F.lit(blk.offset) + 1).cast("int"))
+    new = updated_theta(old, F.col("sum_hh"), F.col("sum_eh"), reg)
+    changed = [(int(r[0]), float(r[1]), float(r[2])) for r in
+               stats.select("feature_id", old.alias("old"), new.alias("new"))
+                    .where(F.col("new") != F.col("old")).collect()]
+    delta = [0.0] * blk.size
+    for fid, o, n in changed:
+        delta[fid - blk.offset] = n - o
+    d_arr = array_literal(delta, "double")
+    idx = (bid - F.lit(blk.offset) + 1).cast("int")
+    dd = F.coalesce(F.element_at(d_arr, idx), F.lit(0.0))
+    xv = F.coalesce(bx, F.lit(0.0))
+    if factor is None:
+        out = [(F.col("e") + xv * dd).alias("e") if c == "e" else F.col(c) for c in state.columns]
+    else:
+        q = F.col(f"q{factor}")
+        th_old = F.coalesce(F.element_at(th_arr, idx), F.lit(0.0))
+        hh = xv * q - xv * xv * th_old
+        out = [(F.col("e") + hh * dd).alias("e") if c == "e" else
+               (q + xv * dd).alias(c) if c == f"q{factor}" else F.col(c) for c in state.columns]
+    return state.select(*out), [(fid, n) for fid, _, n in changed]
+
+
 def sweep(state: DataFrame, params: DataFrame, blocks: list[Block], slot: str, reg: float,
           factor: int | None = None, scratch: Scratch | None = None,
           write_state: bool = True) -> SweepResult:
     """All blocks of one parameter family, ascending ids.  The family's
-    start state is read once per block; each block's written table of new
-    values is joined on lazily; the end state is written."""
+    start state is read once per block; each block's update is applied
+    lazily (a projection for a narrow block, a join with its table of new
+    values otherwise); the end state is written."""
     scratch = _scratch(state, scratch)
-    updates = []
     spark = state.sparkSession
+    lim = literal_block_rows(spark)
+    thetas = narrow_thetas(params, [b for b in blocks if b.size <= lim], slot)
+    updates, narrow_new = [], []
     for blk in blocks:
+        if blk.offset in thetas:
+            state, changed = narrow_step(state, blk, thetas[blk.offset], reg, factor)
+            narrow_new.extend(changed)
+            continue
         stats = theta_stats(state, params, blk, slot, factor)
         upd = theta_update(stats, reg)
         if blk.size <= local_delta_rows(spark):
@@ -225,8 +319,10 @@ def sweep(state: DataFrame, params: DataFrame, blocks: list[Block], slot: str, r
             delta = scratch.write(upd, "delta")
         updates.append(delta.select("feature_id", "new"))
         state = error_update(state, delta, blk, factor, blk.size)
+    if narrow_new:
+        updates.append(spark.createDataFrame(narrow_new, "feature_id bigint, new double"))
     if write_state and blocks:
-        state = scratch.write(state, "state")
+        state = scratch.write(state, "state").persist()
     upd = None
     for u in updates:
         upd = u if upd is None else upd.unionByName(u)
@@ -258,7 +354,7 @@ def als_iteration(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
     """One pass: residuals, w0, every w, then every v_f (ascending ids).
     ``stop_after`` (``w0``, ``w``, ``v0`` ...) ends the pass early (for tests)."""
     scratch = _scratch(rows, scratch)
-    start = residuals(rows, params, w0, cfg, dimension).persist()
+    start = with_block_columns(residuals(rows, params, w0, cfg, dimension), blocks).persist()
     summary = state_summary(start)
     rmse_before = summary[2]
     state = start

@@ -87,6 +87,16 @@ def local_delta_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("fmlattice.localDeltaRows", str(DEFAULT_LOCAL_DELTA_ROWS)))
 
 
+# Blocks at most this wide carry their old values and changes as array
+# literals indexed by ``feature_id - block start`` (O(1) lookups, folded into
+# the plan): no join and no broadcast job per block.
+DEFAULT_LITERAL_BLOCK_ROWS = 4096
+
+
+def literal_block_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get("fmlattice.literalBlockRows", str(DEFAULT_LITERAL_BLOCK_ROWS)))
+
+
 def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("fmlattice.broadcastRows", str(DEFAULT_BROADCAST_ROWS)))
 

@@ -99,3 +99,19 @@ def test_interaction_formula_equals_pair_sum(spark):
     want = sum(sum(p[f"v{f}"][i] * p[f"v{f}"][j] for f in range(2)) * x[i] * x[j]
                for i in range(3) for j in range(i + 1, 3))
     assert abs(got - want) < 1e-14
+
+
+def test_join_path_for_wide_blocks_gives_the_same_fit(spark):
+    vec = synthetic(spark, n=150, seed=11)
+    cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.1, seed=5, regv=1.0)
+    blocks = conflict_free_blocks(vec.rows, vec.blocks())
+    a = A.fit(vec.rows, cfg, vec.dimension, blocks).params.orderBy("feature_id").toPandas()
+    spark.conf.set("fmlattice.literalBlockRows", "0")
+    spark.conf.set("fmlattice.localDeltaRows", "0")
+    try:
+        b = A.fit(vec.rows, cfg, vec.dimension, blocks).params.orderBy("feature_id").toPandas()
+    finally:
+        spark.conf.unset("fmlattice.literalBlockRows")
+        spark.conf.unset("fmlattice.localDeltaRows")
+    assert np.abs(a.w.values - b.w.values).max() < 1e-12
+    assert np.abs(a.v0.values - b.v0.values).max() < 1e-12
