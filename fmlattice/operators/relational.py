@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, broadcast_rows, local_delta_rows
+from ..session import Scratch, broadcast_rows, literal_block_rows, local_delta_rows
 from . import als as A
 from .blocks import conflict_free_blocks
 from .fields import IDENTITY, FieldSpec, split_target_inputs
@@ -251,6 +251,50 @@ def _rel_block_step(rs: DataFrame, params: DataFrame, blk: Block, slot: str, reg
     return j.select(*[v.alias(k) for k, v in cols.items()]), delta.select("feature_id", "new")
 
 
+def _rel_narrow_step(rs: DataFrame, blk: Block, theta: list[float], reg: float,
+                     factor: int | None) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """A narrow side-table block: old values and changes as array literals."""
+    th_arr = A.array_literal(theta, "double")
+    b = A.block_entry(blk.offset, blk.end)
+    st = rs.select("n", "E", "C", "C2", "EC", "qb", b["feature_id"].alias("_bid"), b["value"].alias("_bx")) \
+           .where(F.col("_bid").isNotNull())
+    x = F.col("_bx")
+    t = F.element_at(th_arr, (F.col("_bid") - F.lit(blk.offset) + 1).cast("int"))
+    n, E, C, C2, EC = (F.col(c) for c in ("n", "E", "C", "C2", "EC"))
+    if factor is None:
+        hh, eh = x * x * n, x * E
+    else:
+        g = F.col("qb") - x * t
+        hh = x * x * (g * g * n + F.lit(2.0) * g * C + C2)
+        eh = x * (g * E + EC)
+    stats = st.groupBy(F.col("_bid").alias("feature_id")).agg(F.sum(hh).alias("sum_hh"),
+                                                              F.sum(eh).alias("sum_eh"))
+    old = F.element_at(th_arr, (F.col("feature_id") - F.lit(blk.offset) + 1).cast("int"))
+    new = A.updated_theta(old, F.col("sum_hh"), F.col("sum_eh"), reg)
+    changed = [(int(r[0]), float(r[1]), float(r[2])) for r in
+               stats.select("feature_id", old.alias("old"), new.alias("new"))
+                    .where(F.col("new") != F.col("old")).collect()]
+    delta = [0.0] * blk.size
+    for fid, o, nv in changed:
+        delta[fid - blk.offset] = nv - o
+    d_arr = A.array_literal(delta, "double")
+    idx = (b["feature_id"] - F.lit(blk.offset) + 1).cast("int")
+    dd = F.coalesce(F.element_at(d_arr, idx), F.lit(0.0))
+    xv = F.coalesce(b["value"], F.lit(0.0))
+    th0 = F.coalesce(F.element_at(th_arr, idx), F.lit(0.0))
+    cols = {c: F.col(c) for c in rs.columns}
+    if factor is None:
+        cols["E"] = E + n * xv * dd
+        cols["dlin"] = F.col("dlin") + xv * dd
+    else:
+        g = F.col("qb") - xv * th0
+        cols["E"] = E + xv * dd * (g * n + C)
+        cols["EC"] = EC + xv * dd * (g * C + C2)
+        cols["qb"] = F.col("qb") + xv * dd
+        cols["ssb"] = F.col("ssb") + ((th0 + dd) * (th0 + dd) - th0 * th0) * xv * xv
+    return rs.select(*[v.alias(k) for k, v in cols.items()]), [(fid, nv) for fid, _, nv in changed]
+
+
 def relation_sweep(state: DataFrame, rb: RelationBlock, params: DataFrame, slot: str, reg: float,
                    factor: int | None, dimension: int, scratch: Scratch
                    ) -> tuple[DataFrame, DataFrame | None]:
@@ -260,10 +304,18 @@ def relation_sweep(state: DataFrame, rb: RelationBlock, params: DataFrame, slot:
     cache = relation_cache(state, rb, params, factor, dimension)
     rs = scratch.write(cache.withColumn("qb0", F.col("qb")).withColumn("ssb0", F.col("ssb"))
                        .withColumn("dlin", F.lit(0.0)), "rcache")
-    updates = []
+    updates, narrow_new = [], []
+    lim = literal_block_rows(spark)
+    thetas = A.narrow_thetas(params, [b for b in rb.blocks if b.size <= lim], slot)
     for blk in rb.blocks:
-        rs, upd = _rel_block_step(rs, params, blk, slot, reg, factor, spark, scratch)
-        updates.append(upd)
+        if blk.offset in thetas:
+            rs, changed = _rel_narrow_step(rs, blk, thetas[blk.offset], reg, factor)
+            narrow_new.extend(changed)
+        else:
+            rs, upd = _rel_block_step(rs, params, blk, slot, reg, factor, spark, scratch)
+            updates.append(upd)
+    if narrow_new:
+        updates.append(spark.createDataFrame(narrow_new, "feature_id bigint, new double"))
     rs = scratch.write(rs, "rcache")
     kcol = f"key_{rb.field}"
     if factor is None:
@@ -297,7 +349,8 @@ def relational_iteration(data: RelationalData, rows: DataFrame, params: DataFram
     table's blocks on its cache."""
     spark = rows.sparkSession
     scratch = scratch if scratch is not None else Scratch(spark, "rel")
-    start = relational_residuals(data, rows, params, w0, cfg).persist()
+    fact_blocks = [b for b in data.segments if isinstance(b, Block)]
+    start = A.with_block_columns(relational_residuals(data, rows, params, w0, cfg), fact_blocks).persist()
     summary = A.state_summary(start)
     state = start
     if cfg.k0:
@@ -313,6 +366,8 @@ def relational_iteration(data: RelationalData, rows: DataFrame, params: DataFram
         ups = []
         for seg in data.segments:
             if isinstance(seg, RelationBlock):
+                # the cache is an aggregation of the current state: cut before it
+                state = scratch.write(state, "rstate").persist()
                 state, u = relation_sweep(state, seg, params, slot, reg, factor, data.dimension, scratch)
             else:
                 res = A.sweep(state, params, [seg], slot, reg, factor=factor, scratch=scratch,
@@ -320,7 +375,7 @@ def relational_iteration(data: RelationalData, rows: DataFrame, params: DataFram
                 state, u = res.state, res.updates
             if u is not None:
                 ups.append(u)
-            state = scratch.write(state, "rstate")
+        state = scratch.write(state, "rstate").persist()
         upd = None
         for u in ups:
             upd = u if upd is None else upd.unionByName(u)
