@@ -58,6 +58,12 @@ def epoch_seconds(col, dtype: str | None = None) -> Column:
     """Whole epoch seconds of a timestamp column, or of a number / numeric
     string (cast, raising on malformed input under ANSI mode)."""
     c = _col(col)
+    if dtype == "timestamp_ntz":
+        # wall-clock time read as UTC, independent of the session time zone
+        days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+        whole = (days * F.lit(86400) + F.hour(c) * F.lit(3600) + F.minute(c) * F.lit(60)).cast("bigint")
+        micros = whole * F.lit(1_000_000) + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint")
+        return trunc_div(micros, 1_000_000)
     if dtype is not None and dtype.startswith("timestamp"):
         return trunc_div(F.unix_micros(c.cast("timestamp")), 1_000_000)
     return c.cast("bigint")

@@ -347,7 +347,8 @@ def q_epoch_to_days(spark, sf_dir):
     from ..functions import epoch_to_days
     o = X.table(spark, sf_dir, "orders")
     return o.select(big("o_orderkey").alias("o_orderkey"),
-                    r6(epoch_to_days(F.col("o_orderdate"), "timestamp")).alias("days"))
+                    r6(epoch_to_days(F.col("o_orderdate"), o.schema["o_orderdate"].dataType.simpleString()))
+                    .alias("days"))
 
 
 def _field_entries(vec, i, key="row_id"):

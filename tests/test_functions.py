@@ -38,3 +38,16 @@ def test_hash_draws_are_deterministic_and_in_range(spark):
     a = df.repartition(7).orderBy("u").collect()
     b = df.orderBy("u").collect()
     assert a == b
+
+
+def test_ntz_epoch_days_ignore_session_time_zone(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23, 59, 59, 500000),), (dt.datetime(1969, 12, 31, 12, 0),)],
+                               "ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    got = []
+    for tz in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        got.append([r[0] for r in df.select(epoch_to_days("ts", "timestamp_ntz")).collect()])
+    spark.conf.set("spark.sql.session.timeZone", old)
+    assert got[0] == got[1] == got[2] == [19723.0, 0.0]
