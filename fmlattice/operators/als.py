@@ -242,6 +242,17 @@ def array_literal(values: list, dtype: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"array<{dtype}>")
 
 
+def pick_narrow(blocks: list[Block], spark) -> list[Block]:
+    """Blocks taking the literal path: each at most the literal bound wide,
+    and together at most ``fmlattice.localDeltaRows`` values per family."""
+    lim, total, out = literal_block_rows(spark), local_delta_rows(spark), []
+    for b in blocks:
+        if b.size <= lim and b.size <= total:
+            out.append(b)
+            total -= b.size
+    return out
+
+
 def narrow_thetas(params: DataFrame, blocks: list[Block], slot: str) -> dict[int, list[float]]:
     """Old values of the narrow blocks of one family, one job; bounded by
     the blocks' widths (each at most the literal bound)."""
@@ -303,8 +314,7 @@ def sweep(state: DataFrame, params: DataFrame, blocks: list[Block], slot: str, r
     values otherwise); the end state is written."""
     scratch = _scratch(state, scratch)
     spark = state.sparkSession
-    lim = literal_block_rows(spark)
-    thetas = narrow_thetas(params, [b for b in blocks if b.size <= lim], slot)
+    thetas = narrow_thetas(params, pick_narrow(blocks, spark), slot)
     updates, narrow_new = [], []
     for blk in blocks:
         if blk.offset in thetas:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_gauss
-from ..session import broadcast_rows
+from ..session import broadcast_bytes, broadcast_rows
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,9 @@ def join_params(entries: DataFrame, params: DataFrame, k: int, dimension: int |
     """Attach ``w, v*`` to long-form entries; broadcast the parameter table only
     when its size (``dimension``) is known to be under the bound."""
     p = params.select("feature_id", "w", *vcols(k))
-    if dimension is not None and dimension <= broadcast_rows(entries.sparkSession):
+    spark = entries.sparkSession
+    if (dimension is not None and dimension <= broadcast_rows(spark)
+            and dimension * 8 * (k + 2) <= broadcast_bytes(spark)):
         p = F.broadcast(p)
     return entries.join(p, "feature_id", how)
 

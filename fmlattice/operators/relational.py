@@ -305,8 +305,7 @@ def relation_sweep(state: DataFrame, rb: RelationBlock, params: DataFrame, slot:
     rs = scratch.write(cache.withColumn("qb0", F.col("qb")).withColumn("ssb0", F.col("ssb"))
                        .withColumn("dlin", F.lit(0.0)), "rcache")
     updates, narrow_new = [], []
-    lim = literal_block_rows(spark)
-    thetas = A.narrow_thetas(params, [b for b in rb.blocks if b.size <= lim], slot)
+    thetas = A.narrow_thetas(params, A.pick_narrow(rb.blocks, spark), slot)
     for blk in rb.blocks:
         if blk.offset in thetas:
             rs, changed = _rel_narrow_step(rs, blk, thetas[blk.offset], reg, factor)

@@ -38,6 +38,7 @@ class EncodedRelation:
     vec: Vectorized
     key: str
     size: int              # exact number of keys
+    entries: int = 0       # exact number of (feature, value) entries, for the size check
 
 
 def dedupe_keys(table: DataFrame, key: str, on_duplicate: str, order_by: str | None) -> DataFrame:
@@ -63,8 +64,8 @@ def encode_relation(rel: Relation) -> EncodedRelation:
                         *[F.col(s.column).alias(f"_c{i}") for i, s in enumerate(inputs)])
     vec = vectorize_base(base, inputs, dtypes)
     rows = vec.rows.select(F.col("row_id").alias("key"), "features").persist()
-    size = rows.count()
-    return EncodedRelation(rows, vec, key_spec.column, size)
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("features")).alias("m")).first()
+    return EncodedRelation(rows, vec, key_spec.column, int(r["n"]), int(r["m"] or 0))
 
 
 def relation_vectorize(df: DataFrame, specs: list[FieldSpec], relations: dict[str, Relation],
@@ -96,7 +97,7 @@ def relation_vectorize(df: DataFrame, specs: list[FieldSpec], relations: dict[st
                 F.transform("features", lambda e: F.struct(
                     (e["feature_id"] + F.lit(shift)).alias("feature_id"),
                     e["value"].alias("value"))).cast(FEATURES).alias(f"_r{i}"))
-            rel_side = maybe_broadcast(rel, enc.size, frame.sparkSession)
+            rel_side = maybe_broadcast(rel, enc.size, frame.sparkSession, 16 * enc.entries)
             if dict(frame.dtypes)[f"_c{i}"] == dict(rel.dtypes)[f"_rk{i}"]:
                 cond = F.col(f"_c{i}") == rel_side[f"_rk{i}"]
             else:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import epoch_to_days, split_list
-from ..session import broadcast_rows, single_task_rows
+from ..session import broadcast_bytes, broadcast_rows, single_task_rows
 from .dictionary import ROWS_PER_RANGE, dense_ids
 from .fields import IDENTITY, LIST, NUMBER, TARGET, TIME, FieldSpec, split_target_inputs
 
@@ -72,10 +72,16 @@ class Vectorized:
         return [b for f in self.layout for b in f.blocks]
 
 
-def maybe_broadcast(df: DataFrame, rows: int, spark=None) -> DataFrame:
-    """Broadcast ``df`` only if its exact row count is under the bound."""
+# fixed per-row overhead of a dictionary entry in a broadcast hash relation
+ENTRY_OVERHEAD_BYTES = 48
+
+
+def maybe_broadcast(df: DataFrame, rows: int, spark=None, token_bytes: int = 0) -> DataFrame:
+    """Broadcast ``df`` only if its exact row count, and its size estimated
+    from the measured token bytes, are under the bounds."""
     spark = spark or df.sparkSession
-    return F.broadcast(df) if rows <= broadcast_rows(spark) else df
+    est = token_bytes + rows * ENTRY_OVERHEAD_BYTES
+    return F.broadcast(df) if rows <= broadcast_rows(spark) and est <= broadcast_bytes(spark) else df
 
 
 def _source_type(df: DataFrame, column: str) -> str:
@@ -105,12 +111,13 @@ def assign_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def learn_dictionaries(base: DataFrame, cat_fields: list[tuple[int, FieldSpec]],
-                       ) -> tuple[dict[int, DataFrame], dict[int, int]]:
+                       ) -> tuple[dict[int, DataFrame], dict[int, int], dict[int, int]]:
     """Learn the dictionary of every categorical field in one aggregation.
-    Returns per-field ``(token, code)`` frames and exact sizes."""
+    Returns per-field ``(token, code)`` frames, exact sizes and the tokens'
+    total bytes (for the broadcast check)."""
     spark = base.sparkSession
     if not cat_fields:
-        return {}, {}
+        return {}, {}, {}
     parts = []
     for i, spec in cat_fields:
         c = F.col(f"_c{i}")
@@ -121,8 +128,11 @@ def learn_dictionaries(base: DataFrame, cat_fields: list[tuple[int, FieldSpec]],
         allt = allt.unionByName(p)
     distinct = allt.where(F.col("token").isNotNull()).distinct().persist()
     sizes = {i: 0 for i, _ in cat_fields}
-    for r in distinct.groupBy("field").count().collect():
-        sizes[int(r["field"])] = int(r["count"])
+    nbytes = {i: 0 for i, _ in cat_fields}
+    for r in distinct.groupBy("field").agg(F.count(F.lit(1)).alias("n"),
+                                           F.sum(F.octet_length("token")).alias("b")).collect():
+        sizes[int(r["field"])] = int(r["n"])
+        nbytes[int(r["field"])] = int(r["b"] or 0)
     limit = single_task_rows(spark)
     small = [i for i, _ in cat_fields if sizes[i] <= limit]
     dicts: dict[int, DataFrame] = {}
@@ -137,7 +147,7 @@ def learn_dictionaries(base: DataFrame, cat_fields: list[tuple[int, FieldSpec]],
         if i not in small:
             dicts[i], _ = dense_ids(distinct.where(F.col("field") == i).select("token"), sizes[i],
                                     max_single_task=limit)
-    return dicts, sizes
+    return dicts, sizes, nbytes
 
 
 def standard_vectorize(df: DataFrame, specs: list[FieldSpec], row_id: str | None = None,
@@ -168,7 +178,7 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
     spark = base.sparkSession
     extra = extra or {}
     cat = [(i, s) for i, s in enumerate(inputs) if s.categorical]
-    dicts, sizes = learn_dictionaries(base, cat)
+    dicts, sizes, nbytes = learn_dictionaries(base, cat)
 
     layout: list[FieldLayout] = []
     offset = 0
@@ -202,7 +212,7 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
             d = dicts[i].select(F.col("token").alias(f"_t{i}"),
                                 (F.col("code") + F.lit(lay.offset)).alias(f"_id{i}"))
             enc = enc.withColumn(f"_t{i}", c.cast("string")).join(
-                maybe_broadcast(d, sizes[i], spark), f"_t{i}", "left")
+                maybe_broadcast(d, sizes[i], spark, nbytes[i]), f"_t{i}", "left")
             val = s.transform(F.col(f"_t{i}")).cast("double") if s.transform else F.lit(1.0)
             arr = (F.when(F.col(f"_id{i}").isNotNull(),
                           F.array(F.struct(F.col(f"_id{i}").alias("feature_id"), val.alias("value"))))
@@ -213,7 +223,8 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
                 F.lit(lay.offset).cast("bigint").alias("feature_id"), val.alias("value"))))
                 .otherwise(F.array().cast(FEATURES)))
         else:  # LIST
-            lst = encode_list(enc.select("row_id", c.alias("_raw")), s, dicts[i], sizes[i], lay.offset)
+            lst = encode_list(enc.select("row_id", c.alias("_raw")), s, dicts[i], sizes[i], lay.offset,
+                              nbytes[i])
             enc = enc.join(lst.withColumnRenamed("features", f"_l{i}"), "row_id", "left")
             arr = F.coalesce(F.col(f"_l{i}"), F.array().cast(FEATURES))
         enc = enc.withColumn(f"_a{i}", arr.cast(FEATURES))
@@ -229,14 +240,14 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
 
 
 def encode_list(raw: DataFrame, spec: FieldSpec, dictionary: DataFrame, size: int,
-                offset: int) -> DataFrame:
+                offset: int, token_bytes: int = 0) -> DataFrame:
     """Multi-hot: each of the m tokens gets 1/m (or its transform); duplicate
     tokens collapse to one entry (same value).  ``raw``: ``row_id, _raw``.
     Returns ``row_id, features`` (ids ascending)."""
     toks = raw.select("row_id", _tokens(spec, F.col("_raw")).alias("_toks"))
     ex = toks.select("row_id", F.size("_toks").alias("_m"), F.explode("_toks").alias("token"))
     d = dictionary.select("token", (F.col("code") + F.lit(offset)).alias("feature_id"))
-    joined = ex.join(maybe_broadcast(d, size, raw.sparkSession), "token")
+    joined = ex.join(maybe_broadcast(d, size, raw.sparkSession, token_bytes), "token")
     val = (spec.transform(F.col("token")).cast("double") if spec.transform
            else F.lit(1.0) / F.col("_m").cast("double"))
     ent = joined.select("row_id", F.struct("feature_id", val.alias("value")).alias("e"))

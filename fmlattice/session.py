@@ -97,6 +97,13 @@ def literal_block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("fmlattice.literalBlockRows", str(DEFAULT_LITERAL_BLOCK_ROWS)))
 
 
+DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def broadcast_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get("fmlattice.broadcastBytes", str(DEFAULT_BROADCAST_BYTES)))
+
+
 def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("fmlattice.broadcastRows", str(DEFAULT_BROADCAST_ROWS)))
 
