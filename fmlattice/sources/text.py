@@ -44,10 +44,14 @@ def parse_libfm(lines: DataFrame, index_base: int = 0, col: str = "value") -> Da
 
 
 def read_libfm(spark: SparkSession, path: str, index_base: int = 0,
-               assign_ids: bool = True) -> DataFrame:
+               assign_ids: bool = True, min_partitions: int | None = None) -> DataFrame:
     """libFM text -> ``row_id, y, features``.  Row ids are drawn once and the
-    rows checkpointed, so they are stable under re-computation."""
-    parsed = parse_libfm(filter_comment_blank(spark.read.text(path)), index_base)
+    rows checkpointed, so they are stable under re-computation.
+    ``min_partitions``: spread the lines over at least that many partitions."""
+    lines = spark.read.text(path)
+    if min_partitions and lines.rdd.getNumPartitions() < min_partitions:
+        lines = lines.repartition(min_partitions)
+    parsed = parse_libfm(filter_comment_blank(lines), index_base)
     return assign_row_ids(parsed) if assign_ids else parsed
 
 

@@ -38,3 +38,12 @@ def test_read_delimited(spark):
     spark.createDataFrame([("1::a::x",), ("2::b::",), ("3::::c",)], "value string").coalesce(1).write.text(path)
     got = [r["fields"] for r in read_delimited(spark, path, "::").collect()]
     assert got == [["1", "a", "x"], ["2", "b"], ["3", "", "c"]]
+
+
+def test_read_libfm_min_partitions(spark):
+    path = scratch_path(spark, "minp")
+    spark.createDataFrame([(f"{i % 3} {i + 1}:1",) for i in range(50)], "value string") \
+         .coalesce(1).write.text(path)
+    rows = read_libfm(spark, path, min_partitions=4, assign_ids=False)
+    assert rows.rdd.getNumPartitions() >= 4 and rows.count() == 50
+    assert libfm_dimension(rows) == 50
