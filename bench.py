@@ -15,8 +15,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from pyspark.sql import functions as F
-
     from fmlattice.operators import als as A
     from fmlattice.operators import dataset as D
     from fmlattice.operators import model as M

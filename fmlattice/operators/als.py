@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 import json
 
 from ..session import Scratch, broadcast_rows, literal_block_rows, local_delta_rows
-from .model import FMConfig, FMModel, init_params, interaction_expr, score_sums, vcols
+from .model import FMConfig, FMModel, init_params, interaction_expr, score_sums
 from .vectorize import Block
 
 

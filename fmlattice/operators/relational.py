@@ -26,16 +26,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, broadcast_rows, literal_block_rows, local_delta_rows
+from ..session import Scratch, broadcast_rows, local_delta_rows
 from . import als as A
 from .blocks import conflict_free_blocks
 from .fields import IDENTITY, FieldSpec, split_target_inputs
 from .model import FMConfig, FMModel, init_params, score_sums
 from .relations import Relation, encode_relation
-from .vectorize import FEATURES, Block, Vectorized, _number_value, _source_type, vectorize_base
+from .vectorize import FEATURES, Block, _number_value, _source_type, vectorize_base
 
 
 @dataclass

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from ..functions import epoch_to_days, split_list
 from ..session import broadcast_bytes, broadcast_rows, single_task_rows
-from .dictionary import ROWS_PER_RANGE, dense_ids
-from .fields import IDENTITY, LIST, NUMBER, TARGET, TIME, FieldSpec, split_target_inputs
+from .dictionary import dense_ids
+from .fields import IDENTITY, LIST, NUMBER, TIME, FieldSpec, split_target_inputs
 
 ENTRY = T.StructType([T.StructField("feature_id", T.LongType()),
                       T.StructField("value", T.DoubleType())])

@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 import seq_fm
 from fmlattice.operators import als as A

@@ -1,7 +1,3 @@
-import os
-
-from pyspark.sql import functions as F
-
 from fmlattice.operators.fields import Identity, Number, Target
 from fmlattice.operators.vectorize import standard_vectorize
 from fmlattice.session import scratch_path

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from fmlattice.operators.dictionary import build_dictionary, dense_ids, distinct_tokens
 from fmlattice.operators.fields import Identity, List, Number, Target, Time, split_target_inputs
