@@ -390,12 +390,22 @@ def als_iteration(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
     return IterationResult(params, w0, rmse_before, state)
 
 
-def fit(rows: DataFrame, cfg: FMConfig, dimension: int, blocks: list[Block],
+def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] | None = None,
         learner=als_iteration, params: DataFrame | None = None, w0: float = 0.0,
         scratch: Scratch | None = None) -> FMModel:
     """``FM(dataset, k, iterations).learnWith(learner)``: initialise, then
     iterate; the trace holds the training RMSE before each iteration.  Only
-    the final parameter table is kept in the scratch folder."""
+    the final parameter table is kept in the scratch folder.
+
+    ``rows`` may also be a ``RelationalData`` (fact + side tables), which is
+    fitted relation-level (``relational.relational_fit``)."""
+    if not isinstance(rows, DataFrame):
+        from .relational import RelationalData, relational_fit
+        if isinstance(rows, RelationalData):
+            return relational_fit(rows, cfg, params=params, w0=w0)
+        raise TypeError("fit takes training rows or a RelationalData")
+    if dimension is None or blocks is None:
+        raise ValueError("flat rows need their dimension and conflict-free blocks")
     spark = rows.sparkSession
     scratch = _scratch(rows, scratch)
     rows = prepare_rows(rows, scratch=scratch)

@@ -37,3 +37,13 @@ def test_relational_pass_equals_flat_pass(spark):
     assert abs(a.w0 - b.w0) < 1e-12 and abs(a.rmse_before - b.rmse_before) < 1e-12
     for c in ("w", "v0", "v1"):
         assert np.abs(pa[c].values - pb[c].values).max() < 1e-10, c
+
+
+def test_fit_facade_takes_relational_data(spark):
+    fact, rel = star(spark, seed=2)
+    data = RL.relational_dataset(fact, [Identity("uid"), Identity("kind"), Target("y")], {"uid": rel},
+                                 row_id="id")
+    cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.1, seed=1, regv=1.0)
+    model = A.fit(data, cfg)
+    assert model.params.count() == data.dimension
+    assert [r["iteration"] for r in model.trace.collect()] == [1]
