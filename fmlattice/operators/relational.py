@@ -341,6 +341,19 @@ def relation_sweep(state: DataFrame, rb: RelationBlock, params: DataFrame, slot:
     return out, upd
 
 
+def _runs(segments: list) -> list:
+    """Side tables stay single; consecutive fact-level blocks form one list."""
+    out: list = []
+    for seg in segments:
+        if isinstance(seg, RelationBlock):
+            out.append(seg)
+        elif out and isinstance(out[-1], list):
+            out[-1].append(seg)
+        else:
+            out.append([seg])
+    return out
+
+
 def relational_iteration(data: RelationalData, rows: DataFrame, params: DataFrame, w0: float,
                          cfg: FMConfig, stop_after: str | None = None,
                          scratch: Scratch | None = None) -> A.IterationResult:
@@ -363,13 +376,13 @@ def relational_iteration(data: RelationalData, rows: DataFrame, params: DataFram
         factor = None if slot == "w" else int(slot[1:])
         reg = cfg.regw if slot == "w" else cfg.regv
         ups = []
-        for seg in data.segments:
+        for seg in _runs(data.segments):
             if isinstance(seg, RelationBlock):
                 # the cache is an aggregation of the current state: cut before it
                 state = scratch.write(state, "rstate").persist()
                 state, u = relation_sweep(state, seg, params, slot, reg, factor, data.dimension, scratch)
-            else:
-                res = A.sweep(state, params, [seg], slot, reg, factor=factor, scratch=scratch,
+            else:                                   # consecutive fact-level blocks, one sweep
+                res = A.sweep(state, params, seg, slot, reg, factor=factor, scratch=scratch,
                               write_state=False)
                 state, u = res.state, res.updates
             if u is not None:
