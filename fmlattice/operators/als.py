@@ -14,41 +14,35 @@ Training state, one row per training row, hash-partitioned by ``row_id``:
    also ``q_f += x·Δ``.
 
 A block holds at most one id per row, so updating it at once equals updating
-its ids one by one.  Per block the state is read once (from cache), the
-per-feature sums are shuffled (map-side combined), and the new values come
-back by a join that is broadcast when the block's width is under the bound.
-A block at most ``fmlattice.literalBlockRows`` wide needs no join at all: its
-old values and changes (one number per feature of the block, so bounded by
-that width) travel as array literals indexed by ``feature_id − block start``,
-and the state update is a projection.  Wider blocks join.
+its ids one by one.  Per block the state is read once (from cache) and only
+the per-feature partial sums are shuffled (map-side combined).  A block at
+most ``fmlattice.literalBlockRows`` wide carries its old values and changes
+(one number per feature, so bounded by that width) as array literals indexed
+by ``feature_id − block start``: the state update is a projection.  A wider
+block's table of new values is joined back (broadcast under the checked
+bound); it comes back as a local relation when under
+``fmlattice.localDeltaRows`` rows, else it is written.  Either way it holds
+fixed numbers, so a re-computation after an executor loss gives the same
+state.
 
 Cut points are tables written to the shared checkpoint folder: the training
-rows once per fit, the state after each parameter family and the parameter
-table once per pass.  A block's table of new values has at most one row per
-feature of the block; when the block's width is under a checked bound it
-comes back as a local relation (it is broadcast anyway), otherwise it is
-written.  Either way it holds fixed numbers, so a re-computation after an
-executor loss gives the same state, and no plan holds the state twice.  Within a pass
-each block's update is applied lazily to the family's starting state (a
-chain of at most one narrow broadcast join per block), and the state is
-written at the end of every parameter family; no cached plan is nested in
-another (their printed plans would double per level).  A lost partition is
-re-computed from the rows, the written state and the written blocks.  Written tables also reset the
-optimizer's size estimates, which a ``checkpoint()`` would carry over and
-compound over the chained joins.
-Nothing row- or feature-sized reaches the driver: only ``w0``, the RMSE and
-block bounds do.
+rows once per fit, the state after each parameter family (the blocks of one
+family are applied lazily to the family's start state) and the parameter
+table once per pass.  No cached plan is nested in another (their printed
+plans would double per level), and written tables reset the optimizer's size
+estimates, which a ``checkpoint()`` would carry over and compound over the
+chained joins.  Nothing row- or feature-sized reaches the driver: only
+``w0``, the RMSE, block bounds and bounded per-block values do.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import json
-
 from ..session import Scratch, broadcast_rows, literal_block_rows, local_delta_rows
 from .model import FMConfig, FMModel, init_params, interaction_expr, score_sums
 from .vectorize import Block
@@ -356,6 +350,7 @@ class IterationResult:
     w0: float
     rmse_before: float
     state: DataFrame
+    cached: list | None = None      # frames the pass cached; released by ``fit``
 
 
 def als_iteration(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
@@ -375,19 +370,22 @@ def als_iteration(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
         families = []
     elif stop_after in families:
         families = families[:families.index(stop_after) + 1]
+    cached = []
     for j, slot in enumerate(families):
         last = j == len(families) - 1 and stop_after is None
         factor = None if slot == "w" else int(slot[1:])
         reg = cfg.regw if slot == "w" else cfg.regv
         res = sweep(state, params, blocks, slot, reg, factor=factor, scratch=scratch,
                     write_state=not last)
+        if not last:
+            cached.append(res.state)
         state = res.state
         params = apply_updates(params, res.updates, slot, dimension)
         if j == 0:
             start.unpersist()
     params = scratch.write(params, "params")
     start.unpersist()
-    return IterationResult(params, w0, rmse_before, state)
+    return IterationResult(params, w0, rmse_before, state, cached)
 
 
 def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] | None = None,
@@ -418,6 +416,8 @@ def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] |
         mark = scratch.mark()
         res = learner(rows, params, w0, cfg, blocks, dimension, scratch=scratch)
         params, w0 = res.params, res.w0
+        for c in res.cached or []:
+            c.unpersist()
         trace.append((it, res.rmse_before))
         # what this pass read (old params, earlier deltas) is no longer needed
         scratch.drop_before(mark, keep=(rows_path,))

@@ -372,6 +372,7 @@ def relational_iteration(data: RelationalData, rows: DataFrame, params: DataFram
         families = []
     elif stop_after in families:
         families = families[:families.index(stop_after) + 1]
+    cached: list[DataFrame] = []
     for slot in families:
         factor = None if slot == "w" else int(slot[1:])
         reg = cfg.regw if slot == "w" else cfg.regv
@@ -380,6 +381,7 @@ def relational_iteration(data: RelationalData, rows: DataFrame, params: DataFram
             if isinstance(seg, RelationBlock):
                 # the cache is an aggregation of the current state: cut before it
                 state = scratch.write(state, "rstate").persist()
+                cached.append(state)
                 state, u = relation_sweep(state, seg, params, slot, reg, factor, data.dimension, scratch)
             else:                                   # consecutive fact-level blocks, one sweep
                 res = A.sweep(state, params, seg, slot, reg, factor=factor, scratch=scratch,
@@ -388,13 +390,14 @@ def relational_iteration(data: RelationalData, rows: DataFrame, params: DataFram
             if u is not None:
                 ups.append(u)
         state = scratch.write(state, "rstate").persist()
+        cached.append(state)
         upd = None
         for u in ups:
             upd = u if upd is None else upd.unionByName(u)
         params = A.apply_updates(params, upd, slot, data.dimension)
     params = scratch.write(params, "params")
     start.unpersist()
-    return A.IterationResult(params, w0, summary[2], state)
+    return A.IterationResult(params, w0, summary[2], state, cached)
 
 
 def relational_fit(data: RelationalData, cfg: FMConfig, params: DataFrame | None = None,
@@ -407,6 +410,8 @@ def relational_fit(data: RelationalData, cfg: FMConfig, params: DataFrame | None
     for it in range(1, cfg.iterations + 1):
         res = relational_iteration(data, rows, params, w0, cfg, scratch=scratch)
         params, w0 = res.params, res.w0
+        for c in res.cached or []:
+            c.unpersist()
         trace.append((it, res.rmse_before))
     rows.unpersist()
     return FMModel(w0, params, cfg, data.dimension,
