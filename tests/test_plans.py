@@ -36,3 +36,23 @@ def test_vectorizer_scan_is_pruned_and_lookups_broadcast(spark):
     assert scans and all("o_orderdate" not in ln for ln in scans)
     assert "SortMergeJoin" not in text.split("InMemoryRelation")[0]
     assert text.count("BroadcastHashJoin") >= 4
+
+
+def test_over_the_broadcast_bound_joins_shuffle_with_equal_results(spark):
+    from fmlattice.plans.catalog import orders_relation_vectorized
+
+    def rows():
+        vec = orders_relation_vectorized(spark, SF)
+        return vec, sorted((r["row_id"], tuple((e["feature_id"], e["value"]) for e in r["features"]))
+                           for r in vec.rows.collect())
+    _, small = rows()
+    spark.conf.set("fmlattice.broadcastBytes", "1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        vec, big = rows()
+        text = plan_text(vec.rows)
+    finally:
+        spark.conf.unset("fmlattice.broadcastBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert big == small
+    assert "SortMergeJoin" in text.split("InMemoryRelation")[0]
