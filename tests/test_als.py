@@ -114,3 +114,16 @@ def test_join_path_for_wide_blocks_gives_the_same_fit(spark):
         spark.conf.unset("fmlattice.localDeltaRows")
     assert np.abs(a.w.values - b.w.values).max() < 1e-12
     assert np.abs(a.v0.values - b.v0.values).max() < 1e-12
+
+
+def test_hot_category_with_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(21)
+    data = [(i, "hot" if i % 3 == 0 else f"c{rng.integers(0, 20)}", f"p{rng.integers(0, 4)}",
+             float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, cat string, p string, y double")
+    vec = standard_vectorize(df, [Identity("cat"), Identity("p"), Target("y")], row_id="id")
+    cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.1, seed=8, regv=1.0)
+    model = A.fit(vec.rows, cfg, vec.dimension, conflict_free_blocks(vec.rows, vec.blocks()))
+    p = model.params.orderBy("feature_id").toPandas()
+    _, w, v, _ = numpy_fit(vec, cfg, spark)
+    assert np.abs(p.w.values - w).max() < 1e-10 and np.abs(p.v0.values - v[0]).max() < 1e-10
