@@ -35,3 +35,12 @@ def test_duplicate_side_keys(spark):
         encode_relation(Relation(side, [Target("uid"), Identity("g")]))
     enc = encode_relation(Relation(side, [Target("uid"), Identity("g")], on_duplicate="first", order_by="g"))
     assert enc.size == 1
+
+
+def test_assigned_row_ids_with_a_relation(spark):
+    fact, side = fact_and_side(spark)
+    rel = Relation(side, [Target("uid"), Identity("g"), Number("age")])
+    vec = relation_vectorize(fact.drop("id"), [Identity("uid"), Identity("kind"), Target("y")], {"uid": rel})
+    got = sorted((r["y"], [e["feature_id"] for e in r["features"]]) for r in vec.rows.collect())
+    assert got == [(1.0, [4, 5, 6]), (2.0, [3, 5, 7]), (3.0, [2, 6])]
+    assert vec.rows.select("row_id").distinct().count() == 3

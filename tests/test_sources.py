@@ -43,3 +43,13 @@ def test_read_libfm_min_partitions(spark):
     rows = read_libfm(spark, path, min_partitions=4, assign_ids=False)
     assert rows.rdd.getNumPartitions() >= 4 and rows.count() == 50
     assert libfm_dimension(rows) == 50
+
+
+def test_write_libfm_full_precision_round_trips_exactly(spark):
+    rows = spark.createDataFrame([(1, 0.1 + 0.2, [(0, 1 / 3), (5, -2.5e-7)])],
+                                 "row_id long, y double, features array<struct<feature_id:bigint,value:double>>")
+    path = scratch_path(spark, "full")
+    write_libfm(rows, path, index_base=0, precision=None)
+    back = read_libfm(spark, path, index_base=0).first()
+    assert back["y"] == 0.1 + 0.2
+    assert [(e["feature_id"], e["value"]) for e in back["features"]] == [(0, 1 / 3), (5, -2.5e-7)]
