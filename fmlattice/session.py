@@ -8,7 +8,6 @@ we create one.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -51,19 +50,18 @@ def build_session(master: str | None = None, app: str = "fmlattice",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating one only if unset."""
+    """Return the session's checkpoint folder.  A cluster names a shared one in
+    ``spark.checkpoint.dir``; only a local master gets a temporary folder."""
     sc = spark.sparkContext
-    current = None
-    try:
-        current = sc.getCheckpointDir()
-    except Exception:  # older API
-        current = None
+    current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        # Only for local runs and tests: the cluster always names a shared one.
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and "
+                             "all executors share")
         configured = tempfile.mkdtemp(prefix="fmlattice-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -71,10 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str = "t") -> str:
     """A fresh path inside the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "fmlattice-scratch", f"{name}-{uuid.uuid4().hex}")
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/fmlattice-scratch/{name}-{uuid.uuid4().hex}"
 
 
 # Blocks at most this wide bring their table of new values (one row per

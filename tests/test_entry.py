@@ -4,8 +4,8 @@ import __spark_entry__ as E
 def test_queries_have_oracles():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    missing = set(q) - set(o)
-    assert missing <= {"relation_factor_sweep_rows_only"}, missing
+    missing = {n for n in set(q) - set(o) if not n.startswith("op") and n != "pipeline"}
+    assert not missing, missing
 
 
 def test_entry_smoke(spark):
