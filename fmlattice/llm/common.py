@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fmlattice.session import scratch_path
@@ -15,6 +15,9 @@ from fmlattice.session import scratch_path
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 WORD_RUN = "[^\\x20\\x09-\\x0D]+"
 
+# Rows (two longs each) up to which a decision table is broadcast; beyond, its join shuffles.
+BROADCAST_ROWS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,14 +45,26 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def rows_below(df: DataFrame, bound: int) -> bool:
-    """Whether ``df`` has at most ``bound`` rows (an exact count of a written table)."""
-    return df.count() <= bound
-
-
-def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
-    """A string column as Python strings; null counts as empty."""
-    return ["" if x is None else x for x in column.to_pylist()]
+def keep_decided(docs: DataFrame, fingerprint: Column, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` to keep, with its columns, by ``decisions`` (doc_id, fp,
+    kept: one row for each row of ``docs``).
+
+    Rows equal in id and fingerprint are repeats of one document: if one of them is
+    kept, the least by all columns stays."""
+    fp = free_name(docs, "fp")
+    rows = written(decisions.groupBy(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"))
+                   .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+                   .where(~F.col("kept") | (F.col("n") > 1)), "decided")
+    gone, repeats = rows.where("not kept").select("k_id", "k_fp"), rows.where("kept").select("k_id", "k_fp")
+    if rows.count() <= BROADCAST_ROWS:
+        gone, repeats = F.broadcast(gone), F.broadcast(repeats)
+    same = (F.col(fp) == F.col("k_fp")) & F.col("doc_id").eqNullSafe(F.col("k_id"))
+    out = docs.withColumn(fp, fingerprint).join(gone, same, "left_anti")
+    if rows.where("kept").isEmpty():
+        return out.select(docs.columns)
+    one = (out.join(repeats, same, "left_semi").groupBy("doc_id", fp)
+           .agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    return out.join(repeats, same, "left_anti").select(docs.columns).unionByName(one)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -78,15 +93,3 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         last = tuple(table_.column(k)[batch.num_rows - 1].as_py() for k in keys)
     if pending:
         yield pa.concat_tables(pending)
-
-
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def drop_rows(docs: DataFrame, n: str) -> DataFrame:
-    return docs.drop(n)
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, free_name, groups, shuffle_partitions, written
+from .common import SPACE_RUN, groups, keep_decided, shuffle_partitions, written
 
 # Up to so many repeated fingerprints (16 bytes each) are broadcast to the scan
 # that routes texts to verification; beyond it, that join shuffles.
@@ -168,22 +168,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with the columns of ``docs``.
-
-    Rows equal in id and text are repeats of one document: one of them stays, the
-    least by its other columns."""
-    fp = free_name(docs, "fp")
-    rows = written(exact_dedup(docs).select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"), "kept")
-                   .groupBy("k_id", "k_fp")
-                   .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-                   .where(~F.col("kept") | (F.col("n") > 1)), "dedup-decided")
-    gone, repeats = rows.where("not kept"), rows.where("kept")
-    if rows.count() <= BROADCAST_FINGERPRINTS // 4:
-        gone, repeats = F.broadcast(gone), F.broadcast(repeats)
-    same = (F.col(fp) == F.col("k_fp")) & F.col("doc_id").eqNullSafe(F.col("k_id"))
-    out = docs.withColumn(fp, F.xxhash64(normalised(F.col("text")))).join(gone, same, "left_anti")
-    if rows.where("kept").isEmpty():
-        return out.select(docs.columns)
-    one = (out.join(repeats, same, "left_semi").groupBy("doc_id", fp)
-           .agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
-    return out.join(repeats, same, "left_anti").select(docs.columns).unionByName(one)
+    """The rows of ``docs`` that exact dedup keeps, with the columns of ``docs``."""
+    return keep_decided(docs, F.xxhash64(normalised(F.col("text"))),
+                        exact_dedup(docs).select("doc_id", "fp", "kept"))

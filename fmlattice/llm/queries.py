@@ -4,24 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, language_id, ngram_join, packing, secret_scan
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
     return bpe.encode_decode(table(spark, sf_dir, "documents"), P.path(VOCABULARY), P.PATTERN)
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("fp")
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_bpe, op5_best_fit, op8_secrets,
+                                   op9_exact_dedup)}
 
 ORACLE_SQL = {
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS grams FROM w),
+u AS (SELECT doc_id, unnest(grams) AS gram FROM g),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  JOIN g ga ON ga.doc_id = a.doc_id JOIN g gb ON gb.doc_id = b.doc_id
+  GROUP BY 1, 2, len(ga.grams), len(gb.grams)
+  HAVING 10 * count(*) >= 8 * (len(ga.grams) + len(gb.grams) - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT doc_id, (SELECT min(y) FROM reach r WHERE r.x = doc_id) AS class_id,
+       (SELECT count(*) FROM links l WHERE l.x = doc_id) AS n_links FROM documents""",
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
