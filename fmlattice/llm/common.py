@@ -18,6 +18,9 @@ WORD_RUN = "[^\\x20\\x09-\\x0D]+"
 # Rows (two longs each) up to which a decision table is broadcast; beyond, its join shuffles.
 BROADCAST_ROWS = 500_000
 
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+BYTES_AT_ONCE = 1 << 20         # text that the numpy helpers take at a time
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -93,3 +96,49 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         last = tuple(table_.column(k)[batch.num_rows - 1].as_py() for k in keys)
     if pending:
         yield pa.concat_tables(pending)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def seeds(n: int, salt: int) -> np.ndarray:
+    return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt * 1000)) * GOLDEN) | np.uint64(1)
+
+
+def text_slices(column: pa.Array):
+    """(first row, data, offsets) for runs of rows of about ``BYTES_AT_ONCE`` bytes."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(column):
+        b = int(np.searchsorted(offsets, offsets[a] + BYTES_AT_ONCE))
+        b = min(max(b, a + 1), len(column))
+        yield a, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+        a = b
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
+    """(hash, begin, end, text) of each run of word bytes in the texts
+    data[offsets[i]:offsets[i + 1]]; places are in ``data``."""
+    word = is_word[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(data)]
+    begins[inner] = word[inner]         # a text's first byte does not go on a word
+    at = np.flatnonzero(begins)
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
+    letters = np.flatnonzero(word)
+    of_word = np.searchsorted(letters, at)
+    size = np.diff(np.r_[of_word, len(letters)])
+    place = np.arange(len(letters)) - np.repeat(of_word, size)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(int(size.max()), np.uint64(0x20000100000001B5), np.uint64)])
+    hashes = mix(np.add.reduceat((data[letters].astype(np.uint64) + np.uint64(1)) * power[place], of_word)
+                 + size.astype(np.uint64) * GOLDEN)
+    return hashes, at, at + size, np.searchsorted(offsets, at, side="right") - 1

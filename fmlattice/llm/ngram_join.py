@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, keep_decided, shuffle_partitions, written
+from .common import GOLDEN, groups, keep_decided, mix, seeds, shuffle_partitions, text_slices, word_spans, written
 from .components import components
 
 WORDS = 5
@@ -38,8 +38,8 @@ MAX_HASHES = 160
 BLOCK_ROWS = 256                # members of a block of a bucket
 BLOCK_GRAMS = 400_000           # n-grams of a block, but for single larger sets
 BROADCAST_IDS = 1_000_000       # representatives (a long each) that a scan may be sent
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BYTES_AT_ONCE = 1 << 20
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[32, *range(9, 14)]] = False
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
@@ -55,37 +55,13 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
     return best
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def seeds(n: int, salt: int) -> np.ndarray:
-    return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt * 1000)) * GOLDEN) | np.uint64(1)
-
-
 def gram_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word n-grams of the texts data[offsets[i]:offsets[i + 1]], and
     where each text's hashes begin (length texts + 1)."""
     texts = len(offsets) - 1
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    word = ~space
-    begins = word.copy()
-    begins[1:] &= space[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(data)]
-    begins[inner] = word[inner]         # a text's first byte does not go on a word
-    at = np.flatnonzero(begins)
+    hashes, at, _, _ = word_spans(data, offsets, NOT_SPACE)
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64)
-    letters = np.flatnonzero(word)
-    of_word = np.searchsorted(letters, at)
-    size = np.diff(np.r_[of_word, len(letters)])
-    place = np.arange(len(letters)) - np.repeat(of_word, size)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(int(size.max()), np.uint64(0x100000001B3 | 2 ** 61 + 2), np.uint64)])
-    hashes = mix(np.add.reduceat((data[letters].astype(np.uint64) + np.uint64(1)) * power[place], of_word)
-                 + size.astype(np.uint64) * GOLDEN)
     first = np.searchsorted(at, offsets)                # first word of each text
     n_words = np.diff(first)
     n_grams = np.where(n_words >= n, n_words - n + 1, (n_words > 0).astype(np.int64))
@@ -102,19 +78,6 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarr
     return mix(out), starts
 
 
-def text_slices(column: pa.Array):
-    """(first row, data, offsets) for runs of rows of about ``BYTES_AT_ONCE`` bytes."""
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    a = 0
-    while a < len(column):
-        b = int(np.searchsorted(offsets, offsets[a] + BYTES_AT_ONCE))
-        b = min(max(b, a + 1), len(column))
-        yield a, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-        a = b
-
-
 def distinct_grams(grams: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's n-grams sorted and distinct, and where they begin."""
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, ngram_join, packing, secret_scan
+from . import bpe, chat_format, exact_dedup, language_id, license_scan, ngram_join, packing, secret_scan
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -24,10 +24,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), P.path(VOCABULARY), P.PATTERN)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -36,8 +44,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("fp")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_bpe, op5_best_fit, op8_secrets,
-                                   op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_bpe, op4_chat_format, op5_best_fit,
+                                   op7_license_scan, op8_secrets, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_ngram_jaccard": r"""
@@ -57,6 +65,23 @@ links AS (
 reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT doc_id, (SELECT min(y) FROM reach r WHERE r.x = doc_id) AS class_id,
        (SELECT count(*) FROM links l WHERE l.x = doc_id) AS n_links FROM documents""",
+    "op4_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS place FROM conversations),
+c AS (
+  SELECT conv_id, count(*) AS n_turns, list(struct_pack(role := role, text := text) ORDER BY place) AS turns,
+         string_agg('<|im_start|>' || CASE WHEN trim(role) = '' THEN 'user' ELSE CASE lower(trim(role))
+             WHEN 'human' THEN 'user' WHEN 'prompter' THEN 'user' WHEN 'customer' THEN 'user'
+             WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant'
+             WHEN 'ai' THEN 'assistant' WHEN 'function' THEN 'tool' ELSE lower(trim(role)) END END
+           || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10), '' ORDER BY place) AS chat
+  FROM t GROUP BY conv_id),
+d AS (SELECT min(conv_id) AS conv_id, turns, any_value(n_turns) AS n_turns, any_value(chat) AS chat, count(*) AS copies
+      FROM c GROUP BY turns)
+SELECT conv_id, n_turns, copies, chat, length(chat) AS n_chars FROM d
+WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.n_turns > d.n_turns AND e.turns[1] = d.turns[1]
+                  AND e.turns[1:d.n_turns] = d.turns)""",
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
