@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, language_id, license_scan, ngram_join, packing, secret_scan
+from . import bpe, chat_format, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, secret_scan, topk_mtree
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -32,6 +32,10 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op6_topk_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -44,8 +48,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_bpe, op4_chat_format, op5_best_fit,
-                                   op7_license_scan, op8_secrets, op9_exact_dedup)}
+                                   op6_topk_mtree, op7_license_scan, op8_secrets, op9_exact_dedup,
+                                   op10_html_extract)}
 
 ORACLE_SQL = {
     "op2_ngram_jaccard": r"""
@@ -82,6 +91,16 @@ d AS (SELECT min(conv_id) AS conv_id, turns, any_value(n_turns) AS n_turns, any_
 SELECT conv_id, n_turns, copies, chat, length(chat) AS n_chars FROM d
 WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.n_turns > d.n_turns AND e.turns[1] = d.turns[1]
                   AND e.turns[1:d.n_turns] = d.turns)""",
+    "op6_topk_mtree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
