@@ -1,0 +1,11 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def frame(spark):
+    """frame(rows, schema): a small table with a clashing extra column of each name."""
+
+    def make(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    return make
