@@ -44,29 +44,31 @@ SLACK = 1e-9                # of the scale of squared distances, for rounding
 
 def integer_rows(k: int):
     """Arrow function: (vec_id, embedding) -> (vec, ids, n): the distinct integer
-    vectors of a partition as bytes, with their k + 1 least ids."""
+    vectors of a partition as bytes, with their k + 1 least ids and number of rows."""
 
     def run(batches):
         found: dict[bytes, list] = {}
+        n: dict[bytes, int] = {}
         for batch in batches:
             for i, vec in integers(batch):
                 have = found.setdefault(vec, [])
                 have.append(i)
+                n[vec] = n.get(vec, 0) + 1
                 if len(have) > 16 * k:
                     have[:] = sorted(set(have))[:k + 1]
             if len(found) >= 200_000:
-                yield _entries(found, k)
-                found = {}
+                yield _entries(found, n, k)
+                found, n = {}, {}
         if found:
-            yield _entries(found, k)
+            yield _entries(found, n, k)
 
     return run
 
 
-def _entries(found, k):
+def _entries(found, n, k):
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(found), pa.binary()), pa.array([sorted(set(v))[:k + 1] for v in found.values()], pa.list_(pa.int64()))],
-        names=["vec", "ids"])
+        [pa.array(list(found), pa.binary()), pa.array([sorted(set(v))[:k + 1] for v in found.values()], pa.list_(pa.int64())),
+         pa.array([n[v] for v in found], pa.int64())], names=["vec", "ids", "n"])
 
 
 def integers(batch: pa.RecordBatch):
@@ -297,15 +299,15 @@ def top_k(vectors: DataFrame, is_query=None, k: int = K, subtree: int = SUBTREE)
                                               pa.array([r[1] for r in rows], pa.binary())], names=["vec_id", "vec"])
 
     entries = written(
-        source.mapInArrow(integer_rows(k), "vec binary, ids array<long>").groupBy("vec")
-        .agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")), "mtree-entries")
+        source.mapInArrow(integer_rows(k), "vec binary, ids array<long>, n long").groupBy("vec")
+        .agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")), "mtree-entries")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sizes = sorted(((r["n"], -r["d"]) for r in entries.groupBy(F.octet_length("vec").alias("d"))
-                    .agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    if not sizes:
+    widths = (entries.groupBy(F.octet_length("vec").alias("d")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
+              .orderBy(F.desc("n"), "d").limit(1).collect())
+    if not widths:
         return empty
-    count, width = sizes[0][0], -sizes[0][1]
-    entries = entries.where(F.octet_length("vec") == width)
+    count, width = widths[0]["m"], widths[0]["d"]
+    entries = entries.where(F.octet_length("vec") == width).select("vec", "ids")
     asked = written(source.where(is_query(F.col("vec_id"))).mapInArrow(with_id, "vec_id long, vec binary")
                     .where(F.octet_length("vec") == width).distinct(), "mtree-queries")
 
