@@ -65,7 +65,11 @@ def test_pages_cover_and_bounds_avoid_work():
              "members": x[p["members"]].astype("<i8").tobytes() if p["leaf"] else p["members"].astype("<i8").tobytes(),
              "ids": [[int(m)] for m in p["members"]] if p["leaf"] else []} for i, p in enumerate(pages)]
     tree = Subtree(rows, m2)
+    work = []
     for q in x[::97]:
         best, computed = tree.search(q, 5, -np.inf)
         want = sorted((-int(q @ v), i) for i, v in enumerate(x))[:5]
-        assert best == want and computed < len(x)
+        assert best == want
+        work.append(computed)
+    # queries near the origin have no near candidates; the others skip most pages
+    assert np.mean(work) < 0.6 * len(x), work
