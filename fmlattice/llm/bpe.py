@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NO_PAIR = 1 << 60
-CACHE_PIECES = 1 << 19      # entries of a worker's cache; it is emptied when full
+CACHE_PIECES = 1 << 20      # entries of a worker's cache; it is emptied when full
 CACHE_PIECE_CHARS = 64      # longer pieces are not kept
 
 
