@@ -293,9 +293,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # classes of linked texts
     roots = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = classes.select("node", "first", "copies")
-    least = (roots.join(known, "node").groupBy("root").agg(F.min("first").alias("of_class")))
+    least = written(roots.join(known, "node").groupBy("root").agg(F.min("first").alias("of_class")), "join-least")
+    linked = roots.join(bounded(least), "root").select("node", "of_class")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    info = (classes.join(links, "node", "left").join(roots, "node", "left").join(least, "root", "left")
+    info = (classes.join(links, "node", "left").join(linked, "node", "left")
             .select(*key, F.coalesce("of_class", "first").alias("of_class"),
                     (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     found = sig.where("n_grams > 0").join(info, key).select(
