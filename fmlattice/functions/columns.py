@@ -79,13 +79,16 @@ def list_weights(tokens) -> Column:
     return F.lit(1.0) / F.size(_col(tokens)).cast("double")
 
 
-def format_compact(col) -> Column:
-    """Integral values as ``#``, others as ``#.###`` (half-even, as the JVM's
-    DecimalFormat does; ``-0.0004`` prints ``-0``)."""
+def format_compact(col, decimals: int = 3) -> Column:
+    """Integral values as ``#``, others as ``#.###`` with at most ``decimals`` places
+    (half-even, as the JVM's DecimalFormat does; ``-0.0004`` prints ``-0``)."""
+    if not 0 <= decimals <= 17:
+        raise ValueError("decimals must be from 0 to 17")
     c = _col(col).cast("double")
     integral = (c == F.floor(c)) & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    pattern = "#." + "#" * decimals if decimals else "#"
     return F.when(integral, F.call_function("format_number", c, F.lit("#"))).otherwise(
-        F.call_function("format_number", c, F.lit("#.###")))
+        F.call_function("format_number", c, F.lit(pattern)))
 
 
 def hash_uniform(*parts) -> Column:
@@ -104,8 +107,3 @@ def hash_gauss(mean: float, stdev: float, *parts) -> Column:
     u2 = hash_uniform(*parts, "b")
     z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
     return F.lit(float(mean)) + F.lit(float(stdev)) * z
-
-
-def lit_double(x: float) -> str:
-    """A double as an exact SQL literal (shortest round-trip repr)."""
-    return repr(float(x))

@@ -1,52 +1,55 @@
 """Exact coordinate descent ("ALS") for second-order FMs, as Spark jobs.
 
-Training state, one row per training row, hash-partitioned by ``row_id``:
-``row_id, y, features, e, q0 .. q{k-1}`` with ``e = ŷ − y`` and
-``q_f = Σ v_f x``.  An iteration is
+An iteration is
 
-1. **residuals**: a scoring pass rebuilds ``e`` and ``q`` from the parameters
-   (stops drift; also the training RMSE of the trace);
+1. **residuals**: a scoring pass rebuilds ``e = ŷ − y`` and ``q_f = Σ v_f x`` of
+   every row from the parameters (stops drift; also the RMSE of the trace);
 2. **global bias**: ``w0' = −(Σe − w0·n)/(reg0 + n)``, ``e += w0' − w0``;
 3. **linear sweep**: for every conflict-free block (ascending ids)
-   ``θ' = −(Σeh − θΣh²)/(reg + Σh²)`` with ``h = x`` — a ``groupBy(feature)``
-   of partial sums — then ``e += h·Δ``;
+   ``θ' = −(Σeh − θΣh²)/(reg + Σh²)`` with ``h = x``, then ``e += h·Δ``;
 4. **factor sweeps**: per factor f, the same with ``h = x·q_f − x²·v_f`` and
    also ``q_f += x·Δ``.
 
 A block holds at most one id per row, so updating it at once equals updating
-its ids one by one.  Per block the state is read once (from cache) and only
-the per-feature partial sums are shuffled (map-side combined).  A block at
-most ``fmlattice.literalBlockRows`` wide carries its old values and changes
-(one number per feature, so bounded by that width) as array literals indexed
-by ``feature_id − block start``: the state update is a projection.  A wider
-block's table of new values is joined back (broadcast under the checked
-bound); it comes back as a local relation when under
-``fmlattice.localDeltaRows`` rows, else it is written.  Either way it holds
-fixed numbers, so a re-computation after an executor loss gives the same
-state.
-
-Cut points are tables written to the shared checkpoint folder: the training
-rows once per fit, the state after each parameter family (the blocks of one
-family are applied lazily to the family's start state) and the parameter
-table once per pass.  No cached plan is nested in another (their printed
-plans would double per level), and written tables reset the optimizer's size
-estimates, which a ``checkpoint()`` would carry over and compound over the
-chained joins.  Nothing row- or feature-sized reaches the driver: only
-``w0``, the RMSE, block bounds and bounded per-block values do.
+its ids one by one.
+
+Tables.  The training rows are written once, bucketed by row id, and so are, once
+per fit, the entries of each *segment* of at most ``fmlattice.segmentBlocks``
+blocks, as plain columns (``l{j}``: id − block start, ``x{j}``: value).  The state
+that changes is only ``row_id, e`` (and ``q`` within a factor's sweep); it is
+written after each segment, bucketed the same way.  So a segment's work frame is a
+join without a shuffle, work is linear in the number of blocks whatever their
+number, and no constant column is written again.
+
+Steps.  A block's statistics are a ``groupBy(l{j})`` of partial sums (only those
+shuffle).  A block at most ``fmlattice.literalBlockRows`` wide carries its old
+values and changes as array literals: the update is a projection, and at most that
+many numbers reach the driver.  A wider block's statistics need no old value per
+row: with ``h = xq − x²t``, ``Σh² = S(x²q²) − 2t S(x³q) + t² S(x⁴)`` and
+``Σeh = S(exq) − t S(ex²)``, so five sums per feature are combined on the map side
+and only then joined to one row per feature; a feature held by a third of all rows
+is no single task.  Its table of changes is written and joined back, broadcast
+under the checked bound, else by a shuffle in which rows without an entry have
+keys of their own.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, broadcast_rows, literal_block_rows, local_delta_rows
+from ..session import (Scratch, fits_broadcast, literal_block_rows, maybe_broadcast, segment_blocks)
 from .model import FMConfig, FMModel, init_params, interaction_expr, score_sums
 from .vectorize import Block
 
+# A sum of squares below this share of its parts is rounding: h is 0 on every row.
+ROUNDING = 1e-13
+# Changed values of narrow blocks kept on the driver before they are written.
+KEPT_UPDATES = 100_000
+
 
 # ---- helpers ---------------------------------------------------------------
 
@@ -55,28 +58,23 @@ def block_entry(lo: int, hi: int) -> Column:
     return F.get(F.filter("features", lambda e: (e["feature_id"] >= lo) & (e["feature_id"] < hi)), 0)
 
 
-MAX_BLOCK_COLUMNS = 64
+def block_columns(blocks: list[Block]) -> list[Column]:
+    """``l{j}``, ``x{j}`` of each block: id − block start, and value (null if none)."""
+    out = []
+    for j, b in enumerate(blocks):
+        e = block_entry(b.offset, b.end)
+        out += [(e["feature_id"] - F.lit(b.offset)).cast("int").alias(f"l{j}"), e["value"].alias(f"x{j}")]
+    return out
 
 
-def with_block_columns(state: DataFrame, blocks: list[Block]) -> DataFrame:
-    """Extract each block's entry into plain columns once per pass, so the
-    block steps stay in generated code (the array ``filter`` is a
-    higher-order function, evaluated without codegen)."""
-    if len(blocks) > MAX_BLOCK_COLUMNS:
-        return state
-    cols = []
-    for b in blocks:
-        e = block_entry(b.offset, b.end)
-        cols += [e["feature_id"].alias(f"_bf{b.offset}"), e["value"].alias(f"_bx{b.offset}")]
-    return state.select("*", *cols)
+def array_literal(values: list, dtype: str) -> Column:
+    """A constant array (one JSON string, folded by the optimizer); as an object it
+    leaves the generated code, and so its compiled form, the same for other values."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{dtype}>")
 
 
-def entry_of(state: DataFrame, blk: Block) -> tuple[Column, Column]:
-    """``(feature_id, value)`` of the row's entry in ``blk`` (null if none)."""
-    if f"_bf{blk.offset}" in state.columns:
-        return F.col(f"_bf{blk.offset}"), F.col(f"_bx{blk.offset}")
-    e = block_entry(blk.offset, blk.end)
-    return e["feature_id"], e["value"]
+def number_literal(value: float) -> Column:
+    return F.element_at(array_literal([value], "double"), 1)
 
 
 def updated_theta(theta: Column, sum_hh: Column, sum_eh: Column, reg: float) -> Column:
@@ -87,58 +85,95 @@ def updated_theta(theta: Column, sum_hh: Column, sum_eh: Column, reg: float) ->
     return F.when(finite, new).otherwise(theta)
 
 
-def _bcast_if(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= broadcast_rows(df.sparkSession) else df
+def spread_null(key: Column, row_id: Column) -> Column:
+    """``key`` (not negative), or a negative number of the row's own: null keys of a
+    shuffle join do not meet in one task, and match nothing."""
+    return F.coalesce(key.cast("bigint"), F.lit(-1).cast("bigint") - F.pmod(F.xxhash64(row_id), F.lit(1 << 40)))
 
 
-def _scratch(df: DataFrame, scratch: Scratch | None) -> Scratch:
-    return scratch if scratch is not None else Scratch(df.sparkSession, "als")
+def placed_join(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
+    """Join of two tables placed by ``key``: bucket by bucket, so the result is placed
+    too (a broadcast of the smaller one would read them without their buckets)."""
+    return left.join(right.hint("merge"), key)
 
 
-# ---- state -----------------------------------------------------------------
+# ---- training rows ----------------------------------------------------------
 
-def prepare_rows(rows: DataFrame, partitions: int | None = None,
-                 scratch: Scratch | None = None) -> DataFrame:
-    """Write the training rows once (a shallow plan for every later job),
-    then hash-partition them by ``row_id`` and keep them: every scoring pass
-    groups and joins by ``row_id`` without a shuffle."""
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = rows.select("row_id", "y", "features")
-    if scratch is not None:
-        base = scratch.write(base, "rows")
-    out = base.repartition(n, "row_id").persist()
-    out.count()
+@dataclass
+class Segment:
+    """Consecutive blocks and their entries: ``row_id, l0, x0, l1, x1, ...``."""
+    blocks: list[Block]
+    table: DataFrame
+
+
+@dataclass
+class Training:
+    """Training rows placed by ``row_id`` and the segments of their blocks."""
+    rows: DataFrame
+    segments: list[Segment]
+    parts: int
+    scratch: Scratch
+    paths: list[str] = field(default_factory=list)     # what lives as long as the training
+
+
+def cut_segments(blocks: list[Block], size: int) -> list[list[Block]]:
+    return [blocks[i:i + size] for i in range(0, len(blocks), size)]
+
+
+def place_rows(rows: DataFrame, scratch: Scratch, columns: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Write ``row_id, y, features`` (and ``columns``) bucketed by row id.  Ids that are
+    null or repeat are replaced by new ones, drawn from the written rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.place(rows.select("row_id", "y", "features", *columns), "row_id", parts, "rows")
+    if not placed.groupBy("row_id").count().where("count > 1 OR row_id IS NULL").isEmpty():
+        old = scratch.last()
+        placed = scratch.place(placed.withColumn("row_id", F.monotonically_increasing_id()), "row_id", parts, "rows")
+        scratch.drop(old)
+    return placed, parts
+
+
+def place_segments(placed: DataFrame, blocks: list[Block], parts: int, scratch: Scratch) -> list[Segment]:
+    """Write the entries of each segment; blocks that no row touches have no update and
+    are left out."""
+    out = []
+    for part in cut_segments(blocks, segment_blocks(placed.sparkSession)):
+        table = scratch.place(placed.select("row_id", *block_columns(part)), "row_id", parts, "segment", placed=True)
+        path = scratch.last()
+        hit = table.agg(*[F.count(f"l{j}").alias(f"n{j}") for j in range(len(part))]).first()
+        live = [j for j in range(len(part)) if hit[f"n{j}"]]
+        if not live:
+            scratch.drop(path)
+            continue
+        cols = [F.col(f"{c}{j}").alias(f"{c}{i}") for i, j in enumerate(live) for c in ("l", "x")]
+        out.append(Segment([part[j] for j in live], table.select("row_id", *cols)))
     return out
 
 
-def occupied_blocks(rows: DataFrame, blocks: list[Block]) -> list[Block]:
-    """Blocks that some row touches (one small aggregation; one count per
-    block reaches the driver).  An untouched block has no update."""
-    if not blocks:
-        return []
-    bounds = [b.end for b in blocks]
-    ids = rows.select(F.explode("features").alias("e")).select(F.col("e.feature_id").alias("i"))
-    idx = F.lit(len(bounds))
-    for j in range(len(bounds) - 1, -1, -1):
-        idx = F.when(F.col("i") < F.lit(bounds[j]), F.lit(j)).otherwise(idx)
-    hit = {r["b"] for r in ids.select(idx.alias("b")).distinct().collect()}
-    return [b for j, b in enumerate(blocks) if j in hit]
+def prepare(rows: DataFrame, blocks: list[Block], scratch: Scratch | None = None) -> Training:
+    """Write what every pass reads: the rows, and their entries by segment."""
+    scratch = scratch if scratch is not None else Scratch(rows.sparkSession, "als")
+    mark = scratch.mark()
+    placed, parts = place_rows(rows, scratch)
+    segments = place_segments(placed, blocks, parts, scratch)
+    return Training(placed, segments, parts, scratch, scratch.paths[mark:])
+
 
+# ---- residuals and bias -----------------------------------------------------
 
 def residuals(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
               dimension: int | None = None) -> DataFrame:
-    """``row_id, y, features, e, q*``: ``e = ŷ − y`` and ``q_f = Σ v_f x``."""
+    """``row_id, e, q*``: ``e = ŷ − y`` and ``q_f = Σ v_f x`` (unique row ids)."""
     sums = score_sums(rows, params, cfg, dimension)
-    j = rows.join(sums, "row_id", "left")
+    j = rows.select("row_id", "y").join(sums.hint("merge"), "row_id", "left")
     lin = F.coalesce(F.col("lin"), F.lit(0.0)) if cfg.k1 else F.lit(0.0)
-    pred = (F.lit(float(w0)) if cfg.k0 else F.lit(0.0)) + lin + F.coalesce(interaction_expr(cfg.k), F.lit(0.0))
-    return j.select("row_id", "y", "features", (pred - F.col("y")).alias("e"),
+    pred = (number_literal(float(w0)) if cfg.k0 else F.lit(0.0)) + lin + F.coalesce(interaction_expr(cfg.k), F.lit(0.0))
+    return j.select("row_id", (pred - F.col("y")).alias("e"),
                     *[F.coalesce(F.col(f"s{f}"), F.lit(0.0)).alias(f"q{f}") for f in range(cfg.k)])
 
 
 def factor_sums(rows: DataFrame, params: DataFrame, cfg: FMConfig, dimension: int | None = None
                 ) -> DataFrame:
-    """``row_id, q0 .. q{k-1}`` with ``q_f = Σ v_f x``."""
+    """``row_id, q0 .. q{k-1}`` with ``q_f = Σ v_f x`` (unique row ids)."""
     sums = score_sums(rows, params, cfg, dimension)
     return rows.select("row_id").join(sums, "row_id", "left").select(
         "row_id", *[F.coalesce(F.col(f"s{f}"), F.lit(0.0)).alias(f"q{f}") for f in range(cfg.k)])
@@ -164,34 +199,67 @@ def global_bias_step(state: DataFrame, w0: float, cfg: FMConfig,
     """``w0' = −(Σe − w0·n)/(reg0 + n)`` and ``e += w0' − w0``."""
     se, n, _ = summary or state_summary(state)
     new = global_bias_update(w0, se, n, cfg.reg0)
-    if new == w0:
-        return state, w0
-    return state.withColumn("e", F.col("e") + F.lit(new - w0)), new
+    return state.withColumn("e", F.col("e") + number_literal(new - w0)), new
 
 
-# ---- one block -------------------------------------------------------------
+@dataclass
+class PassState:
+    """Start of a pass: the errors after the bias step and each factor's sums."""
+    errors: DataFrame           # row_id, e
+    sums: DataFrame             # row_id, q0 .. q{k-1}
+    w0: float
+    rmse: float
 
-def theta_stats(state: DataFrame, params: DataFrame, block: Block, slot: str, factor: int | None,
-                ) -> DataFrame:
-    """``feature_id, theta, sum_hh, sum_eh`` for the ids of one block.
-    ``slot`` is ``w`` or ``v{f}``; for ``v`` the old value is looked up per row
-    (broadcast when the block is narrow)."""
-    bid, bx = entry_of(state, block)
-    st = state.select("e", *([f"q{factor}"] if factor is not None else []),
-                      bid.alias("_bid"), bx.alias("_bx")).where(F.col("_bid").isNotNull())
+
+def start_pass(train: Training, params: DataFrame, w0: float, cfg: FMConfig, dimension: int) -> PassState:
+    state = train.scratch.place(residuals(train.rows, params, w0, cfg, dimension), "row_id", train.parts, "state",
+                                placed=True)
+    summary = state_summary(state)
+    errors = state.select("row_id", "e")
+    if cfg.k0:
+        errors, w0 = global_bias_step(errors, w0, cfg, summary)
+    return PassState(errors, state.drop("e"), w0, summary[2])
+
+
+# ---- one block -------------------------------------------------------------
+# A work frame holds row_id, e, (q in a factor's sweep) and the segment's columns.
+
+def work_frame(segment: Segment, errors: DataFrame, sums: DataFrame | None = None, factor: int | None = None) -> DataFrame:
+    work = placed_join(segment.table, errors)
+    if factor is not None:
+        work = placed_join(work, sums.select("row_id", F.col(f"q{factor}").alias("q")))
+    return work
+
+
+def block_sums(work: DataFrame, j: int, block: Block, factor: bool) -> DataFrame:
+    """``feature_id`` and its sums, combined on the map side; no old value per row is needed."""
+    e, x, q = F.col("e"), F.col(f"x{j}"), F.col("q")
+    sums = ({"s_xx": x * x, "s_ex": e * x} if not factor else
+            {"s_hh": x * x * q * q, "s_xq": x * x * x * q, "s_x4": x * x * x * x, "s_eq": e * x * q, "s_exx": e * x * x})
+    feature = F.col(f"l{j}") + F.lit(block.offset).cast("bigint")
+    return (work.where(F.col(f"l{j}").isNotNull()).groupBy(feature.alias("feature_id"))
+            .agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
+
+
+def theta_stats(work: DataFrame, params: DataFrame, j: int, block: Block, slot: str) -> DataFrame:
+    """``feature_id, theta, sum_hh, sum_eh`` for the ids of block ``j`` of a work frame.
+    ``slot`` is ``w`` or ``v{f}``."""
+    factor = slot != "w"
+    spark = work.sparkSession
+    sums = block_sums(work, j, block, factor)
     theta = params.where((F.col("feature_id") >= block.offset) & (F.col("feature_id") < block.end)) \
                   .select("feature_id", F.col(slot).alias("theta"))
-    x = F.col("_bx")
-    if factor is None:
-        h = x
+    st = sums.join(maybe_broadcast(theta, block.size, spark, 16 * block.size), "feature_id", "left")
+    t = F.coalesce(F.col("theta"), F.lit(0.0))
+    if not factor:
+        hh, eh = F.col("s_xx"), F.col("s_ex")
     else:
-        th = _bcast_if(theta.withColumnRenamed("feature_id", "_tid"), block.size)
-        st = st.join(th, F.col("_bid") == F.col("_tid"), "left")
-        h = x * F.col(f"q{factor}") - x * x * F.coalesce(F.col("theta"), F.lit(0.0))
-    stats = st.groupBy(F.col("_bid").alias("feature_id")).agg(
-        F.sum(h * h).alias("sum_hh"), F.sum(F.col("e") * h).alias("sum_eh"))
-    return stats.join(theta, "feature_id", "left").select(
-        "feature_id", F.coalesce(F.col("theta"), F.lit(0.0)).alias("theta"), "sum_hh", "sum_eh")
+        whole = F.col("s_hh") + t * t * F.col("s_x4")
+        hh = F.col("s_hh") - F.lit(2.0) * t * F.col("s_xq") + t * t * F.col("s_x4")
+        none = hh <= F.lit(ROUNDING) * whole
+        eh = F.when(none, F.lit(0.0)).otherwise(F.col("s_eq") - t * F.col("s_exx"))
+        hh = F.when(none, F.lit(0.0)).otherwise(hh)
+    return st.select("feature_id", t.alias("theta"), hh.alias("sum_hh"), eh.alias("sum_eh"))
 
 
 def theta_update(stats: DataFrame, reg: float) -> DataFrame:
@@ -202,54 +270,58 @@ def theta_update(stats: DataFrame, reg: float) -> DataFrame:
             .where(F.col("delta") != 0))
 
 
-def error_update(state: DataFrame, delta: DataFrame, block: Block, factor: int | None,
-                 width: int) -> DataFrame:
-    """``e += h·Δ`` (and ``q_f += x·Δ``) on the rows holding an updated id."""
-    bid, bx = entry_of(state, block)
-    d = _bcast_if(delta.select(F.col("feature_id").alias("_did"), F.col("theta").alias("_dth"),
-                               F.col("delta").alias("_dd")), width)
-    j = state.withColumn("_jid", bid).withColumn("_jx", bx) \
-             .join(d, F.col("_jid") == F.col("_did"), "left")
-    x, dd = F.col("_jx"), F.coalesce(F.col("_dd"), F.lit(0.0))
-    cols = list(state.columns)
-    if factor is None:
-        e_new = F.col("e") + F.coalesce(x * dd, F.lit(0.0))
-        out = [e_new.alias("e") if c == "e" else F.col(c) for c in cols]
+def _applied(work: DataFrame, j: int, factor: bool, theta: Column, delta: Column) -> list[Column]:
+    """The work frame's columns after ``e += h·Δ`` (and ``q += x·Δ``)."""
+    x = F.coalesce(F.col(f"x{j}"), F.lit(0.0))
+    if not factor:
+        h = x
     else:
-        q = F.col(f"q{factor}")
-        h = x * q - x * x * F.coalesce(F.col("_dth"), F.lit(0.0))
-        e_new = F.col("e") + F.coalesce(h * dd, F.lit(0.0))
-        q_new = q + F.coalesce(x * dd, F.lit(0.0))
-        out = [e_new.alias("e") if c == "e" else q_new.alias(c) if c == f"q{factor}" else F.col(c)
-               for c in cols]
-    return j.select(*out)
-
-
-@dataclass
-class SweepResult:
-    state: DataFrame
-    updates: DataFrame | None   # feature_id, new  (ids whose value changed)
-
-
-def array_literal(values: list, dtype: str) -> Column:
-    """A constant array (one JSON string, folded by the optimizer)."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{dtype}>")
+        h = x * F.col("q") - x * x * theta
+    new = {"e": F.col("e") + h * delta} | ({"q": F.col("q") + x * delta} if factor else {})
+    return [new[c].alias(c) if c in new else F.col(c) for c in work.columns]
+
+
+def error_update(work: DataFrame, delta: DataFrame, j: int, block: Block, factor: bool) -> DataFrame:
+    """``e += h·Δ`` (and ``q += x·Δ``) on the rows holding an updated id of a wide
+    block, by a join with its table of changes."""
+    d = delta.select((F.col("feature_id") - F.lit(block.offset)).alias("_dl"), F.col("theta").alias("_dth"),
+                     F.col("delta").alias("_dd"))
+    key = F.col(f"l{j}").cast("bigint")
+    if fits_broadcast(work.sparkSession, block.size, 24 * block.size):
+        d = F.broadcast(d)
+    else:
+        key = spread_null(key, F.col("row_id"))
+    joined = work.join(d, key == F.col("_dl"), "left")
+    return joined.select(*_applied(work, j, factor, F.coalesce(F.col("_dth"), F.lit(0.0)),
+                                   F.coalesce(F.col("_dd"), F.lit(0.0))))
 
 
-def pick_narrow(blocks: list[Block], spark) -> list[Block]:
-    """Blocks taking the literal path: each at most the literal bound wide,
-    and together at most ``fmlattice.localDeltaRows`` values per family."""
-    lim, total, out = literal_block_rows(spark), local_delta_rows(spark), []
-    for b in blocks:
-        if b.size <= lim and b.size <= total:
-            out.append(b)
-            total -= b.size
-    return out
+def narrow_step(work: DataFrame, j: int, theta: list[float], reg: float,
+                factor: bool) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """One narrow block: the statistics and the new values in one job (at most the
+    block's width of numbers comes back), then the update as a projection."""
+    th_arr = array_literal(theta, "double")
+    e, x, q, at = F.col("e"), F.col(f"x{j}"), F.col("q"), F.col(f"l{j}") + F.lit(1)
+    old = F.element_at(th_arr, at)
+    h = x * q - x * x * old if factor else x
+    stats = (work.where(F.col(f"l{j}").isNotNull()).groupBy(F.col(f"l{j}").alias("l"))
+             .agg(F.sum(h * h).alias("hh"), F.sum(e * h).alias("eh")))
+    was = F.element_at(th_arr, F.col("l") + F.lit(1))
+    new = updated_theta(was, F.col("hh"), F.col("eh"), reg)
+    changed = [(int(r[0]), float(r[1])) for r in
+               stats.select("l", new.alias("new")).where(F.col("new") != was).collect()]
+    delta = [0.0] * len(theta)
+    for i, value in changed:
+        delta[i] = value - theta[i]
+    d = F.coalesce(F.element_at(array_literal(delta, "double"), at), F.lit(0.0))
+    return work.select(*_applied(work, j, factor, F.coalesce(old, F.lit(0.0)), d)), changed
 
 
 def narrow_thetas(params: DataFrame, blocks: list[Block], slot: str) -> dict[int, list[float]]:
-    """Old values of the narrow blocks of one family, one job; bounded by
-    the blocks' widths (each at most the literal bound)."""
+    """Old values of the narrow blocks of one segment, one job; bounded by the
+    segment's blocks and the literal bound."""
+    limit = literal_block_rows(params.sparkSession)
+    blocks = [b for b in blocks if b.size <= limit]
     if not blocks:
         return {}
     cond = None
@@ -260,169 +332,162 @@ def narrow_thetas(params: DataFrame, blocks: list[Block], slot: str) -> dict[int
     return {b.offset: [got.get(i, 0.0) for i in range(b.offset, b.end)] for b in blocks}
 
 
-def narrow_step(state: DataFrame, blk: Block, theta: list[float], reg: float,
-                factor: int | None) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """One narrow block: the stats and the new values in one job (at most
-    ``blk.size`` rows come back), then the state update as a projection."""
-    th_arr = array_literal(theta, "double")
-    bid, bx = entry_of(state, blk)
-    st = state.select("e", *([f"q{factor}"] if factor is not None else []),
-                      bid.alias("_bid"), bx.alias("_bx")).where(F.col("_bid").isNotNull())
-    x = F.col("_bx")
-    if factor is None:
-        h = x
-    else:
-        th = F.element_at(th_arr, (F.col("_bid") - F.lit(blk.offset) + 1).cast("int"))
-        h = x * F.col(f"q{factor}") - x * x * th
-    stats = st.groupBy(F.col("_bid").alias("feature_id")).agg(
-        F.sum(h * h).alias("sum_hh"), F.sum(F.col("e") * h).alias("sum_eh"))
-    old = F.element_at(th_arr, (F.col("feature_id") - F.lit(blk.offset) + 1).cast("int"))
-    new = updated_theta(old, F.col("sum_hh"), F.col("sum_eh"), reg)
-    changed = [(int(r[0]), float(r[1]), float(r[2])) for r in
-               stats.select("feature_id", old.alias("old"), new.alias("new"))
-                    .where(F.col("new") != F.col("old")).collect()]
-    delta = [0.0] * blk.size
-    for fid, o, n in changed:
-        delta[fid - blk.offset] = n - o
-    d_arr = array_literal(delta, "double")
-    idx = (bid - F.lit(blk.offset) + 1).cast("int")
-    dd = F.coalesce(F.element_at(d_arr, idx), F.lit(0.0))
-    xv = F.coalesce(bx, F.lit(0.0))
-    if factor is None:
-        out = [(F.col("e") + xv * dd).alias("e") if c == "e" else F.col(c) for c in state.columns]
-    else:
-        q = F.col(f"q{factor}")
-        th_old = F.coalesce(F.element_at(th_arr, idx), F.lit(0.0))
-        hh = xv * q - xv * xv * th_old
-        out = [(F.col("e") + hh * dd).alias("e") if c == "e" else
-               (q + xv * dd).alias(c) if c == f"q{factor}" else F.col(c) for c in state.columns]
-    return state.select(*out), [(fid, n) for fid, _, n in changed]
-
-
-def sweep(state: DataFrame, params: DataFrame, blocks: list[Block], slot: str, reg: float,
-          factor: int | None = None, scratch: Scratch | None = None,
-          write_state: bool = True) -> SweepResult:
-    """All blocks of one parameter family, ascending ids.  The family's
-    start state is read once per block; each block's update is applied
-    lazily (a projection for a narrow block, a join with its table of new
-    values otherwise); the end state is written."""
-    scratch = _scratch(state, scratch)
-    spark = state.sparkSession
-    thetas = narrow_thetas(params, pick_narrow(blocks, spark), slot)
-    updates, narrow_new = [], []
-    for blk in blocks:
+# ---- sweeps ----------------------------------------------------------------
+
+class Updates:
+    """New values of a pass: a bounded number of rows here, the rest in written tables."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.rows, self.tables = scratch, [], []
+
+    SCHEMA = "feature_id bigint, slot string, new double"
+
+    def add(self, slot: str, block: Block, changed: list[tuple[int, float]]) -> None:
+        self.rows += [(block.offset + i, slot, v) for i, v in changed]
+        if len(self.rows) >= KEPT_UPDATES:
+            self.tables.append(self.scratch.write(self.scratch.spark.createDataFrame(self.rows, self.SCHEMA), "new"))
+            self.rows = []
+
+    def add_table(self, slot: str, delta: DataFrame) -> None:
+        self.tables.append(delta.select("feature_id", F.lit(slot).alias("slot"), "new"))
+
+    def frame(self) -> DataFrame | None:
+        parts = list(self.tables)
+        if self.rows:
+            parts.append(self.scratch.spark.createDataFrame(self.rows, self.SCHEMA))
+        out = None
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+        return out
+
+    def apply(self, params: DataFrame, dimension: int) -> DataFrame:
+        """``params`` with the new values, by one join."""
+        new = self.frame()
+        if new is None:
+            return params
+        slots = [c for c in params.columns if c != "feature_id"]
+        wide = new.groupBy("feature_id").agg(*[
+            F.max(F.when(F.col("slot") == s, F.col("new"))).alias(f"_{s}") for s in slots])
+        j = params.join(maybe_broadcast(wide, dimension, extra_bytes=8 * len(slots) * dimension), "feature_id", "left")
+        return j.select("feature_id", *[F.coalesce(F.col(f"_{s}"), F.col(s)).alias(s) for s in slots])
+
+
+def block_steps(work: DataFrame, params: DataFrame, blocks: list[Block], slot: str, reg: float,
+                updates: Updates) -> DataFrame:
+    """All blocks of one segment, ascending ids; returns the updated work frame."""
+    factor = slot != "w"
+    thetas = narrow_thetas(params, blocks, slot)
+    for j, blk in enumerate(blocks):
         if blk.offset in thetas:
-            state, changed = narrow_step(state, blk, thetas[blk.offset], reg, factor)
-            narrow_new.extend(changed)
-            continue
-        stats = theta_stats(state, params, blk, slot, factor)
-        upd = theta_update(stats, reg)
-        if blk.size <= local_delta_rows(spark):
-            delta = spark.createDataFrame(upd.toPandas(), upd.schema)   # ≤ blk.size rows
+            work, changed = narrow_step(work, j, thetas[blk.offset], reg, factor)
+            updates.add(slot, blk, changed)
         else:
-            delta = scratch.write(upd, "delta")
-        updates.append(delta.select("feature_id", "new"))
-        state = error_update(state, delta, blk, factor, blk.size)
-    if narrow_new:
-        updates.append(spark.createDataFrame(narrow_new, "feature_id bigint, new double"))
-    if write_state and blocks:
-        state = scratch.write(state, "state").persist()
-    upd = None
-    for u in updates:
-        upd = u if upd is None else upd.unionByName(u)
-    return SweepResult(state, upd)
-
-
-def apply_updates(params: DataFrame, updates: DataFrame | None, slot: str, width: int) -> DataFrame:
-    if updates is None:
-        return params
-    u = _bcast_if(updates.select(F.col("feature_id"), F.col("new").alias("_new")), width)
-    j = params.join(u, "feature_id", "left")
-    return j.select(*[F.coalesce(F.col("_new"), F.col(c)).alias(c) if c == slot else F.col(c)
-                      for c in params.columns])
-
-
-# ---- iteration and fit -----------------------------------------------------
+            delta = updates.scratch.write(theta_update(theta_stats(work, params, j, blk, slot), reg), "delta")
+            updates.add_table(slot, delta)
+            work = error_update(work, delta, j, blk, factor)
+    return work
+
+
+def sweep(train: Training, errors: DataFrame, params: DataFrame, slot: str, reg: float, updates: Updates,
+          sums: DataFrame | None = None, write_last: bool = True, owned: str | None = None
+          ) -> tuple[DataFrame, str | None]:
+    """All blocks of one parameter family.  After each segment the changed state is
+    written and the one before it (``owned``: its path) deleted; returns the errors
+    and their path.  ``write_last=False``: nobody reads the errors after the sweep."""
+    factor = None if slot == "w" else int(slot[1:])
+    state = errors
+    if factor is not None:
+        state = placed_join(errors, sums.select("row_id", F.col(f"q{factor}").alias("q")))
+    for i, seg in enumerate(train.segments):
+        start = placed_join(seg.table, state).persist()
+        work = block_steps(start, params, seg.blocks, slot, reg, updates)
+        last = i == len(train.segments) - 1
+        if last and not write_last:
+            start.unpersist()
+            return errors, owned
+        keep = ["row_id", "e"] + (["q"] if factor is not None and not last else [])
+        # joins above the broadcast bound may have moved the rows
+        moved = any(not fits_broadcast(work.sparkSession, b.size, 24 * b.size) for b in seg.blocks)
+        state = train.scratch.place(work.select(*keep), "row_id", train.parts, "state", placed=not moved)
+        start.unpersist()
+        if owned:
+            train.scratch.drop(owned)
+        owned = train.scratch.last()
+    return state, owned
+
 
 @dataclass
 class IterationResult:
     params: DataFrame
     w0: float
     rmse_before: float
-    state: DataFrame
-    cached: list | None = None      # frames the pass cached; released by ``fit``
-
-
-def als_iteration(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
-                  blocks: list[Block], dimension: int, stop_after: str | None = None,
-                  scratch: Scratch | None = None) -> IterationResult:
-    """One pass: residuals, w0, every w, then every v_f (ascending ids).
-    ``stop_after`` (``w0``, ``w``, ``v0`` ...) ends the pass early (for tests)."""
-    scratch = _scratch(rows, scratch)
-    start = with_block_columns(residuals(rows, params, w0, cfg, dimension), blocks).persist()
-    summary = state_summary(start)
-    rmse_before = summary[2]
-    state = start
-    if cfg.k0:
-        state, w0 = global_bias_step(state, w0, cfg, summary)
-    families = (["w"] if cfg.k1 else []) + [f"v{f}" for f in range(cfg.k)]
-    if stop_after == "w0":
-        families = []
-    elif stop_after in families:
-        families = families[:families.index(stop_after) + 1]
-    cached = []
-    for j, slot in enumerate(families):
-        last = j == len(families) - 1 and stop_after is None
-        factor = None if slot == "w" else int(slot[1:])
-        reg = cfg.regw if slot == "w" else cfg.regv
-        res = sweep(state, params, blocks, slot, reg, factor=factor, scratch=scratch,
-                    write_state=not last)
-        if not last:
-            cached.append(res.state)
-        state = res.state
-        params = apply_updates(params, res.updates, slot, dimension)
-        if j == 0:
-            start.unpersist()
-    params = scratch.write(params, "params")
-    start.unpersist()
-    return IterationResult(params, w0, rmse_before, state, cached)
+
+
+def families(cfg: FMConfig) -> list[tuple[str, float]]:
+    """(slot, regularisation) of each parameter family, in order."""
+    return ([("w", cfg.regw)] if cfg.k1 else []) + [(f"v{f}", cfg.regv) for f in range(cfg.k)]
+
+
+def als_iteration(train: Training, params: DataFrame, w0: float, cfg: FMConfig, dimension: int) -> IterationResult:
+    """One pass: residuals, w0, every w, then every v_f (ascending ids)."""
+    mark = train.scratch.mark()
+    start = start_pass(train, params, w0, cfg, dimension)
+    updates, errors, owned = Updates(train.scratch), start.errors, None
+    todo = families(cfg)
+    for i, (slot, reg) in enumerate(todo):
+        errors, owned = sweep(train, errors, params, slot, reg, updates, start.sums,
+                              write_last=i < len(todo) - 1, owned=owned)
+    made = train.scratch.paths[mark:]
+    params = train.scratch.write(updates.apply(params, dimension), "params")
+    for path in made:
+        train.scratch.drop(path)
+    return IterationResult(params, start.w0, start.rmse)
 
 
 def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] | None = None,
-        learner=als_iteration, params: DataFrame | None = None, w0: float = 0.0,
+        learner=None, params: DataFrame | None = None, w0: float = 0.0,
         scratch: Scratch | None = None) -> FMModel:
     """``FM(dataset, k, iterations).learnWith(learner)``: initialise, then
     iterate; the trace holds the training RMSE before each iteration.  Only
     the final parameter table is kept in the scratch folder.
 
-    ``rows`` may also be a ``RelationalData`` (fact + side tables), which is
-    fitted relation-level (``relational.relational_fit``)."""
-    if not isinstance(rows, DataFrame):
-        from .relational import RelationalData, relational_fit
-        if isinstance(rows, RelationalData):
-            return relational_fit(rows, cfg, params=params, w0=w0)
-        raise TypeError("fit takes training rows or a RelationalData")
-    if dimension is None or blocks is None:
-        raise ValueError("flat rows need their dimension and conflict-free blocks")
-    spark = rows.sparkSession
-    scratch = _scratch(rows, scratch)
-    rows = prepare_rows(rows, scratch=scratch)
-    blocks = occupied_blocks(rows, blocks)
-    rows_path = scratch.paths[-1]
-    if params is None:
+    ``rows`` may also be a ``RelationalData`` (fact + side tables), which is fitted
+    relation-level.  ``learner(training, params, w0, cfg, dimension)`` does one
+    iteration; the default is exact coordinate descent on either kind of data."""
+    if isinstance(rows, DataFrame):
+        if dimension is None or blocks is None:
+            raise ValueError("flat rows need their dimension and conflict-free blocks")
+        scratch = scratch if scratch is not None else Scratch(rows.sparkSession, "als")
+        mark = scratch.mark()
+        train = prepare(rows, blocks, scratch)
+        learner = learner or als_iteration
+    else:
+        from .relational import RelationalData, prepare_relational, relational_iteration
+        if not isinstance(rows, RelationalData):
+            raise TypeError("fit takes training rows or a RelationalData")
+        if blocks is not None:
+            raise ValueError("a RelationalData brings its own blocks")
+        if dimension not in (None, rows.dimension):
+            raise ValueError(f"the data have {rows.dimension} features, not {dimension}")
+        dimension = rows.dimension
+        scratch = scratch if scratch is not None else Scratch(rows.fact.sparkSession, "rel")
+        mark = scratch.mark()
+        train = prepare_relational(rows, scratch)
+        learner = learner or relational_iteration
+    spark = scratch.spark
+    given = params is not None
+    if not given:
         params = scratch.write(init_params(spark, dimension, cfg), "params")
+    own = None if given else scratch.last()
     trace = []
     for it in range(1, cfg.iterations + 1):
-        mark = scratch.mark()
-        res = learner(rows, params, w0, cfg, blocks, dimension, scratch=scratch)
+        res = learner(train, params, w0, cfg, dimension)
         params, w0 = res.params, res.w0
-        for c in res.cached or []:
-            c.unpersist()
         trace.append((it, res.rmse_before))
-        # what this pass read (old params, earlier deltas) is no longer needed
-        scratch.drop_before(mark, keep=(rows_path,))
-    final = scratch.paths[-1] if scratch.paths else None
-    rows.unpersist()
-    scratch.drop_all(keep=(final,) if final else ())
-    trace_df = spark.createDataFrame(trace, "iteration bigint, rmse double")
-    return FMModel(w0, params, cfg, dimension, trace_df)
+        if own:
+            scratch.drop(own)
+        own = scratch.last()
+    for path in scratch.paths[mark:]:
+        if path != own:
+            scratch.drop(path)
+    return FMModel(w0, params, cfg, dimension, spark.createDataFrame(trace, "iteration bigint, rmse double"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch, literal_block_rows
 from .vectorize import Block
 
 
@@ -34,19 +35,37 @@ def adjacent_pairs(rows: DataFrame, lo: int, hi: int) -> DataFrame:
     return ex.groupBy(F.col("p.b").alias("b")).agg(F.max("p.a").alias("a"))
 
 
+def greedy_cut(near: dict[int, int], lo: int, hi: int) -> list[tuple[int, int]]:
+    """Ranges of ``[lo, hi)`` by ``near`` (b -> largest a before it in some row)."""
+    out, s = [], lo
+    for b in sorted(near):
+        if near[b] >= s and b > s:
+            out.append((s, b))
+            s = b
+    return out + [(s, hi)]
+
+
 def cut_block(rows: DataFrame, block: Block) -> list[Block]:
-    """Greedy conflict-free cut of one multi-valued block."""
+    """Greedy conflict-free cut of one multi-valued block.  The cut itself is
+    sequential: a block at most the literal bound wide is cut from one collected
+    aggregation (a number per id); a wider one asks for one cut point at a time."""
     if not block.multi or block.size <= 1:
         return [Block(block.name, block.offset, block.size, False)]
-    near = adjacent_pairs(rows, block.offset, block.end).persist()
-    out, s, j = [], block.offset, 0
-    while s < block.end:
-        t = near.where((F.col("b") > s) & (F.col("a") >= s)).agg(F.min("b").alias("t")).first()["t"]
-        t = block.end if t is None else int(t)
-        out.append(Block(f"{block.name}#{j}", s, t - s, False))
-        s, j = t, j + 1
-    near.unpersist()
-    return out
+    pairs = adjacent_pairs(rows, block.offset, block.end)
+    if block.size <= literal_block_rows(rows.sparkSession):
+        near = {int(r["b"]): int(r["a"]) for r in pairs.collect()}
+        cuts = greedy_cut(near, block.offset, block.end)
+    else:
+        scratch = Scratch(rows.sparkSession, "near")
+        table = scratch.write(pairs)
+        cuts, s = [], block.offset
+        while s < block.end:
+            t = table.where((F.col("b") > s) & (F.col("a") >= s)).agg(F.min("b").alias("t")).first()["t"]
+            t = block.end if t is None else int(t)
+            cuts.append((s, t))
+            s = t
+        scratch.drop_all()
+    return [Block(f"{block.name}#{j}", s, t - s, False) for j, (s, t) in enumerate(cuts)]
 
 
 def conflict_free_blocks(rows: DataFrame, blocks: list[Block]) -> list[Block]:

@@ -20,11 +20,6 @@ from ..session import single_task_rows
 ROWS_PER_RANGE = 4_000_000
 
 
-def distinct_tokens(tokens: DataFrame, token: str = "token") -> DataFrame:
-    """Distinct non-null tokens (partial aggregation on the map side)."""
-    return tokens.select(F.col(token).alias("token")).where(F.col("token").isNotNull()).distinct()
-
-
 def dense_ids(distinct: DataFrame, size: int | None = None, *,
               max_single_task: int | None = None) -> tuple[DataFrame, int]:
     """Number distinct ``token`` rows 0..n-1 in token order.
@@ -52,19 +47,3 @@ def dense_ids(distinct: DataFrame, size: int | None = None, *,
         "token",
         (F.col("_start") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)).alias("code"))
     return coded, n
-
-
-def build_dictionary(df: DataFrame, column, *, max_single_task: int | None = None
-                     ) -> tuple[DataFrame, int]:
-    """Dictionary of one categorical column (an expression giving the token)."""
-    col = F.col(column) if isinstance(column, str) else column
-    return dense_ids(distinct_tokens(df.select(col.cast("string").alias("token"))),
-                     max_single_task=max_single_task)
-
-
-def build_list_dictionary(df: DataFrame, tokens_col, *, max_single_task: int | None = None
-                          ) -> tuple[DataFrame, int]:
-    """Dictionary of a list column (array of tokens), after exploding it."""
-    col = F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col
-    return dense_ids(distinct_tokens(df.select(F.explode(col).alias("token"))),
-                     max_single_task=max_single_task)

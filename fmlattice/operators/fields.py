@@ -50,8 +50,9 @@ def Number(column: str, transform=None) -> FieldSpec:
     return FieldSpec(column, NUMBER, transform=transform)
 
 
-def Time(column: str) -> FieldSpec:
-    return FieldSpec(column, TIME)
+def Time(column: str, transform=None) -> FieldSpec:
+    """``transform`` takes the place of epoch seconds -> whole days."""
+    return FieldSpec(column, TIME, transform=transform)
 
 
 def Target(column: str, transform=None) -> FieldSpec:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_gauss
-from ..session import broadcast_bytes, broadcast_rows
+from ..session import fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -58,30 +58,35 @@ def init_params(spark, dimension: int, cfg: FMConfig) -> DataFrame:
 
 
 def join_params(entries: DataFrame, params: DataFrame, k: int, dimension: int | None = None,
-                how: str = "left") -> DataFrame:
+                own: str = "row_id", extra: tuple[str, ...] = ()) -> DataFrame:
     """Attach ``w, v*`` to long-form entries; broadcast the parameter table only
-    when its size (``dimension``) is known to be under the bound."""
-    p = params.select("feature_id", "w", *vcols(k))
-    spark = entries.sparkSession
-    if (dimension is not None and dimension <= broadcast_rows(spark)
-            and dimension * 8 * (k + 2) <= broadcast_bytes(spark)):
-        p = F.broadcast(p)
-    return entries.join(p, "feature_id", how)
+    when its size (``dimension``) is known to be under the bound.  Where it shuffles,
+    rows without a feature get keys of their own (``own``)."""
+    p = params.select("feature_id", "w", *vcols(k), *extra)
+    if dimension is not None and fits_broadcast(entries.sparkSession, dimension, dimension * 8 * (k + 2)):
+        return entries.join(F.broadcast(p), "feature_id", "left")
+    key = F.coalesce("feature_id", F.lit(-1).cast("bigint") - F.pmod(F.xxhash64(own), F.lit(1 << 40)))
+    p = p.withColumnRenamed("feature_id", "_pid")
+    return entries.withColumn("_key", key).join(p, F.col("_key") == F.col("_pid"), "left").drop("_key", "_pid")
+
+
+def entry_sums(k: int) -> list[Column]:
+    """``lin = Σ w x``, ``s_f = Σ v_f x``, ``ss_f = Σ (v_f x)^2``."""
+    x = F.col("value")
+    aggs = [F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * x).alias("lin")]
+    for f in range(k):
+        vx = F.coalesce(F.col(f"v{f}"), F.lit(0.0)) * x
+        aggs += [F.sum(vx).alias(f"s{f}"), F.sum(vx * vx).alias(f"ss{f}")]
+    return aggs
 
 
 def score_sums(rows: DataFrame, params: DataFrame, cfg: FMConfig, dimension: int | None = None,
                ) -> DataFrame:
-    """Per row: ``lin = Σ w x``, ``s_f = Σ v_f x``, ``ss_f = Σ (v_f x)^2``.
+    """Per row id: ``lin = Σ w x``, ``s_f = Σ v_f x``, ``ss_f = Σ (v_f x)^2``.
     Rows without features get no row here (see ``predict``).  Features
     missing from ``params`` contribute 0 (Q15)."""
     ent = rows.select("row_id", F.inline("features"))
-    j = join_params(ent, params, cfg.k, dimension)
-    x = F.col("value")
-    aggs = [F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * x).alias("lin")]
-    for f in range(cfg.k):
-        vx = F.coalesce(F.col(f"v{f}"), F.lit(0.0)) * x
-        aggs += [F.sum(vx).alias(f"s{f}"), F.sum(vx * vx).alias(f"ss{f}")]
-    return j.groupBy("row_id").agg(*aggs)
+    return join_params(ent, params, cfg.k, dimension).groupBy("row_id").agg(*entry_sums(cfg.k))
 
 
 def interaction_expr(k: int) -> Column:
@@ -93,11 +98,24 @@ def interaction_expr(k: int) -> Column:
 
 
 def predict(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
-            dimension: int | None = None, parts: str = "all") -> DataFrame:
+            dimension: int | None = None, parts: str = "all", unseen: str = "skip") -> DataFrame:
     """``row_id, y, prediction``; an empty row scores ``w0`` (Q20).
-    ``parts``: ``all``, ``linear`` (w0 + Σwx) or ``interactions``."""
-    sums = score_sums(rows, params, cfg, dimension)
-    j = rows.select("row_id", "y").join(sums, "row_id", "left")
+    ``parts``: ``all``, ``linear`` (w0 + Σwx) or ``interactions``.  A feature that the
+    model lacks contributes 0 or, with ``unseen="error"``, raises (Q15).
+
+    Rows are told apart by a number drawn here, so rows that share an id each get
+    their own score; the target rides along, so each row is shuffled once."""
+    if unseen not in ("error", "skip"):
+        raise ValueError(f"unknown unseen policy {unseen!r}; error or skip")
+    numbered = rows.select("row_id", "y", "features").withColumn("_u", F.monotonically_increasing_id())
+    ent = numbered.select("_u", "row_id", "y", F.inline_outer("features"))
+    j = join_params(ent, params.withColumn("_known", F.lit(True)), cfg.k, dimension, own="_u", extra=("_known",))
+    x, aggs = F.col("value"), []
+    if unseen == "error":
+        x = F.when(F.col("feature_id").isNotNull() & F.col("_known").isNull(), F.raise_error(
+            F.concat(F.lit("feature not in the model: "), F.col("feature_id").cast("string"))).cast("double")).otherwise(x)
+    grouped = j.withColumn("value", x).groupBy("_u").agg(
+        F.first("row_id").alias("row_id"), F.first("y").alias("y"), *entry_sums(cfg.k))
     lin = F.coalesce(F.col("lin"), F.lit(0.0)) if cfg.k1 else F.lit(0.0)
     inter = F.coalesce(interaction_expr(cfg.k), F.lit(0.0))
     bias = F.lit(float(w0)) if cfg.k0 else F.lit(0.0)
@@ -107,7 +125,7 @@ def predict(rows: DataFrame, params: DataFrame, w0: float, cfg: FMConfig,
         pred = inter
     else:
         pred = bias + lin + inter
-    return j.select("row_id", "y", pred.alias("prediction"))
+    return grouped.select("row_id", "y", pred.alias("prediction"))
 
 
 # ---- metrics: one-row DataFrames ------------------------------------------

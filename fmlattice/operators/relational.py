@@ -20,22 +20,27 @@ q_i += Δq_b (v), y_b = ½(q_b² − Σ v²x²).  The fact is read twice per rel
 and parameter family (build the cache, propagate); every block step inside
 the relation touches only relation rows.  The updates equal the flat sweep
 in the same (ascending id) order.
+
+The cache needs no side value per fact row: n, Σe, Σq, Σq², Σeq are grouped by key
+(combined before the shuffle, so a key held by a third of the facts is no single
+task), joined to one row per key and shifted by q_b there.  Rows, entries and state
+are placed as in ``als``; keys ride along with the rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, broadcast_rows, local_delta_rows
+from ..session import Scratch, fits_broadcast, maybe_broadcast
 from . import als as A
 from .blocks import conflict_free_blocks
-from .fields import IDENTITY, FieldSpec, split_target_inputs
-from .model import FMConfig, FMModel, init_params, score_sums
-from .relations import Relation, encode_relation
-from .vectorize import FEATURES, Block, _number_value, _source_type, vectorize_base
+from .fields import FieldSpec, split_target_inputs
+from .model import FMConfig, FMModel, score_sums
+from .relations import Relation, attach, encode_relations
+from .vectorize import FEATURES, Block, vectorize_base, base_columns
 
 
 @dataclass
@@ -47,6 +52,12 @@ class RelationBlock:
     rows: DataFrame
     blocks: list[Block]
     size: int
+    entries: int = 0
+
+    def broadcast(self, side: DataFrame, columns: int, features: bool = False) -> DataFrame:
+        """``side`` (one row per key) for a broadcast, if its measured size allows."""
+        extra = self.size * 8 * columns + (16 * self.entries if features else 0)
+        return maybe_broadcast(side, self.size, extra_bytes=extra)
 
 
 @dataclass
@@ -77,20 +88,13 @@ def attribute_groups(data: RelationalData, groups: DataFrame | None = None) -> D
 
 
 def relational_dataset(df: DataFrame, specs: list[FieldSpec], relations: dict[str, Relation],
-                       row_id: str) -> RelationalData:
+                       row_id: str | None = None) -> RelationalData:
     """Fact rows keep their own features and the key of each matched side
     row; side rows keep theirs (flat ids, same layout as ``relation_vectorize``)."""
     target, inputs = split_target_inputs(specs)
-    index = {s.column: i for i, s in enumerate(inputs)}
-    for col in relations:
-        if col not in index or inputs[index[col]].kind != IDENTITY:
-            raise ValueError(f"relation column {col!r} must be an identity field of the fact")
-    encoded = {index[c]: encode_relation(r) for c, r in relations.items()}
+    encoded = encode_relations(inputs, relations)
     extra = {i: (e.vec.dimension, e.vec.blocks()) for i, e in encoded.items()}
-    dtypes = {s.column: _source_type(df, s.column) for s in specs}
-    base = df.select(F.col(row_id).cast("bigint").alias("row_id"),
-                     _number_value(target, F.col(target.column), dtypes[target.column]).alias("y"),
-                     *[F.col(s.column).alias(f"_c{i}") for i, s in enumerate(inputs)])
+    base, dtypes = base_columns(df, specs, row_id)
     rel_rows: dict[int, DataFrame] = {}
 
     def substitute(frame: DataFrame, layout) -> DataFrame:
@@ -99,23 +103,13 @@ def relational_dataset(df: DataFrame, specs: list[FieldSpec], relations: dict[st
             rel_rows[i] = enc.rows.select(F.col("key"), F.transform("features", lambda e: F.struct(
                 (e["feature_id"] + F.lit(shift)).alias("feature_id"), e["value"].alias("value")))
                 .cast(FEATURES).alias("features"))
-            keys = enc.rows.select(F.col("key").alias(f"_rk{i}"))
-            keys = F.broadcast(keys) if enc.size <= broadcast_rows(frame.sparkSession) else keys
-            frame = frame.join(keys, F.col(f"_c{i}") == keys[f"_rk{i}"], "left")
-            matched = F.col(f"_rk{i}").isNotNull()
-            frame = frame.withColumn(f"_a{i}", F.when(matched, F.array().cast(FEATURES))
+            frame = attach(frame, f"_c{i}", enc.rows.select(F.col("key").alias(f"key_{i}")), f"key_{i}", enc)
+            frame = frame.withColumn(f"_a{i}", F.when(F.col(f"key_{i}").isNotNull(), F.array().cast(FEATURES))
                                      .otherwise(F.col(f"_a{i}")))
         return frame
 
-    vec = vectorize_base(base, inputs, dtypes, extra=extra, substitute=substitute)
-    # the key columns ride along: re-derive them on the encoded rows' source
-    keyed = base.select("row_id", *[F.col(f"_c{i}").alias(f"_k{i}") for i in encoded])
-    for i, enc in encoded.items():
-        k = enc.rows.select(F.col("key").alias(f"_rk{i}"))
-        k = F.broadcast(k) if enc.size <= broadcast_rows(df.sparkSession) else k
-        keyed = keyed.join(k, F.col(f"_k{i}") == k[f"_rk{i}"], "left").drop(f"_k{i}") \
-                     .withColumnRenamed(f"_rk{i}", f"key_{i}")
-    fact = vec.rows.join(keyed, "row_id")
+    vec = vectorize_base(base, inputs, dtypes, extra=extra, substitute=substitute,
+                         carry=[f"key_{i}" for i in encoded])
     rels, segments = [], []
     for f in vec.layout:
         if f.index in encoded:
@@ -123,44 +117,99 @@ def relational_dataset(df: DataFrame, specs: list[FieldSpec], relations: dict[st
             # a list field of the side table is cut on the side rows: any
             # conflict-free cut in ascending order gives the flat result
             rb = RelationBlock(f.column, f.index, rel_rows[f.index],
-                               conflict_free_blocks(rel_rows[f.index], f.blocks[1:]), enc.size)
+                               conflict_free_blocks(rel_rows[f.index], f.blocks[1:]), enc.size, enc.entries)
             rels.append(rb)
             segments.append(f.blocks[0])
             segments.append(rb)
         else:
-            segments.extend(conflict_free_blocks(fact, f.blocks))
-    return RelationalData(fact, rels, segments, vec.dimension, vec.layout)
+            segments.extend(conflict_free_blocks(vec.rows, f.blocks))
+    return RelationalData(vec.rows, rels, segments, vec.dimension, vec.layout)
 
 
 def relational_dimension(data: RelationalData) -> int:
     return data.dimension
 
 
+# ---- written training data -----------------------------------------------------
+
+@dataclass
+class SideTable:
+    """A side table's rows and entries, written once: ``key, features`` and segments
+    ``key, l0, x0, ...`` (all placed by key)."""
+    block: RelationBlock
+    rows: DataFrame
+    segments: list[A.Segment]
+
+
+@dataclass
+class RelationalTraining:
+    """Fact rows placed by row id; ``steps`` in flat order: a list of fact-level
+    segments, or a side table."""
+    rows: DataFrame               # row_id, y, features, key_*
+    steps: list
+    data: RelationalData
+    parts: int
+    scratch: Scratch
+    paths: list[str] = field(default_factory=list)
+
+    def sides(self) -> list[SideTable]:
+        return [s for s in self.steps if isinstance(s, SideTable)]
+
+
+def runs(segments: list) -> list:
+    """Side tables stay single; consecutive fact-level blocks form one list."""
+    out: list = []
+    for seg in segments:
+        if isinstance(seg, RelationBlock):
+            out.append(seg)
+        elif out and isinstance(out[-1], list):
+            out[-1].append(seg)
+        else:
+            out.append([seg])
+    return out
+
+
+def prepare_relational(data: RelationalData, scratch: Scratch | None = None) -> RelationalTraining:
+    scratch = scratch if scratch is not None else Scratch(data.fact.sparkSession, "rel")
+    mark = scratch.mark()
+    rows, parts = A.place_rows(data.fact, scratch, tuple(f"key_{rb.field}" for rb in data.relations))
+    steps: list = []
+    for run in runs(data.segments):
+        if isinstance(run, RelationBlock):
+            side = scratch.place(run.rows.select("key", "features"), "key", parts, "side")
+            named = side.withColumnRenamed("key", "row_id")
+            segs = A.place_segments(named, run.blocks, parts, scratch)
+            steps.append(SideTable(run, side, segs))
+        else:
+            steps.append(A.place_segments(rows, run, parts, scratch))
+    return RelationalTraining(rows, steps, data, parts, scratch, scratch.paths[mark:])
+
+
 # ---- learning ----------------------------------------------------------------
 
-def _rel_sums(rb: RelationBlock, params: DataFrame, cfg: FMConfig, dimension: int) -> DataFrame:
+def side_sums(side: DataFrame, params: DataFrame, cfg: FMConfig, dimension: int) -> DataFrame:
     """Per side row: ``key, lin, s_f, ss_f`` of its own features."""
-    r = rb.rows.select(F.col("key").alias("row_id"), "features", F.lit(0.0).alias("y"))
+    r = side.select(F.col("key").alias("row_id"), "features", F.lit(0.0).alias("y"))
     return score_sums(r, params, cfg, dimension).withColumnRenamed("row_id", "key")
 
 
 def relational_residuals(data: RelationalData, rows: DataFrame, params: DataFrame, w0: float,
-                         cfg: FMConfig) -> DataFrame:
-    """Fact state ``row_id, y, features, key_*, e, q*`` with the side rows'
-    contributions joined in by key."""
+                         cfg: FMConfig, sides: dict[int, DataFrame] | None = None) -> DataFrame:
+    """Fact state ``row_id, key_*, e, q*`` with the side rows' contributions joined in
+    by key.  ``sides``: each side table's ``side_sums``, if they are at hand."""
     own = score_sums(rows, params, cfg, data.dimension)
-    j = rows.join(own, "row_id", "left")
+    keys = [f"key_{rb.field}" for rb in data.relations]
+    j = rows.select("row_id", "y", *keys).join(own.hint("merge"), "row_id", "left")
     lin = F.coalesce(F.col("lin"), F.lit(0.0))
     s = {f: F.coalesce(F.col(f"s{f}"), F.lit(0.0)) for f in range(cfg.k)}
     ss = {f: F.coalesce(F.col(f"ss{f}"), F.lit(0.0)) for f in range(cfg.k)}
     for rb in data.relations:
         i = rb.field
-        rs = _rel_sums(rb, params, cfg, data.dimension).select(
-            F.col("key").alias(f"_rkey{i}"), F.col("lin").alias(f"_rlin{i}"),
-            *[F.col(f"s{f}").alias(f"_rs{i}_{f}") for f in range(cfg.k)],
-            *[F.col(f"ss{f}").alias(f"_rss{i}_{f}") for f in range(cfg.k)])
-        rs = F.broadcast(rs) if rb.size <= broadcast_rows(rows.sparkSession) else rs
-        j = j.join(rs, F.col(f"key_{i}") == rs[f"_rkey{i}"], "left")
+        rs = sides[i] if sides else side_sums(rb.rows, params, cfg, data.dimension)
+        rs = rs.select(F.col("key").alias(f"_rkey{i}"), F.col("lin").alias(f"_rlin{i}"),
+                       *[F.col(f"s{f}").alias(f"_rs{i}_{f}") for f in range(cfg.k)],
+                       *[F.col(f"ss{f}").alias(f"_rss{i}_{f}") for f in range(cfg.k)])
+        j = join_side(j, f"key_{i}", rb.broadcast(rs, 2 + 2 * cfg.k), f"_rkey{i}", rb, 2 + 2 * cfg.k)
         lin = lin + F.coalesce(F.col(f"_rlin{i}"), F.lit(0.0))
         for f in range(cfg.k):
             s[f] = s[f] + F.coalesce(F.col(f"_rs{i}_{f}"), F.lit(0.0))
@@ -168,251 +217,244 @@ def relational_residuals(data: RelationalData, rows: DataFrame, params: DataFram
     inter = F.lit(0.0)
     for f in range(cfg.k):
         inter = inter + F.lit(0.5) * (s[f] * s[f] - ss[f])
-    pred = (F.lit(float(w0)) if cfg.k0 else F.lit(0.0)) + (lin if cfg.k1 else F.lit(0.0)) + inter
-    keys = [f"key_{rb.field}" for rb in data.relations]
-    return j.select("row_id", "y", "features", *keys, (pred - F.col("y")).alias("e"),
+    pred = (A.number_literal(float(w0)) if cfg.k0 else F.lit(0.0)) + (lin if cfg.k1 else F.lit(0.0)) + inter
+    return j.select("row_id", *keys, (pred - F.col("y")).alias("e"),
                     *[s[f].alias(f"q{f}") for f in range(cfg.k)])
 
 
-def relation_q(rb: RelationBlock, params: DataFrame, f: int, dimension: int) -> DataFrame:
-    """``key, qb, ssb`` for factor f: Σ v x and Σ v²x² of the side row."""
-    ent = rb.rows.select("key", F.inline("features"))
-    p = params.select("feature_id", F.col(f"v{f}").alias("v"))
-    p = F.broadcast(p) if dimension <= broadcast_rows(params.sparkSession) else p
-    j = ent.join(p, "feature_id", "left")
-    vx = F.coalesce(F.col("v"), F.lit(0.0)) * F.col("value")
-    return j.groupBy("key").agg(F.sum(vx).alias("qb"), F.sum(vx * vx).alias("ssb"))
+def join_side(fact: DataFrame, key: str, side: DataFrame, side_key: str, rb: RelationBlock, columns: int) -> DataFrame:
+    """Left join by key.  Where both sides shuffle, facts without a key are left out of
+    the shuffle join and added back, so that they do not meet in one task."""
+    if fits_broadcast(fact.sparkSession, rb.size, rb.size * 8 * columns):
+        return fact.join(side, fact[key] == side[side_key], "left")
+    some, none = fact.where(F.col(key).isNotNull()), fact.where(F.col(key).isNull())
+    blank = [F.lit(None).cast(t).alias(c) for c, t in side.dtypes]
+    return some.join(side, some[key] == side[side_key], "left").unionByName(none.select("*", *blank))
 
 
 def relation_cache(state: DataFrame, rb: RelationBlock, params: DataFrame, factor: int | None,
-                   dimension: int) -> DataFrame:
-    """Per referenced side row: ``key, features, n, E, C, C2, EC, qb, ssb``
-    (for w only ``n, E`` matter; C* are 0)."""
-    kcol = f"key_{rb.field}"
-    st = state.where(F.col(kcol).isNotNull())
+                   dimension: int, side: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """Per referenced side row: ``key, n, E, C, C2, EC, qb, ssb`` (for w only ``n, E``
+    matter; the rest is 0).  ``state``: ``key_<field>, e`` and ``q<factor>`` or ``q``.
+    ``sums``: the side table's ``side_sums``, if at hand."""
+    key = F.col(f"key_{rb.field}")
+    e, n = F.col("e"), F.count(F.lit(1)).cast("double").alias("n")
+    st = state.where(key.isNotNull()).groupBy(key.alias("key"))
     if factor is None:
-        agg = st.groupBy(F.col(kcol).alias("key")).agg(
-            F.count(F.lit(1)).cast("double").alias("n"), F.sum("e").alias("E"))
-        agg = agg.select("key", "n", "E", *[F.lit(0.0).alias(c) for c in ("C", "C2", "EC", "qb", "ssb")])
+        return st.agg(n, F.sum(e).alias("E")).select(
+            "key", "n", "E", *[F.lit(0.0).alias(c) for c in ("C", "C2", "EC", "qb", "ssb")])
+    q = F.col("q" if "q" in state.columns else f"q{factor}")
+    agg = st.agg(n, F.sum(e).alias("E"), F.sum(q).alias("Q"), F.sum(q * q).alias("QQ"), F.sum(e * q).alias("EQ"))
+    if sums is None:
+        one = FMConfig(k=1)
+        v = params.select("feature_id", F.lit(0.0).alias("w"), F.col(f"v{factor}").alias("v0"))
+        sums = side_sums(side if side is not None else rb.rows, v, one, dimension)
+        sums = sums.select("key", F.col("s0").alias("qb"), F.col("ss0").alias("ssb"))
     else:
-        rq = relation_q(rb, params, factor, dimension)
-        rqb = F.broadcast(rq) if rb.size <= broadcast_rows(state.sparkSession) else rq
-        c = F.col(f"q{factor}") - F.coalesce(F.col("qb"), F.lit(0.0))
-        agg = st.join(rqb, st[kcol] == rqb["key"]).groupBy("key").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), F.sum("e").alias("E"), F.sum(c).alias("C"),
-            F.sum(c * c).alias("C2"), F.sum(F.col("e") * c).alias("EC"),
-            F.first("qb").alias("qb"), F.first("ssb").alias("ssb"))
-    side = rb.rows
-    side = F.broadcast(side) if rb.size <= broadcast_rows(state.sparkSession) else side
-    return agg.join(side, "key")       # only referenced side rows (unreferenced features stay absent)
-
-
-def _rel_block_step(rs: DataFrame, params: DataFrame, blk: Block, slot: str, reg: float,
-                    factor: int | None, spark, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    b = A.block_entry(blk.offset, blk.end)
-    st = rs.withColumn("_b", b).where(F.col("_b").isNotNull())
-    theta = params.where((F.col("feature_id") >= blk.offset) & (F.col("feature_id") < blk.end)) \
-                  .select(F.col("feature_id").alias("_tid"), F.col(slot).alias("theta"))
-    th = F.broadcast(theta) if blk.size <= broadcast_rows(spark) else theta
-    st = st.join(th, F.col("_b.feature_id") == F.col("_tid"), "left")
-    x, t = F.col("_b.value"), F.coalesce(F.col("theta"), F.lit(0.0))
+        sums = sums.select("key", F.col(f"s{factor}").alias("qb"), F.col(f"ss{factor}").alias("ssb"))
+    j = agg.join(rb.broadcast(sums, 3), "key", "left")
+    qb, ssb = F.coalesce(F.col("qb"), F.lit(0.0)), F.coalesce(F.col("ssb"), F.lit(0.0))
+    m, Q, QQ = F.col("n"), F.col("Q"), F.col("QQ")
+    return j.select("key", "n", "E", (Q - m * qb).alias("C"),
+                    F.greatest(QQ - F.lit(2.0) * qb * Q + m * qb * qb, F.lit(0.0)).alias("C2"),
+                    (F.col("EQ") - qb * F.col("E")).alias("EC"), qb.alias("qb"), ssb.alias("ssb"))
+
+
+def _side_terms(x: Column, t: Column, factor: bool) -> tuple[Column, Column]:
+    """Σh² and Σeh of one side row for a feature with value x and old value t."""
     n, E, C, C2, EC = (F.col(c) for c in ("n", "E", "C", "C2", "EC"))
-    if factor is None:
-        hh, eh = x * x * n, x * E
+    if not factor:
+        return x * x * n, x * E
+    g = F.col("qb") - x * t
+    return x * x * (g * g * n + F.lit(2.0) * g * C + C2), x * (g * E + EC)
+
+
+def _side_applied(rs: DataFrame, x: Column, t: Column, d: Column, factor: bool) -> list[Column]:
+    n, E, C, C2, EC = (F.col(c) for c in ("n", "E", "C", "C2", "EC"))
+    new = {}
+    if not factor:
+        new["E"] = E + n * x * d
+        new["dlin"] = F.col("dlin") + x * d
     else:
         g = F.col("qb") - x * t
-        hh = x * x * (g * g * n + F.lit(2.0) * g * C + C2)
-        eh = x * (g * E + EC)
-    stats = st.groupBy(F.col("_b.feature_id").alias("feature_id")).agg(
-        F.sum(hh).alias("sum_hh"), F.sum(eh).alias("sum_eh"), F.first("theta").alias("theta"))
-    upd = A.theta_update(stats.select("feature_id", F.coalesce(F.col("theta"), F.lit(0.0)).alias("theta"),
-                                      "sum_hh", "sum_eh"), reg)
-    if blk.size <= local_delta_rows(spark):
-        delta = spark.createDataFrame(upd.toPandas(), upd.schema)
-    else:
-        delta = scratch.write(upd, "rdelta")
-    d = delta.select(F.col("feature_id").alias("_did"), F.col("theta").alias("_dth"), F.col("delta").alias("_dd"))
-    d = F.broadcast(d) if blk.size <= broadcast_rows(spark) else d
-    j = rs.withColumn("_bx", b["value"]).withColumn("_bid", b["feature_id"]) \
-          .join(d, F.col("_bid") == F.col("_did"), "left")
-    dd = F.coalesce(F.col("_dd"), F.lit(0.0))
-    x = F.coalesce(F.col("_bx"), F.lit(0.0))
-    th0 = F.coalesce(F.col("_dth"), F.lit(0.0))
-    cols = {c: F.col(c) for c in rs.columns}
-    if factor is None:
-        cols["E"] = E + n * x * dd
-        cols["dlin"] = F.col("dlin") + x * dd
-    else:
-        g = F.col("qb") - x * th0
-        cols["E"] = E + x * dd * (g * n + C)
-        cols["EC"] = EC + x * dd * (g * C + C2)
-        cols["qb"] = F.col("qb") + x * dd
-        cols["ssb"] = F.col("ssb") + ((th0 + dd) * (th0 + dd) - th0 * th0) * x * x
-    return j.select(*[v.alias(k) for k, v in cols.items()]), delta.select("feature_id", "new")
+        new["E"] = E + x * d * (g * n + C)
+        new["EC"] = EC + x * d * (g * C + C2)
+        new["qb"] = F.col("qb") + x * d
+        new["ssb"] = F.col("ssb") + ((t + d) * (t + d) - t * t) * x * x
+    return [new[c].alias(c) if c in new else F.col(c) for c in rs.columns]
 
 
-def _rel_narrow_step(rs: DataFrame, blk: Block, theta: list[float], reg: float,
-                     factor: int | None) -> tuple[DataFrame, list[tuple[int, float]]]:
+def _side_narrow_step(rs: DataFrame, j: int, theta: list[float], reg: float,
+                      factor: bool) -> tuple[DataFrame, list[tuple[int, float]]]:
     """A narrow side-table block: old values and changes as array literals."""
-    th_arr = A.array_literal(theta, "double")
-    b = A.block_entry(blk.offset, blk.end)
-    st = rs.select("n", "E", "C", "C2", "EC", "qb", b["feature_id"].alias("_bid"), b["value"].alias("_bx")) \
-           .where(F.col("_bid").isNotNull())
-    x = F.col("_bx")
-    t = F.element_at(th_arr, (F.col("_bid") - F.lit(blk.offset) + 1).cast("int"))
-    n, E, C, C2, EC = (F.col(c) for c in ("n", "E", "C", "C2", "EC"))
-    if factor is None:
-        hh, eh = x * x * n, x * E
+    arr, x, at = A.array_literal(theta, "double"), F.col(f"x{j}"), F.col(f"l{j}") + F.lit(1)
+    hh, eh = _side_terms(x, F.element_at(arr, at), factor)
+    stats = (rs.where(F.col(f"l{j}").isNotNull()).groupBy(F.col(f"l{j}").alias("l"))
+             .agg(F.sum(hh).alias("hh"), F.sum(eh).alias("eh")))
+    was = F.element_at(arr, F.col("l") + F.lit(1))
+    new = A.updated_theta(was, F.col("hh"), F.col("eh"), reg)
+    changed = [(int(r[0]), float(r[1])) for r in
+               stats.select("l", new.alias("new")).where(F.col("new") != was).collect()]
+    delta = [0.0] * len(theta)
+    for i, value in changed:
+        delta[i] = value - theta[i]
+    d = F.coalesce(F.element_at(A.array_literal(delta, "double"), at), F.lit(0.0))
+    t = F.coalesce(F.element_at(arr, at), F.lit(0.0))
+    return rs.select(*_side_applied(rs, F.coalesce(x, F.lit(0.0)), t, d, factor)), changed
+
+
+def _side_wide_step(rs: DataFrame, params: DataFrame, j: int, blk: Block, slot: str, reg: float,
+                    updates: A.Updates) -> DataFrame:
+    """A wide side-table block: the terms are polynomials in the old value, so their
+    coefficients are summed per feature before it is joined."""
+    factor = slot != "w"
+    x = F.col(f"x{j}")
+    n, E, C, C2, EC, qb = (F.col(c) for c in ("n", "E", "C", "C2", "EC", "qb"))
+    if factor:      # g = qb - x t
+        sums = {"h0": x * x * (qb * qb * n + F.lit(2.0) * qb * C + C2), "h1": x * x * x * (qb * n + C),
+                "h2": x * x * x * x * n, "e0": x * (qb * E + EC), "e1": x * x * E}
     else:
-        g = F.col("qb") - x * t
-        hh = x * x * (g * g * n + F.lit(2.0) * g * C + C2)
-        eh = x * (g * E + EC)
-    stats = st.groupBy(F.col("_bid").alias("feature_id")).agg(F.sum(hh).alias("sum_hh"),
-                                                              F.sum(eh).alias("sum_eh"))
-    old = F.element_at(th_arr, (F.col("feature_id") - F.lit(blk.offset) + 1).cast("int"))
-    new = A.updated_theta(old, F.col("sum_hh"), F.col("sum_eh"), reg)
-    changed = [(int(r[0]), float(r[1]), float(r[2])) for r in
-               stats.select("feature_id", old.alias("old"), new.alias("new"))
-                    .where(F.col("new") != F.col("old")).collect()]
-    delta = [0.0] * blk.size
-    for fid, o, nv in changed:
-        delta[fid - blk.offset] = nv - o
-    d_arr = A.array_literal(delta, "double")
-    idx = (b["feature_id"] - F.lit(blk.offset) + 1).cast("int")
-    dd = F.coalesce(F.element_at(d_arr, idx), F.lit(0.0))
-    xv = F.coalesce(b["value"], F.lit(0.0))
-    th0 = F.coalesce(F.element_at(th_arr, idx), F.lit(0.0))
-    cols = {c: F.col(c) for c in rs.columns}
-    if factor is None:
-        cols["E"] = E + n * xv * dd
-        cols["dlin"] = F.col("dlin") + xv * dd
+        sums = {"h0": x * x * n, "e0": x * E}
+    st = (rs.where(F.col(f"l{j}").isNotNull())
+          .groupBy((F.col(f"l{j}") + F.lit(blk.offset).cast("bigint")).alias("feature_id"))
+          .agg(*[F.sum(c).alias(a) for a, c in sums.items()]))
+    theta = params.where((F.col("feature_id") >= blk.offset) & (F.col("feature_id") < blk.end)) \
+                  .select("feature_id", F.col(slot).alias("theta"))
+    st = st.join(maybe_broadcast(theta, blk.size, extra_bytes=16 * blk.size), "feature_id", "left")
+    t = F.coalesce(F.col("theta"), F.lit(0.0))
+    hh, eh = F.col("h0"), F.col("e0")
+    if factor:
+        whole = F.col("h0") + t * t * F.col("h2")
+        hh = F.col("h0") - F.lit(2.0) * t * F.col("h1") + t * t * F.col("h2")
+        none = hh <= F.lit(A.ROUNDING) * whole
+        eh = F.when(none, F.lit(0.0)).otherwise(F.col("e0") - t * F.col("e1"))
+        hh = F.when(none, F.lit(0.0)).otherwise(hh)
+    stats = st.select("feature_id", t.alias("theta"), hh.alias("sum_hh"), eh.alias("sum_eh"))
+    delta = updates.scratch.write(A.theta_update(stats, reg), "delta")
+    updates.add_table(slot, delta)
+    d = delta.select((F.col("feature_id") - F.lit(blk.offset)).alias("_dl"), F.col("theta").alias("_dth"),
+                     F.col("delta").alias("_dd"))
+    key = F.col(f"l{j}").cast("bigint")
+    if fits_broadcast(rs.sparkSession, blk.size, 24 * blk.size):
+        d = F.broadcast(d)
     else:
-        g = F.col("qb") - xv * th0
-        cols["E"] = E + xv * dd * (g * n + C)
-        cols["EC"] = EC + xv * dd * (g * C + C2)
-        cols["qb"] = F.col("qb") + xv * dd
-        cols["ssb"] = F.col("ssb") + ((th0 + dd) * (th0 + dd) - th0 * th0) * xv * xv
-    return rs.select(*[v.alias(k) for k, v in cols.items()]), [(fid, nv) for fid, _, nv in changed]
+        key = A.spread_null(key, F.col("key"))
+    joined = rs.join(d, key == F.col("_dl"), "left")
+    return joined.select(*_side_applied(rs, F.coalesce(x, F.lit(0.0)), F.coalesce(F.col("_dth"), F.lit(0.0)),
+                                        F.coalesce(F.col("_dd"), F.lit(0.0)), factor))
 
 
-def relation_sweep(state: DataFrame, rb: RelationBlock, params: DataFrame, slot: str, reg: float,
-                   factor: int | None, dimension: int, scratch: Scratch
-                   ) -> tuple[DataFrame, DataFrame | None]:
+def relation_sweep(train: RelationalTraining, side: SideTable, state: DataFrame, params: DataFrame, slot: str,
+                   reg: float, updates: A.Updates, sums: DataFrame) -> DataFrame:
     """Sweep one side table's blocks for one family; returns the fact state
-    with the change propagated, and the new values."""
-    spark = state.sparkSession
-    cache = relation_cache(state, rb, params, factor, dimension)
-    rs = scratch.write(cache.withColumn("qb0", F.col("qb")).withColumn("ssb0", F.col("ssb"))
-                       .withColumn("dlin", F.lit(0.0)), "rcache")
-    updates, narrow_new = [], []
-    thetas = A.narrow_thetas(params, A.pick_narrow(rb.blocks, spark), slot)
-    for blk in rb.blocks:
-        if blk.offset in thetas:
-            rs, changed = _rel_narrow_step(rs, blk, thetas[blk.offset], reg, factor)
-            narrow_new.extend(changed)
-        else:
-            rs, upd = _rel_block_step(rs, params, blk, slot, reg, factor, spark, scratch)
-            updates.append(upd)
-    if narrow_new:
-        updates.append(spark.createDataFrame(narrow_new, "feature_id bigint, new double"))
-    rs = scratch.write(rs, "rcache")
+    (``row_id, key_*, e``, and ``q`` for a factor) with the change propagated."""
+    scratch, rb = train.scratch, side.block
+    factor = None if slot == "w" else int(slot[1:])
+    cache = relation_cache(state, rb, params, factor, train.data.dimension, sums=sums)
+    keep = ["key", "n", "E", "C", "C2", "EC", "qb", "ssb", "qb0", "ssb0", "dlin"]
+    rs = scratch.place(cache.withColumns({"qb0": F.col("qb"), "ssb0": F.col("ssb"), "dlin": F.lit(0.0)}),
+                       "key", train.parts, "cache")
+    for seg in side.segments:
+        before = scratch.last()
+        start = A.placed_join(rs, seg.table.withColumnRenamed("row_id", "key"), "key").persist()
+        work, moved = start, False
+        thetas = A.narrow_thetas(params, seg.blocks, slot)
+        for j, blk in enumerate(seg.blocks):
+            if blk.offset in thetas:
+                work, changed = _side_narrow_step(work, j, thetas[blk.offset], reg, factor is not None)
+                updates.add(slot, blk, changed)
+            else:
+                work = _side_wide_step(work, params, j, blk, slot, reg, updates)
+                moved = moved or not fits_broadcast(work.sparkSession, blk.size, 24 * blk.size)
+        rs = scratch.place(work.select(*keep), "key", train.parts, "cache", placed=not moved)
+        start.unpersist()
+        scratch.drop(before)
     kcol = f"key_{rb.field}"
     if factor is None:
         ch = rs.select(F.col("key").alias("_ck"), F.col("dlin").alias("_de"))
-        ch = F.broadcast(ch) if rb.size <= broadcast_rows(spark) else ch
-        j = state.join(ch, state[kcol] == ch["_ck"], "left")
-        out = j.select(*[(F.col("e") + F.coalesce(F.col("_de"), F.lit(0.0))).alias("e") if c == "e"
-                         else F.col(c) for c in state.columns])
+        j = join_side(state, kcol, rb.broadcast(ch, 2), "_ck", rb, 2)
+        new = {"e": F.col("e") + F.coalesce(F.col("_de"), F.lit(0.0))}
     else:
         dy = F.lit(0.5) * ((F.col("qb") * F.col("qb") - F.col("ssb")) - (F.col("qb0") * F.col("qb0") - F.col("ssb0")))
         ch = rs.select(F.col("key").alias("_ck"), dy.alias("_dy"), (F.col("qb") - F.col("qb0")).alias("_dq"),
                        F.col("qb0").alias("_qb0"))
-        ch = F.broadcast(ch) if rb.size <= broadcast_rows(spark) else ch
-        j = state.join(ch, state[kcol] == ch["_ck"], "left")
-        q = F.col(f"q{factor}")
-        c = q - F.coalesce(F.col("_qb0"), F.lit(0.0))
-        e_new = F.col("e") + F.coalesce(F.col("_dy") + F.col("_dq") * c, F.lit(0.0))
-        q_new = q + F.coalesce(F.col("_dq"), F.lit(0.0))
-        out = j.select(*[e_new.alias("e") if cc == "e" else q_new.alias(cc) if cc == f"q{factor}"
-                         else F.col(cc) for cc in state.columns])
-    upd = None
-    for u in updates:
-        upd = u if upd is None else upd.unionByName(u)
-    return out, upd
-
-
-def _runs(segments: list) -> list:
-    """Side tables stay single; consecutive fact-level blocks form one list."""
-    out: list = []
-    for seg in segments:
-        if isinstance(seg, RelationBlock):
-            out.append(seg)
-        elif out and isinstance(out[-1], list):
-            out[-1].append(seg)
-        else:
-            out.append([seg])
-    return out
-
+        j = join_side(state, kcol, rb.broadcast(ch, 4), "_ck", rb, 4)
+        c = F.col("q") - F.coalesce(F.col("_qb0"), F.lit(0.0))
+        new = {"e": F.col("e") + F.coalesce(F.col("_dy") + F.col("_dq") * c, F.lit(0.0)),
+               "q": F.col("q") + F.coalesce(F.col("_dq"), F.lit(0.0))}
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in state.columns])
+
+
+def relational_family(train: RelationalTraining, state: DataFrame, params: DataFrame, slot: str, reg: float,
+                      updates: A.Updates, sums: dict[int, DataFrame], own: str | None = None
+                      ) -> tuple[DataFrame, str | None]:
+    """One parameter family in flat order: fact blocks on the fact state, each side
+    table's blocks on its cache.  ``state``: ``row_id, key_*, e`` (and ``q``).  Returns
+    the state and its path; the one before it (``own``) is deleted."""
+    scratch = train.scratch
+
+    def cut(frame: DataFrame, placed: bool) -> DataFrame:
+        nonlocal own
+        out = scratch.place(frame, "row_id", train.parts, "rstate", placed=placed)
+        if own:
+            scratch.drop(own)
+        own = scratch.last()
+        return out
 
-def relational_iteration(data: RelationalData, rows: DataFrame, params: DataFrame, w0: float,
-                         cfg: FMConfig, stop_after: str | None = None,
-                         scratch: Scratch | None = None) -> A.IterationResult:
-    """One pass in the flat order: fact blocks on the fact state, each side
-    table's blocks on its cache."""
-    spark = rows.sparkSession
-    scratch = scratch if scratch is not None else Scratch(spark, "rel")
-    fact_blocks = [b for b in data.segments if isinstance(b, Block)]
-    start = A.with_block_columns(relational_residuals(data, rows, params, w0, cfg), fact_blocks).persist()
-    summary = A.state_summary(start)
-    state = start
+    def fits(rb: RelationBlock) -> bool:
+        return fits_broadcast(state.sparkSession, rb.size, rb.size * 32)
+
+    for i, step in enumerate(train.steps):
+        if isinstance(step, SideTable):
+            state = cut(relation_sweep(train, step, state, params, slot, reg, updates, sums[step.block.field]),
+                        fits(step.block))
+            continue
+        for seg in step:
+            start = A.placed_join(seg.table, state).persist()
+            work = A.block_steps(start, params, seg.blocks, slot, reg, updates)
+            moved = any(not fits_broadcast(work.sparkSession, b.size, 24 * b.size) for b in seg.blocks)
+            state = cut(work.select(*state.columns), not moved)
+            start.unpersist()
+    return state, own
+
+
+def relational_start(train: RelationalTraining, params: DataFrame, w0: float,
+                     cfg: FMConfig) -> tuple[A.PassState, dict[int, DataFrame]]:
+    """Residuals and bias step of a pass, and each side table's sums (one scoring of
+    its rows, shared by all families)."""
+    data, scratch = train.data, train.scratch
+    sums = {s.block.field: scratch.place(side_sums(s.rows, params, cfg, data.dimension), "key", train.parts, "sums",
+                                         placed=True) for s in train.sides()}
+    fits = all(fits_broadcast(scratch.spark, rb.size, rb.size * 8 * (2 + 2 * cfg.k)) for rb in data.relations)
+    state = scratch.place(relational_residuals(data, train.rows, params, w0, cfg, sums), "row_id", train.parts,
+                          "rstate", placed=fits)
+    summary = A.state_summary(state)
+    keys = [f"key_{rb.field}" for rb in data.relations]
+    errors = state.select("row_id", *keys, "e")
     if cfg.k0:
-        state, w0 = A.global_bias_step(state, w0, cfg, summary)
-    families = (["w"] if cfg.k1 else []) + [f"v{f}" for f in range(cfg.k)]
-    if stop_after == "w0":
-        families = []
-    elif stop_after in families:
-        families = families[:families.index(stop_after) + 1]
-    cached: list[DataFrame] = []
-    for slot in families:
-        factor = None if slot == "w" else int(slot[1:])
-        reg = cfg.regw if slot == "w" else cfg.regv
-        ups = []
-        for seg in _runs(data.segments):
-            if isinstance(seg, RelationBlock):
-                # the cache is an aggregation of the current state: cut before it
-                state = scratch.write(state, "rstate").persist()
-                cached.append(state)
-                state, u = relation_sweep(state, seg, params, slot, reg, factor, data.dimension, scratch)
-            else:                                   # consecutive fact-level blocks, one sweep
-                res = A.sweep(state, params, seg, slot, reg, factor=factor, scratch=scratch,
-                              write_state=False)
-                state, u = res.state, res.updates
-            if u is not None:
-                ups.append(u)
-        state = scratch.write(state, "rstate").persist()
-        cached.append(state)
-        upd = None
-        for u in ups:
-            upd = u if upd is None else upd.unionByName(u)
-        params = A.apply_updates(params, upd, slot, data.dimension)
-    params = scratch.write(params, "params")
-    start.unpersist()
-    return A.IterationResult(params, w0, summary[2], state, cached)
-
-
-def relational_fit(data: RelationalData, cfg: FMConfig, params: DataFrame | None = None,
-                   w0: float = 0.0) -> FMModel:
-    spark = data.fact.sparkSession
-    scratch = Scratch(spark, "rel")
-    rows = scratch.write(data.fact, "fact").persist()
-    params = params if params is not None else scratch.write(init_params(spark, data.dimension, cfg), "params")
-    trace = []
-    for it in range(1, cfg.iterations + 1):
-        res = relational_iteration(data, rows, params, w0, cfg, scratch=scratch)
-        params, w0 = res.params, res.w0
-        for c in res.cached or []:
-            c.unpersist()
-        trace.append((it, res.rmse_before))
-    rows.unpersist()
-    return FMModel(w0, params, cfg, data.dimension,
-                   spark.createDataFrame(trace, "iteration bigint, rmse double"))
+        errors, w0 = A.global_bias_step(errors, w0, cfg, summary)
+    return A.PassState(errors, state.drop("e", *keys), w0, summary[2]), sums
+
+
+def relational_iteration(train: RelationalTraining, params: DataFrame, w0: float, cfg: FMConfig,
+                         dimension: int | None = None) -> A.IterationResult:
+    """One pass in the flat order; equals the flat pass."""
+    scratch = train.scratch
+    mark = scratch.mark()
+    start, sums = relational_start(train, params, w0, cfg)
+    updates, state, own = A.Updates(scratch), start.errors, None
+    for slot, reg in A.families(cfg):
+        if slot != "w":
+            state = A.placed_join(state, start.sums.select("row_id", F.col(f"q{slot[1:]}").alias("q")))
+        state, own = relational_family(train, state, params, slot, reg, updates, sums, own)
+        state = state.drop("q")
+    made = scratch.paths[mark:]
+    params = scratch.write(updates.apply(params, train.data.dimension), "params")
+    for path in made:
+        scratch.drop(path)
+    return A.IterationResult(params, start.w0, start.rmse)
+
+
+def relational_fit(data: RelationalData, cfg: FMConfig, params: DataFrame | None = None, w0: float = 0.0,
+                   learner=None, scratch: Scratch | None = None) -> FMModel:
+    return A.fit(data, cfg, learner=learner, params=params, w0=w0, scratch=scratch)

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch, fits_broadcast
 from .fields import IDENTITY, FieldSpec, split_target_inputs
-from .vectorize import FEATURES, Vectorized, _source_type, maybe_broadcast, vectorize_base
+from .vectorize import FEATURES, Vectorized, _source_type, base_columns, vectorize_base
 
 
 @dataclass
@@ -34,7 +35,7 @@ class Relation:
 
 @dataclass
 class EncodedRelation:
-    rows: DataFrame        # key, features (ids local to the relation)
+    rows: DataFrame        # key, features (ids local to the relation), written
     vec: Vectorized
     key: str
     size: int              # exact number of keys
@@ -49,9 +50,11 @@ def dedupe_keys(table: DataFrame, key: str, on_duplicate: str, order_by: str | N
             raise ValueError(f"side table has duplicate keys in {key!r}")
         return table
     if on_duplicate == "first":
-        from pyspark.sql import Window
-        w = Window.partitionBy(key).orderBy(F.col(order_by or key))
-        return table.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        if not order_by:
+            raise ValueError("on_duplicate='first' needs order_by")
+        # the least row by order_by, then by all columns; combined before the shuffle
+        least = F.min(F.struct(F.col(order_by).alias("_order"), F.struct(*table.columns).alias("_row")))
+        return table.groupBy(F.col(key).alias("_key")).agg(least.alias("_least")).select("_least._row.*")
     raise ValueError(f"unknown on_duplicate policy {on_duplicate!r}")
 
 
@@ -63,53 +66,69 @@ def encode_relation(rel: Relation) -> EncodedRelation:
     base = table.select(F.col(key_spec.column).alias("row_id"), F.lit(0.0).alias("y"),
                         *[F.col(s.column).alias(f"_c{i}") for i, s in enumerate(inputs)])
     vec = vectorize_base(base, inputs, dtypes)
-    rows = vec.rows.select(F.col("row_id").alias("key"), "features").persist()
+    rows = Scratch(table.sparkSession, "relation").write(vec.rows.select(F.col("row_id").alias("key"), "features"))
     r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("features")).alias("m")).first()
     return EncodedRelation(rows, vec, key_spec.column, int(r["n"]), int(r["m"] or 0))
 
 
-def relation_vectorize(df: DataFrame, specs: list[FieldSpec], relations: dict[str, Relation],
-                       row_id: str | None = None, keep_key: bool = False) -> Vectorized:
-    """Vectorize a fact table whose columns named in ``relations`` are keys
-    into side tables."""
-    from .vectorize import assign_row_ids, _number_value
-    target, inputs = split_target_inputs(specs)
+def encode_relations(inputs: list[FieldSpec], relations: dict[str, Relation]) -> dict[int, EncodedRelation]:
+    """The side tables by the position of their fact field."""
     index = {s.column: i for i, s in enumerate(inputs)}
     for col in relations:
         if col not in index or inputs[index[col]].kind != IDENTITY:
             raise ValueError(f"relation column {col!r} must be an identity field of the fact")
-    encoded = {index[c]: encode_relation(r) for c, r in relations.items()}
-    extra = {i: (e.vec.dimension, e.vec.blocks()) for i, e in encoded.items()}
+    return {index[c]: encode_relation(r) for c, r in relations.items()}
+
+
+def same_key(frame: DataFrame, column: str, side: DataFrame, key: str) -> Column:
+    """The one rule of equal keys: as they are if their types agree, else as text."""
+    if dict(frame.dtypes)[column] == dict(side.dtypes)[key]:
+        return F.col(column) == F.col(key)
+    return F.col(column).cast("string") == F.col(key).cast("string")
+
+
+def attach(frame: DataFrame, column: str, side: DataFrame, key: str, enc: EncodedRelation) -> DataFrame:
+    """Left join of a side table by key: broadcast if its measured size allows, else
+    shuffled, rows with a null key apart (they match nothing, and would meet in one task)."""
+    on = same_key(frame, column, side, key)
+    if fits_broadcast(frame.sparkSession, enc.size, 16 * enc.entries):
+        return frame.join(F.broadcast(side), on, "left")
+    none = frame.where(F.col(column).isNull())
+    blank = [F.lit(None).cast(t).alias(c) for c, t in side.dtypes]
+    return frame.where(F.col(column).isNotNull()).join(side, on, "left").unionByName(none.select("*", *blank))
 
-    dtypes = {s.column: _source_type(df, s.column) for s in specs}
-    cols = [_number_value(target, F.col(target.column), dtypes[target.column]).alias("y")]
-    cols += [F.col(s.column).alias(f"_c{i}") for i, s in enumerate(inputs)]
-    if row_id is None:
-        base = assign_row_ids(df.select(*cols))
-    else:
-        base = df.select(F.col(row_id).cast("bigint").alias("row_id"), *cols)
+
+def relation_vectorize(df: DataFrame, specs: list[FieldSpec], relations: dict[str, Relation],
+                       row_id: str | None = None, keep_key: bool = False, ids: bool = True) -> Vectorized:
+    """Vectorize a fact table whose columns named in ``relations`` are keys
+    into side tables."""
+    _, inputs = split_target_inputs(specs)
+    encoded = encode_relations(inputs, relations)
+    extra = {i: (e.vec.dimension, e.vec.blocks()) for i, e in encoded.items()}
 
     def substitute(frame: DataFrame, layout) -> DataFrame:
         for i, enc in encoded.items():
             shift = layout[i].offset + layout[i].blocks[0].size
-            rel = enc.rows.select(
+            side = enc.rows.select(
                 F.col("key").alias(f"_rk{i}"),
                 F.transform("features", lambda e: F.struct(
                     (e["feature_id"] + F.lit(shift)).alias("feature_id"),
                     e["value"].alias("value"))).cast(FEATURES).alias(f"_r{i}"))
-            rel_side = maybe_broadcast(rel, enc.size, frame.sparkSession, 16 * enc.entries)
-            if dict(frame.dtypes)[f"_c{i}"] == dict(rel.dtypes)[f"_rk{i}"]:
-                cond = F.col(f"_c{i}") == rel_side[f"_rk{i}"]
-            else:
-                cond = F.col(f"_c{i}").cast("string") == rel_side[f"_rk{i}"].cast("string")
-            frame = frame.join(rel_side, cond, "left")
-            matched = F.col(f"_rk{i}").isNotNull()
+            frame = attach(frame, f"_c{i}", side, f"_rk{i}", enc)
             sub = F.concat(F.col(f"_a{i}"), F.col(f"_r{i}")) if keep_key else F.col(f"_r{i}")
-            frame = frame.withColumn(f"_a{i}", F.when(matched, sub).otherwise(F.col(f"_a{i}")))
-            frame = frame.withColumn(f"_m{i}", matched)
+            frame = frame.withColumn(f"_a{i}", F.when(F.col(f"_rk{i}").isNotNull(), sub).otherwise(F.col(f"_a{i}")))
         return frame
 
-    return vectorize_base(base, inputs, dtypes, extra=extra, substitute=substitute)
+    base, dtypes = base_columns(df, specs, row_id, ids)
+    vec = vectorize_base(base, inputs, dtypes, extra=extra, substitute=substitute)
+
+    def encode(other: DataFrame, unseen: str) -> DataFrame:
+        b, types = base_columns(other, specs, row_id, ids, target=False)
+        return vectorize_base(b, inputs, types, extra=extra, substitute=substitute, learned=vec.learned,
+                              unseen=unseen).rows
+
+    vec.encoder = encode
+    return vec
 
 
 def relation_layout(vec: Vectorized) -> list[tuple[str, int, int]]:

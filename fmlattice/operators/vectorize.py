@@ -11,20 +11,23 @@ Plan shape: one aggregation job learns every dictionary (distinct
 ``(field, token)``, map-side combined); one-hot fields are then looked up by
 equi-joins that are broadcast when the dictionary's exact size is under the
 bound and shuffled otherwise; number / time fields are plain expressions; list
-fields explode, join and re-collect per row.  Nothing row- or feature-sized is
-collected to the driver.
+fields explode, join and re-collect per row, in one shuffle and without an id.
+What a plan broadcasts is bounded in sum.  Learned dictionaries encode other data
+(``Vectorized.encode``), unseen tokens raising an error or being left out.
+Nothing row- or feature-sized is collected to the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import epoch_to_days, split_list
-from ..session import broadcast_bytes, broadcast_rows, single_task_rows
+from ..functions import epoch_to_days, list_weights, split_list, to_number
+from ..session import ENTRY_OVERHEAD_BYTES, Scratch, broadcast_bytes, broadcast_rows, single_task_rows
 from .dictionary import dense_ids
 from .fields import IDENTITY, LIST, NUMBER, TIME, FieldSpec, split_target_inputs
 
@@ -63,6 +66,8 @@ class Vectorized:
     layout: list[FieldLayout]
     dictionary: DataFrame
     dimension: int
+    encoder: Callable[[DataFrame, str], DataFrame] | None = None
+    learned: "Learned | None" = None
 
     def entries(self) -> DataFrame:
         """Long form ``row_id, feature_id, value`` (one row per non-zero)."""
@@ -71,17 +76,34 @@ class Vectorized:
     def blocks(self) -> list[Block]:
         return [b for f in self.layout for b in f.blocks]
 
+    def encode(self, df: DataFrame, unseen: str = "error") -> DataFrame:
+        """``row_id, y, features`` of other data of the same columns, by the learned
+        dictionaries.  A token that they lack raises (``unseen="error"``) or has no
+        entry (``"skip"``)."""
+        if unseen not in ("error", "skip"):
+            raise ValueError(f"unknown unseen policy {unseen!r}; error or skip")
+        return self.encoder(df, unseen)
 
-# fixed per-row overhead of a dictionary entry in a broadcast hash relation
-ENTRY_OVERHEAD_BYTES = 48
 
-
-def maybe_broadcast(df: DataFrame, rows: int, spark=None, token_bytes: int = 0) -> DataFrame:
-    """Broadcast ``df`` only if its exact row count, and its size estimated
-    from the measured token bytes, are under the bounds."""
-    spark = spark or df.sparkSession
-    est = token_bytes + rows * ENTRY_OVERHEAD_BYTES
-    return F.broadcast(df) if rows <= broadcast_rows(spark) and est <= broadcast_bytes(spark) else df
+@dataclass
+class Learned:
+    """Dictionaries of the categorical fields with their exact sizes and token bytes."""
+    dicts: dict[int, DataFrame]
+    sizes: dict[int, int]
+    nbytes: dict[int, int]
+
+
+def within_budget(spark, sides: dict, budget: int | None = None) -> set:
+    """Which of a plan's sides (name -> (rows, bytes besides the overhead)) are
+    broadcast: the smallest first, while they fit the byte bound in sum."""
+    left = broadcast_bytes(spark) if budget is None else budget
+    out = set()
+    for name, (rows, extra) in sorted(sides.items(), key=lambda kv: (kv[1][1] + kv[1][0] * ENTRY_OVERHEAD_BYTES, str(kv[0]))):
+        need = extra + rows * ENTRY_OVERHEAD_BYTES
+        if rows <= broadcast_rows(spark) and need <= left:
+            out.add(name)
+            left -= need
+    return out
 
 
 def _source_type(df: DataFrame, column: str) -> str:
@@ -96,7 +118,7 @@ def _number_value(spec: FieldSpec, c: Column, dtype: str) -> Column:
         return spec.transform(c).cast("double")
     if spec.kind == TIME:
         return epoch_to_days(c, dtype)
-    return c.cast("double")
+    return to_number(c)
 
 
 def _tokens(spec: FieldSpec, c: Column) -> Column:
@@ -110,14 +132,12 @@ def assign_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id()).checkpoint(eager=True)
 
 
-def learn_dictionaries(base: DataFrame, cat_fields: list[tuple[int, FieldSpec]],
-                       ) -> tuple[dict[int, DataFrame], dict[int, int], dict[int, int]]:
-    """Learn the dictionary of every categorical field in one aggregation.
-    Returns per-field ``(token, code)`` frames, exact sizes and the tokens'
-    total bytes (for the broadcast check)."""
+def learn_dictionaries(base: DataFrame, cat_fields: list[tuple[int, FieldSpec]]) -> Learned:
+    """Learn the dictionary of every categorical field in one aggregation; they are
+    written once to the shared scratch folder."""
     spark = base.sparkSession
     if not cat_fields:
-        return {}, {}, {}
+        return Learned({}, {}, {})
     parts = []
     for i, spec in cat_fields:
         c = F.col(f"_c{i}")
@@ -135,50 +155,75 @@ def learn_dictionaries(base: DataFrame, cat_fields: list[tuple[int, FieldSpec]],
         nbytes[int(r["field"])] = int(r["b"] or 0)
     limit = single_task_rows(spark)
     small = [i for i, _ in cat_fields if sizes[i] <= limit]
+    scratch = Scratch(spark, "dictionary")
     dicts: dict[int, DataFrame] = {}
     if small:
         w = Window.partitionBy("field").orderBy("token")
-        numbered = (distinct.where(F.col("field").isin(small))
-                    .select("field", "token", (F.row_number().over(w) - 1).cast("bigint").alias("code"))
-                    .persist())
+        numbered = scratch.write(
+            distinct.where(F.col("field").isin(small))
+            .select("field", "token", (F.row_number().over(w) - 1).cast("bigint").alias("code")))
         for i in small:
             dicts[i] = numbered.where(F.col("field") == i).select("token", "code")
     for i, _ in cat_fields:
         if i not in small:
-            dicts[i], _ = dense_ids(distinct.where(F.col("field") == i).select("token"), sizes[i],
-                                    max_single_task=limit)
-    return dicts, sizes, nbytes
+            coded, _ = dense_ids(distinct.where(F.col("field") == i).select("token"), sizes[i], max_single_task=limit)
+            dicts[i] = scratch.write(coded)
+    distinct.unpersist()
+    return Learned(dicts, sizes, nbytes)
+
+
+def base_columns(df: DataFrame, specs: list[FieldSpec], row_id: str | None = None, ids: bool = True,
+                 target: bool = True) -> tuple[DataFrame, dict[str, str]]:
+    """``row_id, y`` and one ``_c{i}`` per input field, and the columns' types.  Without
+    a ``row_id`` column, ids are drawn and fixed (``ids``) or null.  ``target=False``:
+    ``y`` is null where the data have no target column (data to be scored)."""
+    tgt, inputs = split_target_inputs(specs)
+    dtypes = {s.column: _source_type(df, s.column) for s in specs}
+    if not target and tgt.column not in df.columns:
+        y = F.lit(None).cast("double")
+    else:
+        y = _number_value(tgt, F.col(tgt.column), dtypes[tgt.column])
+    cols = [y.alias("y"), *[F.col(s.column).alias(f"_c{i}") for i, s in enumerate(inputs)]]
+    if row_id is None and ids:
+        return assign_row_ids(df.select(*cols)), dtypes
+    key = F.col(row_id) if row_id else F.lit(None)
+    return df.select(key.cast("bigint").alias("row_id"), *cols), dtypes
 
 
 def standard_vectorize(df: DataFrame, specs: list[FieldSpec], row_id: str | None = None,
-                       ) -> Vectorized:
-    """Whole flat pipeline: target + ordered inputs -> sparse rows."""
-    target, inputs = split_target_inputs(specs)
-    dtypes = {s.column: _source_type(df, s.column) for s in specs}
-    cols = [(F.col(row_id).cast("bigint") if row_id else F.lit(None).cast("bigint")).alias("row_id")]
-    cols.append(_number_value(target, F.col(target.column), dtypes[target.column]).alias("y"))
-    for i, s in enumerate(inputs):
-        cols.append(F.col(s.column).alias(f"_c{i}"))
-    if row_id is None:
-        base = assign_row_ids(df.select(*cols[1:]))
-    else:
-        base = df.select(*cols)
-    return vectorize_base(base, inputs, dtypes)
+                       ids: bool = True) -> Vectorized:
+    """Whole flat pipeline: target + ordered inputs -> sparse rows.  ``ids=False``: rows
+    without a ``row_id`` column get none (their ids are null)."""
+    _, inputs = split_target_inputs(specs)
+    base, dtypes = base_columns(df, specs, row_id, ids)
+    vec = vectorize_base(base, inputs, dtypes)
+
+    def encode(other: DataFrame, unseen: str) -> DataFrame:
+        b, types = base_columns(other, specs, row_id, ids, target=False)
+        return vectorize_base(b, inputs, types, learned=vec.learned, unseen=unseen).rows
+
+    vec.encoder = encode
+    return vec
 
 
 def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, str],
                    extra: dict[int, tuple[int, list[Block]]] | None = None,
-                   substitute=None) -> Vectorized:
+                   substitute=None, carry: list[str] | None = None, learned: Learned | None = None,
+                   unseen: str = "skip") -> Vectorized:
     """Encode a frame holding ``row_id, y`` and one ``_c{i}`` per input field.
 
     ``extra[i] = (width, blocks)`` reserves ids right after field ``i``'s own
     block (side-table features, see ``relations``); ``substitute(frame,
     layout)`` may then replace the per-field arrays ``_a{i}`` before they are
-    concatenated."""
+    concatenated, and add columns, of which those in ``carry`` stay with the rows.
+    ``learned``: dictionaries to use; their unseen tokens follow ``unseen``."""
     spark = base.sparkSession
     extra = extra or {}
-    cat = [(i, s) for i, s in enumerate(inputs) if s.categorical]
-    dicts, sizes, nbytes = learn_dictionaries(base, cat)
+    given = learned is not None
+    if not given:
+        learned = learn_dictionaries(base, [(i, s) for i, s in enumerate(inputs) if s.categorical])
+    dicts, sizes, nbytes = learned.dicts, learned.sizes, learned.nbytes
+    small = within_budget(spark, {i: (sizes[i], nbytes[i]) for i in dicts})
 
     layout: list[FieldLayout] = []
     offset = 0
@@ -208,26 +253,25 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
     for i, s in enumerate(inputs):
         lay = layout[i]
         c = F.col(f"_c{i}")
+        policy = unseen if given else "skip"
         if s.kind == IDENTITY:
-            d = dicts[i].select(F.col("token").alias(f"_t{i}"),
+            d = dicts[i].select(F.col("token").alias(f"_k{i}"),
                                 (F.col("code") + F.lit(lay.offset)).alias(f"_id{i}"))
-            enc = enc.withColumn(f"_t{i}", c.cast("string")).join(
-                maybe_broadcast(d, sizes[i], spark, nbytes[i]), f"_t{i}", "left")
+            enc = _lookup(enc.withColumn(f"_t{i}", c.cast("string")), F.col(f"_t{i}"), d, f"_k{i}", i in small)
             val = s.transform(F.col(f"_t{i}")).cast("double") if s.transform else F.lit(1.0)
-            arr = (F.when(F.col(f"_id{i}").isNotNull(),
-                          F.array(F.struct(F.col(f"_id{i}").alias("feature_id"), val.alias("value"))))
+            found = _known(F.col(f"_t{i}"), F.col(f"_id{i}"), policy, s.column)
+            arr = (F.when(found.isNotNull() & F.col(f"_t{i}").isNotNull(),
+                          F.array(F.struct(found.alias("feature_id"), val.alias("value"))))
                    .otherwise(F.array().cast(FEATURES)))
+            enc = enc.withColumn(f"_a{i}", arr.cast(FEATURES)).drop(f"_k{i}")
         elif s.kind in (NUMBER, TIME):
             val = _number_value(s, c, dtypes.get(s.column, "string"))
             arr = (F.when(val.isNotNull(), F.array(F.struct(
                 F.lit(lay.offset).cast("bigint").alias("feature_id"), val.alias("value"))))
                 .otherwise(F.array().cast(FEATURES)))
+            enc = enc.withColumn(f"_a{i}", arr.cast(FEATURES))
         else:  # LIST
-            lst = encode_list(enc.select("row_id", c.alias("_raw")), s, dicts[i], sizes[i], lay.offset,
-                              nbytes[i])
-            enc = enc.join(lst.withColumnRenamed("features", f"_l{i}"), "row_id", "left")
-            arr = F.coalesce(F.col(f"_l{i}"), F.array().cast(FEATURES))
-        enc = enc.withColumn(f"_a{i}", arr.cast(FEATURES))
+            enc = encode_list(enc, s, f"_c{i}", f"_a{i}", dicts[i], lay.offset, i in small, policy)
     if substitute is not None:
         enc = substitute(enc, layout)
     arrays = [F.col(f"_a{i}") for i in range(len(inputs))]
@@ -235,24 +279,45 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
     # a sparse vector stores no zeros: a zero-valued entry is absent, so the
     # learner never treats its feature as present
     feats = F.filter(feats, lambda e: e["value"] != F.lit(0.0))
-    rows = enc.select("row_id", "y", feats.cast(FEATURES).alias("features"))
-    return Vectorized(rows, layout, dictionary, dimension)
-
-
-def encode_list(raw: DataFrame, spec: FieldSpec, dictionary: DataFrame, size: int,
-                offset: int, token_bytes: int = 0) -> DataFrame:
-    """Multi-hot: each of the m tokens gets 1/m (or its transform); duplicate
-    tokens collapse to one entry (same value).  ``raw``: ``row_id, _raw``.
-    Returns ``row_id, features`` (ids ascending)."""
-    toks = raw.select("row_id", _tokens(spec, F.col("_raw")).alias("_toks"))
-    ex = toks.select("row_id", F.size("_toks").alias("_m"), F.explode("_toks").alias("token"))
-    d = dictionary.select("token", (F.col("code") + F.lit(offset)).alias("feature_id"))
-    joined = ex.join(maybe_broadcast(d, size, raw.sparkSession, token_bytes), "token")
-    val = (spec.transform(F.col("token")).cast("double") if spec.transform
-           else F.lit(1.0) / F.col("_m").cast("double"))
-    ent = joined.select("row_id", F.struct("feature_id", val.alias("value")).alias("e"))
-    return ent.groupBy("row_id").agg(
-        F.array_sort(F.array_distinct(F.collect_list("e"))).alias("features"))
+    rows = enc.select("row_id", "y", feats.cast(FEATURES).alias("features"), *(carry or []))
+    vec = Vectorized(rows, layout, dictionary, dimension)
+    vec.learned = learned
+    return vec
+
+
+def _lookup(frame: DataFrame, token: Column, dictionary: DataFrame, key: str, small: bool) -> DataFrame:
+    """Left join with a dictionary.  Where it shuffles, null tokens get keys of their
+    own, so that they do not meet in one task (a null token has no entry)."""
+    if small:
+        return frame.join(F.broadcast(dictionary), token == F.col(key), "left")
+    own = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
+    return (frame.withColumn("_own", F.coalesce(token, own))
+            .join(dictionary, F.col("_own") == F.col(key), "left").drop("_own"))
+
+
+def _known(token: Column, feature_id: Column, policy: str, column: str) -> Column:
+    if policy != "error":
+        return feature_id
+    message = F.concat(F.lit(f"unseen token in {column!r}: "), token)
+    return F.when(token.isNotNull() & feature_id.isNull(), F.raise_error(message).cast("bigint")).otherwise(feature_id)
+
+
+def encode_list(frame: DataFrame, spec: FieldSpec, column: str, out: str, dictionary: DataFrame, offset: int,
+                small: bool = True, policy: str = "skip") -> DataFrame:
+    """``frame`` with ``out``: the multi-hot entries of the list in ``column``, ids
+    ascending.  Each of the m tokens gets 1/m (or its transform); duplicate tokens
+    collapse to one entry (same value).  Rows are told apart by a number drawn here,
+    so equal rows and ids do not mix; each row is shuffled once."""
+    cols = frame.columns
+    d = dictionary.select(F.col("token").alias("_key"), (F.col("code") + F.lit(offset)).alias("_fid"))
+    ex = (frame.withColumns({"_u": F.monotonically_increasing_id(), "_toks": _tokens(spec, F.col(column))})
+          .withColumn("_tok", F.explode_outer(F.array_distinct("_toks"))))
+    j = _lookup(ex, F.col("_tok"), d, "_key", small)
+    val = spec.transform(F.col("_tok")).cast("double") if spec.transform else list_weights("_toks")
+    fid = _known(F.col("_tok"), F.col("_fid"), policy, spec.column)
+    entry = F.when(fid.isNotNull() & F.col("_tok").isNotNull(), F.struct(fid.alias("feature_id"), val.alias("value")))
+    grouped = j.groupBy("_u").agg(F.first(F.struct(*cols)).alias("_row"), F.array_sort(F.collect_list(entry)).alias("_e"))
+    return grouped.select(*[F.col("_row")[c].alias(c) for c in cols], F.col("_e").cast(FEATURES).alias(out))
 
 
 def filter_arity(raw: DataFrame, n: int, fields: str = "fields") -> DataFrame:

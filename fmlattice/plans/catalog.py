@@ -230,7 +230,7 @@ def lineitem_vectorized(spark, sf_dir):
     li = X.table(spark, sf_dir, "lineitem")
     specs = [Number("l_discount"), Number("l_tax"), Identity("l_returnflag"), Identity("l_linestatus"),
              Target("l_quantity")]
-    return standard_vectorize(li, specs)
+    return standard_vectorize(li, specs, ids=False)     # the text has no ids
 
 
 def lineitem_libfm_dir(spark, sf_dir):
@@ -462,7 +462,7 @@ def _entries_out(vec, lo=None, hi=None, key="o_orderkey", with_y=False):
 
 @query("encode_relation")
 def q_encode_relation(spark, sf_dir):
-    enc = R.encode_relation(customer_relation(spark, sf_dir))
+    enc = R.encode_relation(customer_relation(spark, sf_dir, drop_segment=False))
     return enc.rows.select(big("key").alias("c_custkey"), F.inline("features")).select(
         "c_custkey", big("feature_id").alias("feature_id"), r6("value").alias("value"))
 
@@ -483,7 +483,7 @@ def q_relation_fallback(spark, sf_dir):
 
 @query("relation_layout")
 def q_relation_layout(spark, sf_dir):
-    vec = orders_relation_vectorized(spark, sf_dir)
+    vec = orders_relation_vectorized(spark, sf_dir, drop_segment=False)
     rows = [(j, name, off, width) for j, (name, off, width) in enumerate(R.relation_layout(vec))]
     return spark.createDataFrame(rows, "block bigint, name string, feature_offset bigint, width bigint")
 
@@ -498,86 +498,145 @@ def q_relation_keep_key(spark, sf_dir):
     return _entries_out(orders_relation_vectorized(spark, sf_dir, keep_key=True), with_y=True)
 
 
+def lineitem_two_relations(spark, sf_dir):
+    """lineitem with two side tables, one of them with a list field."""
+    from ..operators.fields import Identity, Target
+    li = X.table(spark, sf_dir, "lineitem").withColumn("line_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    relations = {"l_partkey": R.Relation(X.table(spark, sf_dir, "part"), X.PART_SIDE_SPECS),
+                 "l_suppkey": R.Relation(X.table(spark, sf_dir, "supplier"), X.SUPPLIER_SPECS)}
+    specs = [Identity("l_partkey"), Identity("l_suppkey"), Identity("l_returnflag"),
+             Target("l_extendedprice", transform=X.price_target)]
+    return R.relation_vectorize(li, specs, relations, row_id="line_id")
+
+
+@query("relation_vectorize_two")
+def q_relation_vectorize_two(spark, sf_dir):
+    return _entries_out(lineitem_two_relations(spark, sf_dir), key="line_id", with_y=True)
+
+
+@query("encode_unseen")
+def q_encode_unseen(spark, sf_dir):
+    """Dictionaries learned from some users' events encode all events; the others'
+    ids have no entry."""
+    ev = X.table(spark, sf_dir, "events")
+    vec = standard_vectorize(ev.where(F.col("user_id") % X.UNSEEN_MODULUS != 0), X.EVENTS_SPECS, row_id="event_id")
+    rows = vec.encode(ev, unseen="skip")
+    return rows.select("row_id", F.inline("features")).select(
+        big("row_id").alias("row_id"), big("feature_id").alias("feature_id"), r6("value").alias("value"))
+
+
 # ---- 2.8 learner: events (user_id, event_type) -----------------------------------
 
 from ..operators import als as A  # noqa: E402
-from ..operators.blocks import conflict_free_blocks  # noqa: E402
+from ..operators.blocks import conflict_free_blocks, libfm_blocks  # noqa: E402
 
 
 def events_learning(spark, sf_dir):
     vec = events_vectorized(spark, sf_dir, X.EVENTS_MODEL_SPECS)
-    rows = A.prepare_rows(vec.rows)
-    blocks = conflict_free_blocks(rows, vec.blocks())
-    params = M.init_params(spark, vec.dimension, X.LEARN_CFG)
-    return rows, blocks, params, vec.dimension
+    train = A.prepare(vec.rows, conflict_free_blocks(vec.rows, vec.blocks()))
+    return train, M.init_params(spark, vec.dimension, X.LEARN_CFG), vec.dimension
 
 
-def _state_after_bias(spark, sf_dir):
-    rows, blocks, params, dim = events_learning(spark, sf_dir)
-    state = A.residuals(rows, params, 0.0, X.LEARN_CFG, dim)
-    state, w0 = A.global_bias_step(state, 0.0, X.LEARN_CFG)
-    return state, w0, params, blocks, dim
+def _after_bias(spark, sf_dir, slot="w"):
+    """A work frame of the first segment after the bias step, its first block, params."""
+    train, params, dim = events_learning(spark, sf_dir)
+    start = A.start_pass(train, params, 0.0, X.LEARN_CFG, dim)
+    seg = train.segments[0]
+    factor = None if slot == "w" else int(slot[1:])
+    return A.work_frame(seg, start.errors, start.sums, factor), seg.blocks[0], params
 
 
 @query("residuals")
 def q_residuals(spark, sf_dir):
-    rows, _, params, dim = events_learning(spark, sf_dir)
-    return A.residuals(rows, params, 0.0, X.LEARN_CFG, dim).select(
+    train, params, dim = events_learning(spark, sf_dir)
+    return A.residuals(train.rows, params, 0.0, X.LEARN_CFG, dim).select(
         big("row_id").alias("row_id"), r6("e").alias("e"))
 
 
 @query("factor_sums")
 def q_factor_sums(spark, sf_dir):
-    rows, _, params, dim = events_learning(spark, sf_dir)
-    return A.factor_sums(rows, params, X.LEARN_CFG, dim).select(
+    train, params, dim = events_learning(spark, sf_dir)
+    return A.factor_sums(train.rows, params, X.LEARN_CFG, dim).select(
         big("row_id").alias("row_id"), r6("q0").alias("q0"), r6("q1").alias("q1"))
 
 
 @query("global_bias_step")
 def q_global_bias_step(spark, sf_dir):
-    _, w0, _, _, _ = _state_after_bias(spark, sf_dir)
+    train, params, dim = events_learning(spark, sf_dir)
+    w0 = A.start_pass(train, params, 0.0, X.LEARN_CFG, dim).w0
     return spark.createDataFrame([(w0,)], "w0 double").select(r6("w0").alias("w0"))
 
 
-@query("theta_stats")
-def q_theta_stats(spark, sf_dir):
-    state, _, params, blocks, _ = _state_after_bias(spark, sf_dir)
-    st = A.theta_stats(state, params, blocks[0], "w", None)
+def _stats(spark, sf_dir, slot):
+    work, block, params = _after_bias(spark, sf_dir, slot)
+    st = A.theta_stats(work, params, 0, block, slot)
     return st.select(big("feature_id").alias("feature_id"), r6("sum_hh").alias("sum_hh"),
                      r6("sum_eh").alias("sum_eh"))
 
 
+@query("theta_stats")
+def q_theta_stats(spark, sf_dir):
+    return _stats(spark, sf_dir, "w")
+
+
+@query("theta_stats_v")
+def q_theta_stats_v(spark, sf_dir):
+    return _stats(spark, sf_dir, "v0")
+
+
+def _new_theta(spark, sf_dir, slot, reg):
+    work, block, params = _after_bias(spark, sf_dir, slot)
+    st = A.theta_stats(work, params, 0, block, slot)
+    new = A.updated_theta(F.col("theta"), F.col("sum_hh"), F.col("sum_eh"), reg)
+    return st.select(big("feature_id").alias("feature_id"), r6(new).alias(slot))
+
+
 @query("theta_update")
 def q_theta_update(spark, sf_dir):
-    state, _, params, blocks, _ = _state_after_bias(spark, sf_dir)
-    st = A.theta_stats(state, params, blocks[0], "w", None)
-    new = A.updated_theta(F.col("theta"), F.col("sum_hh"), F.col("sum_eh"), X.LEARN_CFG.regw)
-    return st.select(big("feature_id").alias("feature_id"), r6(new).alias("w"))
+    return _new_theta(spark, sf_dir, "w", X.LEARN_CFG.regw)
+
+
+@query("theta_update_v")
+def q_theta_update_v(spark, sf_dir):
+    return _new_theta(spark, sf_dir, "v0", X.LEARN_CFG.regv)
 
 
 @query("error_update")
 def q_error_update(spark, sf_dir):
-    state, _, params, blocks, _ = _state_after_bias(spark, sf_dir)
-    delta = A.theta_update(A.theta_stats(state, params, blocks[0], "w", None), X.LEARN_CFG.regw)
-    out = A.error_update(state, delta, blocks[0], None, blocks[0].size)
+    work, block, params = _after_bias(spark, sf_dir)
+    delta = A.theta_update(A.theta_stats(work, params, 0, block, "w"), X.LEARN_CFG.regw)
+    out = A.error_update(work, delta, 0, block, False)
     return out.select(big("row_id").alias("row_id"), r6("e").alias("e"))
 
 
-def _events_pass(spark, sf_dir, stop_after=None):
-    rows, blocks, params, dim = events_learning(spark, sf_dir)
-    return A.als_iteration(rows, params, 0.0, X.LEARN_CFG, blocks, dim, stop_after=stop_after)
+@query("error_update_v")
+def q_error_update_v(spark, sf_dir):
+    work, block, params = _after_bias(spark, sf_dir, "v0")
+    delta = A.theta_update(A.theta_stats(work, params, 0, block, "v0"), X.LEARN_CFG.regv)
+    out = A.error_update(work, delta, 0, block, True)
+    return out.select(big("row_id").alias("row_id"), r6("e").alias("e"), r6("q").alias("q0"))
+
+
+def _sweeps(spark, sf_dir, slots):
+    """The sweeps of the given families, from the bias step on."""
+    train, params, dim = events_learning(spark, sf_dir)
+    start = A.start_pass(train, params, 0.0, X.LEARN_CFG, dim)
+    updates, errors, owned = A.Updates(train.scratch), start.errors, None
+    for slot, reg in A.families(X.LEARN_CFG):
+        if slot in slots:
+            errors, owned = A.sweep(train, errors, params, slot, reg, updates, start.sums, owned=owned)
+    return updates.apply(params, dim)
 
 
 @query("linear_sweep")
 def q_linear_sweep(spark, sf_dir):
-    res = _events_pass(spark, sf_dir, "w")
-    return res.params.select(big("feature_id").alias("feature_id"), r6("w").alias("w"))
+    return _sweeps(spark, sf_dir, ["w"]).select(big("feature_id").alias("feature_id"), r6("w").alias("w"))
 
 
 @query("factor_sweep")
 def q_factor_sweep(spark, sf_dir):
-    res = _events_pass(spark, sf_dir, "v0")
-    return res.params.select(big("feature_id").alias("feature_id"), r6("v0").alias("v0"))
+    return _sweeps(spark, sf_dir, ["w", "v0", "v1"]).select(
+        big("feature_id").alias("feature_id"), r6("v0").alias("v0"), r6("v1").alias("v1"))
 
 
 def _params_out(params, w0):
@@ -587,7 +646,8 @@ def _params_out(params, w0):
 
 @query("als_iteration")
 def q_als_iteration(spark, sf_dir):
-    res = _events_pass(spark, sf_dir)
+    train, params, dim = events_learning(spark, sf_dir)
+    res = A.als_iteration(train, params, 0.0, X.LEARN_CFG, dim)
     return _params_out(res.params, res.w0)
 
 
@@ -609,14 +669,32 @@ def q_training_trace(spark, sf_dir):
     return m.trace.select(big("iteration").alias("iteration"), r6("rmse").alias("rmse"))
 
 
-# ---- 2.9 relation-level learning: orders -> customer (misses kept) ------------------
+@query("fit_list")
+def q_fit_list(spark, sf_dir):
+    """A list field: its tokens meet in rows, so it is cut into many blocks."""
+    vec = standard_vectorize(X.table(spark, sf_dir, "part"), X.PART_FIT_SPECS, row_id="p_partkey")
+    m = A.fit(vec.rows, X.ONE_PASS_CFG, vec.dimension, conflict_free_blocks(vec.rows, vec.blocks()))
+    return _params_out(m.params, m.w0)
+
+
+@query("fit_libfm")
+def q_fit_libfm(spark, sf_dir):
+    """Rows read from libFM text: no ids, no fields."""
+    rows = S.read_libfm(spark, lineitem_libfm_dir(spark, sf_dir), assign_ids=False)
+    rows = rows.withColumn("row_id", F.lit(None).cast("bigint"))
+    largest = S.libfm_dimension(rows)
+    m = A.fit(rows, X.ONE_PASS_CFG, largest + 1, libfm_blocks(rows, largest))
+    return _params_out(m.params, m.w0)
+
+
+# ---- 2.9 relation-level learning: orders -> customer ---------------------------------
 
 from ..operators import relational as RL  # noqa: E402
 
 
-def orders_relational(spark, sf_dir):
+def orders_relational(spark, sf_dir, drop_segment=False):
     o = X.table(spark, sf_dir, "orders")
-    return RL.relational_dataset(o, X.ORDERS_SPECS, {"o_custkey": customer_relation(spark, sf_dir)},
+    return RL.relational_dataset(o, X.ORDERS_SPECS, {"o_custkey": customer_relation(spark, sf_dir, drop_segment)},
                                  row_id="o_orderkey")
 
 
@@ -635,7 +713,8 @@ def q_relational_dimension(spark, sf_dir):
 
 @query("relational_dataset")
 def q_relational_dataset(spark, sf_dir):
-    d = orders_relational(spark, sf_dir)
+    """Customers of one segment are left out here: their orders keep the key's one-hot."""
+    d = orders_relational(spark, sf_dir, drop_segment=True)
     return d.fact.select("row_id", "key_0", F.inline("features")).select(
         big("row_id").alias("o_orderkey"), big("key_0").alias("c_custkey"),
         big("feature_id").alias("feature_id"), r6("value").alias("value"))
@@ -656,19 +735,35 @@ def q_relation_cache(spark, sf_dir):
                     r6("C").alias("c_sum"), r6("C2").alias("c2_sum"), r6("EC").alias("ec_sum"))
 
 
-def _relational_pass(spark, sf_dir, stop):
+def _relational_sweeps(spark, sf_dir, slots):
     d = orders_relational(spark, sf_dir)
+    train = RL.prepare_relational(d)
     params = M.init_params(spark, d.dimension, X.LEARN_CFG)
-    return RL.relational_iteration(d, d.fact, params, 0.0, X.LEARN_CFG, stop_after=stop)
+    start, sums = RL.relational_start(train, params, 0.0, X.LEARN_CFG)
+    updates, state, own = A.Updates(train.scratch), start.errors, None
+    for slot, reg in A.families(X.LEARN_CFG):
+        if slot in slots:
+            if slot != "w":
+                state = A.placed_join(state, start.sums.select("row_id", F.col(f"q{slot[1:]}").alias("q")))
+            state, own = RL.relational_family(train, state, params, slot, reg, updates, sums, own)
+            state = state.drop("q")
+    return updates.apply(params, d.dimension)
 
 
 @query("relation_linear_sweep")
 def q_relation_linear_sweep(spark, sf_dir):
-    res = _relational_pass(spark, sf_dir, "w")
-    return res.params.select(big("feature_id").alias("feature_id"), r6("w").alias("w"))
+    return _relational_sweeps(spark, sf_dir, ["w"]).select(big("feature_id").alias("feature_id"), r6("w").alias("w"))
 
 
 @query("relation_factor_sweep")
 def q_relation_factor_sweep(spark, sf_dir):
-    res = _relational_pass(spark, sf_dir, "v0")
-    return res.params.select(big("feature_id").alias("feature_id"), r6("v0").alias("v0"))
+    return _relational_sweeps(spark, sf_dir, ["w", "v0", "v1"]).select(
+        big("feature_id").alias("feature_id"), r6("v0").alias("v0"), r6("v1").alias("v1"))
+
+
+@query("relational_iteration")
+def q_relational_iteration(spark, sf_dir):
+    d = orders_relational(spark, sf_dir, drop_segment=True)
+    train = RL.prepare_relational(d)
+    res = RL.relational_iteration(train, M.init_params(spark, d.dimension, X.LEARN_CFG), 0.0, X.LEARN_CFG)
+    return _params_out(res.params, res.w0)

@@ -59,5 +59,20 @@ CUSTOMER_SPECS = [Target("c_custkey"), Identity("c_mktsegment"), Identity("c_nat
 PART_SPECS = [List("p_name", sep=" "), Identity("p_brand"), Identity("p_type"),
               Number("p_size"), Target("p_retailprice")]
 
+# part as a training set: the list's tokens meet in rows
+PART_PRICE_SCALE = 1000.0
+PART_SIZE_SCALE = 50.0
+PART_FIT_SPECS = [List("p_name", sep=" "), Identity("p_brand"), Identity("p_type"),
+                  Number("p_size", transform=lambda c: c / F.lit(PART_SIZE_SCALE)),
+                  Target("p_retailprice", transform=lambda c: c / F.lit(PART_PRICE_SCALE))]
+ONE_PASS_CFG = LEARN_CFG.with_(iterations=1)
+
+# lineitem's two side tables
+PART_SIDE_SPECS = [Target("p_partkey"), List("p_name", sep=" "), Identity("p_brand")]
+SUPPLIER_SPECS = [Target("s_suppkey"), Identity("s_nationkey"), Number("s_acctbal", transform=acctbal_number)]
+
+# users whose id this divides are not in the dictionary that encode_unseen learns
+UNSEEN_MODULUS = 3
+
 # side table with natural misses: customers outside one market segment
 RELATION_DROP_SEGMENT = "BUILDING"

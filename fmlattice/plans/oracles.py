@@ -338,7 +338,9 @@ rel_rest AS (
 rel_y AS (SELECT o_orderkey AS row_id, o_totalprice / {X.PRICE_SCALE!r} AS y FROM orders)
 """
 
-oracle("encode_relation", with_(REL, f"""
+REL_ALL = REL.replace(f" WHERE c_mktsegment <> '{X.RELATION_DROP_SEGMENT}'", "")
+
+oracle("encode_relation", with_(REL_ALL, f"""
 SELECT CAST(key AS BIGINT) AS c_custkey, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM cu_ent"""))
 
 oracle("relation_join", with_(REL, f"""
@@ -347,7 +349,7 @@ SELECT CAST(row_id AS BIGINT) AS o_orderkey, CAST(fid AS BIGINT) AS feature_id,
 oracle("relation_fallback", with_(REL, f"""
 SELECT CAST(row_id AS BIGINT) AS o_orderkey, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM rel_miss"""))
 
-oracle("relation_layout", with_(REL, """
+oracle("relation_layout", with_(REL_ALL, """
 SELECT CAST(b AS BIGINT) AS block, name, CAST(off AS BIGINT) AS feature_offset, CAST(w AS BIGINT) AS width FROM (
   SELECT 0 AS b, 'o_custkey' AS name, 0 AS off, nck AS w FROM o_dims
   UNION ALL SELECT 1, 'c_mktsegment', nck, (SELECT nseg FROM cu_dims) FROM o_dims
@@ -488,7 +490,8 @@ oracle("theta_update", with_(_C1, f"""
 SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('new')} AS w FROM {_N['upd']}"""))
 oracle("error_update", with_(_C1, f"SELECT CAST(row_id AS BIGINT) AS row_id, {r6('e')} AS e FROM {_N['err']}"))
 oracle("linear_sweep", with_(_C1, f"SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('w')} AS w FROM pw_1"))
-oracle("factor_sweep", with_(_C1, f"SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('v0')} AS v0 FROM pv0_1"))
+oracle("factor_sweep", with_(_C1, f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('v0')} AS v0, {r6('v1')} AS v1 FROM p_2"""))
 oracle("als_iteration", with_(_C1, f"""
 SELECT CAST(p.feature_id AS BIGINT) AS feature_id, {r6('p.w')} AS w, {r6('p.v0')} AS v0, {r6('p.v1')} AS v1,
        {r6('o.w0')} AS w0 FROM p_2 p CROSS JOIN w0_2 o"""))
@@ -503,7 +506,7 @@ UNION ALL SELECT CAST(2 AS BIGINT), {r6('rmse')} FROM rmse_2"""))
 # ---- relation-level learning: orders -> customer; must equal the flat sweep --------------
 # Slots of a flat row (at most one id each): 0 key one-hot (misses), 1 segment,
 # 2 nation, 3 account balance, 4 priority, 5 status.
-REL_ROWS = REL + """,
+REL_SLOTS = """,
 rl AS (
   SELECT o.o_orderkey AS row_id, o.o_totalprice / """ + repr(X.PRICE_SCALE) + """ AS y,
          CASE WHEN cu.c_custkey IS NULL THEN k.code END AS id0, CAST(1.0 AS DOUBLE) AS x0,
@@ -528,6 +531,7 @@ rl_ids AS (
   UNION ALL SELECT d.nck + d.nrel + p.code FROM o_pr p CROSS JOIN o_dims d
   UNION ALL SELECT d.nck + d.nrel + d.npr + st.code FROM o_st st CROSS JOIN o_dims d)
 """
+REL_ROWS, REL_ALL_ROWS = REL + REL_SLOTS, REL_ALL + REL_SLOTS
 
 
 def flat_sweep_ctes(base: str, G: int, stop: str) -> str:
@@ -591,11 +595,11 @@ def flat_sweep_ctes(base: str, G: int, stop: str) -> str:
     return ",\n".join(parts)
 
 
-oracle("relation_block", with_(REL, f"""
+oracle("relation_block", with_(REL_ALL, f"""
 SELECT CAST(e.key AS BIGINT) AS c_custkey, CAST(d.nck + e.fid AS BIGINT) AS feature_id, {r6('e.v')} AS value
   FROM cu_ent e CROSS JOIN o_dims d"""))
 
-oracle("relational_dimension", with_(REL, """
+oracle("relational_dimension", with_(REL_ALL, """
 SELECT CAST(nck + nrel + npr + (SELECT count(*) FROM o_st) AS BIGINT) AS dimension FROM o_dims"""))
 
 oracle("relational_dataset", with_(REL, f"""
@@ -604,12 +608,12 @@ SELECT CAST(e.row_id AS BIGINT) AS o_orderkey,
        CAST(e.fid AS BIGINT) AS feature_id, {r6('e.v')} AS value
   FROM (SELECT * FROM rel_miss UNION ALL SELECT * FROM rel_rest) e JOIN orders o ON o.o_orderkey = e.row_id"""))
 
-oracle("attribute_groups", with_(REL, """
+oracle("attribute_groups", with_(REL_ALL, """
 SELECT CAST(g AS BIGINT) AS group_id, CAST(n AS BIGINT) AS n_features FROM (
   SELECT 0 AS g, nck AS n FROM o_dims UNION ALL SELECT 1, nseg FROM cu_dims UNION ALL SELECT 2, nnat FROM cu_dims
   UNION ALL SELECT 3, 1 UNION ALL SELECT 4, npr FROM o_dims UNION ALL SELECT 5, (SELECT count(*) FROM o_st))"""))
 
-_RC = flat_sweep_ctes(REL_ROWS, 6, "w")
+_RC = flat_sweep_ctes(REL_ALL_ROWS, 6, "w")
 oracle("relation_cache", with_(_RC + ",\n" + """
 rc_qb AS (SELECT e.key, sum(p.v0 * e.v) AS qb FROM cu_ent e JOIN fp_1 p ON p.feature_id = (SELECT nck FROM o_dims) + e.fid
           GROUP BY e.key),
@@ -619,8 +623,119 @@ SELECT CAST(key AS BIGINT) AS c_custkey, CAST(count(*) AS BIGINT) AS n, {r6('sum
        {r6('sum(c)')} AS c_sum, {r6('sum(c * c)')} AS c2_sum, {r6('sum(e * c)')} AS ec_sum
   FROM rc GROUP BY key"""))
 
-oracle("relation_linear_sweep", with_(flat_sweep_ctes(REL_ROWS, 6, "w"), f"""
+oracle("relation_linear_sweep", with_(flat_sweep_ctes(REL_ALL_ROWS, 6, "w"), f"""
 SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('w')} AS w FROM fp_w"""))
 
-oracle("relation_factor_sweep", with_(flat_sweep_ctes(REL_ROWS, 6, "v0"), f"""
-SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('v0')} AS v0 FROM fp_v0"""))
+oracle("relation_factor_sweep", with_(flat_sweep_ctes(REL_ALL_ROWS, 6, "v1"), f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('v0')} AS v0, {r6('v1')} AS v1
+  FROM fp_v0 JOIN fp_v1 USING (feature_id)"""))
+
+ONE_PASS = f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('w')} AS w, {r6('v0')} AS v0, {r6('v1')} AS v1,
+       {r6('(SELECT w0 FROM fw0)')} AS w0
+  FROM fp_w JOIN fp_v0 USING (feature_id) JOIN fp_v1 USING (feature_id)"""
+
+oracle("relational_iteration", with_(flat_sweep_ctes(REL_ROWS, 6, "v1"), ONE_PASS))
+
+
+# ---- list field and libFM rows: one pass, feature by feature ----------------------------
+# part: one slot for each token of the list (ids ascending), then brand, type, size.
+PART_TOKENS = 16
+_PT = range(PART_TOKENS)
+PART_ROWS = PART_LIST + f""",
+pt_n AS (SELECT count(*) AS ntok FROM pt_dict),
+pt_b AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT p_brand AS token FROM part)),
+pt_t AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT p_type AS token FROM part)),
+pt_dims AS (SELECT ntok, (SELECT count(*) FROM pt_b) AS nb, (SELECT count(*) FROM pt_t) AS nt FROM pt_n),
+pt_w AS (SELECT DISTINCT t.p_partkey, d.code, 1.0 / t.m AS v FROM pt_tok t JOIN pt_dict d USING (token)),
+pt_wide AS (SELECT p_partkey, {', '.join(f"max(CASE WHEN code = {g} THEN v END) AS x{g}" for g in _PT)}
+              FROM pt_w GROUP BY p_partkey),
+rl AS (SELECT p.p_partkey AS row_id, p.p_retailprice / {X.PART_PRICE_SCALE!r} AS y,
+              {', '.join(f"CASE WHEN w.x{g} IS NOT NULL THEN {g} END AS id{g}, w.x{g}" for g in _PT)},
+              d.ntok + b.code AS id{PART_TOKENS}, CAST(1.0 AS DOUBLE) AS x{PART_TOKENS},
+              d.ntok + d.nb + t.code AS id{PART_TOKENS + 1}, CAST(1.0 AS DOUBLE) AS x{PART_TOKENS + 1},
+              CASE WHEN p.p_size <> 0 THEN d.ntok + d.nb + d.nt END AS id{PART_TOKENS + 2},
+              p.p_size / {X.PART_SIZE_SCALE!r} AS x{PART_TOKENS + 2}
+         FROM part p CROSS JOIN pt_dims d LEFT JOIN pt_wide w USING (p_partkey)
+         JOIN pt_b b ON b.token = p.p_brand JOIN pt_t t ON t.token = p.p_type),
+rl_ids AS (SELECT unnest(range(ntok + nb + nt + 1)) AS feature_id FROM pt_dims)
+"""
+
+
+def materialized(ctes: str) -> str:
+    """The chain is long and each link is read twice: compute each once."""
+    return ctes.replace(" AS (SELECT", " AS MATERIALIZED (SELECT").replace(" AS (\n", " AS MATERIALIZED (\n")
+
+
+oracle("fit_list", with_(materialized(flat_sweep_ctes(PART_ROWS, PART_TOKENS + 3, "v1")), ONE_PASS))
+
+# lineitem read back from libFM text: ids are one higher, values have at most 3 decimals
+LIBFM_ROWS = LI_LIBFM + """,
+rl AS (SELECT li.rid AS row_id, li.l_quantity AS y,
+              CASE WHEN l_discount <> 0 THEN 1 END AS id0, l_discount AS x0,
+              CASE WHEN l_tax <> 0 THEN 2 END AS id1, l_tax AS x1,
+              3 + rf.code AS id2, CAST(1.0 AS DOUBLE) AS x2,
+              3 + (SELECT n FROM li_nrf) + ls.code AS id3, CAST(1.0 AS DOUBLE) AS x3
+         FROM li JOIN li_rf rf ON rf.token = li.l_returnflag JOIN li_ls ls ON ls.token = li.l_linestatus),
+rl_ids AS (SELECT unnest(range(2 + (SELECT max(fid) FROM li_ent))) AS feature_id)
+"""
+oracle("fit_libfm", with_(materialized(flat_sweep_ctes(LIBFM_ROWS, 4, "v1")), ONE_PASS))
+
+
+# ---- two side tables, a list in one of them ---------------------------------------------
+oracle("relation_vectorize_two", f"""
+WITH {PART_LIST.strip()},
+pt_b AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT p_brand AS token FROM part)),
+su_n AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+           FROM (SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS token FROM supplier)),
+l_p AS (SELECT count(DISTINCT l_partkey) AS n FROM lineitem),
+l_s AS (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem),
+l_rf AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT l_returnflag AS token FROM lineitem)),
+l_pk AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS token FROM lineitem)),
+l_sk AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS token FROM lineitem)),
+dims AS (SELECT (SELECT n FROM l_p) AS np, (SELECT count(*) FROM pt_dict) AS ntok, (SELECT count(*) FROM pt_b) AS nb,
+                (SELECT n FROM l_s) AS ns, (SELECT count(*) FROM su_n) AS nn),
+li AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_extendedprice / {X.PRICE_SCALE!r} AS y, * FROM lineitem),
+ent AS (
+  SELECT line_id, y, np + w.code AS fid, w.v FROM li CROSS JOIN dims
+    JOIN (SELECT DISTINCT t.p_partkey, d.code, 1.0 / t.m AS v FROM pt_tok t JOIN pt_dict d USING (token)) w ON w.p_partkey = l_partkey
+  UNION ALL SELECT line_id, y, np + ntok + b.code, 1.0 FROM li CROSS JOIN dims JOIN part p ON p.p_partkey = l_partkey
+    JOIN pt_b b ON b.token = p.p_brand
+  UNION ALL SELECT line_id, y, k.code, 1.0 FROM li JOIN l_pk k ON k.token = CAST(l_partkey AS VARCHAR)
+    WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+  UNION ALL SELECT line_id, y, np + ntok + nb + ns + n.code, 1.0 FROM li CROSS JOIN dims JOIN supplier s ON s.s_suppkey = l_suppkey
+    JOIN su_n n ON n.token = CAST(s.s_nationkey AS VARCHAR)
+  UNION ALL SELECT line_id, y, np + ntok + nb + ns + nn, s_acctbal / {X.ACCTBAL_SCALE!r} FROM li CROSS JOIN dims
+    JOIN supplier s ON s.s_suppkey = l_suppkey WHERE s_acctbal <> 0
+  UNION ALL SELECT line_id, y, np + ntok + nb + k.code, 1.0 FROM li CROSS JOIN dims JOIN l_sk k ON k.token = CAST(l_suppkey AS VARCHAR)
+    WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+  UNION ALL SELECT line_id, y, np + ntok + nb + ns + nn + 1 + r.code, 1.0 FROM li CROSS JOIN dims
+    JOIN l_rf r ON r.token = l_returnflag)
+SELECT CAST(line_id AS BIGINT) AS line_id, {r6('y')} AS y, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM ent""")
+
+
+# ---- learned dictionaries on other data ---------------------------------------------------
+oracle("encode_unseen", f"""
+WITH learned AS (SELECT * FROM events WHERE user_id % {X.UNSEEN_MODULUS} <> 0),
+u AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS token FROM learned)),
+t AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT event_type AS token FROM learned)),
+d AS (SELECT (SELECT count(*) FROM u) AS nu, (SELECT count(*) FROM t) AS nt),
+ent AS (
+  SELECT event_id AS row_id, u.code AS fid, 1.0 AS v FROM events JOIN u ON u.token = CAST(user_id AS VARCHAR)
+  UNION ALL SELECT event_id, d.nu + t.code, 1.0 FROM events CROSS JOIN d JOIN t ON t.token = event_type
+  UNION ALL SELECT event_id, d.nu + d.nt, CAST((epoch_us(ts) // 1000000) // 86400 AS DOUBLE) FROM events CROSS JOIN d)
+SELECT CAST(row_id AS BIGINT) AS row_id, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM ent WHERE v <> 0""")
+
+
+# ---- the v form of the single block steps, after the bias step ------------------------------
+_V = _C1 + f""",
+bv_h AS (SELECT s.*, p.v0 AS theta, s.x0 * s.q0 - s.x0 * s.x0 * p.v0 AS h FROM {_N['stateb']} s JOIN p_1 p ON p.feature_id = s.id0),
+bv_st AS (SELECT id0 AS feature_id, any_value(theta) AS theta, sum(h * h) AS hh, sum(e * h) AS eh FROM bv_h GROUP BY id0),
+bv_new AS (SELECT feature_id, theta, {_upd('theta', 'hh', 'eh', X.LEARN_CFG.regv)} AS new FROM bv_st)"""
+oracle("theta_stats_v", with_(_V, f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('hh')} AS sum_hh, {r6('eh')} AS sum_eh FROM bv_st"""))
+oracle("theta_update_v", with_(_V, f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('new')} AS v0 FROM bv_new"""))
+oracle("error_update_v", with_(_V, f"""
+SELECT CAST(h.row_id AS BIGINT) AS row_id, {r6('h.e + h.h * (n.new - n.theta)')} AS e,
+       {r6('h.q0 + h.x0 * (n.new - n.theta)')} AS q0 FROM bv_h h JOIN bv_new n ON n.feature_id = h.id0"""))

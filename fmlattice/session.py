@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Largest number of rows we let a broadcast side have.  Every broadcast in the
 # library is behind a check of an exact row count against this bound; larger
@@ -73,14 +74,12 @@ def scratch_path(spark: SparkSession, name: str = "t") -> str:
     return f"{base}/fmlattice-scratch/{name}-{uuid.uuid4().hex}"
 
 
-# Blocks at most this wide bring their table of new values (one row per
-# feature of the block) back as a local relation: it is broadcast anyway, so
-# this only skips writing and re-reading a tiny table.  Wider blocks write it.
-DEFAULT_LOCAL_DELTA_ROWS = 200_000
+# Blocks that the learner updates between two writes of the training state.
+DEFAULT_SEGMENT_BLOCKS = 8
 
 
-def local_delta_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("fmlattice.localDeltaRows", str(DEFAULT_LOCAL_DELTA_ROWS)))
+def segment_blocks(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("fmlattice.segmentBlocks", str(DEFAULT_SEGMENT_BLOCKS))))
 
 
 # Blocks at most this wide carry their old values and changes as array
@@ -120,6 +119,7 @@ class Scratch:
         self.spark = spark
         self.prefix = prefix
         self.paths: list[str] = []
+        self.tables: dict[str, str] = {}     # path of a bucketed table -> its name
 
     def write(self, df, name: str | None = None):
         path = scratch_path(self.spark, name or self.prefix)
@@ -127,17 +127,38 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def place(self, df, key: str, parts: int, name: str | None = None, placed: bool = False):
+        """Write ``df`` bucketed by ``key``: tables placed by the same key and number of
+        buckets join, and group by the key, without a shuffle.  ``placed``: the rows
+        are already partitioned that way."""
+        path = scratch_path(self.spark, name or self.prefix)
+        table = f"fmlattice_{uuid.uuid4().hex}"
+        df = df if placed else df.repartition(parts, key)
+        df.write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(table)
+        self.paths.append(path)
+        self.tables[path] = table
+        return self.spark.table(table)
+
+    def last(self) -> str:
+        return self.paths[-1]
+
     def mark(self) -> int:
         return len(self.paths)
 
+    def drop(self, path: str) -> None:
+        """Delete one table."""
+        if path in self.paths:
+            self.paths.remove(path)
+            table = self.tables.pop(path, None)
+            if table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            delete_path(self.spark, path)
+
     def drop_before(self, mark: int, keep: tuple = ()) -> None:
         """Delete tables written before ``mark`` (except paths in ``keep``)."""
-        old, self.paths = self.paths[:mark], self.paths[mark:]
-        for p in old:
-            if p in keep:
-                self.paths.insert(0, p)
-            else:
-                delete_path(self.spark, p)
+        for p in self.paths[:mark]:
+            if p not in keep:
+                self.drop(p)
 
     def drop_all(self, keep: tuple = ()) -> None:
         self.drop_before(len(self.paths), keep)
@@ -148,3 +169,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(jpath, True)
+
+
+# fixed per-row overhead of a broadcast hash relation
+ENTRY_OVERHEAD_BYTES = 48
+
+
+def maybe_broadcast(df, rows: int, spark=None, extra_bytes: int = 0):
+    """Broadcast ``df`` only if its exact row count, and its size estimated from the
+    rows' fixed overhead and the measured ``extra_bytes``, are under the bounds."""
+    spark = spark or df.sparkSession
+    return F.broadcast(df) if fits_broadcast(spark, rows, extra_bytes) else df
+
+
+def fits_broadcast(spark: SparkSession, rows: int, extra_bytes: int = 0) -> bool:
+    return rows <= broadcast_rows(spark) and extra_bytes + rows * ENTRY_OVERHEAD_BYTES <= broadcast_bytes(spark)

@@ -27,14 +27,18 @@ def write_delimited(df: DataFrame, path: str, sep: str = "::") -> None:
 
 
 def filter_comment_blank(lines: DataFrame, col: str = "value") -> DataFrame:
-    """Trim, then drop empty lines and ``#`` comments."""
-    t = F.trim(F.col(col))
+    """Trim as the JVM does (all characters up to the blank, tabs too), then drop empty
+    lines and ``#`` comments."""
+    t = F.regexp_replace(F.col(col), "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
     return lines.select(t.alias(col)).where((F.length(col) > 0) & ~F.col(col).startswith("#"))
 
 
 def parse_libfm(lines: DataFrame, index_base: int = 0, col: str = "value") -> DataFrame:
     """Trimmed, filtered libFM lines -> ``y double, features``."""
-    items = F.split(F.col(col), " ", -1)
+    # a filter derived from these expressions may run before the one on the lines, so
+    # they leave comments alone
+    line = F.when((F.length(col) > 0) & ~F.col(col).startswith("#"), F.col(col))
+    items = F.split(line, " ", -1)
     tail = F.filter(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))),
                     lambda t: F.length(t) > 0)
     ent = F.transform(tail, lambda t: F.struct(
@@ -47,9 +51,9 @@ def read_libfm(spark: SparkSession, path: str, index_base: int = 0,
                assign_ids: bool = True, min_partitions: int | None = None) -> DataFrame:
     """libFM text -> ``row_id, y, features``.  Row ids are drawn once and the
     rows checkpointed, so they are stable under re-computation.
-    ``min_partitions``: spread the lines over at least that many partitions."""
+    ``min_partitions``: deal the lines over so many partitions."""
     lines = spark.read.text(path)
-    if min_partitions and lines.rdd.getNumPartitions() < min_partitions:
+    if min_partitions:
         lines = lines.repartition(min_partitions)
     parsed = parse_libfm(filter_comment_blank(lines), index_base)
     return assign_row_ids(parsed) if assign_ids else parsed
@@ -65,9 +69,10 @@ def libfm_dimension(rows: DataFrame, num_features: int = -1) -> int:
 
 
 def libfm_lines(rows: DataFrame, index_base: int = 1, precision: int | None = 3) -> DataFrame:
-    """``y, features`` -> ``value`` text lines, ids ascending."""
+    """``y, features`` -> ``value`` text lines, ids ascending.  Numbers have at most
+    ``precision`` decimals; None prints full doubles."""
     def num(c):
-        return format_compact(c) if precision == 3 else c.cast("string")
+        return c.cast("string") if precision is None else format_compact(c, precision)
     ents = F.transform(F.array_sort("features"), lambda e: F.concat(
         (e["feature_id"] + F.lit(index_base)).cast("string"), F.lit(":"), num(e["value"])))
     line = F.concat_ws(" ", num(F.col("y")), F.array_join(ents, " "))

@@ -105,15 +105,16 @@ def test_join_path_for_wide_blocks_gives_the_same_fit(spark):
     cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.1, seed=5, regv=1.0)
     blocks = conflict_free_blocks(vec.rows, vec.blocks())
     a = A.fit(vec.rows, cfg, vec.dimension, blocks).params.orderBy("feature_id").toPandas()
-    spark.conf.set("fmlattice.literalBlockRows", "0")
-    spark.conf.set("fmlattice.localDeltaRows", "0")
-    try:
-        b = A.fit(vec.rows, cfg, vec.dimension, blocks).params.orderBy("feature_id").toPandas()
-    finally:
-        spark.conf.unset("fmlattice.literalBlockRows")
-        spark.conf.unset("fmlattice.localDeltaRows")
-    assert np.abs(a.w.values - b.w.values).max() < 1e-12
-    assert np.abs(a.v0.values - b.v0.values).max() < 1e-12
+    for bounds in ({"literalBlockRows": "0"}, {"literalBlockRows": "0", "broadcastRows": "0"}, {"segmentBlocks": "1"}):
+        for name, value in bounds.items():
+            spark.conf.set(f"fmlattice.{name}", value)
+        try:
+            b = A.fit(vec.rows, cfg, vec.dimension, blocks).params.orderBy("feature_id").toPandas()
+        finally:
+            for name in bounds:
+                spark.conf.unset(f"fmlattice.{name}")
+        assert np.abs(a.w.values - b.w.values).max() < 1e-12
+        assert np.abs(a.v0.values - b.v0.values).max() < 1e-11
 
 
 def test_hot_category_with_a_third_of_the_rows(spark):
@@ -127,3 +128,60 @@ def test_hot_category_with_a_third_of_the_rows(spark):
     p = model.params.orderBy("feature_id").toPandas()
     _, w, v, _ = numpy_fit(vec, cfg, spark)
     assert np.abs(p.w.values - w).max() < 1e-10 and np.abs(p.v0.values - v[0]).max() < 1e-10
+
+
+def test_repeated_row_ids(spark):
+    """Rows that share an id are rows of their own, in scoring and in training."""
+    schema = "row_id long, y double, features array<struct<feature_id:bigint,value:double>>"
+    rows = [(1, 1.0, [(0, 1.0)]), (1, 2.0, [(1, 2.0)]), (2, 3.0, [(0, 1.0), (1, 1.0)]), (None, 0.5, [(1, 1.0)])]
+    cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.1, seed=2, regv=1.0)
+    params = spark.createDataFrame([(0, 0.5, 0.1), (1, 0.25, 0.2)], "feature_id long, w double, v0 double")
+    got = sorted(r["prediction"] for r in M.predict(spark.createDataFrame(rows, schema), params, 0.0, cfg, 2).collect())
+    assert np.allclose(got, sorted([0.5, 0.5, 0.75 + 0.02, 0.25]))
+    unique = [(i, y, f) for i, (_, y, f) in enumerate(rows)]
+    from fmlattice.operators.vectorize import Block
+    blocks = [Block("a", 0, 1), Block("b", 1, 1)]
+    a = A.fit(spark.createDataFrame(rows, schema), cfg, 2, blocks).params.orderBy("feature_id").toPandas()
+    b = A.fit(spark.createDataFrame(unique, schema), cfg, 2, blocks).params.orderBy("feature_id").toPandas()
+    assert np.allclose(a.values, b.values, atol=1e-14)
+
+
+def test_predict_unseen_features(spark):
+    rows = spark.createDataFrame([(1, 1.0, [(9, 1.0)])],
+                                 "row_id long, y double, features array<struct<feature_id:bigint,value:double>>")
+    params = spark.createDataFrame([(0, 0.5, 0.1)], "feature_id long, w double, v0 double")
+    assert M.predict(rows, params, 0.25, M.FMConfig(k=1), 1).first()["prediction"] == 0.25
+    import pytest
+    with pytest.raises(Exception, match="not in the model"):
+        M.predict(rows, params, 0.25, M.FMConfig(k=1), 1, unseen="error").collect()
+
+
+def test_scratch_after_fit_holds_only_the_parameters(spark):
+    from fmlattice.session import Scratch
+    vec = synthetic(spark, n=60, seed=2)
+    scratch = Scratch(spark, "kept")
+    cfg = M.FMConfig(k=2, iterations=2, init_stdev=0.1, seed=5)
+    model = A.fit(vec.rows, cfg, vec.dimension, conflict_free_blocks(vec.rows, vec.blocks()), scratch=scratch)
+    assert len(scratch.paths) == 1 and "params" in scratch.paths[0] and not scratch.tables
+    assert model.params.count() == vec.dimension
+
+
+def test_many_blocks_by_segments(spark):
+    """Every token meets its neighbours, so each is a block of its own; small segments
+    give the sequential result."""
+    data = [(i, " ".join(f"t{(i + d) % 20:02d}" for d in range(3)), float(i % 7) - 3) for i in range(100)]
+    df = spark.createDataFrame(data, "id long, tags string, y double")
+    vec = standard_vectorize(df, [List("tags", sep=" "), Target("y")], row_id="id")
+    blocks = conflict_free_blocks(vec.rows, vec.blocks())
+    assert len(blocks) == 20
+    cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.1, seed=3, regv=1.0)
+    p = A.fit(vec.rows, cfg, vec.dimension, blocks).params.orderBy("feature_id").toPandas()
+    _, w, v, _ = numpy_fit(vec, cfg, spark)
+    assert np.abs(p.w.values - w).max() < 1e-10 and np.abs(p.v0.values - v[0]).max() < 1e-10
+
+
+def test_greedy_cut():
+    from fmlattice.operators.blocks import greedy_cut
+    assert greedy_cut({}, 0, 5) == [(0, 5)]
+    assert greedy_cut({1: 0, 2: 1, 3: 2}, 0, 4) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert greedy_cut({4: 0, 5: 3}, 0, 6) == [(0, 4), (4, 6)]

@@ -17,15 +17,14 @@ def plan_text(df, mode="simple") -> str:
     return buf.getvalue()
 
 
-def test_scoring_pass_needs_no_shuffle_after_the_cached_rows(spark):
+def test_scoring_pass_needs_no_shuffle_after_the_placed_rows(spark):
     from fmlattice.plans.catalog import orders_relation_vectorized
     vec = orders_relation_vectorized(spark, SF, drop_segment=False)
-    rows = A.prepare_rows(vec.rows, scratch=Scratch(spark, "plan"))
+    rows, _ = A.place_rows(vec.rows, Scratch(spark, "plan"))
     cfg = M.FMConfig(k=2)
     params = M.init_params(spark, vec.dimension, cfg)
     text = plan_text(A.residuals(rows, params, 0.0, cfg, vec.dimension))
-    outer = text.split("InMemoryRelation")[0]          # the plan above the cached rows
-    assert "Exchange" not in outer.replace("BroadcastExchange", "")
+    assert "Exchange" not in text.replace("BroadcastExchange", "")
     assert "BroadcastHashJoin" in text
 
 
@@ -56,3 +55,61 @@ def test_over_the_broadcast_bound_joins_shuffle_with_equal_results(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert big == small
     assert "SortMergeJoin" in text.split("InMemoryRelation")[0]
+
+
+def shuffles_before_aggregation(text: str) -> bool:
+    """Whether an Exchange feeds the partial sums over the rows."""
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+    lines = text.splitlines()
+    at = next(i for i, ln in enumerate(lines) if "partial_sum" in ln)
+    for ln in lines[at + 1:]:
+        if depth(ln) <= depth(lines[at]):
+            return False
+        if "Exchange" in ln:
+            return True
+    return False
+
+
+def test_wide_block_and_side_statistics_combine_before_the_shuffle(spark):
+    """Above every broadcast bound the sums by feature or key are partial first: a hot
+    feature or key with a third of the rows is no single task."""
+    from fmlattice.operators import relational as RL
+    from fmlattice.plans import catalog as C
+    from fmlattice.plans import fixtures as X
+    spark.conf.set("fmlattice.broadcastRows", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        work, block, params = C._after_bias(spark, SF, "v0")
+        work = Scratch(spark, "plan").write(work)
+        text = plan_text(A.theta_stats(work, params, 0, block, "v0"))
+        assert not shuffles_before_aggregation(text), text
+        d = C.orders_relational(spark, SF)
+        state = RL.relational_residuals(d, d.fact, M.init_params(spark, d.dimension, X.LEARN_CFG), 0.0, X.LEARN_CFG)
+        state = Scratch(spark, "plan").write(state)
+        sums = Scratch(spark, "plan").write(RL.side_sums(
+            d.relations[0].rows, M.init_params(spark, d.dimension, X.LEARN_CFG), X.LEARN_CFG, d.dimension))
+        text = plan_text(RL.relation_cache(state, d.relations[0], None, 0, d.dimension, sums=sums))
+        assert not shuffles_before_aggregation(text), text
+    finally:
+        spark.conf.unset("fmlattice.broadcastRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_segment_steps_and_state_need_no_shuffle_of_rows(spark):
+    from fmlattice.plans import catalog as C
+    train, params, dim = C.events_learning(spark, SF)
+    from fmlattice.plans import fixtures as X
+    start = A.start_pass(train, params, 0.0, X.LEARN_CFG, dim)
+    text = plan_text(A.work_frame(train.segments[0], start.errors, start.sums, 0))
+    assert "Exchange" not in text, text
+    assert not {"features", "y"} & set(start.errors.columns + start.sums.columns)
+
+
+def test_predict_shuffles_each_row_once(spark):
+    from fmlattice.plans import catalog as C
+    from fmlattice.plans import fixtures as X
+    vec = C.events_vectorized(spark, SF, X.EVENTS_MODEL_SPECS)
+    rows = Scratch(spark, "plan").write(vec.rows)
+    text = plan_text(M.predict(rows, M.init_params(spark, vec.dimension, X.SCORE_CFG), 0.0, X.SCORE_CFG, vec.dimension))
+    assert text.replace("BroadcastExchange", "").count("Exchange") == 1 and "SortMergeJoin" not in text

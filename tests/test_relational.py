@@ -29,9 +29,9 @@ def test_relational_pass_equals_flat_pass(spark):
     assert data.dimension == flat.dimension
     params = M.init_params(spark, flat.dimension, cfg)
     blocks = conflict_free_blocks(flat.rows, flat.blocks())
-    a = A.als_iteration(A.prepare_rows(flat.rows), params, 0.0, cfg, blocks, flat.dimension)
+    a = A.als_iteration(A.prepare(flat.rows, blocks), params, 0.0, cfg, flat.dimension)
     assert any(b.size < 4 for rb in data.relations for b in rb.blocks)   # the list was cut
-    b = RL.relational_iteration(data, data.fact, params, 0.0, cfg)
+    b = RL.relational_iteration(RL.prepare_relational(data), params, 0.0, cfg)
     pa = a.params.orderBy("feature_id").toPandas()
     pb = b.params.orderBy("feature_id").toPandas()
     assert abs(a.w0 - b.w0) < 1e-12 and abs(a.rmse_before - b.rmse_before) < 1e-12
@@ -47,3 +47,78 @@ def test_fit_facade_takes_relational_data(spark):
     model = A.fit(data, cfg)
     assert model.params.count() == data.dimension
     assert [r["iteration"] for r in model.trace.collect()] == [1]
+
+
+def test_over_the_bounds_the_relational_pass_is_the_same(spark):
+    fact, rel = star(spark, seed=9)
+    specs = [Identity("uid"), Identity("kind"), Target("y")]
+    cfg = M.FMConfig(k=2, iterations=1, init_stdev=0.2, seed=4, regv=0.5, regw=0.1)
+    data = RL.relational_dataset(fact, specs, {"uid": rel}, row_id="id")
+    params = M.init_params(spark, data.dimension, cfg)
+    a = RL.relational_iteration(RL.prepare_relational(data), params, 0.0, cfg).params.orderBy("feature_id").toPandas()
+    for name, value in (("literalBlockRows", "0"), ("broadcastRows", "0"), ("segmentBlocks", "2")):
+        spark.conf.set(f"fmlattice.{name}", value)
+    try:
+        data = RL.relational_dataset(fact, specs, {"uid": rel}, row_id="id")
+        b = RL.relational_iteration(RL.prepare_relational(data), params, 0.0, cfg).params.orderBy("feature_id").toPandas()
+    finally:
+        for name in ("literalBlockRows", "broadcastRows", "segmentBlocks"):
+            spark.conf.unset(f"fmlattice.{name}")
+    for c in ("w", "v0", "v1"):
+        assert np.abs(a[c].values - b[c].values).max() < 1e-9, c
+
+
+def test_keys_match_alike_on_both_paths(spark):
+    fact = spark.createDataFrame([(1, "07", 1.0), (2, "8", 2.0), (3, "9", 3.0), (4, "abc", 4.0), (5, None, 5.0)],
+                                 "id long, uid string, y double")
+    side = spark.createDataFrame([(7, "m"), (8, "f")], "uid long, g string")
+    rel = Relation(side, [Target("uid"), Identity("g")])
+    specs = [Identity("uid"), Target("y")]
+    flat = relation_vectorize(fact, specs, {"uid": rel}, row_id="id")
+    data = RL.relational_dataset(fact, specs, {"uid": rel}, row_id="id")
+    matched = {r["row_id"] for r in flat.rows.collect() if any(e["feature_id"] >= 4 for e in r["features"])}
+    assert matched == {2} == {r["row_id"] for r in data.fact.where("key_0 IS NOT NULL").collect()}
+
+
+def test_learner_argument_and_scratch(spark):
+    """The given learner is used; only the parameters stay in the scratch folder."""
+    import os
+
+    from fmlattice.session import Scratch
+    fact, rel = star(spark, seed=3)
+    specs = [Identity("uid"), Identity("kind"), Target("y")]
+    data = RL.relational_dataset(fact, specs, {"uid": rel}, row_id="id")
+    calls = []
+
+    def learner(train, params, w0, cfg, dimension):
+        calls.append(dimension)
+        return RL.relational_iteration(train, params, w0, cfg, dimension)
+
+    cfg = M.FMConfig(k=1, iterations=2, init_stdev=0.1, seed=1, regv=1.0)
+    scratch = Scratch(spark, "kept")
+    A.fit(data, cfg, learner=learner, scratch=scratch)
+    assert calls == [data.dimension] * 2
+    assert len(scratch.paths) == 1 and "params" in scratch.paths[0] and not scratch.tables
+    folder = os.path.dirname(scratch.paths[0]).removeprefix("file:")
+    assert not any(n.startswith(("rows-", "rstate-", "cache-", "segment-", "sums-", "side-")) and "kept" in n
+                   for n in os.listdir(folder))
+
+
+def test_hot_side_key(spark):
+    """A third of all facts hold one key, a third none."""
+    rng = np.random.default_rng(5)
+    fact = [(i, 0 if i % 3 == 0 else None if i % 3 == 1 else int(rng.integers(1, 9)), f"p{i % 4}", float(rng.normal()))
+            for i in range(180)]
+    f = spark.createDataFrame(fact, "id long, uid long, kind string, y double")
+    s = spark.createDataFrame([(u, f"g{u % 3}") for u in range(9)], "uid long, g string")
+    rel = Relation(s, [Target("uid"), Identity("g")])
+    specs = [Identity("uid"), Identity("kind"), Target("y")]
+    cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.2, seed=4, regv=0.5)
+    flat = relation_vectorize(f, specs, {"uid": rel}, row_id="id")
+    params = M.init_params(spark, flat.dimension, cfg)
+    blocks = conflict_free_blocks(flat.rows, flat.blocks())
+    a = A.als_iteration(A.prepare(flat.rows, blocks), params, 0.0, cfg, flat.dimension).params
+    data = RL.relational_dataset(f, specs, {"uid": rel}, row_id="id")
+    b = RL.relational_iteration(RL.prepare_relational(data), params, 0.0, cfg).params
+    a, b = (x.orderBy("feature_id").toPandas() for x in (a, b))
+    assert np.abs(a.w.values - b.w.values).max() < 1e-10 and np.abs(a.v0.values - b.v0.values).max() < 1e-10

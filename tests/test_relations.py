@@ -35,6 +35,8 @@ def test_duplicate_side_keys(spark):
         encode_relation(Relation(side, [Target("uid"), Identity("g")]))
     enc = encode_relation(Relation(side, [Target("uid"), Identity("g")], on_duplicate="first", order_by="g"))
     assert enc.size == 1
+    with pytest.raises(ValueError):
+        encode_relation(Relation(side, [Target("uid"), Identity("g")], on_duplicate="first"))
 
 
 def test_assigned_row_ids_with_a_relation(spark):
@@ -44,3 +46,18 @@ def test_assigned_row_ids_with_a_relation(spark):
     got = sorted((r["y"], [e["feature_id"] for e in r["features"]]) for r in vec.rows.collect())
     assert got == [(1.0, [4, 5, 6]), (2.0, [3, 5, 7]), (3.0, [2, 6])]
     assert vec.rows.select("row_id").distinct().count() == 3
+
+
+def test_first_duplicate_is_the_least_row(spark):
+    side = spark.createDataFrame([(10, "m", 2), (10, "f", 1), (10, "a", 1), (11, "z", 5)], "uid long, g string, o int")
+    enc = encode_relation(Relation(side, [Target("uid"), Identity("g")], on_duplicate="first", order_by="o"))
+    assert {r["token"] for r in enc.vec.dictionary.collect()} == {"a", "z"}
+
+
+def test_learned_relation_encodes_other_facts(spark):
+    fact, side = fact_and_side(spark)
+    rel = Relation(side, [Target("uid"), Identity("g"), Number("age")])
+    vec = relation_vectorize(fact, [Identity("uid"), Identity("kind"), Target("y")], {"uid": rel}, row_id="id")
+    other = spark.createDataFrame([(9, 11, "p"), (8, 99, "q")], "id long, uid long, kind string")
+    got = {r["row_id"]: [e["feature_id"] for e in r["features"]] for r in vec.encode(other, unseen="skip").collect()}
+    assert got == {9: [3, 5, 6], 8: [7]}

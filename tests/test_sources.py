@@ -53,3 +53,18 @@ def test_write_libfm_full_precision_round_trips_exactly(spark):
     back = read_libfm(spark, path, index_base=0).first()
     assert back["y"] == 0.1 + 0.2
     assert [(e["feature_id"], e["value"]) for e in back["features"]] == [(0, 1 / 3), (5, -2.5e-7)]
+
+
+def test_trim_as_the_jvm(spark):
+    lines = spark.createDataFrame([("\t",), ("\t# note",), (" \t1 2:3\t\r",)], "value string")
+    assert [r["value"] for r in filter_comment_blank(lines).collect()] == ["1 2:3"]
+
+
+def test_precision(spark):
+    rows = spark.createDataFrame([(0.123456, [(0, 2 / 3)])],
+                                 "y double, features array<struct<feature_id:bigint,value:double>>")
+    assert libfm_lines(rows, precision=5).first()["value"] == "0.12346 1:0.66667"
+    assert libfm_lines(rows, precision=0).first()["value"] == "0 1:1"
+    import pytest
+    with pytest.raises(ValueError):
+        libfm_lines(rows, precision=-1)

@@ -1,6 +1,6 @@
 import pytest
 
-from fmlattice.operators.dictionary import build_dictionary, dense_ids, distinct_tokens
+from fmlattice.operators.dictionary import dense_ids
 from fmlattice.operators.fields import Identity, List, Number, Target, Time, split_target_inputs
 from fmlattice.operators.vectorize import fields_to_columns, filter_arity, standard_vectorize
 
@@ -45,7 +45,7 @@ def test_arity_filter_and_positions(spark):
 
 def test_distributed_numbering_equals_window(spark):
     toks = spark.createDataFrame([(f"t{i % 997:04d}",) for i in range(5000)], "token string")
-    d = distinct_tokens(toks)
+    d = toks.distinct()
     a, n1 = dense_ids(d, max_single_task=10 ** 9)
     b, n2 = dense_ids(d, max_single_task=10)      # forces the range-partitioned path
     assert n1 == n2 == 997
@@ -54,9 +54,9 @@ def test_distributed_numbering_equals_window(spark):
 
 
 def test_dictionary_is_lexicographic(spark):
-    df = spark.createDataFrame([(10,), (9,), (100,)], "k long")
-    d, n = build_dictionary(df, "k")
-    assert {r["token"]: r["code"] for r in d.collect()} == {"10": 0, "100": 1, "9": 2}
+    df = spark.createDataFrame([(10, 0.0), (9, 0.0), (100, 0.0)], "k long, y double")
+    vec = standard_vectorize(df, [Identity("k"), Target("y")])
+    assert {r["token"]: r["code"] for r in vec.dictionary.collect()} == {"10": 0, "100": 1, "9": 2}
 
 
 def test_assigned_row_ids_are_stable(spark):
@@ -65,3 +65,54 @@ def test_assigned_row_ids_are_stable(spark):
     a = sorted((r["row_id"], r["y"]) for r in vec.rows.collect())
     b = sorted((r["row_id"], r["y"]) for r in vec.rows.collect())
     assert a == b and len({x for x, _ in a}) == 3
+
+
+def test_repeated_ids_do_not_mix_lists(spark):
+    df = spark.createDataFrame([(1, "x|y", 1.0), (1, "z", 2.0), (None, "y", 3.0), (None, None, 4.0), (2, "", 5.0)],
+                               "id long, tags string, y double")
+    vec = standard_vectorize(df, [List("tags", sep="|"), Target("y")], row_id="id")
+    got = {r["y"]: [(e["feature_id"], e["value"]) for e in r["features"]] for r in vec.rows.collect()}
+    # the tokens are '', x, y, z
+    assert got == {1.0: [(1, 0.5), (2, 0.5)], 2.0: [(3, 1.0)], 3.0: [(2, 1.0)], 4.0: [], 5.0: [(0, 1.0)]}
+
+
+def test_learned_dictionary_encodes_other_data(spark):
+    specs = [Identity("cat"), List("tags", sep="|"), Number("num"), Target("y")]
+    a = spark.createDataFrame([(1, "a", "x|y", 1.0, 0.0), (2, "b", "y", 2.0, 0.0)],
+                              "id long, cat string, tags string, num double, y double")
+    vec = standard_vectorize(a, specs, row_id="id")
+    again = {r["row_id"]: r["features"] for r in vec.encode(a).collect()}
+    assert again == {r["row_id"]: r["features"] for r in vec.rows.collect()}
+    b = spark.createDataFrame([(7, "c", "y|q", 3.0), (8, None, "x", 1.0)], "id long, cat string, tags string, num double")
+    got = {r["row_id"]: [(e["feature_id"], e["value"]) for e in r["features"]]
+           for r in vec.encode(b, unseen="skip").collect()}
+    assert got == {7: [(3, 0.5), (4, 3.0)], 8: [(2, 1.0), (4, 1.0)]}        # no target column is needed
+    with pytest.raises(Exception, match="unseen token"):
+        vec.encode(b, unseen="error").collect()
+    with pytest.raises(ValueError):
+        vec.encode(b, unseen="guess")
+
+
+def test_time_takes_a_transform(spark):
+    df = spark.createDataFrame([(1, 7200, 0.0)], "id long, ts long, y double")
+    vec = standard_vectorize(df, [Time("ts", transform=lambda c: c / 3600.0), Target("y")], row_id="id")
+    assert rows_of(vec)[1][1] == [(0, 2.0)]
+
+
+def test_broadcasts_are_bounded_in_sum(spark):
+    from fmlattice.operators.vectorize import within_budget
+    sides = {0: (10, 100), 1: (10, 50), 2: (10, 5000)}
+    assert within_budget(spark, sides, budget=2000) == {0, 1}
+    assert within_budget(spark, sides, budget=700) == {1}
+
+
+def test_null_and_hot_tokens_over_the_broadcast_bound(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "hot" if i % 3 == 1 else f"t{i}", "u|v", 0.0)
+                                for i in range(90)], "id long, c string, l string, y double")
+    specs = [Identity("c"), List("l", sep="|"), Target("y")]
+    small = rows_of(standard_vectorize(df, specs, row_id="id"))
+    spark.conf.set("fmlattice.broadcastBytes", "1")
+    try:
+        assert rows_of(standard_vectorize(df, specs, row_id="id")) == small
+    finally:
+        spark.conf.unset("fmlattice.broadcastBytes")
