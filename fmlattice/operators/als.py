@@ -36,6 +36,7 @@ keys of their own.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -270,7 +271,7 @@ def theta_update(stats: DataFrame, reg: float) -> DataFrame:
             .where(F.col("delta") != 0))
 
 
-def _applied(work: DataFrame, j: int, factor: bool, theta: Column, delta: Column) -> list[Column]:
+def _applied(work: DataFrame, j: int, factor: bool, theta: Column, delta: Column) -> list:
     """The work frame's columns after ``e += h·Δ`` (and ``q += x·Δ``)."""
     x = F.coalesce(F.col(f"x{j}"), F.lit(0.0))
     if not factor:
@@ -278,7 +279,7 @@ def _applied(work: DataFrame, j: int, factor: bool, theta: Column, delta: Column
     else:
         h = x * F.col("q") - x * x * theta
     new = {"e": F.col("e") + h * delta} | ({"q": F.col("q") + x * delta} if factor else {})
-    return [new[c].alias(c) if c in new else F.col(c) for c in work.columns]
+    return [new[c].alias(c) if c in new else c for c in work.columns]
 
 
 def error_update(work: DataFrame, delta: DataFrame, j: int, block: Block, factor: bool) -> DataFrame:
@@ -296,6 +297,20 @@ def error_update(work: DataFrame, delta: DataFrame, j: int, block: Block, factor
                                    F.coalesce(F.col("_dd"), F.lit(0.0))))
 
 
+def changes(stats: list, theta: list[float], reg: float) -> tuple[list[tuple[int, float]], list[float]]:
+    """``updated_theta`` for the collected ``(l, Σh², Σeh)`` of a narrow block: the new
+    values that differ, and the changes of all."""
+    changed, delta = [], [0.0] * len(theta)
+    for i, hh, eh in stats:
+        if reg + hh == 0:
+            continue
+        new = -(eh - theta[i] * hh) / (reg + hh)
+        if math.isfinite(new) and new != theta[i]:
+            changed.append((int(i), new))
+            delta[i] = new - theta[i]
+    return changed, delta
+
+
 def narrow_step(work: DataFrame, j: int, theta: list[float], reg: float,
                 factor: bool) -> tuple[DataFrame, list[tuple[int, float]]]:
     """One narrow block: the statistics and the new values in one job (at most the
@@ -304,15 +319,8 @@ def narrow_step(work: DataFrame, j: int, theta: list[float], reg: float,
     e, x, q, at = F.col("e"), F.col(f"x{j}"), F.col("q"), F.col(f"l{j}") + F.lit(1)
     old = F.element_at(th_arr, at)
     h = x * q - x * x * old if factor else x
-    stats = (work.where(F.col(f"l{j}").isNotNull()).groupBy(F.col(f"l{j}").alias("l"))
-             .agg(F.sum(h * h).alias("hh"), F.sum(e * h).alias("eh")))
-    was = F.element_at(th_arr, F.col("l") + F.lit(1))
-    new = updated_theta(was, F.col("hh"), F.col("eh"), reg)
-    changed = [(int(r[0]), float(r[1])) for r in
-               stats.select("l", new.alias("new")).where(F.col("new") != was).collect()]
-    delta = [0.0] * len(theta)
-    for i, value in changed:
-        delta[i] = value - theta[i]
+    stats = (work.where(f"l{j} IS NOT NULL").groupBy(f"l{j}").agg(F.sum(h * h), F.sum(e * h)))
+    changed, delta = changes(stats.collect(), theta, reg)
     d = F.coalesce(F.element_at(array_literal(delta, "double"), at), F.lit(0.0))
     return work.select(*_applied(work, j, factor, F.coalesce(old, F.lit(0.0)), d)), changed
 

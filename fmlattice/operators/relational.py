@@ -269,7 +269,7 @@ def _side_terms(x: Column, t: Column, factor: bool) -> tuple[Column, Column]:
     return x * x * (g * g * n + F.lit(2.0) * g * C + C2), x * (g * E + EC)
 
 
-def _side_applied(rs: DataFrame, x: Column, t: Column, d: Column, factor: bool) -> list[Column]:
+def _side_applied(rs: DataFrame, x: Column, t: Column, d: Column, factor: bool) -> list:
     n, E, C, C2, EC = (F.col(c) for c in ("n", "E", "C", "C2", "EC"))
     new = {}
     if not factor:
@@ -281,7 +281,7 @@ def _side_applied(rs: DataFrame, x: Column, t: Column, d: Column, factor: bool)
         new["EC"] = EC + x * d * (g * C + C2)
         new["qb"] = F.col("qb") + x * d
         new["ssb"] = F.col("ssb") + ((t + d) * (t + d) - t * t) * x * x
-    return [new[c].alias(c) if c in new else F.col(c) for c in rs.columns]
+    return [new[c].alias(c) if c in new else c for c in rs.columns]
 
 
 def _side_narrow_step(rs: DataFrame, j: int, theta: list[float], reg: float,
@@ -289,15 +289,8 @@ def _side_narrow_step(rs: DataFrame, j: int, theta: list[float], reg: float,
     """A narrow side-table block: old values and changes as array literals."""
     arr, x, at = A.array_literal(theta, "double"), F.col(f"x{j}"), F.col(f"l{j}") + F.lit(1)
     hh, eh = _side_terms(x, F.element_at(arr, at), factor)
-    stats = (rs.where(F.col(f"l{j}").isNotNull()).groupBy(F.col(f"l{j}").alias("l"))
-             .agg(F.sum(hh).alias("hh"), F.sum(eh).alias("eh")))
-    was = F.element_at(arr, F.col("l") + F.lit(1))
-    new = A.updated_theta(was, F.col("hh"), F.col("eh"), reg)
-    changed = [(int(r[0]), float(r[1])) for r in
-               stats.select("l", new.alias("new")).where(F.col("new") != was).collect()]
-    delta = [0.0] * len(theta)
-    for i, value in changed:
-        delta[i] = value - theta[i]
+    stats = rs.where(f"l{j} IS NOT NULL").groupBy(f"l{j}").agg(F.sum(hh), F.sum(eh))
+    changed, delta = A.changes(stats.collect(), theta, reg)
     d = F.coalesce(F.element_at(A.array_literal(delta, "double"), at), F.lit(0.0))
     t = F.coalesce(F.element_at(arr, at), F.lit(0.0))
     return rs.select(*_side_applied(rs, F.coalesce(x, F.lit(0.0)), t, d, factor)), changed
