@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 NO_PAIR = 1 << 60
 CACHE_PIECES = 1 << 20      # entries of a worker's cache; it is emptied when full
 CACHE_PIECE_CHARS = 64      # longer pieces are not kept
@@ -155,7 +157,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches):
         tok = tokenizer(path, pattern)
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             n, h_ids, h_bytes, all_ids, all_bytes = [], [], [], [], []
             for text in batch.column(1):
                 ids = tok.ids(text.as_py() or "")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ BROADCAST_ROWS = 500_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BYTES_AT_ONCE = 1 << 20         # text that the numpy helpers take at a time
+BATCH_BYTES = 4 << 20           # text of the batches that operators work on
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +111,20 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt * 1000)) * GOLDEN) | np.uint64(1)
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a string column holds about ``BATCH_BYTES`` in each (one
+    row at least): what is made from a batch stays small beside the batch itself."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < batch.num_rows:
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + BATCH_BYTES, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def text_slices(column: pa.Array):
     """(first row, data, offsets) for runs of rows of about ``BYTES_AT_ONCE`` bytes."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 BITS = 14                   # weights of a state: 2^BITS, features are hashed
 ROUNDS = 60                 # passes over the labelled pages
 STEP, DECAY = 0.2, 1e-4
@@ -307,7 +309,7 @@ def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
         own.weights[:, at] = values
         own.step = step
         own.freeze()
-        for batch in batches:
+        for batch in text_batches(batches, 2):
             texts = [main_text(own, h.as_py() or "") for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 ORDER = 3
 SAMPLE_DOCS = 400               # labelled rows for each language
 SAMPLE_BYTES = 1 << 20          # and their bytes in sum
 SAMPLE_TEXT_BYTES = 1 << 16     # longer texts are not drawn for training
 MIN_CONTEXT = 4                 # a context is in the tree if it occurs so often in some language
-MAX_CELLS = 24_000_000          # contexts x bytes x languages; else MIN_CONTEXT doubles
-SEGMENT = 1 << 19               # bytes scored at a time
+MAX_CELLS = 6_000_000           # contexts x bytes x languages; else MIN_CONTEXT doubles
+SEGMENT = 1 << 18               # bytes scored at a time
 
 
 def held_out(doc_id) -> F.Column:
@@ -216,7 +218,7 @@ def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             pred, score, rate = label(frozen.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)],
@@ -233,7 +235,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in text_batches(batches, at):
             pred, _, _ = label(frozen.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([p != "und" for p in pred], pa.bool_()))
 

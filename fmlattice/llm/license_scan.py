@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, seeds, text_slices, word_spans
+from .common import mix, seeds, text_batches, text_slices, word_spans
 from .license_texts import TEMPLATES
 
 K_GRAM = 3
@@ -163,7 +163,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
     def run(batches):
         index = TemplateIndex(templates)
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             found: list[list] = []
             for _, data, offsets in text_slices(batch.column(1)):
                 hashes, begin, end, owner = tokens(data, offsets)

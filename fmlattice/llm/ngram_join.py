@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, groups, keep_decided, mix, seeds, shuffle_partitions, text_slices, word_spans, written
+from .common import (GOLDEN, groups, keep_decided, mix, seeds, shuffle_partitions, text_batches, text_slices,
+                     word_spans, written)
 from .components import components
 
 WORDS = 5
@@ -117,7 +118,7 @@ def signature_rows(n: int, bands: int, rows: int):
         return h1, h2, np.diff(starts), hashes
 
     def run(batches):
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             parts = []
             for _, data, offsets in text_slices(batch.column(1)):
                 parts.append(one(*distinct_grams(*gram_hashes(data, offsets, n))))
@@ -138,7 +139,7 @@ def gram_rows(n: int):
     """Arrow function: (doc_id, text) -> (doc_id, h1, h2, grams): the sorted set as bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             out, h1, h2 = [], [], []
             for _, data, offsets in text_slices(batch.column(1)):
                 grams, starts = distinct_grams(*gram_hashes(data, offsets, n))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 ANY = ("any",)              # satisfied by every text
 MAX_STRINGS = 16            # exact strings kept before they become trigrams
 
@@ -202,7 +204,7 @@ class Scanner:
     def postings(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         """trigram -> sorted rows that hold it, for the texts data[offsets[i]:offsets[i + 1]]."""
         found = []
-        step = 1 << 22
+        step = 1 << 20
         for a in range(0, max(0, len(data) - 2), step):
             low = self.fold[data[a:a + step + 2]].astype(np.uint32)
             number = self.number[(low[:-2] << 16) | (low[1:-1] << 8) | low[2:]]
@@ -253,7 +255,7 @@ def scan(docs: DataFrame, rules=None) -> DataFrame:
 
     def run(batches):
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             spans = scanner.scan(batch.column(1))
             of_base = [[s for s in x if s[0] in base] for x in spans]
             count = [pa.array([sum(s[0] == k for s in x) for x in of_base], pa.int64()) for k in base]
@@ -291,7 +293,7 @@ def redact(docs: DataFrame, rules=None) -> DataFrame:
 
     def run(batches):
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in text_batches(batches, at):
             spans = scanner.scan(batch.column(at))
             hit = [i for i, s in enumerate(spans) if s]
             cols = list(batch.columns)
