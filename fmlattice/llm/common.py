@@ -21,6 +21,7 @@ BROADCAST_ROWS = 500_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BYTES_AT_ONCE = 1 << 20         # text that the numpy helpers take at a time
+ROWS_PER_FILE = 100_000         # of a table whose rows are known to be few
 BATCH_BYTES = 4 << 20           # text of the batches that operators work on
 
 
@@ -28,11 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: a cut point
-    that survives lost executors and is computed once."""
+    that survives lost executors and is computed once.  ``rows``: a bound on its rows,
+    if one is known; a small table is then written by few tasks, not as many files as
+    the shuffle has partitions."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        files = max(1, -(-rows // ROWS_PER_FILE))
+        df = df.coalesce(files) if files < shuffle_partitions(spark) else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,7 +65,7 @@ def keep_decided(docs: DataFrame, fingerprint: Column, decisions: DataFrame) ->
     fp = free_name(docs, "fp")
     rows = written(decisions.groupBy(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"))
                    .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-                   .where(~F.col("kept") | (F.col("n") > 1)), "decided")
+                   .where(~F.col("kept") | (F.col("n") > 1)), "decided", rows=docs.count())
     gone, repeats = rows.where("not kept").select("k_id", "k_fp"), rows.where("kept").select("k_id", "k_fp")
     if rows.count() <= BROADCAST_ROWS:
         gone, repeats = F.broadcast(gone), F.broadcast(repeats)

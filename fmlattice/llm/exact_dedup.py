@@ -136,8 +136,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
         .select("doc_id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"),
                 F.monotonically_increasing_id().alias("uid")), "dedup-light")
-    bits = block_bits_for(light.count(), shuffle_partitions(spark))
-    repeated = written(repeated_fingerprints(light, "fp", bits), "dedup-repeated").select("fp", "n")
+    rows = light.count()
+    bits = block_bits_for(rows, shuffle_partitions(spark))
+    repeated = written(repeated_fingerprints(light, "fp", bits), "dedup-repeated", rows=rows).select("fp", "n")
     few = repeated.count() <= BROADCAST_FINGERPRINTS
     routed_to = (F.broadcast(repeated) if few else repeated).select("fp")
 
@@ -156,7 +157,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("fp", "sha", F.col("first.doc_id").alias("keep"), F.col("first.uid").alias("keep_uid"),
                 F.when((F.col("n_texts") == 1) & (F.col("n_rows") == F.col("size")), F.col("size"))
                 .otherwise(F.raise_error(F.lit("different texts share fingerprint and SHA-256")).cast("long"))
-                .alias("size")), "dedup-groups")
+                .alias("size")), "dedup-groups", rows=rows)
     single = F.col("size").isNull()
     if found.count() <= BROADCAST_FINGERPRINTS // 4:
         found = F.broadcast(found)

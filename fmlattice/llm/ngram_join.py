@@ -255,28 +255,31 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   .withColumn("uid", F.monotonically_increasing_id()), "join-signatures")
 
     # classes of equal sets
+    n_rows = sig.count()
     key = ["h1", "h2", "n_grams"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first")
     classes = written(sig.where("n_grams > 0").groupBy(*key)
-                      .agg(F.min("uid").alias("node"), first, F.count(F.lit(1)).alias("copies")), "join-classes")
+                      .agg(F.min("uid").alias("node"), first, F.count(F.lit(1)).alias("copies")), "join-classes", rows=n_rows)
     reps = sig.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
 
     # buckets of at least two classes; equal member sets are one bucket
     member = written(reps.select(F.col("uid").alias("node"), "n_grams", F.posexplode("bands").alias("band", "hash"))
-                     .select("node", "n_grams", F.xxhash64("band", "hash").alias("bucket")), "join-members")
+                     .select("node", "n_grams", F.xxhash64("band", "hash").alias("bucket")), "join-members",
+                     rows=n_rows * bands)
     size = member.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams"),
         F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2"))
     distinct = size.where("m > 1").groupBy("m", "grams", "x1", "x2").agg(F.min("bucket").alias("bucket"))
     cuts = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("grams") / block_grams)).cast("int")
-    buckets = written(distinct.select("bucket", cuts.alias("cuts")), "join-buckets")
+    buckets = written(distinct.select("bucket", cuts.alias("cuts")), "join-buckets", rows=n_rows)
     inside = written(member.select("node", "bucket").join(bounded(buckets), "bucket")
-                     .withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("cuts")).cast("int")), "join-inside")
+                     .withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("cuts")).cast("int")), "join-inside",
+                     rows=n_rows)
 
     # the full sets of the classes in some bucket, computed again from a text of theirs
     wanted = written(inside.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
                      .join(classes.select("node", "h1", "h2", "n_grams", "copies",
-                                          F.col("first.doc_id").alias("first_id")), "node"), "join-wanted")
+                                          F.col("first.doc_id").alias("first_id")), "node"), "join-wanted", rows=n_rows)
     ids = wanted.select("first_id").distinct()
     texts = source.join(bounded(ids, wanted), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     sets = (texts.mapInArrow(gram_rows(n), "doc_id long, h1 long, h2 long, grams binary").drop("doc_id")
@@ -292,9 +295,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        .mapInArrow(verify_rows(threshold), "node long, links long, root long"), "join-verified")
 
     # classes of linked texts
-    roots = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked_rows = verified.count()
+    roots = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")),
+                       rows=linked_rows)
     known = classes.select("node", "first", "copies")
-    least = written(roots.join(known, "node").groupBy("root").agg(F.min("first").alias("of_class")), "join-least")
+    least = written(roots.join(known, "node").groupBy("root").agg(F.min("first").alias("of_class")), "join-least",
+                    rows=linked_rows)
     linked = roots.join(bounded(least), "root").select("node", "of_class")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     info = (classes.join(links, "node", "left").join(linked, "node", "left")
