@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import (Scratch, fits_broadcast, literal_block_rows, maybe_broadcast, segment_blocks)
+from .blocks import coloured_blocks, relabelled, renumbered
 from .model import FMConfig, FMModel, init_params, interaction_expr, score_sums
 from .vectorize import Block
 
@@ -454,27 +455,37 @@ def als_iteration(train: Training, params: DataFrame, w0: float, cfg: FMConfig,
 
 def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] | None = None,
         learner=None, params: DataFrame | None = None, w0: float = 0.0,
-        scratch: Scratch | None = None) -> FMModel:
+        scratch: Scratch | None = None, order: str = "ascending") -> FMModel:
     """``FM(dataset, k, iterations).learnWith(learner)``: initialise, then
     iterate; the trace holds the training RMSE before each iteration.  Only
     the final parameter table is kept in the scratch folder.
 
     ``rows`` may also be a ``RelationalData`` (fact + side tables), which is fitted
     relation-level.  ``learner(training, params, w0, cfg, dimension)`` does one
-    iteration; the default is exact coordinate descent on either kind of data."""
+    iteration; the default is exact coordinate descent on either kind of data.
+
+    ``order="coloured"``: ``blocks`` may hold several ids of a row (a list field's
+    uncut block); their ids are updated colour by colour (see ``blocks``), which is
+    coordinate descent in another order, in far fewer steps."""
+    if order not in ("ascending", "coloured"):
+        raise ValueError(f"unknown order {order!r}; ascending or coloured")
+    relabelling = None
     if isinstance(rows, DataFrame):
         if dimension is None or blocks is None:
             raise ValueError("flat rows need their dimension and conflict-free blocks")
         scratch = scratch if scratch is not None else Scratch(rows.sparkSession, "als")
         mark = scratch.mark()
+        if order == "coloured":
+            relabelling = coloured_blocks(rows, blocks, scratch)
+            rows, blocks = relabelled(rows, relabelling), relabelling.blocks
         train = prepare(rows, blocks, scratch)
         learner = learner or als_iteration
     else:
         from .relational import RelationalData, prepare_relational, relational_iteration
         if not isinstance(rows, RelationalData):
             raise TypeError("fit takes training rows or a RelationalData")
-        if blocks is not None:
-            raise ValueError("a RelationalData brings its own blocks")
+        if blocks is not None or order != "ascending":
+            raise ValueError("a RelationalData brings its own blocks, in ascending order")
         if dimension not in (None, rows.dimension):
             raise ValueError(f"the data have {rows.dimension} features, not {dimension}")
         dimension = rows.dimension
@@ -485,8 +496,12 @@ def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] |
     spark = scratch.spark
     given = params is not None
     if not given:
-        params = scratch.write(init_params(spark, dimension, cfg), "params")
-    own = None if given else scratch.last()
+        params = init_params(spark, dimension, cfg)
+    if relabelling is not None:
+        params = renumbered(params, relabelling)
+    if not given or relabelling is not None:
+        params = scratch.write(params, "params")
+    own = None if given and relabelling is None else scratch.last()
     trace = []
     for it in range(1, cfg.iterations + 1):
         res = learner(train, params, w0, cfg, dimension)
@@ -495,6 +510,9 @@ def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] |
         if own:
             scratch.drop(own)
         own = scratch.last()
+    if relabelling is not None:
+        params = scratch.write(renumbered(params, relabelling, back=True), "params")
+        own = scratch.last()
     for path in scratch.paths[mark:]:
         if path != own:
             scratch.drop(path)

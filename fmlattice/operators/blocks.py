@@ -11,14 +11,23 @@ give exactly the sequential result (same ascending order).
   that follows some id ``a >= s`` in a row.  Only adjacent ids in a row need
   checking, so the cut works on ``near(b) = max a`` over adjacent pairs: one
   small aggregation per block, one scalar to the driver.
+* or, in another order than ascending ids, it is **coloured**: ids that meet in no
+  row may share a colour, and a colour is a block.  A vocabulary whose neighbours
+  all meet is as many blocks by the cut, and about as many as the longest list by
+  colouring.  Colours are numbered first, ids within them, so that a colour is again
+  a contiguous range (of relabelled ids); ``als.fit(order="coloured")`` maps the
+  parameters back.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, literal_block_rows
+from ..session import Scratch, literal_block_rows, maybe_broadcast
+from .dictionary import dense_ids
 from .vectorize import Block
 
 
@@ -79,3 +88,100 @@ def conflict_free_blocks(rows: DataFrame, blocks: list[Block]) -> list[Block]:
 def libfm_blocks(rows: DataFrame, dimension: int) -> list[Block]:
     """Blocks for rows without field information (e.g. read from libFM)."""
     return conflict_free_blocks(rows, [Block("all", 0, dimension + 1, True)])
+
+
+@dataclass
+class Relabelling:
+    """``old -> new`` ids of the coloured blocks, and the blocks of the new ids."""
+    mapping: DataFrame | None       # old, new (written)
+    size: int                       # rows of the mapping
+    blocks: list[Block]
+
+
+def conflicts(rows: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Distinct ordered pairs ``a <> b`` of ids in ``[lo, hi)`` that some row holds both
+    of; a row gives the square of its number of ids in the range."""
+    ids = F.array_distinct(F.transform(F.filter("features", lambda e: (e["feature_id"] >= lo) & (e["feature_id"] < hi)),
+                                       lambda e: e["feature_id"]))
+    held = rows.select(ids.alias("ids")).where(F.size("ids") > 1)
+    return (held.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
+            .where("a <> b").distinct())
+
+
+def colours(edges: DataFrame, lo: int, hi: int, scratch: Scratch) -> DataFrame:
+    """``id, colour`` for every id in ``[lo, hi)``: no edge joins equal colours.
+
+    Each round, every uncoloured id whose priority (a hash) beats those of its
+    uncoloured neighbours takes the least colour that none of its neighbours has; a
+    logarithmic number of rounds is expected.  Every round is written."""
+    spark = edges.sparkSession
+    state = scratch.write(spark.range(lo, hi).select("id", F.lit(None).cast("int").alias("colour")), "colour")
+    edges = scratch.write(edges, "edges")
+    keep = [scratch.last()]
+    while True:
+        near = (edges.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(
+            F.max(F.when(F.col("colour").isNull(), F.struct(F.xxhash64("b"), "b"))).alias("rival"),
+            F.sort_array(F.collect_set("colour")).alias("used")))
+        least = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.lit(0),
+                            lambda acc, c: F.when(c == acc, acc + 1).otherwise(acc))
+        wins = F.col("rival").isNull() | (F.struct(F.xxhash64("id"), "id") > F.col("rival"))
+        before = [p for p in scratch.paths if "/colour-" in p and p not in keep]
+        state = scratch.write(state.join(near, "id", "left").select(
+            "id", F.when(F.col("colour").isNull() & wins, least).otherwise(F.col("colour")).alias("colour")), "colour")
+        for path in before:
+            scratch.drop(path)
+        if state.where("colour IS NULL").isEmpty():
+            return state
+
+
+def coloured_blocks(rows: DataFrame, blocks: list[Block], scratch: Scratch) -> Relabelling:
+    """Blocks with the multi-valued ones coloured; ids outside those keep their number."""
+    out, maps, size = [], [], 0
+    for b in blocks:
+        if not b.multi or b.size <= 1:
+            out.append(Block(b.name, b.offset, b.size, False))
+            continue
+        mark = scratch.mark()
+        state = colours(conflicts(rows, b.offset, b.end), b.offset, b.end, scratch)
+        token = F.format_string("%010d:%019d", F.col("colour"), F.col("id"))
+        coded, n = dense_ids(state.select(token.alias("token")), b.size)
+        mapping = scratch.write(coded.select(
+            F.substring("token", 12, 19).cast("bigint").alias("old"),
+            (F.col("code") + F.lit(b.offset)).alias("new")), "relabel")
+        per = sorted((r["colour"], r["count"]) for r in state.groupBy("colour").count().collect())
+        at = b.offset
+        for c, width in per:
+            out.append(Block(f"{b.name}~{c}", at, width, False))
+            at += width
+        for path in scratch.paths[mark:]:
+            if "/relabel-" not in path:
+                scratch.drop(path)
+        maps.append(mapping)
+        size += n
+    mapping = None
+    for m in maps:
+        mapping = m if mapping is None else mapping.unionByName(m)
+    return Relabelling(mapping, size, [b for b in out if b.size > 0])
+
+
+def relabelled(rows: DataFrame, r: Relabelling) -> DataFrame:
+    """``row_id, y, features`` with the new ids, ascending; each row is shuffled once."""
+    if r.mapping is None:
+        return rows
+    ent = rows.select("row_id", "y", "features").withColumn("_u", F.monotonically_increasing_id()) \
+              .select("_u", "row_id", "y", F.inline_outer("features"))
+    m = maybe_broadcast(r.mapping, r.size, extra_bytes=16 * r.size)
+    j = ent.join(m, F.col("feature_id") == F.col("old"), "left")
+    e = F.when(F.col("feature_id").isNotNull(), F.struct(F.coalesce("new", "feature_id").alias("feature_id"), "value"))
+    return j.groupBy("_u").agg(F.first("row_id").alias("row_id"), F.first("y").alias("y"),
+                               F.array_sort(F.collect_list(e)).alias("features")).drop("_u")
+
+
+def renumbered(params: DataFrame, r: Relabelling, back: bool = False) -> DataFrame:
+    """The parameter table by new ids or, ``back``, by old ones."""
+    if r.mapping is None:
+        return params
+    frm, to = ("new", "old") if back else ("old", "new")
+    m = maybe_broadcast(r.mapping.select(F.col(frm).alias("_from"), F.col(to).alias("_to")), r.size, extra_bytes=16 * r.size)
+    j = params.join(m, F.col("feature_id") == F.col("_from"), "left")
+    return j.select(F.coalesce("_to", "feature_id").alias("feature_id"), *[c for c in params.columns if c != "feature_id"])

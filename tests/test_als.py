@@ -185,3 +185,28 @@ def test_greedy_cut():
     assert greedy_cut({}, 0, 5) == [(0, 5)]
     assert greedy_cut({1: 0, 2: 1, 3: 2}, 0, 4) == [(0, 1), (1, 2), (2, 3), (3, 4)]
     assert greedy_cut({4: 0, 5: 3}, 0, 6) == [(0, 4), (4, 6)]
+
+
+def test_coloured_order(spark):
+    """Colour by colour: few blocks, and the sequential result in that order of ids."""
+    from fmlattice.operators.blocks import coloured_blocks, relabelled
+    from fmlattice.session import Scratch
+    data = [(i, " ".join(f"t{(i + d) % 20:02d}" for d in range(3)), f"c{i % 4}", float(i % 7) - 3) for i in range(100)]
+    df = spark.createDataFrame(data, "id long, tags string, c string, y double")
+    vec = standard_vectorize(df, [List("tags", sep=" "), Identity("c"), Target("y")], row_id="id")
+    r = coloured_blocks(vec.rows, vec.blocks(), Scratch(spark, "colour"))
+    assert 3 <= len([b for b in r.blocks if "~" in b.name]) <= 8
+    new = {x["row_id"]: [e["feature_id"] for e in x["features"]] for x in relabelled(vec.rows, r).collect()}
+    for b in r.blocks:
+        assert all(sum(b.offset <= i < b.end for i in ids) <= 1 for ids in new.values())
+    cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.1, seed=3, regv=1.0)
+    p = A.fit(vec.rows, cfg, vec.dimension, vec.blocks(), order="coloured").params.orderBy("feature_id").toPandas()
+    to = {x["old"]: x["new"] for x in r.mapping.collect()}
+    perm = np.array([to.get(i, i) for i in range(vec.dimension)])
+    pdf = vec.rows.orderBy("row_id").toPandas()
+    rows = [(perm[[e["feature_id"] for e in f]], np.array([e["value"] for e in f])) for f in pdf.features]
+    p0 = M.init_params(spark, vec.dimension, cfg).orderBy("feature_id").toPandas()
+    w, v = np.zeros(vec.dimension), np.zeros((1, vec.dimension))
+    v[0, perm] = p0.v0.values
+    _, w, v, _ = seq_fm.iteration(rows, pdf.y.values, 0.0, w, v, 0.0, cfg.regw, cfg.regv)
+    assert np.abs(p.w.values - w[perm]).max() < 1e-10 and np.abs(p.v0.values - v[0, perm]).max() < 1e-10
