@@ -88,7 +88,7 @@ c AS (
   FROM t GROUP BY conv_id),
 d AS (SELECT min(conv_id) AS conv_id, turns, any_value(n_turns) AS n_turns, any_value(chat) AS chat, count(*) AS copies
       FROM c GROUP BY turns)
-SELECT conv_id, n_turns, copies, chat, length(chat) AS n_chars FROM d
+SELECT conv_id, CAST(0 AS BIGINT) AS part, n_turns, copies, chat, length(chat) AS n_chars FROM d
 WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.n_turns > d.n_turns AND e.turns[1] = d.turns[1]
                   AND e.turns[1:d.n_turns] = d.turns)""",
     "op6_topk_mtree": """

@@ -57,3 +57,18 @@ def test_plan_is_native(frame):
     df = format_chats(frame(rows_of({1: [("user", "a")]}), SCHEMA))
     plan = df._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_hot_conversation_over_many_ranges(frame):
+    """Most rows are one conversation; its prefixes are found, and it is rendered in parts."""
+    turns = [("user" if i % 2 == 0 else "assistant", f"t{i // 3}") for i in range(700)]
+    convs = {7: turns, 3: turns[:650], 4: turns[:100], 5: turns[:99] + [("user", "other")], 6: turns[:700]}
+    df = frame(rows_of(convs), SCHEMA)
+    got = format_chats(df).collect()
+    assert {r["conv_id"]: (r["n_turns"], r["copies"]) for r in got} == brute(convs)
+    whole = {r["conv_id"]: r["chat"] for r in got}
+    parts = {}
+    for r in sorted(format_chats(df, part_turns=64).collect(), key=lambda r: (r["conv_id"], r["part"])):
+        assert r["chat"].count("<|im_start|>") <= 64
+        parts[r["conv_id"]] = parts.get(r["conv_id"], "") + r["chat"]
+    assert parts == whole
