@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 @pytest.fixture(scope="session")
 def spark():
     from fmlattice.session import build_session
-    s = build_session("local[*]", app="fmlattice-tests", shuffle_partitions=8,
+    s = build_session("local[*]", app="fmlattice-tests", shuffle_partitions=4,
                       extra={"spark.driver.memory": "8g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
