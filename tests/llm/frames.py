@@ -1,3 +1,5 @@
+"""The fixture that the tests here share (not a conftest: tests/ has one already)."""
+
 import pytest
 
 

@@ -6,6 +6,7 @@ import pytest
 import tiktoken
 
 from fmlattice.llm.bpe import NO_PAIR, PairTree, encode_decode, merge_piece, tokenizer
+from tests.llm.frames import frame  # noqa: F401
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 

@@ -1,6 +1,7 @@
 import random
 
 from fmlattice.llm.chat_format import format_chats
+from tests.llm.frames import frame  # noqa: F401
 
 SCHEMA = "conv_id long, turn long, role string, text string, place string, n string, h1 string"
 

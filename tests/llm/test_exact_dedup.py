@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from fmlattice.llm.exact_dedup import CountingQuotientFilter, exact_dedup, keep_first, merge_runs
+from tests.llm.frames import frame  # noqa: F401
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, kept string, norm string"
 

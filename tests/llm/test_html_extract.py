@@ -5,6 +5,7 @@ import pytest
 
 from fmlattice.llm.html_extract import Chain, extract, features, leaf_blocks, main_text, trained
 from fmlattice.llm.page_samples import labelled_pages
+from tests.llm.frames import frame  # noqa: F401
 
 
 def texts(html):

@@ -4,6 +4,7 @@ import numpy as np
 
 from fmlattice.llm.language_id import ContextTrees, keep_identified, predict, train
 from fmlattice.llm.common import table
+from tests.llm.frames import frame  # noqa: F401
 
 WORDS = {"aa": "the of and ing tion her wh".split(), "bb": "der die und sch ung ein ö".split(), "cc": "que les é ou eau".split()}
 

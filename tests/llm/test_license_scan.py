@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from fmlattice.llm.license_scan import COVERAGE, TEMPLATES, align, k_grams, scan, tokens, winnow
+from tests.llm.frames import frame  # noqa: F401
 
 
 def words(text):

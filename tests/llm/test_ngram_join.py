@@ -7,6 +7,7 @@ import pytest
 from fmlattice.llm.common import mix, table
 from fmlattice.llm.components import components
 from fmlattice.llm.ngram_join import choose_bands, gram_hashes, jaccard_join, one_of_each, shared_counts
+from tests.llm.frames import frame  # noqa: F401
 
 SCHEMA = "doc_id long, text string, bands string, node long"
 

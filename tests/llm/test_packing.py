@@ -2,6 +2,7 @@ import random
 
 from fmlattice.llm.packing import LENGTHS, best_fit, pack, sequence_cost
 from pyspark.sql import functions as F
+from tests.llm.frames import frame  # noqa: F401
 
 
 def slow_pack(sizes, lengths, cost):

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from fmlattice.llm.topk_mtree import Subtree, bulk_load, lifted, top_k
+from tests.llm.frames import frame  # noqa: F401
 
 SCHEMA = "vec_id long, embedding array<float>, label int, vec string, ids string, query_id int"
 
