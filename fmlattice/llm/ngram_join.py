@@ -291,8 +291,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = (inside.join(wanted.select("node", "buckets", "n_grams", "copies").join(sets, "node"), "node")
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
              .select("bucket", i.alias("i"), j.alias("j"), "node", "block", "buckets", "n_grams", "copies", "grams"))
+    # a few rounds of tasks for the cores there are: no more files than that helps
+    tasks = min(parts, 8 * spark.sparkContext.defaultParallelism)
     verified = written(pairs.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-                       .mapInArrow(verify_rows(threshold), "node long, links long, root long"), "join-verified")
+                       .mapInArrow(verify_rows(threshold), "node long, links long, root long").coalesce(tasks),
+                       "join-verified")
 
     # classes of linked texts
     linked_rows = verified.count()
