@@ -62,14 +62,14 @@ def keep_decided(docs: DataFrame, fingerprint: Column, decisions: DataFrame) ->
 
     Rows equal in id and fingerprint are repeats of one document: if one of them is
     kept, the least by all columns stays."""
-    fp = free_name(docs, "fp")
-    rows = written(decisions.groupBy(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp"))
+    fp, k_id, k_fp = (free_name(docs, n) for n in ("fp", "of_id", "of_fp"))
+    rows = written(decisions.groupBy(F.col("doc_id").alias(k_id), F.col("fp").alias(k_fp))
                    .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
                    .where(~F.col("kept") | (F.col("n") > 1)), "decided", rows=docs.count())
-    gone, repeats = rows.where("not kept").select("k_id", "k_fp"), rows.where("kept").select("k_id", "k_fp")
+    gone, repeats = rows.where("not kept").select(k_id, k_fp), rows.where("kept").select(k_id, k_fp)
     if rows.count() <= BROADCAST_ROWS:
         gone, repeats = F.broadcast(gone), F.broadcast(repeats)
-    same = (F.col(fp) == F.col("k_fp")) & F.col("doc_id").eqNullSafe(F.col("k_id"))
+    same = (F.col(fp) == F.col(k_fp)) & F.col("doc_id").eqNullSafe(F.col(k_id))
     out = docs.withColumn(fp, fingerprint).join(gone, same, "left_anti")
     if rows.where("kept").isEmpty():
         return out.select(docs.columns)

@@ -56,7 +56,35 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_
                                    op6_topk_mtree, op7_license_scan, op8_secrets, op9_exact_dedup,
                                    op10_html_extract)}
 
+def secrets_sql() -> str:
+    """Every rule by regexp over whole texts; a match starts after the pieces and the
+    matches before it."""
+    parts = []
+    for k, (kind, pattern, group, least, fold) in enumerate(secret_scan.BASE_RULES + secret_scan.MORE_RULES):
+        p = (f"(?i:{pattern})" if fold else pattern).replace("\\x20", " ").replace("'", "''")
+        parts.append(f"""
+m{k} AS (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS g,
+                string_split_regex(t, '{p}') AS p FROM d),
+i{k} AS (SELECT doc_id, i, length(m[i]) AS n, length(g[i]) AS gn, length(p[i]) AS pn
+         FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m{k})),
+s{k} AS (SELECT doc_id, {k} AS k, '{kind}' AS kind, n, gn, sum(pn) OVER w + sum(n) OVER w - n AS a
+         FROM i{k} WINDOW w AS (PARTITION BY doc_id ORDER BY i))""")
+    union = " UNION ALL ".join(f"SELECT * FROM s{k} WHERE gn >= {rule[3]}" for k, rule in
+                               enumerate(secret_scan.BASE_RULES + secret_scan.MORE_RULES))
+    n_base = len(secret_scan.BASE_RULES)
+    span = "kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + n AS BIGINT) AS VARCHAR)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{','.join(parts)},
+u AS ({union})
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+       count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg({span}, ',' ORDER BY a, k) FILTER (k < {n_base}), '')) AS base_sha256,
+       coalesce(string_agg({span}, ',' ORDER BY a, k) FILTER (k IS NOT NULL), '') AS spans
+FROM d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id"""
+
+
 ORACLE_SQL = {
+    "op8_secrets": secrets_sql(),
     "op2_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

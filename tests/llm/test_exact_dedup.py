@@ -63,3 +63,10 @@ def test_filter_counts():
     f.add(a)
     got = [(blk << 61) + int(x) for blk, rem, _ in f.blocks() for x in rem]
     assert sorted(got) == sorted(int(x) for x in np.unique(a.view(np.uint64)))
+
+
+def test_clashing_columns(frame):
+    df = frame([(1, "a", 9, 9, 9, 9, 9), (2, "a", 8, 8, 8, 8, 8), (2, "b", 7, 7, 7, 7, 7), (2, "b", 6, 6, 6, 6, 6)],
+               "doc_id long, text string, __fp int, __of_id int, k_fp int, n int, row int")
+    got = sorted(map(tuple, keep_first(df).collect()))
+    assert got == [(1, "a", 9, 9, 9, 9, 9), (2, "b", 6, 6, 6, 6, 6)]
