@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fmlattice.session import scratch_path
+from fmlattice.session import delete_path, scratch_path
 
 # White space as the byte-level rules here know it.  Java's \s is [ \t\n\x0B\f\r].
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -40,7 +40,15 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         files = max(1, -(-rows // ROWS_PER_FILE))
         df = df.coalesce(files) if files < shuffle_partitions(spark) else df
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        delete_path(t.sparkSession, t.written_to)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
@@ -22,6 +22,7 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     few = both.count()
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
                      .withColumnRenamed("a", "node"), "cc-labels", rows=few)
+    last = labels
     while True:
         near = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near")))
         step = (labels.join(near, labels["node"] == near["a"])
@@ -31,6 +32,8 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
                         .select("node", F.coalesce(F.least("next", "above"), "next").alias("label"),
                                 (F.least("next", F.coalesce("above", "next")) != F.col("label")).alias("moved")),
                         "cc-labels", rows=few)
-        labels = after.select("node", "label")
+        discard(last)
+        labels, last = after.select("node", "label"), after
         if after.where("moved").isEmpty():
+            discard(both)
             return labels.withColumnRenamed("label", "root")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, groups, keep_decided, shuffle_partitions, written
+from .common import SPACE_RUN, discard, groups, keep_decided, shuffle_partitions, written
 
 # Up to so many repeated fingerprints (16 bytes each) are broadcast to the scan
 # that routes texts to verification; beyond it, that join shuffles.
@@ -138,7 +138,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 F.monotonically_increasing_id().alias("uid")), "dedup-light")
     rows = light.count()
     bits = block_bits_for(rows, shuffle_partitions(spark))
-    repeated = written(repeated_fingerprints(light, "fp", bits), "dedup-repeated", rows=rows).select("fp", "n")
+    repeated = written(repeated_fingerprints(light, "fp", bits), "dedup-repeated", rows=rows)
     few = repeated.count() <= BROADCAST_FINGERPRINTS
     routed_to = (F.broadcast(repeated) if few else repeated).select("fp")
 
@@ -158,6 +158,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 F.when((F.col("n_texts") == 1) & (F.col("n_rows") == F.col("size")), F.col("size"))
                 .otherwise(F.raise_error(F.lit("different texts share fingerprint and SHA-256")).cast("long"))
                 .alias("size")), "dedup-groups", rows=rows)
+    discard(repeated)
     single = F.col("size").isNull()
     if found.count() <= BROADCAST_FINGERPRINTS // 4:
         found = F.broadcast(found)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (GOLDEN, groups, keep_decided, mix, seeds, shuffle_partitions, text_batches, text_slices,
+from .common import (GOLDEN, discard, groups, keep_decided, mix, seeds, shuffle_partitions, text_batches, text_slices,
                      word_spans, written)
 from .components import components
 
@@ -297,6 +297,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        .mapInArrow(verify_rows(threshold), "node long, links long, root long").coalesce(tasks),
                        "join-verified")
 
+    discard(member, buckets, inside, wanted)
+
     # classes of linked texts
     linked_rows = verified.count()
     roots = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, shuffle_partitions, written
+from .common import discard, groups, shuffle_partitions, written
 
 SCALE = 64
 K = 20
@@ -307,7 +307,7 @@ def top_k(vectors: DataFrame, is_query=None, k: int = K, subtree: int = SUBTREE)
     if not widths:
         return empty
     count, width = widths[0]["m"], widths[0]["d"]
-    entries = entries.where(F.octet_length("vec") == width).select("vec", "ids")
+    indexed = entries.where(F.octet_length("vec") == width).select("vec", "ids")
     asked = written(source.where(is_query(F.col("vec_id"))).mapInArrow(with_id, "vec_id long, vec binary")
                     .where(F.octet_length("vec") == width).distinct(), "mtree-queries")
 
@@ -317,10 +317,10 @@ def top_k(vectors: DataFrame, is_query=None, k: int = K, subtree: int = SUBTREE)
                 x = as_matrix(batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(1).max())])], names=["m2"])
 
-    m2 = entries.select("vec").mapInArrow(norm_rows, "m2 double").agg(F.max("m2")).first()[0]
+    m2 = indexed.select("vec").mapInArrow(norm_rows, "m2 double").agg(F.max("m2")).first()[0]
     size = max(subtree, -(-2 * count // MAX_SUBTREES))
     n_pivots = min(MAX_PIVOTS, max(1, count // size))
-    pivots = [r["vec"] for r in entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()]
+    pivots = [r["vec"] for r in indexed.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()]
 
     def assign(batches):
         p = as_matrix(pivots)
@@ -332,7 +332,7 @@ def top_k(vectors: DataFrame, is_query=None, k: int = K, subtree: int = SUBTREE)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))],
                                                  names=["vec", "ids", "pivot"])
 
-    assigned = written(entries.mapInArrow(assign, "vec binary, ids array<long>, pivot int"), "mtree-assigned")
+    assigned = written(indexed.mapInArrow(assign, "vec binary, ids array<long>, pivot int"), "mtree-assigned")
     held = {r["pivot"]: r["n"] for r in assigned.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, cuts, at = {}, {}, 0
     for pivot in sorted(held):
@@ -345,6 +345,8 @@ def top_k(vectors: DataFrame, is_query=None, k: int = K, subtree: int = SUBTREE)
                     .repartition(parts, "subtree").sortWithinPartitions("subtree", "vec")
                     .mapInArrow(page_rows(m2), PAGES), "mtree-pages")
 
+    discard(entries, assigned)
+
     # routing table: the roots of the subtrees
     roots = pages.where("page = 0").select("subtree", "center", "radius").orderBy("subtree").collect()
     slices = max(1, -(-asked.select("vec").distinct().count() // SLICE_QUERIES))
