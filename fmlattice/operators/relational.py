@@ -39,7 +39,7 @@ from . import als as A
 from .blocks import conflict_free_blocks
 from .fields import FieldSpec, split_target_inputs
 from .model import FMConfig, FMModel, score_sums
-from .relations import Relation, attach, encode_relations
+from .relations import Relation, attach, encode_relations, small_sides
 from .vectorize import FEATURES, Block, vectorize_base, base_columns
 
 
@@ -95,6 +95,7 @@ def relational_dataset(df: DataFrame, specs: list[FieldSpec], relations: dict[st
     encoded = encode_relations(inputs, relations)
     extra = {i: (e.vec.dimension, e.vec.blocks()) for i, e in encoded.items()}
     base, dtypes = base_columns(df, specs, row_id)
+    small, reserved = small_sides(df.sparkSession, encoded)
     rel_rows: dict[int, DataFrame] = {}
 
     def substitute(frame: DataFrame, layout) -> DataFrame:
@@ -103,13 +104,13 @@ def relational_dataset(df: DataFrame, specs: list[FieldSpec], relations: dict[st
             rel_rows[i] = enc.rows.select(F.col("key"), F.transform("features", lambda e: F.struct(
                 (e["feature_id"] + F.lit(shift)).alias("feature_id"), e["value"].alias("value")))
                 .cast(FEATURES).alias("features"))
-            frame = attach(frame, f"_c{i}", enc.rows.select(F.col("key").alias(f"key_{i}")), f"key_{i}", enc)
+            frame = attach(frame, f"_c{i}", enc.rows.select(F.col("key").alias(f"key_{i}")), f"key_{i}", i in small)
             frame = frame.withColumn(f"_a{i}", F.when(F.col(f"key_{i}").isNotNull(), F.array().cast(FEATURES))
                                      .otherwise(F.col(f"_a{i}")))
         return frame
 
     vec = vectorize_base(base, inputs, dtypes, extra=extra, substitute=substitute,
-                         carry=[f"key_{i}" for i in encoded])
+                         carry=[f"key_{i}" for i in encoded], reserved=reserved)
     rels, segments = [], []
     for f in vec.layout:
         if f.index in encoded:

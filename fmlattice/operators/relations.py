@@ -19,9 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, fits_broadcast
+from ..session import ENTRY_OVERHEAD_BYTES, Scratch
 from .fields import IDENTITY, FieldSpec, split_target_inputs
-from .vectorize import FEATURES, Vectorized, _source_type, base_columns, vectorize_base
+from .vectorize import FEATURES, Vectorized, _source_type, base_columns, vectorize_base, within_budget
 
 
 @dataclass
@@ -87,11 +87,19 @@ def same_key(frame: DataFrame, column: str, side: DataFrame, key: str) -> Column
     return F.col(column).cast("string") == F.col(key).cast("string")
 
 
-def attach(frame: DataFrame, column: str, side: DataFrame, key: str, enc: EncodedRelation) -> DataFrame:
-    """Left join of a side table by key: broadcast if its measured size allows, else
-    shuffled, rows with a null key apart (they match nothing, and would meet in one task)."""
+def small_sides(spark, encoded: dict[int, EncodedRelation]) -> tuple[set, int]:
+    """Which side tables a plan broadcasts, within the byte bound in sum, and their
+    bytes (dictionaries share what is left)."""
+    sides = {i: (e.size, 16 * e.entries) for i, e in encoded.items()}
+    small = within_budget(spark, sides)
+    return small, sum(sides[i][1] + sides[i][0] * ENTRY_OVERHEAD_BYTES for i in small)
+
+
+def attach(frame: DataFrame, column: str, side: DataFrame, key: str, small: bool) -> DataFrame:
+    """Left join of a side table by key: broadcast if ``small``, else shuffled, rows with
+    a null key apart (they match nothing, and would meet in one task)."""
     on = same_key(frame, column, side, key)
-    if fits_broadcast(frame.sparkSession, enc.size, 16 * enc.entries):
+    if small:
         return frame.join(F.broadcast(side), on, "left")
     none = frame.where(F.col(column).isNull())
     blank = [F.lit(None).cast(t).alias(c) for c, t in side.dtypes]
@@ -105,6 +113,7 @@ def relation_vectorize(df: DataFrame, specs: list[FieldSpec], relations: dict[st
     _, inputs = split_target_inputs(specs)
     encoded = encode_relations(inputs, relations)
     extra = {i: (e.vec.dimension, e.vec.blocks()) for i, e in encoded.items()}
+    small, reserved = small_sides(df.sparkSession, encoded)
 
     def substitute(frame: DataFrame, layout) -> DataFrame:
         for i, enc in encoded.items():
@@ -114,18 +123,18 @@ def relation_vectorize(df: DataFrame, specs: list[FieldSpec], relations: dict[st
                 F.transform("features", lambda e: F.struct(
                     (e["feature_id"] + F.lit(shift)).alias("feature_id"),
                     e["value"].alias("value"))).cast(FEATURES).alias(f"_r{i}"))
-            frame = attach(frame, f"_c{i}", side, f"_rk{i}", enc)
+            frame = attach(frame, f"_c{i}", side, f"_rk{i}", i in small)
             sub = F.concat(F.col(f"_a{i}"), F.col(f"_r{i}")) if keep_key else F.col(f"_r{i}")
             frame = frame.withColumn(f"_a{i}", F.when(F.col(f"_rk{i}").isNotNull(), sub).otherwise(F.col(f"_a{i}")))
         return frame
 
     base, dtypes = base_columns(df, specs, row_id, ids)
-    vec = vectorize_base(base, inputs, dtypes, extra=extra, substitute=substitute)
+    vec = vectorize_base(base, inputs, dtypes, extra=extra, substitute=substitute, reserved=reserved)
 
     def encode(other: DataFrame, unseen: str) -> DataFrame:
         b, types = base_columns(other, specs, row_id, ids, target=False)
         return vectorize_base(b, inputs, types, extra=extra, substitute=substitute, learned=vec.learned,
-                              unseen=unseen).rows
+                              unseen=unseen, reserved=reserved).rows
 
     vec.encoder = encode
     return vec

@@ -209,21 +209,22 @@ def standard_vectorize(df: DataFrame, specs: list[FieldSpec], row_id: str | None
 def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, str],
                    extra: dict[int, tuple[int, list[Block]]] | None = None,
                    substitute=None, carry: list[str] | None = None, learned: Learned | None = None,
-                   unseen: str = "skip") -> Vectorized:
+                   unseen: str = "skip", reserved: int = 0) -> Vectorized:
     """Encode a frame holding ``row_id, y`` and one ``_c{i}`` per input field.
 
     ``extra[i] = (width, blocks)`` reserves ids right after field ``i``'s own
     block (side-table features, see ``relations``); ``substitute(frame,
     layout)`` may then replace the per-field arrays ``_a{i}`` before they are
     concatenated, and add columns, of which those in ``carry`` stay with the rows.
-    ``learned``: dictionaries to use; their unseen tokens follow ``unseen``."""
+    ``learned``: dictionaries to use; their unseen tokens follow ``unseen``.
+    ``reserved``: bytes that the plan broadcasts besides dictionaries."""
     spark = base.sparkSession
     extra = extra or {}
     given = learned is not None
     if not given:
         learned = learn_dictionaries(base, [(i, s) for i, s in enumerate(inputs) if s.categorical])
     dicts, sizes, nbytes = learned.dicts, learned.sizes, learned.nbytes
-    small = within_budget(spark, {i: (sizes[i], nbytes[i]) for i in dicts})
+    small = within_budget(spark, {i: (sizes[i], nbytes[i]) for i in dicts}, broadcast_bytes(spark) - reserved)
 
     layout: list[FieldLayout] = []
     offset = 0
