@@ -28,6 +28,7 @@ ORDER = 3
 SAMPLE_DOCS = 400               # labelled rows for each language
 SAMPLE_BYTES = 1 << 20          # and their bytes in sum
 SAMPLE_TEXT_BYTES = 1 << 16     # longer texts are not drawn for training
+MAX_LANGS = 512                 # languages learned: those with most labelled rows
 MIN_CONTEXT = 4                 # a context is in the tree if it occurs so often in some language
 MAX_CELLS = 6_000_000           # contexts x bytes x languages; else MIN_CONTEXT doubles
 SEGMENT = 1 << 18               # bytes scored at a time
@@ -170,7 +171,8 @@ def train(docs: DataFrame) -> ContextTrees | None:
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                          F.col("text").cast("string").alias("text")).where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+         .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not n:
         return None
     # draw about twice the wanted rows by the id's hash, then keep the first ones
