@@ -4,7 +4,7 @@ import re
 
 import pyarrow as pa
 
-from fmlattice.llm.secret_scan import ANY, BASE_RULES, MORE_RULES, Scanner, evaluate, joined, redact, scan, trigram_query
+from fmlattice.llm.secret_scan import ANY, BASE_RULES, MORE_RULES, Scanner, joined, redact, scan, trigram_query
 from tests.llm.frames import frame  # noqa: F401
 
 TEXTS = [
