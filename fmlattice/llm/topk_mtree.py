@@ -134,6 +134,25 @@ def bulk_load(x: np.ndarray, a: np.ndarray, page: int = PAGE) -> list[dict]:
     return pages
 
 
+def needed(hits: list[tuple[int, int]], wanted: int) -> tuple[list[tuple[int, int]], bool]:
+    """Of sorted hits (-score, id) the shortest start that holds, whichever id is left
+    out, the best ``wanted`` - 1 others, and whether it holds as many.  An id with
+    many hits is kept ``wanted`` - 1 times: no other id needs more of them."""
+    out: list[tuple[int, int]] = []
+    times: dict[int, int] = {}
+    most = 0
+    for h in hits:
+        n = times.get(h[1], 0)
+        if n >= wanted - 1:
+            continue
+        out.append(h)
+        times[h[1]] = n + 1
+        most = max(most, n + 1)
+        if len(out) - most >= wanted - 1:
+            return out, True
+    return out, False
+
+
 class Subtree:
     """One M-tree, loaded from its pages, with its search."""
 
@@ -150,8 +169,8 @@ class Subtree:
                 p["children"] = np.frombuffer(p["members"], "<i8").tolist()
 
     def search(self, q: np.ndarray, wanted: int, floor: float) -> tuple[list[tuple[int, int]], int]:
-        """The best ``wanted`` (-score, id) with a score of at least ``floor``, sorted,
-        and the number of distances computed."""
+        """The ``needed`` (-score, id) with a score of at least ``floor``, sorted, and the
+        number of distances computed."""
         base = float(q @ q) + self.m2
         slack = SLACK * max(base, 1.0)
         best: list[tuple[int, int]] = []
@@ -175,17 +194,19 @@ class Subtree:
                 take = np.flatnonzero(score >= floor)
                 if not len(take):
                     continue
-                if len(take) > wanted:                      # each entry has an id: the best entries suffice
-                    least = np.partition(score[take], len(take) - wanted)[len(take) - wanted]
-                    take = take[score[take] >= least]
-                for t in take.tolist():
-                    s = -int(score[t])
-                    best += [(s, i) for i in page["ids"][int(at_[t])]]
-                best.sort()
-                del best[wanted:]
-                if len(best) == wanted:
-                    floor = max(floor, float(-best[-1][0]))
-                    reach = self._reach(base, floor, slack)
+                take = take[np.argsort(-score[take], kind="stable")]
+                for a in range(0, len(take), wanted):       # the best first, until no other is needed
+                    some = take[a:a + wanted].tolist()
+                    if score[some[0]] < floor:
+                        break
+                    for t in some:
+                        s = -int(score[t])
+                        best += [(s, i) for i in page["ids"][int(at_[t])]]
+                    best.sort()
+                    best, full = needed(best, wanted)
+                    if full:
+                        floor = max(floor, float(-best[-1][0]))
+                        reach = self._reach(base, floor, slack)
             else:
                 for child, parent_distance in zip(page["children"], page["member_distance"].tolist()):
                     c = self.pages[child]
@@ -235,7 +256,8 @@ PAGE_SCHEMA = pa.schema([
 
 def search_rows(wanted: int, m2: float):
     """Arrow function over rows sorted by (subtree, slice, kind): the pages of a subtree,
-    then queries; returns (vec, top, computed) with top as (-score, id)."""
+    then queries; returns (vec, top, computed, floor) with top as (-score, id) and the
+    score that others need to count."""
     top_type = pa.list_(pa.struct([("loss", pa.int64()), ("id", pa.int64())]))
 
     def run(batches):
@@ -252,11 +274,27 @@ def search_rows(wanted: int, m2: float):
                 q = np.frombuffer(r["center"], "<i8").astype(np.float64)
                 best, n = tree.search(q, wanted, r["radius"])
                 if best:
-                    out.append((r["center"], [{"loss": s, "id": i} for s, i in best], n))
+                    bound = float(-best[-1][0]) if needed(best, wanted)[1] else -np.inf
+                    out.append((r["center"], [{"loss": s, "id": i} for s, i in best], n, bound))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], top_type),
-                     pa.array([o[2] for o in out], pa.int64())], names=["vec", "top", "computed"])
+                     pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.float64())],
+                    names=["vec", "top", "computed", "floor"])
+
+    return run
+
+
+def needed_rows(wanted: int):
+    """Arrow function: (vec, sorted hits of all its searches) -> (vec, the ``needed``)."""
+    top_type = pa.list_(pa.struct([("loss", pa.int64()), ("id", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            tops = [needed([(h["loss"], h["id"]) for h in top.as_py()], wanted)[0] for top in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([[{"loss": s, "id": i} for s, i in t] for t in tops], top_type)],
+                names=["vec", "top"])
 
     return run
 
@@ -274,7 +312,7 @@ def searched(pages: DataFrame, queries: DataFrame, slices: int, wanted: int, m2:
               .withColumn("kind", F.lit(0)))
     return (stored.unionByName(asked).repartition(parts, "subtree", "slice")
             .sortWithinPartitions("subtree", "slice", "kind")
-            .mapInArrow(search_rows(wanted, m2), "vec binary, top array<struct<loss:long,id:long>>, computed long"))
+            .mapInArrow(search_rows(wanted, m2), "vec binary, top array<struct<loss:long,id:long>>, computed long, floor double"))
 
 
 def top_k(vectors: DataFrame, is_query=None, k: int = K, subtree: int = SUBTREE) -> DataFrame:
@@ -284,9 +322,9 @@ def top_k(vectors: DataFrame, is_query=None, k: int = K, subtree: int = SUBTREE)
     ``is_query`` is a condition on vec_id (default: divisible by 20).  Vectors that
     are null or empty, or hold a null or a non-finite component, and rows with a null
     vec_id take no part.  Only vectors of the commonest length take part (the
-    smallest on ties).  Rows with a repeated vec_id are rows of their own as
-    candidates; none of them is found for a query with that id, which is asked once
-    for each distinct vector it has.  Other columns are ignored; no vector, no row."""
+    smallest on ties).  Rows with a repeated vec_id and different vectors are rows of
+    their own as candidates, rows equal in both are one; none is found for a query with
+    that id, which is asked once for each distinct vector it has.  Other columns are ignored; no vector, no row."""
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
     is_query = (lambda i: i % 20 == 0) if is_query is None else is_query
@@ -381,14 +419,14 @@ def top_k(vectors: DataFrame, is_query=None, k: int = K, subtree: int = SUBTREE)
                     names=["subtree", "vec", "floor"])
         return run
 
-    wanted = k + 1              # a query may find itself
+    wanted = k + 1              # an id's own rows are left out, see ``needed``
     schema = "subtree int, vec binary, floor double"
     distinct = asked.select("vec").distinct()
     near = written(searched(pages, distinct.mapInArrow(route(True), schema), slices, wanted, m2), "mtree-near")
-    floor = F.when(F.size("top") >= wanted, -F.element_at("top", -1)["loss"].cast("double")).otherwise(F.lit(float("-inf")))
-    far = searched(pages, near.select("vec", floor.alias("floor")).mapInArrow(route(False), schema), slices, wanted, m2)
+    far = searched(pages, near.select("vec", "floor").mapInArrow(route(False), schema), slices, wanted, m2)
     top = (near.select("vec", "top").unionByName(far.select("vec", "top")).groupBy("vec")
-           .agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, wanted).alias("top")))
+           .agg(F.sort_array(F.flatten(F.collect_list("top"))).alias("top"))
+           .mapInArrow(needed_rows(wanted), "vec binary, top array<struct<loss:long,id:long>>"))
     return (asked.join(top, "vec")
             .select(F.col("vec_id").alias("query_id"),
                     F.posexplode(F.slice(F.filter("top", lambda t: t["id"] != F.col("vec_id")), 1, k)).alias("place", "t"))

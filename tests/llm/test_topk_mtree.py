@@ -52,6 +52,17 @@ def test_zero_repeats_and_empty(frame):
     assert run(frame, [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0])]) == [(0, 1, 1, 64 * 64 + 128 * 128)]
 
 
+def test_query_id_on_many_near_vectors(frame):
+    r = np.random.default_rng(7)
+    rows = [(20, [float(100 + i), float(i % 7)]) for i in range(90)]        # the largest products
+    rows += [(40 if i % 3 == 0 else 1000 + i, [float(x) for x in r.integers(-9, 9, 2)]) for i in range(180)]
+    rows = list({(i, tuple(v)): (i, v) for i, v in rows}.values())
+    for size in (16, 4096):
+        got = run(frame, rows, subtree=size)
+        assert got == brute(rows)
+        assert len([g for g in got if g[0] == 20]) == 90 * 20
+
+
 def test_pages_cover_and_bounds_avoid_work():
     r = np.random.default_rng(3)
     x = np.concatenate([np.floor(r.normal(size=(400, 4)) * 5 + c) for c in (0, 300, -300)])
