@@ -9,9 +9,10 @@ exact distribution, and the sum of -log2 over a text is its code length under
 that language.  The statistics are frozen after training: a text's length does
 not depend on the texts before it.
 
-The distributions are tabulated at training (context x byte x language), so a
-text costs a few table look-ups for each byte, done with numpy over an Arrow
-batch.  Training uses a bounded sample of labelled rows (``SAMPLE_*``), drawn by
+Only what was seen is stored: for each language its (context, byte) pairs with
+their code lengths and its contexts with their escapes', sorted, so the memory
+follows the trained bytes.  The distinct pairs of a piece of text are looked up
+with numpy, one language after the other.  Training uses a bounded sample of labelled rows (``SAMPLE_*``), drawn by
 a hash of the id; scoring is a scan without shuffle.
 """
 
@@ -28,9 +29,7 @@ ORDER = 3
 SAMPLE_DOCS = 400               # labelled rows for each language
 SAMPLE_BYTES = 1 << 20          # and their bytes in sum
 SAMPLE_TEXT_BYTES = 1 << 16     # longer texts are not drawn for training
-MAX_LANGS = 512                 # languages learned: those with most labelled rows
 MIN_CONTEXT = 4                 # a context is in the tree if it occurs so often in some language
-MAX_CELLS = 6_000_000           # contexts x bytes x languages; else MIN_CONTEXT doubles
 SEGMENT = 1 << 18               # bytes scored at a time
 
 
@@ -40,48 +39,62 @@ def held_out(doc_id) -> F.Column:
 
 
 class ContextTrees:
-    """Frozen statistics of all languages as tables."""
+    """Frozen statistics of all languages, sparse.
+
+    ``trees[lang][k]``: codes of the grams of k + 1 bytes, their bits, codes of the
+    contexts of k bytes, and the bits of their escapes."""
 
     def __init__(self, langs: list[str], samples: dict[str, list[bytes]], order: int = ORDER):
         self.langs, self.order = langs, order
-        seen = np.unique(np.concatenate([np.frombuffer(b"".join(samples[x]), np.uint8) for x in langs]))
+        used = np.zeros(256, bool)
+        for lang in langs:
+            for t in samples[lang]:
+                used[np.frombuffer(t, np.uint8)] = True
+        seen = np.flatnonzero(used)
         self.symbols = len(seen) + 1                    # the last one: any byte not in the sample
         self.symbol_of = np.full(256, len(seen), np.int64)
         self.symbol_of[seen] = np.arange(len(seen))
-        least = MIN_CONTEXT
-        while True:
-            contexts, counts = self._contexts(samples, least)
-            if sum(map(len, contexts)) * self.symbols * len(langs) <= MAX_CELLS:
-                break
-            least *= 2
-        self._tabulate(contexts, counts)
-
-    def _contexts(self, samples, least):
-        """contexts[k]: sorted codes of the contexts of k bytes; counts[lang][k]: (gram codes, n)."""
-        base = self.symbols + 1                         # symbol ``symbols`` is the text's start
-        total: list[dict[int, int]] = [{} for _ in range(self.order + 1)]
-        counts = []
-        for lang in self.langs:
-            s = self._padded(samples[lang])
-            real = np.flatnonzero(s < self.symbols)
-            of_lang = []
-            code = s[real].copy()
-            ok = np.ones(len(real), bool)
-            for k in range(self.order + 1):
-                if k:                                   # put the byte k places before in front
-                    older = s[real - k]
-                    ok &= older < self.symbols
-                    code = code + older * base ** k
-                grams, n = np.unique(code[ok], return_counts=True)
-                of_lang.append((grams, n))
-                # a context is the gram without its last byte
-                ctx, inverse = np.unique(grams // base, return_inverse=True)
-                for c, m in zip(ctx.tolist(), np.bincount(inverse, n).tolist()):
-                    total[k][c] = max(total[k].get(c, 0), m)
-            counts.append(of_lang)
-        contexts = [np.array(sorted(c for c, m in total[k].items() if m >= least or k == 0), np.int64)
-                    for k in range(self.order + 1)]
-        return contexts, counts
+        self.base = self.symbols + 1                    # symbol ``symbols`` is the text's start
+        # a context often enough in some language is in the tree of all
+        self.contexts = [np.zeros(0, np.int64) for _ in range(order + 1)]
+        for lang in langs:
+            for k, (grams, n) in enumerate(self._counts(samples[lang])):
+                ctx, inverse = np.unique(grams // self.base, return_inverse=True)
+                often = ctx if k == 0 else ctx[np.bincount(inverse, n, len(ctx)) >= MIN_CONTEXT]
+                self.contexts[k] = np.union1d(self.contexts[k], often)
+        self.trees = [self._tree(self._counts(samples[lang])) for lang in langs]
+
+    def _counts(self, texts: list[bytes]):
+        """(gram codes, n) for contexts of 0, 1, .. bytes."""
+        s = self._padded(texts)
+        real = np.flatnonzero(s < self.symbols)
+        ok = np.ones(len(real), bool)
+        code = s[real].copy()
+        out = []
+        for k in range(self.order + 1):
+            if k:                                       # put the byte k places before in front
+                older = s[real - k]
+                ok &= older < self.symbols
+                code = code + older * self.base ** k
+            out.append(np.unique(code[ok], return_counts=True))
+        return out
+
+    def _tree(self, counts):
+        tree, shorter = [], None
+        for k, (grams, n) in enumerate(counts):
+            keep = found(self.contexts[k], grams // self.base)[1]
+            grams, n = grams[keep], n[keep]
+            ctx, of = np.unique(grams // self.base, return_inverse=True)
+            times, distinct = np.bincount(of, n, len(ctx)), np.bincount(of, minlength=len(ctx))
+            # what the seen bytes leave to the others in the next shorter context, which saw them too
+            below = 1 / 256 if k == 0 else shorter[1][found(shorter[0], grams % self.base ** k)[0]]
+            rest = np.where(distinct < 256, 1 - np.bincount(of, np.broadcast_to(below, len(of)), len(ctx)), 0.0)
+            p = n / (times + distinct * (rest > 0))[of]
+            with np.errstate(divide="ignore"):
+                escape = -np.log2(distinct / (times + distinct)) + np.log2(rest)
+            tree.append((grams, -np.log2(p).astype(np.float32), ctx, escape.astype(np.float32)))
+            shorter = grams, p
+        return tree
 
     def _padded(self, texts: list[bytes]) -> np.ndarray:
         gap = np.full(self.order, self.symbols, np.int64)
@@ -90,38 +103,33 @@ class ContextTrees:
             parts += [self.symbol_of[np.frombuffer(t, np.uint8)], gap]
         return np.concatenate(parts)
 
-    def _tabulate(self, contexts, counts) -> None:
-        base, n_sym, n_lang = self.symbols + 1, self.symbols, len(self.langs)
-        start = np.cumsum([0] + [len(c) for c in contexts])
-        rows = int(start[-1])
-        prob = np.zeros((rows, n_sym, n_lang))
-        self.longer = np.full((rows + 1, n_sym + 1), rows, np.int32)    # row ``rows``: no such context
-        # below order 0 all 256 bytes are alike; the last symbol stands for each unseen byte
-        alike = np.full(n_sym, 1 / 256)
-        size = np.ones(n_sym)
-        size[-1] = 256 - (n_sym - 1)
-        for k, ctx in enumerate(contexts):
-            if not len(ctx):
-                continue
-            if k:       # parent: the context without its oldest byte
-                parent = start[k - 1] + np.searchsorted(contexts[k - 1], ctx % base ** (k - 1))
-                self.longer[parent, ctx // base ** (k - 1)] = start[k] + np.arange(len(ctx))
-            for j in range(n_lang):
-                grams, n = counts[j][k]
-                at = np.searchsorted(ctx, grams // base)
-                at_ok = (at < len(ctx)) & (ctx[np.minimum(at, len(ctx) - 1)] == grams // base)
-                table = np.zeros((len(ctx), n_sym))
-                table[at[at_ok], (grams % base)[at_ok]] = n[at_ok]
-                below = np.broadcast_to(alike, table.shape) if k == 0 else prob[parent, :, j]
-                times, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-                free = np.where(table > 0, 0.0, below)
-                rest = (free * size).sum(1, keepdims=True)      # what the excluded symbols leave
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    mine = np.where(table > 0, table / (times + distinct * (rest > 0)),
-                                    distinct / (times + distinct) * free / np.where(rest > 0, rest, 1))
-                prob[start[k]:start[k + 1], :, j] = np.where(times > 0, mine, below)
-        self.rows = rows
-        self.bits = -np.log2(prob).astype(np.float32).reshape(rows * n_sym, n_lang)
+    def _bits(self, tree, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last bytes of grams of ``order`` + 1 symbols in one language."""
+        out = np.zeros(len(grams), np.float32)
+        todo = np.arange(len(grams))
+        for k in range(self.order, -1, -1):
+            codes, bits, contexts, escapes = tree[k]
+            mine = grams[todo] % self.base ** (k + 1)
+            at, ok = found(codes, mine)
+            out[todo[ok]] += bits[at[ok]]
+            todo, mine = todo[~ok], mine[~ok]
+            at, ok = found(contexts, mine // self.base)
+            out[todo[ok]] += escapes[at[ok]]            # a context it never saw costs nothing
+        out[todo] += 8                                  # below order 0 all 256 bytes are alike
+        return out
+
+    @property
+    def rows(self) -> int:
+        return sum(map(len, self.contexts))
+
+    @property
+    def bits(self) -> np.ndarray:
+        """The distributions in full, (contexts x symbols, languages), for checks."""
+        front = [np.full(self.order - k, self.symbols, np.int64) @ self.base ** np.arange(k, self.order)
+                 if k < self.order else 0 for k in range(self.order + 1)]
+        ctx = np.concatenate([c + f for c, f in zip(self.contexts, front)])
+        grams = (ctx[:, None] * self.base + np.arange(self.symbols)).ravel()
+        return np.stack([self._bits(tree, grams) for tree in self.trees], 1)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language: float64 (texts, languages)."""
@@ -152,16 +160,23 @@ class ContextTrees:
                 s[a - len(before):a] = self.symbol_of[np.frombuffer(before, np.uint8)]
             scored[a - d:a] = False
         at = np.flatnonzero(scored)
-        state = np.zeros(len(at), np.int64)
-        row = np.zeros(len(at), np.int64)
-        flat = self.longer.ravel()
+        code = s[at].copy()
         for k in range(1, d + 1):
-            state = flat[state * (n_sym + 1) + s[at - k]]
-            row = np.where(state < self.rows, state, row)
-            state = state.astype(np.int64)
-        bits = self.bits[row * n_sym + s[at]]
+            code += s[at - k] * self.base ** k
+        grams, inverse = np.unique(code, return_inverse=True)
         starts = np.cumsum(lengths) - lengths
-        np.add.at(out, np.array(owner), np.add.reduceat(bits, starts, axis=0, dtype=np.float64))
+        who = np.array(owner)
+        for j, tree in enumerate(self.trees):
+            bits = self._bits(tree, grams)[inverse]
+            np.add.at(out[:, j], who, np.add.reduceat(bits, starts, dtype=np.float64))
+
+
+def found(codes: np.ndarray, wanted: np.ndarray):
+    """(place, whether it is there) of each of ``wanted`` in sorted ``codes``."""
+    if not len(codes):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    return at, codes[at] == wanted
 
 
 def train(docs: DataFrame) -> ContextTrees | None:
@@ -172,7 +187,7 @@ def train(docs: DataFrame) -> ContextTrees | None:
                          F.col("text").cast("string").alias("text")).where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-         .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+         .collect()}
     if not n:
         return None
     # draw about twice the wanted rows by the id's hash, then keep the first ones

@@ -75,6 +75,28 @@ def test_probabilities_sum_to_one():
     assert np.allclose(p @ size, 1, atol=1e-4)
 
 
+def test_many_languages_keep_their_contexts():
+    r = random.Random(2)
+    samples = {}
+    for i in range(40):                 # 40 languages, each with 24 of 200 symbols: above 6 M dense cells
+        own = bytes(r.sample(range(32, 232), 24))
+        samples[f"l{i:02}"] = [bytes(r.choices(own, k=60)) for _ in range(60)]
+    model = ContextTrees(sorted(samples), samples)
+    often = set()                       # contexts of up to 3 bytes seen MIN_CONTEXT (4) times in some language
+    for texts in samples.values():
+        n = {}
+        for t in texts:
+            for i in range(len(t)):
+                for k in range(1, min(3, i) + 1):
+                    n[t[i - k:i]] = n.get(t[i - k:i], 0) + 1
+        often |= {c for c, m in n.items() if m >= 4}
+    assert model.rows == len(often) + 1 and model.rows * model.symbols * 40 > 6_000_000
+    for lang in ("l00", "l39"):
+        text = samples[lang][0]
+        assert np.isclose(model.code_lengths([text])[0][model.langs.index(lang)],
+                          slow_bits(samples[lang], text, 3, often), rtol=1e-5)
+
+
 def test_segments_do_not_change_a_text(monkeypatch):
     import fmlattice.llm.language_id as L
     model = ContextTrees(["aa"], {"aa": [b"hello world hello there"]})
