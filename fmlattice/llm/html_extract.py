@@ -32,18 +32,25 @@ STEP, DECAY = 0.2, 1e-4
 
 # HTML's element kinds (fixed values)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template select svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())     # no markup inside
+SHOWN = frozenset(["xmp"])      # of these, those whose text the page shows
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp "
-                   "rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+                   "rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   # formulas and drawings stand in the line
+                   "math annotation annotation-xml maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+                   "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover "
+                   "semantics svg circle clippath defs desc ellipse filter foreignobject g image line lineargradient marker "
+                   "mask metadata path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use".split())
 # a start tag closes an open element of these kinds, within the given border
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
           "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSED_BY_BLOCK = "p"
+KEEPS_P = frozenset("select option optgroup noscript template".split())     # blocks of their own in an open p
 
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>"
     r"|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -51,6 +58,8 @@ SPACE = re.compile(r"\s+")
 MARKS = re.compile("©|copyright|all rights reserved|cookie|subscribe|newsletter|sign in|log in|privacy|comment|reply|"
                    "advert|sponsored|share this|related")
 
+HELD = re.compile(r"</(select|noscript|template)(?=[\s/>])", re.I)
+
 
 class Block:
     __slots__ = ("path", "parts", "linked", "text", "n")
@@ -79,6 +88,7 @@ def leaf_blocks(html: str) -> list[Block]:
     links = 0
     at, n = 0, len(html)
     find = TOKEN.search
+    last_end = {m.group(1).lower(): m.start() for m in HELD.finditer(html)}
 
     def add(piece: str) -> None:
         nonlocal current
@@ -129,7 +139,13 @@ def leaf_blocks(html: str) -> list[Block]:
                 add(" ")
             continue
         if name in RAW and not attrs.endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            if name in SHOWN:
+                current = None
+                stack.append((name, attribute_words(attrs) if attrs else ()))
+                add(html[at:close.start() if close else n].replace("&", "&amp;"))     # as it stands
+                stack.pop()
+                current = None
             at = close.end() if close else n
             continue
         if name not in INLINE:
@@ -143,13 +159,25 @@ def leaf_blocks(html: str) -> list[Block]:
                         links -= sum(e[0] == "a" for e in stack[i:])
                         del stack[i:]
                         break
+            if name not in ("option", "optgroup"):      # a select holds nothing else
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == "select":
+                        links -= sum(e[0] == "a" for e in stack[i:])
+                        del stack[i:]
+                        break
+                    if stack[i][0] not in INLINE and stack[i][0] not in ("option", "optgroup"):
+                        break
             for i in range(len(stack) - 1, -1, -1):     # a block closes an open paragraph
+                if name in KEEPS_P:
+                    break
                 if stack[i][0] == CLOSED_BY_BLOCK:
                     links -= sum(e[0] == "a" for e in stack[i:])
                     del stack[i:]
                     break
                 if stack[i][0] not in INLINE:
                     break
+        if name in ("select", "noscript", "template") and last_end.get(name, -1) < at:
+            continue                                    # never closed: the page's rest is not its content
         if not attrs.endswith("/"):
             stack.append((name, attribute_words(attrs) if attrs else ()))
             links += name == "a"
@@ -297,7 +325,9 @@ def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """Per row: page_id, url, text (empty if no block is main), n_chars.
 
     Null and empty html give an empty text.  Markup may be broken or cut off; what is
-    left is read.  Repeated rows are each returned; other columns are ignored; an
+    left is read.  Only comments, tags and the text of script, style, textarea, title,
+    iframe, noembed and noframes (up to the page's end if not closed, as in HTML) are
+    no block.  Repeated rows are each returned; other columns are ignored; an
     empty table gives no row."""
     chain = chain or trained()
     # only the weights that are not zero travel

@@ -18,18 +18,19 @@ MAIN_WRAPS = [("article", ""), ("main", ""), ("article", ' class="post"'), ("div
               ("div", ' class="entry-content"'), ("div", ' class="blog prose"'), ("div", ' role="main"'), ("div", ' itemprop="articleBody"')]
 MENU_WRAPS = [("nav", ""), ("div", ' class="nav"'), ("ul", ' class="menu"'), ("div", ' id="navigation"'),
               ("nav", ' class="breadcrumb"'), ("div", ' class="navbar top"'), ("nav", ' class="pagination"'), ("div", ' class="menu main-menu"'), ("div", ' role="navigation"'),
-              ("ul", ' class="tabs links"'), ("div", ' class="toc breadcrumbs"')]
+              ("select", ""), ("ul", ' class="tabs links"'), ("div", ' class="toc breadcrumbs"')]
 HEAD_WRAPS = [("header", ""), ("div", ' class="header"'), ("div", ' id="masthead"'), ("header", ' class="site-header"'), ("div", ' class="top banner logo"'), ("div", ' role="banner"')]
 SIDE_WRAPS = [("aside", ""), ("div", ' class="sidebar"'), ("div", ' class="related"'), ("aside", ' class="widget"'),
               ("div", ' id="sidebar"'), ("div", ' class="recommended teaser"'), ("div", ' class="share social"'), ("div", ' class="side rail"'), ("div", ' class="widget tags"'),
               ("div", ' role="complementary"'), ("section", ' class="related-posts more"')]
 AD_WRAPS = [("div", ' class="ad"'), ("div", ' class="ads"'), ("div", ' id="advert"'), ("aside", ' class="sponsored"'),
             ("div", ' class="advertisement"'), ("div", ' class="promo banner"'), ("div", ' class="ad-slot adv"'), ("div", ' class="sponsor outbrain"'), ("section", ' class="advert commercial"'),
-            ("div", ' id="banner-ad"')]
+            ("div", ' id="banner-ad"'), ("template", "")]
 NOTE_WRAPS = [("div", ' class="cookie"'), ("div", ' class="notice"'), ("div", ' id="cookie-banner"'),
               ("section", ' class="consent"'), ("div", ' role="alert"'), ("div", ' class="popup modal"'),
               ("dialog", ' class="newsletter"'), ("div", ' class="gdpr privacy"'), ("div", ' class="alert warning"'),
-              ("div", ' class="subscribe signup"'), ("p", ' class="disclaimer"'), ("div", ' class="paywall notification"')]
+              ("div", ' class="subscribe signup"'), ("p", ' class="disclaimer"'), ("div", ' class="paywall notification"'),
+              ("noscript", "")]
 COMMENT_WRAPS = [("section", ' class="comments"'), ("div", ' id="comments"'), ("div", ' class="comment-list"'),
                  ("ol", ' class="comment"'), ("div", ' class="replies disqus"'), ("div", ' id="respond"'), ("ul", ' class="comments discussion"'),
                  ("div", ' class="reader-comments feedback"')]

@@ -22,6 +22,18 @@ def test_blocks():
     assert texts("a<br>b<hr>c") == ["a b", "c"]
 
 
+def test_only_raw_text_is_left_out():
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["so x=1 holds"]
+    assert texts("<p>a</p><xmp>1 < 2 &amp; <b></xmp><p>b") == ["a", "1 < 2 &amp; <b>", "b"]
+    for tag in "select noscript svg math template".split():
+        assert "the article" in " ".join(texts(f"<div><{tag}></div><article><p>the article</p></article>")), tag
+    assert texts("<p>go <svg><title>no</title><path d='M0'/></svg> on</p>") == ["go on"]
+    assert texts("<p>pick <select><option>a<option>b</select> now</p>") == ["pick", "a", "b", "now"]
+    assert texts("<p title=it's>one</p><p don't>two</p><p>it's") == ["one", "two", "it's"]
+    assert texts("""<p a='>' b = ">">x</p><p c="d>y""") == ["x", "y"]
+    assert texts("<p " + 'x="1" ' * 50_000) == []
+
+
 def test_viterbi_and_marginals_against_all_paths():
     r = np.random.default_rng(1)
     c = Chain()
@@ -72,6 +84,13 @@ def test_tables_pages(spark, chain):
         assert got[r["page_id"]]["text"] == "\n\n".join(p for p in parts if p)
 
 
+def test_unclosed_elements_keep_the_article(chain):
+    story = "Some words, of a story. And more of it."
+    for tag in "select noscript svg math template".split():
+        page = f"<nav><a href=x>Home</a></nav><{tag}><article><h1>A title</h1><p>{story}</p><p>{story}</p></article>"
+        assert main_text(chain, page).count(story) == 2, tag
+
+
 def test_odd_pages(frame, chain):
     long = "<article>" + "<p>Some words, of a story. And more of it.</p>" * 20_000 + "</article>"
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (2, "u", "", "x"), (3, "u", "<nav><a href=x>Home</a></nav>", "x"),
