@@ -7,7 +7,11 @@ K_GRAM + WINDOW - 1 tokens shares a fingerprint.  The inverted index maps a
 fingerprint to its places in templates.  All k-grams of a document are looked up;
 hits of one template near one diagonal are a candidate, and a banded alignment
 of the template with the document around the diagonal gives the tokens matched in
-order, their share of the template (coverage) and the span.
+order, their share of the template (coverage) and the span.  Groups of diagonals
+apart by no more than the template's length are also aligned as one, so text put
+inside a notice does not hide it.  Short templates keep all their k-grams.  The
+version numbers and family words of a template (``MARKS``) must be those of the
+span, no more and no less.
 
 Templates are few and fixed, so the index goes with the function; documents are
 scanned whole, without shuffle.
@@ -23,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, seeds, text_batches, text_slices, word_spans
-from .license_texts import TEMPLATES
+from .license_texts import ALL, TEMPLATES  # noqa: F401
 
 K_GRAM = 3
 WINDOW = 3
 BAND = 8                # tokens that an alignment may leave the diagonal on either side
 COVERAGE = 0.8
+SHORT = 25              # tokens of a template up to which all its k-grams are kept
+# words that tell versions and families of licences apart
+MARKS = ("0 1 2 3 4 5 nc sa nd lesser library affero noncommercial sharealike noderivatives noderivs".split())
 
 TOKEN_BYTE = np.zeros(256, bool)
 TOKEN_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -65,6 +72,11 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted(kept)
 
 
+def marks_of(words: np.ndarray, marks: np.ndarray) -> list[int]:
+    """The hashes of a run of tokens that are among ``marks``, in order."""
+    return words[np.isin(words, marks)].tolist()
+
+
 class TemplateIndex:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
@@ -75,9 +87,12 @@ class TemplateIndex:
             hashes, _, _, owner = tokens(data, np.array([0, len(data)]))
             self.words.append(hashes)
             grams, at = k_grams(hashes, owner)
-            for p in winnow(grams):
+            for p in range(len(grams)) if len(hashes) <= SHORT else winnow(grams):
                 places[int(grams[p])].append((t, int(at[p])))
         self.places = dict(places)
+        data = np.frombuffer(" ".join(MARKS).encode("utf-8"), np.uint8)
+        self.marks = tokens(data, np.array([0, len(data)]))[0]
+        self.marked = [marks_of(w, self.marks) for w in self.words]
         self.keys = np.array(sorted(self.places), np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -131,13 +146,28 @@ def matches(index: TemplateIndex, words: np.ndarray, grams: np.ndarray, at: np.n
                 groups[-1].append(d)
             else:
                 groups.append([d])
-        for g in groups:
-            d = g[0] + (g[-1] - g[0]) // 2
-            lo = max(0, d - BAND)
-            hi = min(len(words), d + len(template) + BAND)
-            matched, first, last = align(template, words[lo:hi], d - lo)
-            if matched >= coverage * len(template):
-                out.append((t, matched, matched / len(template), lo + first, lo + last))
+
+        def measure(low: int, high: int) -> bool:
+            """Align around the diagonals from ``low`` to ``high``."""
+            d = low + (high - low) // 2
+            band = BAND if high - low <= BAND else BAND + high - d
+            lo = max(0, d - band)
+            hi = min(len(words), d + len(template) + band)
+            if np.isin(template, words[lo:hi]).sum() < coverage * len(template):
+                return False                    # too few of its tokens are there at all
+            matched, first, last = align(template, words[lo:hi], d - lo, band)
+            if matched < coverage * len(template):
+                return False
+            if index.marked[t] and marks_of(words[lo + first:lo + last + 1], index.marks) != index.marked[t]:
+                return False
+            out.append((t, matched, matched / len(template), lo + first, lo + last))
+            return True
+
+        alone = [g for g in groups if not measure(g[0], g[-1])]
+        for i, g in enumerate(alone):           # a notice with text put in or left out
+            end = max(h[-1] for h in alone[i:] if h[-1] - g[0] <= len(template) or h is g)
+            if end > g[-1]:
+                measure(g[0], end)
     best: dict[tuple[int, int], tuple] = {}
     for m in out:                       # one match for each template and first token
         key = (m[0], m[3])
@@ -159,7 +189,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
     Null and empty texts match nothing.  Repeated rows are each returned; other
     columns are ignored; an empty table gives no row."""
-    templates = TEMPLATES if templates is None else templates
+    templates = ALL if templates is None else templates
 
     def run(batches):
         index = TemplateIndex(templates)

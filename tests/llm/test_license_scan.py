@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from fmlattice.llm.license_scan import COVERAGE, TEMPLATES, align, k_grams, scan, tokens, winnow
+from fmlattice.llm.license_texts import ALL
 from tests.llm.frames import frame  # noqa: F401
 
 
@@ -66,6 +67,32 @@ def test_repeated_and_long(frame):
         assert text[a:b] == notice.rstrip(".")
 
 
+def test_versions_and_families_are_told_apart(frame):
+    rows = {"GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+            "CC-BY-4.0-short": "Licensed under CC BY 4.0.", "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+            "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.", "BSD-3-Clause": ALL["BSD-3-Clause"],
+            "GPL-2.0-header": TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"),
+            None: "This work is licensed under the GNU General Public License, version 9."}
+    df = frame([(i, t) for i, t in enumerate(rows.values())], "doc_id long, text string")
+    got = {g["doc_id"]: g for g in scan(df).collect()}
+    assert [got[i]["license"] for i in range(len(rows))] == list(rows)
+    assert [got[i]["n_matches"] for i in range(4)] == [1, 1, 1, 1]
+
+
+def test_every_template_is_found_as_itself(frame):
+    names = sorted(ALL)
+    df = frame([(i, f"été {ALL[n]} word") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {g["doc_id"]: g for g in scan(df).collect()}
+    assert [got[i]["license"] for i in range(len(names))] == names
+
+
+def test_text_put_inside_a_notice(frame):
+    w = TEMPLATES["ISC"].split()
+    text = " ".join(w[:15] + ["other"] * 14 + w[15:])
+    got = scan(frame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert got["license"] == "ISC" and got["coverage"] == 1.0
+
+
 def test_band_against_full_alignment():
     r = random.Random(5)
     for name in ("MIT", "ISC", "GPL-3.0-header"):
