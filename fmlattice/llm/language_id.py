@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_batches
@@ -28,7 +28,7 @@ from .common import text_batches
 ORDER = 3
 SAMPLE_DOCS = 400               # labelled rows for each language
 SAMPLE_BYTES = 1 << 20          # and their bytes in sum
-SAMPLE_TEXT_BYTES = 1 << 16     # longer texts are not drawn for training
+SAMPLE_TEXT_BYTES = 1 << 16     # of a longer text a stretch from its first letter on is drawn
 MIN_CONTEXT = 4                 # a context is in the tree if it occurs so often in some language
 SEGMENT = 1 << 18               # bytes scored at a time
 
@@ -183,26 +183,28 @@ def train(docs: DataFrame) -> ContextTrees | None:
     """Context trees of the languages of ``docs`` (text, lang, doc_id), from rows
     with a label, a text with a letter, and an id that is not held out.  None if
     there is no such row."""
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-                         F.col("text").cast("string").alias("text")).where(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    n = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-         .collect()}
-    if not n:
-        return None
-    # draw about twice the wanted rows by the id's hash, then keep the first ones
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    share = F.create_map(*[F.lit(v) for lang, m in n.items() for v in (lang, min(1.0, 2.0 * SAMPLE_DOCS / m))])
-    rows = (usable.withColumn("draw", draw).where(F.col("draw") <= share[F.col("lang")])
-            .where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES) & F.col("text").rlike("\\p{L}"))
-            .select("lang", "draw", "doc_id", "text"))
+    usable = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
+                          F.col("text").cast("string").alias("text")).where(
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\p{L}"))
+        .withColumn("key", F.struct(F.xxhash64(F.lit("sample"), "doc_id").alias("draw"), "doc_id",
+                                    F.xxhash64("text").alias("of"))))
+    # the first rows of each language by its keys alone, then their texts
+    by_key = Window.partitionBy("lang").orderBy("key")
+    last = (usable.select("lang", "key").withColumn("place", F.row_number().over(by_key))
+            .where(F.col("place") <= SAMPLE_DOCS).groupBy("lang").agg(F.max("key").alias("last")))
+    stretch = F.regexp_extract("text", f"(?s)\\p{{L}}.{{0,{SAMPLE_TEXT_BYTES // 4 - 1}}}", 0)
+    drawn = (usable.join(F.broadcast(last), "lang").where(F.col("key") <= F.col("last"))
+             .withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= SAMPLE_DOCS)
+             .select("lang", "place", F.when(F.octet_length("text") <= SAMPLE_TEXT_BYTES, F.col("text"))
+                     .otherwise(stretch).alias("text")))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("place")) - F.octet_length("text")
+    drawn = drawn.withColumn("before", so_far).where(F.col("before") < SAMPLE_BYTES).drop("before")
     samples: dict[str, list[bytes]] = {}
     used: dict[str, int] = {}
-    rows = rows.limit(4 * SAMPLE_DOCS * len(n))         # a bound for the driver; not reached in practice
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"])):
+    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["place"])):
         mine = samples.setdefault(r["lang"], [])
         data = r["text"].encode("utf-8")
-        if len(mine) < SAMPLE_DOCS and used.get(r["lang"], 0) + len(data) <= SAMPLE_BYTES:
+        if used.get(r["lang"], 0) + len(data) <= SAMPLE_BYTES:
             mine.append(data)
             used[r["lang"]] = used.get(r["lang"], 0) + len(data)
     langs = sorted(x for x, t in samples.items() if t)

@@ -120,6 +120,17 @@ def test_held_out_accuracy_and_odd_rows(frame):
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
+def test_every_language_with_a_usable_row_is_learned(frame):
+    rows = docs(60)
+    rows += [(100 + i, "zyx wvu " * 10_000, "long", "s", 0) for i in range(6)]          # above 64 KiB each
+    rows += [(2000 + i, "12 34" if i % 500 else "que qua quo", "few", "s", 0) for i in range(3000)]
+    rows += [(9, "der und die", "hot", "s", 0) for i in range(5000)]
+    df = frame(rows, "doc_id long, text string, lang string, source string, n long")
+    model = train(df)
+    assert model.langs == ["aa", "bb", "cc", "few", "hot", "long"]
+    assert predict(df.where("doc_id = 100"), model).first()["lang_pred"] == "long"
+
+
 def test_held_out_rows_do_not_train(frame):
     from zlib import crc32
     out = [r for r in docs(60) if crc32(str(r[0]).encode()) % 3 == 1]
