@@ -9,7 +9,7 @@ from fmlattice.llm.common import discard, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a learned language; the others go."""
+    """Documents whose text has a letter; null, empty and letterless ones go."""
     return language_id.keep_identified(docs)
 
 

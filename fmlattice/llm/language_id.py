@@ -211,9 +211,13 @@ def train(docs: DataFrame) -> ContextTrees | None:
     return ContextTrees(langs, samples) if langs else None
 
 
+def lettered(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def label(trees: ContextTrees | None, texts: list[str | None]):
     """(language, score, bits per byte) of each text."""
-    live = [i for i, t in enumerate(texts) if trees and t and any(map(str.isalpha, t))]
+    live = [i for i, t in enumerate(texts) if trees and lettered(t)]
     pred, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if live:
         data = [texts[i].encode("utf-8") for i in live]
@@ -249,13 +253,18 @@ def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is in some language, with the columns of ``docs``."""
+    """The rows of ``docs`` whose text has a letter, with the columns of ``docs``.
+
+    Null, empty and letterless texts go, as ``und`` in ``predict``.  Code lengths reject
+    nothing: a text in a language that was not learned is taken for the nearest one and
+    stays, and all texts with a letter stay if nothing was learned."""
     frozen = docs.sparkSession.sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in text_batches(batches, at):
-            pred, _, _ = label(frozen.value, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            keep = [p != "und" for p in label(frozen.value, texts)[0]] if frozen.value else [lettered(t) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

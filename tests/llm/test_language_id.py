@@ -140,6 +140,12 @@ def test_held_out_rows_do_not_train(frame):
     assert predict(df.limit(0), train(df.limit(0))).count() == 0
 
 
+def test_lettered_rows_stay_if_nothing_was_learned(frame):
+    df = frame([(1, "the of", None, "s", 0), (2, "12", None, "s", 0), (3, None, None, "s", 0)],
+               "doc_id long, text string, lang string, source string, n long")
+    assert train(df) is None and [r["doc_id"] for r in keep_identified(df).collect()] == [1]
+
+
 def test_accuracy_on_the_tables(spark):
     df = table(spark, "/root/testdata/sf0.001", "documents")
     got = predict(df, train(df)).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
