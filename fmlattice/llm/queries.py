@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, secret_scan, topk_mtree
+from . import bpe, chat_format, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, secret_scan, topk_mtree, url_filter
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -52,9 +52,18 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+# (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_bpe, op4_chat_format, op5_best_fit,
                                    op6_topk_mtree, op7_license_scan, op8_secrets, op9_exact_dedup,
-                                   op10_html_extract)}
+                                   op10_html_extract, op11_url_filter)}
 
 def secrets_sql() -> str:
     """Every rule by regexp over whole texts; a match starts after the pieces and the
@@ -83,7 +92,26 @@ SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS
 FROM d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id"""
 
 
+def url_sql(rules: list[tuple[str, str, str]], default: str) -> str:
+    """Every rule against every page; the longest that fits (of equal ones the longer
+    host, then the allowing one)."""
+    def quoted(s):
+        return "'" + s.replace("'", "''") + "'"
+    values = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rules)
+    return f"""
+WITH r(verdict, rhost, rpath) AS (VALUES {values}),
+p AS (SELECT page_id, row_number() OVER () AS k,
+             translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+m AS (SELECT k, rhost || rpath AS rule, verdict,
+             row_number() OVER (PARTITION BY k ORDER BY length(rhost || rpath) DESC, length(rhost) DESC, verdict) AS i
+      FROM p JOIN r ON (rhost = '' OR host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, {quoted(default)}) AS verdict
+FROM p LEFT JOIN (SELECT * FROM m WHERE i = 1) USING (k)"""
+
+
 ORACLE_SQL = {
+    "op11_url_filter": url_sql(URL_RULES, url_filter.ALLOW),
     "op8_secrets": secrets_sql(),
     "op2_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
