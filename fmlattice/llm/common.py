@@ -125,8 +125,8 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt * 1000)) * GOLDEN) | np.uint64(1)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a string column holds about ``BATCH_BYTES`` in each (one
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a string column holds about ``most`` bytes in each (one
     row at least): what is made from a batch stays small beside the batch itself."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -134,7 +134,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.
         a = 0
         while a < batch.num_rows:
             done = ends[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(ends, done + BATCH_BYTES, side="right")))
+            b = max(a + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(a, b - a)
             a = b
 
