@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, html_extract, language_id, license_scan, ngram_join, packing, secret_scan, token_align, topk_mtree, url_filter
+from . import (bpe, chat_format, conversation_repair, exact_dedup, html_extract, language_id, license_scan, ngram_join,
+               packing, secret_scan, token_align, topk_mtree, url_filter)
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -67,9 +68,14 @@ def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.alignment(table(spark, sf_dir, "documents"), P.path(SIDE_A), P.path(SIDE_B))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(rows), rows)
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_byte_bpe, op4_chat_format, op5_best_fit,
                                    op6_topk_mtree, op7_license_scan, op8_secrets, op9_exact_dedup,
-                                   op10_html_extract, op11_url_filter, op12_token_align)}
+                                   op10_html_extract, op11_url_filter, op12_token_align, op13_conversation_repair)}
 
 def secrets_sql() -> str:
     """Every rule by regexp over whole texts; a match starts after the pieces and the
