@@ -122,7 +122,78 @@ SELECT page_id, host, path, rule, coalesce(verdict, {quoted(default)}) AS verdic
 FROM p LEFT JOIN (SELECT * FROM m WHERE i = 1) USING (k)"""
 
 
+def repair_sql() -> str:
+    """The program over whole strings: a state is its cost (12 digits) and audit in one
+    string, so that the least string is the best one, and the turns repaired so far."""
+    def more(state, cost, letter, row=None):
+        k = f"lpad(CAST(CAST(substr({state}.k, 1, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({state}.k, 13) || '{letter}'"
+        return f"struct_pack(k := {k}, r := {state}.r" + (f" || {row} || chr(10))" if row else ")")
+
+    def least(*ways):
+        return f"list_min([{', '.join(ways)}])"
+
+    def kept(state, kind):
+        return f"CASE WHEN NOT gone AND kind = '{kind}' THEN {more(state, 'pen', 'K', own)} ELSE none END"
+
+    def rerole(state, role):
+        way = more(state, "1 + pen", "R", f"'{role}:' || text")
+        return f"CASE WHEN NOT gone THEN {way} ELSE none END"
+
+    own, user, assistant = "role || ':' || text", "'user:'", "'assistant:'"
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY n) AS tab FROM range(256) AS t(n)),
+f AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+               list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                              lambda x: CAST(ord(x) AS BIGINT))),
+               lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS c
+  FROM conversations, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+         CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN c = 3 THEN [0, 1] ELSE [0] END) AS copy FROM f WHERE c <> 0),
+o AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id) AS cn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d),
+w AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY cn, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+         substr(role, 1, 1) AS kind, lag(substr(role, 1, 1)) OVER (PARTITION BY cn ORDER BY i) AS kind0 FROM o),
+z AS (SELECT struct_pack(k := '500000000000', r := '') AS none, struct_pack(k := lpad('0', 12, '0'), r := '') AS zero),
+p AS (
+  SELECT cn, CAST(0 AS BIGINT) AS i, zero AS s0, none AS s1, none AS s2, none AS s3 FROM (SELECT DISTINCT cn FROM w), z
+  UNION ALL
+  SELECT cn, i, {more('s0', 2, 'D')},
+         {least(more('s1', 2, 'D'), kept('s0', 's'))},
+         {least(more('t2', 2, 'D'), *[kept(s, 'u') for s in ('s0', 's1', 't3')], *[rerole(s, 'user') for s in ('s0', 's1', 't3')])},
+         {least(more('t3', 2, 'D'), kept('t2', 'a'), rerole('t2', 'assistant'))}
+  FROM (SELECT *, {least('s3', more('t2', 5, 'I', assistant))} AS t3
+        FROM (SELECT p.*  EXCLUDE (i), w.i, w.role, w.text, w.kind, w.fault IN ('blank', 'duplicate') AS gone, z.none,
+                     CASE WHEN w.fault = 'truncated' THEN 5 ELSE 0 END AS pen,
+                     {least('s2', *[more(s, 5, 'I', user) for s in ('s0', 's1', 's3')])} AS t2
+              FROM p JOIN w ON w.cn = p.cn AND w.i = p.i + 1, z))),
+e AS (
+  SELECT cn, {least('s0', 's3', more('s2', 5, 'I', assistant))} AS e
+  FROM p WHERE i = (SELECT max(i) FROM w WHERE w.cn = p.cn)),
+g AS (
+  SELECT cn, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND kind0 || kind NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY cn)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(substr(e.k, 1, 12) AS BIGINT), 0) AS cost, coalesce(substr(e.k, 13), '') AS audit,
+       sha256(coalesce(left(e.r, length(e.r) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN (g JOIN e USING (cn)) x ON x.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 ORACLE_SQL = {
+    "op13_conversation_repair": repair_sql(),
     "op11_url_filter": url_sql(URL_RULES, url_filter.ALLOW),
     "op8_secrets": secrets_sql(),
     "op2_ngram_jaccard": r"""
