@@ -13,44 +13,47 @@ An iteration is
 A block holds at most one id per row, so updating it at once equals updating
 its ids one by one.
 
-Tables.  The training rows are written once, bucketed by row id, and so are, once
-per fit, the entries of each *segment* of at most ``fmlattice.segmentBlocks``
-blocks, as plain columns (``l{j}``: id − block start, ``x{j}``: value).  The state
-that changes is only ``row_id, e`` (and ``q`` within a factor's sweep); it is
-written after each segment, bucketed the same way.  So a segment's work frame is a
-join without a shuffle, work is linear in the number of blocks whatever their
-number, and no constant column is written again.
-
-Steps.  A block's statistics are a ``groupBy(l{j})`` of partial sums (only those
-shuffle).  A block at most ``fmlattice.literalBlockRows`` wide carries its old
-values and changes as array literals: the update is a projection, and at most that
-many numbers reach the driver.  A wider block's statistics need no old value per
-row: with ``h = xq − x²t``, ``Σh² = S(x²q²) − 2t S(x³q) + t² S(x⁴)`` and
-``Σeh = S(exq) − t S(ex²)``, so five sums per feature are combined on the map side
-and only then joined to one row per feature; a feature held by a third of all rows
-is no single task.  Its table of changes is written and joined back, broadcast
-under the checked bound, else by a shuffle in which rows without an entry have
-keys of their own.
+Tables.  The training rows are written once, bucketed by row id, and so are, once per
+fit, the entries of every ``fmlattice.segmentBlocks`` blocks, as plain columns
+(``l{j}``: id − block start, ``x{j}``: value).  The state that changes is only ``row_id,
+e`` (and ``q`` within a factor's sweep).  All joins of these are bucket by bucket.
+
+Steps.  A *segment* is a run of narrow blocks (at most ``fmlattice.literalBlockRows``
+wide) that ``gram`` solves with one aggregation job: a few sums for each of at most
+``fmlattice.gramCells`` cells reach the driver, and the rows are changed by a projection
+with array literals.  That projection is not a job: it is part of the next one that
+reads the rows, and the state is written only after ``PENDING`` of them, or where a
+segment's columns are in another table and several changes wait.  So a pass has about
+one job for each segment and parameter family.
+
+A wider block is a segment by itself.  Its statistics need no old value per row: with
+``h = xq − x²t``, ``Σh² = S(x²q²) − 2t S(x³q) + t² S(x⁴)`` and ``Σeh = S(exq) − t S(ex²)``, so
+five sums per feature are combined on the map side and only then joined to one row per
+feature; a feature held by a third of all rows is no single task.  Its table of changes
+is written and joined back, broadcast under the checked bound, else by a shuffle in
+which rows without an entry have keys of their own; then the state is written.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import (Scratch, fits_broadcast, literal_block_rows, maybe_broadcast, segment_blocks)
+from ..session import Scratch, fits_broadcast, gram_cells, literal_block_rows, maybe_broadcast, segment_blocks
+from . import gram
 from .blocks import coloured_blocks, relabelled, renumbered
+from .gram import ROUNDING, array_literal, number_literal
 from .model import FMConfig, FMModel, init_params, interaction_expr, score_sums
 from .vectorize import Block
 
-# A sum of squares below this share of its parts is rounding: h is 0 on every row.
-ROUNDING = 1e-13
-# Changed values of narrow blocks kept on the driver before they are written.
+# Changed values of narrow blocks kept on the driver before they are written, and old
+# values read at once.
 KEPT_UPDATES = 100_000
+KEPT_VALUES = 1_000_000
+# Changes of the rows that wait, as projections, before the state is written.
+PENDING = 8
 
 
 # ---- helpers ---------------------------------------------------------------
@@ -69,16 +72,6 @@ def block_columns(blocks: list[Block]) -> list[Column]:
     return out
 
 
-def array_literal(values: list, dtype: str) -> Column:
-    """A constant array (one JSON string, folded by the optimizer); as an object it
-    leaves the generated code, and so its compiled form, the same for other values."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{dtype}>")
-
-
-def number_literal(value: float) -> Column:
-    return F.element_at(array_literal([value], "double"), 1)
-
-
 def updated_theta(theta: Column, sum_hh: Column, sum_eh: Column, reg: float) -> Column:
     """``−(Σeh − θΣh²)/(reg + Σh²)``; the old value is kept when the new one
     is not finite (or the denominator is 0)."""
@@ -103,9 +96,16 @@ def placed_join(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataF
 
 @dataclass
 class Segment:
-    """Consecutive blocks and their entries: ``row_id, l0, x0, l1, x1, ...``."""
+    """Consecutive blocks that are solved together, or one wide block.  ``table`` holds the
+    entries, ``row_id, l0, x0, l1, x1, ...``: block j in the columns ``at[j]``, its constant
+    value (None: it varies) in ``constants[j]``.  Segments may share a table."""
     blocks: list[Block]
     table: DataFrame
+    constants: list[float | None]
+    at: list[int]
+
+    def wide(self, spark) -> bool:
+        return self.blocks[0].size > literal_block_rows(spark)
 
 
 @dataclass
@@ -135,22 +135,31 @@ def place_rows(rows: DataFrame, scratch: Scratch, columns: tuple[str, ...] = ())
 
 
 def place_segments(placed: DataFrame, blocks: list[Block], parts: int, scratch: Scratch) -> list[Segment]:
-    """Write the entries of each segment; blocks that no row touches have no update and
-    are left out."""
-    out = []
-    for part in cut_segments(blocks, segment_blocks(placed.sparkSession)):
+    """Write the entries of the blocks and cut these into segments; blocks that no row
+    touches have no update and are left out."""
+    out, spark = [], placed.sparkSession
+    for part in cut_segments(blocks, segment_blocks(spark)):
         table = scratch.place(placed.select("row_id", *block_columns(part)), "row_id", parts, "segment", placed=True)
         path = scratch.last()
-        hit = table.agg(*[F.count(f"l{j}").alias(f"n{j}") for j in range(len(part))]).first()
-        live = [j for j in range(len(part)) if hit[f"n{j}"]]
-        if not live:
+        segments = measured_segments(table, part)
+        if not segments:
             scratch.drop(path)
-            continue
-        cols = [F.col(f"{c}{j}").alias(f"{c}{i}") for i, j in enumerate(live) for c in ("l", "x")]
-        out.append(Segment([part[j] for j in live], table.select("row_id", *cols)))
+        out += segments
     return out
 
 
+def measured_segments(table: DataFrame, blocks: list[Block]) -> list[Segment]:
+    """Segments of one table's blocks, by which of them occur and have a constant value."""
+    spark = table.sparkSession
+    hit = table.agg(*[f(f"x{j}").alias(f"{n}{j}") for j in range(len(blocks))
+                      for f, n in ((F.count, "n"), (F.min, "a"), (F.max, "b"))]).first()
+    live = [j for j in range(len(blocks)) if hit[f"n{j}"]]
+    some = [blocks[j] for j in live]
+    constants = [hit[f"a{j}"] if hit[f"a{j}"] == hit[f"b{j}"] else None for j in live]
+    return [Segment([some[i] for i in run], table, [constants[i] for i in run], [live[i] for i in run])
+            for run in gram.runs(some, constants, literal_block_rows(spark), gram_cells(spark))]
+
+
 def prepare(rows: DataFrame, blocks: list[Block], scratch: Scratch | None = None) -> Training:
     """Write what every pass reads: the rows, and their entries by segment."""
     scratch = scratch if scratch is not None else Scratch(rows.sparkSession, "als")
@@ -211,16 +220,16 @@ class PassState:
     sums: DataFrame             # row_id, q0 .. q{k-1}
     w0: float
     rmse: float
+    state: DataFrame            # row_id, e, q0 .. q{k-1}
 
 
 def start_pass(train: Training, params: DataFrame, w0: float, cfg: FMConfig, dimension: int) -> PassState:
     state = train.scratch.place(residuals(train.rows, params, w0, cfg, dimension), "row_id", train.parts, "state",
                                 placed=True)
     summary = state_summary(state)
-    errors = state.select("row_id", "e")
     if cfg.k0:
-        errors, w0 = global_bias_step(errors, w0, cfg, summary)
-    return PassState(errors, state.drop("e"), w0, summary[2])
+        state, w0 = global_bias_step(state, w0, cfg, summary)
+    return PassState(state.select("row_id", "e"), state.drop("e"), w0, summary[2], state)
 
 
 # ---- one block -------------------------------------------------------------
@@ -298,49 +307,6 @@ def error_update(work: DataFrame, delta: DataFrame, j: int, block: Block, factor
                                    F.coalesce(F.col("_dd"), F.lit(0.0))))
 
 
-def changes(stats: list, theta: list[float], reg: float) -> tuple[list[tuple[int, float]], list[float]]:
-    """``updated_theta`` for the collected ``(l, Σh², Σeh)`` of a narrow block: the new
-    values that differ, and the changes of all."""
-    changed, delta = [], [0.0] * len(theta)
-    for i, hh, eh in stats:
-        if reg + hh == 0:
-            continue
-        new = -(eh - theta[i] * hh) / (reg + hh)
-        if math.isfinite(new) and new != theta[i]:
-            changed.append((int(i), new))
-            delta[i] = new - theta[i]
-    return changed, delta
-
-
-def narrow_step(work: DataFrame, j: int, theta: list[float], reg: float,
-                factor: bool) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """One narrow block: the statistics and the new values in one job (at most the
-    block's width of numbers comes back), then the update as a projection."""
-    th_arr = array_literal(theta, "double")
-    e, x, q, at = F.col("e"), F.col(f"x{j}"), F.col("q"), F.col(f"l{j}") + F.lit(1)
-    old = F.element_at(th_arr, at)
-    h = x * q - x * x * old if factor else x
-    stats = (work.where(f"l{j} IS NOT NULL").groupBy(f"l{j}").agg(F.sum(h * h), F.sum(e * h)))
-    changed, delta = changes(stats.collect(), theta, reg)
-    d = F.coalesce(F.element_at(array_literal(delta, "double"), at), F.lit(0.0))
-    return work.select(*_applied(work, j, factor, F.coalesce(old, F.lit(0.0)), d)), changed
-
-
-def narrow_thetas(params: DataFrame, blocks: list[Block], slot: str) -> dict[int, list[float]]:
-    """Old values of the narrow blocks of one segment, one job; bounded by the
-    segment's blocks and the literal bound."""
-    limit = literal_block_rows(params.sparkSession)
-    blocks = [b for b in blocks if b.size <= limit]
-    if not blocks:
-        return {}
-    cond = None
-    for b in blocks:
-        c = (F.col("feature_id") >= b.offset) & (F.col("feature_id") < b.end)
-        cond = c if cond is None else cond | c
-    got = {int(r[0]): float(r[1]) for r in params.where(cond).select("feature_id", slot).collect()}
-    return {b.offset: [got.get(i, 0.0) for i in range(b.offset, b.end)] for b in blocks}
-
-
 # ---- sweeps ----------------------------------------------------------------
 
 class Updates:
@@ -351,8 +317,9 @@ class Updates:
 
     SCHEMA = "feature_id bigint, slot string, new double"
 
-    def add(self, slot: str, block: Block, changed: list[tuple[int, float]]) -> None:
-        self.rows += [(block.offset + i, slot, v) for i, v in changed]
+    def add_run(self, slot: str, run: gram.Run, new: list[list[float]]) -> None:
+        for block, olds, news in zip(run.blocks, run.thetas, new):
+            self.rows += [(block.offset + i, slot, v) for i, (u, v) in enumerate(zip(olds, news)) if u != v]
         if len(self.rows) >= KEPT_UPDATES:
             self.tables.append(self.scratch.write(self.scratch.spark.createDataFrame(self.rows, self.SCHEMA), "new"))
             self.rows = []
@@ -381,48 +348,108 @@ class Updates:
         return j.select("feature_id", *[F.coalesce(F.col(f"_{s}"), F.col(s)).alias(s) for s in slots])
 
 
-def block_steps(work: DataFrame, params: DataFrame, blocks: list[Block], slot: str, reg: float,
-                updates: Updates) -> DataFrame:
-    """All blocks of one segment, ascending ids; returns the updated work frame."""
-    factor = slot != "w"
-    thetas = narrow_thetas(params, blocks, slot)
-    for j, blk in enumerate(blocks):
-        if blk.offset in thetas:
-            work, changed = narrow_step(work, j, thetas[blk.offset], reg, factor)
-            updates.add(slot, blk, changed)
+class Values:
+    """Old values of the narrow blocks' ids, for all families of a pass: read at once while
+    they are few, else segment by segment."""
+
+    def __init__(self, params: DataFrame, segments: list[Segment], slots: list[str]):
+        self.params, self.slots = params, slots
+        self.spark = params.sparkSession
+        narrow = [b for s in segments if not s.wide(self.spark) for b in s.blocks]
+        self.all = self._read(narrow) if sum(b.size for b in narrow) * len(slots) <= KEPT_VALUES else None
+
+    def _read(self, blocks: list[Block]) -> dict[tuple[str, int], list[float]]:
+        cond = F.lit(False)
+        for lo, hi in joined_ranges(blocks):
+            cond = cond | ((F.col("feature_id") >= lo) & (F.col("feature_id") < hi))
+        got = self.params.where(cond).select("feature_id", *self.slots).toArrow() if blocks else None
+        out = {}
+        for slot in self.slots if blocks else ():
+            of = dict(zip(got.column("feature_id").to_pylist(), got.column(slot).to_pylist()))
+            out |= {(slot, b.offset): [float(of.get(i) or 0.0) for i in range(b.offset, b.end)] for b in blocks}
+        return out
+
+    def of(self, segment: Segment, slot: str) -> list[list[float]]:
+        known = self.all if self.all is not None else self._read(segment.blocks)
+        return [known[slot, b.offset] for b in segment.blocks]
+
+
+def joined_ranges(blocks: list[Block]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for b in sorted(blocks, key=lambda b: b.offset):
+        if out and out[-1][1] == b.offset:
+            out[-1] = (out[-1][0], b.end)
         else:
-            delta = updates.scratch.write(theta_update(theta_stats(work, params, j, blk, slot), reg), "delta")
-            updates.add_table(slot, delta)
-            work = error_update(work, delta, j, blk, factor)
-    return work
+            out.append((b.offset, b.end))
+    return out
 
 
-def sweep(train: Training, errors: DataFrame, params: DataFrame, slot: str, reg: float, updates: Updates,
-          sums: DataFrame | None = None, write_last: bool = True, owned: str | None = None
-          ) -> tuple[DataFrame, str | None]:
-    """All blocks of one parameter family.  After each segment the changed state is
-    written and the one before it (``owned``: its path) deleted; returns the errors
-    and their path.  ``write_last=False``: nobody reads the errors after the sweep."""
-    factor = None if slot == "w" else int(slot[1:])
-    state = errors
-    if factor is not None:
-        state = placed_join(errors, sums.select("row_id", F.col(f"q{factor}").alias("q")))
-    for i, seg in enumerate(train.segments):
-        start = placed_join(seg.table, state).persist()
-        work = block_steps(start, params, seg.blocks, slot, reg, updates)
-        last = i == len(train.segments) - 1
-        if last and not write_last:
-            start.unpersist()
-            return errors, owned
-        keep = ["row_id", "e"] + (["q"] if factor is not None and not last else [])
-        # joins above the broadcast bound may have moved the rows
-        moved = any(not fits_broadcast(work.sparkSession, b.size, 24 * b.size) for b in seg.blocks)
-        state = train.scratch.place(work.select(*keep), "row_id", train.parts, "state", placed=not moved)
-        start.unpersist()
-        if owned:
-            train.scratch.drop(owned)
-        owned = train.scratch.last()
-    return state, owned
+class Work:
+    """The rows' state within a pass: ``row_id, keys, e``, the factor sums that are at hand
+    (``q0`` ..) and the columns of the segment table that was read last."""
+
+    def __init__(self, scratch: Scratch, parts: int, state: DataFrame, keys: tuple[str, ...] = ()):
+        self.scratch, self.parts, self.start, self.keys = scratch, parts, state, keys
+        self.frame, self.table, self.pending, self.path = state, None, 0, None
+
+    def slim(self, q: str | None) -> DataFrame:
+        """The state without segment columns: all sums while nothing was written yet."""
+        sums = [c for c in self.frame.columns if c[0] == "q"] if self.path is None else [q] if q else []
+        return self.frame.select("row_id", *self.keys, "e", *sums)
+
+    def write(self, q: str | None, placed: bool = True) -> None:
+        keep = self.frame.select("row_id", *self.keys, "e", *([q] if q else []))
+        self.frame = self.scratch.place(keep, "row_id", self.parts, "state", placed=placed)
+        if self.path:
+            self.scratch.drop(self.path)
+        self.path, self.table, self.pending = self.scratch.last(), None, 0
+
+    def with_sums(self, q: str | None) -> None:
+        if q and q not in self.frame.columns:
+            self.frame = placed_join(self.frame, self.start.select("row_id", q))
+
+    def on(self, segment: Segment, q: str | None) -> DataFrame:
+        """The state with the segment's columns (and ``q``)."""
+        self.with_sums(q)
+        if self.pending >= PENDING:
+            self.write(q)
+        if self.table is not segment.table:
+            self.frame, self.table = placed_join(segment.table, self.slim(q)), segment.table
+        return self.frame
+
+    def changed(self, frame: DataFrame) -> None:
+        self.frame, self.pending = frame, self.pending + 1
+
+
+def segment_step(work: Work, segment: Segment, params: DataFrame, values: Values, slot: str, reg: float,
+                 updates: Updates) -> None:
+    """The new values of a segment's blocks, and the rows changed by them."""
+    factor = slot != "w"
+    q = f"q{slot[1:]}" if factor else None
+    frame = work.on(segment, q)
+    if not segment.wide(frame.sparkSession):
+        run = gram.Run(segment.blocks, segment.constants, values.of(segment, slot), segment.at)
+        rest = gram.outside(run, F.col(q)) if factor else None
+        cells = gram.collected(gram.cell_sums(frame, run, factor, gram.row_moments(rest)), run, factor)
+        new = gram.solve(run, cells, reg, factor)
+        updates.add_run(slot, run, new)
+        work.changed(gram.changed_rows(frame, run, new, factor, q or ""))
+        return
+    block, j = segment.blocks[0], segment.at[0]
+    frame = frame.withColumnRenamed(q, "q") if factor else frame
+    delta = updates.scratch.write(theta_update(theta_stats(frame, params, j, block, slot), reg), "delta")
+    updates.add_table(slot, delta)
+    frame = error_update(frame, delta, j, block, factor)
+    work.changed(frame.withColumnRenamed("q", q) if factor else frame)
+    # a join above the broadcast bound has moved the rows
+    work.write(q, placed=fits_broadcast(frame.sparkSession, block.size, 24 * block.size))
+
+
+def sweep(work: Work, segments: list[Segment], params: DataFrame, values: Values, slot: str, reg: float,
+          updates: Updates) -> None:
+    """All blocks of one parameter family, ascending ids."""
+    for segment in segments:
+        segment_step(work, segment, params, values, slot, reg, updates)
 
 
 @dataclass
@@ -441,11 +468,11 @@ def als_iteration(train: Training, params: DataFrame, w0: float, cfg: FMConfig,
     """One pass: residuals, w0, every w, then every v_f (ascending ids)."""
     mark = train.scratch.mark()
     start = start_pass(train, params, w0, cfg, dimension)
-    updates, errors, owned = Updates(train.scratch), start.errors, None
+    updates, work = Updates(train.scratch), Work(train.scratch, train.parts, start.state)
     todo = families(cfg)
-    for i, (slot, reg) in enumerate(todo):
-        errors, owned = sweep(train, errors, params, slot, reg, updates, start.sums,
-                              write_last=i < len(todo) - 1, owned=owned)
+    values = Values(params, train.segments, [slot for slot, _ in todo])
+    for slot, reg in todo:
+        sweep(work, train.segments, params, values, slot, reg, updates)
     made = train.scratch.paths[mark:]
     params = train.scratch.write(updates.apply(params, dimension), "params")
     for path in made:

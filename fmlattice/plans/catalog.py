@@ -621,10 +621,11 @@ def _sweeps(spark, sf_dir, slots):
     """The sweeps of the given families, from the bias step on."""
     train, params, dim = events_learning(spark, sf_dir)
     start = A.start_pass(train, params, 0.0, X.LEARN_CFG, dim)
-    updates, errors, owned = A.Updates(train.scratch), start.errors, None
+    updates, work = A.Updates(train.scratch), A.Work(train.scratch, train.parts, start.state)
+    values = A.Values(params, train.segments, slots)
     for slot, reg in A.families(X.LEARN_CFG):
         if slot in slots:
-            errors, owned = A.sweep(train, errors, params, slot, reg, updates, start.sums, owned=owned)
+            A.sweep(work, train.segments, params, values, slot, reg, updates)
     return updates.apply(params, dim)
 
 

@@ -92,6 +92,15 @@ def literal_block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("fmlattice.literalBlockRows", str(DEFAULT_LITERAL_BLOCK_ROWS)))
 
 
+# Cells (combinations of ids) of the narrow blocks that the learner solves in one job;
+# their sums are collected.
+DEFAULT_GRAM_CELLS = 65_536
+
+
+def gram_cells(spark: SparkSession) -> int:
+    return int(spark.conf.get("fmlattice.gramCells", str(DEFAULT_GRAM_CELLS)))
+
+
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
