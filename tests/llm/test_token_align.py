@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 
 from fmlattice.llm.queries import SIDE_A, SIDE_B
-from fmlattice.llm.token_align import align, alignment, side
+from fmlattice.llm.token_align import Aligner, align, alignment, side
 from tests.llm.frames import frame  # noqa: F401
 
 SCHEMA = "doc_id long, text string, u int, pair string, total string, links string"
@@ -106,3 +106,20 @@ def test_sides_give_texts_back():
         texts = [t for t in TEXTS if t and "▁" not in t]
         for t, ids in zip(texts, s.encode(texts)):
             assert b"".join(s.pieces[i] for i in ids) == space + t.encode()
+
+
+def test_units_give_the_ids_of_whole_texts():
+    sides = [side(P.path(n)) for n in (SIDE_A, SIDE_B)]
+    assert all(s.by_unit for s in sides)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    r = random.Random(9)
+    marks = ["a", "word", "Der", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "12", "é", "\u0301", "\u00a0", "\u2003", "中", "😀", "\x1c", "\x85",
+             "<|endoftext|>", "(", "_", "\u200b", "\u3000", "ſ"]
+    texts += ["".join(r.choice(marks) for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    al = Aligner(*sides)
+    for start in range(0, len(texts), 500):
+        some = texts[start:start + 500]
+        places, kept = al.encoded(some)
+        for s, (ids, counts) in zip(sides, kept):
+            want = [i for p in places for i in s.encode([some[p]])[0]]
+            assert ids.tolist() == want
