@@ -63,13 +63,14 @@ def block_entry(lo: int, hi: int) -> Column:
     return F.get(F.filter("features", lambda e: (e["feature_id"] >= lo) & (e["feature_id"] < hi)), 0)
 
 
+def entry_columns(block: Block, j: int) -> list[Column]:
+    """``l{j}``, ``x{j}`` of a block: id − block start, and value (null if none)."""
+    e = block_entry(block.offset, block.end)
+    return [(e["feature_id"] - F.lit(block.offset)).cast("int").alias(f"l{j}"), e["value"].alias(f"x{j}")]
+
+
 def block_columns(blocks: list[Block]) -> list[Column]:
-    """``l{j}``, ``x{j}`` of each block: id − block start, and value (null if none)."""
-    out = []
-    for j, b in enumerate(blocks):
-        e = block_entry(b.offset, b.end)
-        out += [(e["feature_id"] - F.lit(b.offset)).cast("int").alias(f"l{j}"), e["value"].alias(f"x{j}")]
-    return out
+    return [c for j, b in enumerate(blocks) for c in entry_columns(b, j)]
 
 
 def updated_theta(theta: Column, sum_hh: Column, sum_eh: Column, reg: float) -> Column:

@@ -16,10 +16,18 @@ relation feature with value x in b and g = q_b − x·v:
         EC += xΔ(gC + C2),  q_b += xΔ
 
 and at the end the fact rows get e_i += Δlin_b (w) or e_i += Δy_b + Δq_b·c_i,
-q_i += Δq_b (v), y_b = ½(q_b² − Σ v²x²).  The fact is read twice per relation
-and parameter family (build the cache, propagate); every block step inside
-the relation touches only relation rows.  The updates equal the flat sweep
-in the same (ascending id) order.
+q_i += Δq_b (v), y_b = ½(q_b² − Σ v²x²).  The updates equal the flat sweep in the same
+(ascending id) order.
+
+Three ways, by measured sizes, with one result:
+
+* a small side table of narrow blocks (broadcast under the checked size, its cells
+  one run of ``gram``) takes part in the fact's own segments: its ids, a few small
+  columns, are joined to the fact once per fit, and its blocks are solved in the same
+  job as the fact's.  No cache is built, and the facts never hold its features;
+* narrow blocks of other side tables are solved by ``gram`` on the side rows, each
+  weighted by its cache: one job for a segment;
+* wide blocks are updated on the side rows block by block.
 
 The cache needs no side value per fact row: n, Σe, Σq, Σq², Σeq are grouped by key
 (combined before the shuffle, so a key held by a third of the facts is no single
@@ -34,8 +42,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, fits_broadcast, maybe_broadcast
+from ..session import Scratch, fits_broadcast, maybe_broadcast, segment_blocks
 from . import als as A
+from . import gram
 from .blocks import conflict_free_blocks
 from .fields import FieldSpec, split_target_inputs
 from .model import FMConfig, FMModel, score_sums
@@ -144,30 +153,30 @@ class SideTable:
 
 @dataclass
 class RelationalTraining:
-    """Fact rows placed by row id; ``steps`` in flat order: a list of fact-level
-    segments, or a side table."""
+    """Fact rows placed by row id; ``steps`` in flat order: a list of segments of fact rows,
+    or a side table that is swept on its own rows."""
     rows: DataFrame               # row_id, y, features, key_*
     steps: list
     data: RelationalData
     parts: int
     scratch: Scratch
     paths: list[str] = field(default_factory=list)
+    sides: list[SideTable] = field(default_factory=list)
 
-    def sides(self) -> list[SideTable]:
-        return [s for s in self.steps if isinstance(s, SideTable)]
+    def keys(self) -> tuple[str, ...]:
+        """Key columns that the state has to carry."""
+        return tuple(f"key_{s.block.field}" for s in self.steps if isinstance(s, SideTable))
 
+    def segments(self) -> list[A.Segment]:
+        return [x for s in self.steps for x in (s.segments if isinstance(s, SideTable) else s)]
 
-def runs(segments: list) -> list:
-    """Side tables stay single; consecutive fact-level blocks form one list."""
-    out: list = []
-    for seg in segments:
-        if isinstance(seg, RelationBlock):
-            out.append(seg)
-        elif out and isinstance(out[-1], list):
-            out[-1].append(seg)
-        else:
-            out.append([seg])
-    return out
+
+def joins_facts(run: RelationBlock, segments: list[A.Segment]) -> bool:
+    """Whether a side table's blocks are solved with the fact's: narrow, one run, and small
+    enough to be broadcast."""
+    spark = run.rows.sparkSession
+    return (len(segments) == 1 and not segments[0].wide(spark)
+            and fits_broadcast(spark, run.size, run.size * 12 * len(run.blocks)))
 
 
 def prepare_relational(data: RelationalData, scratch: Scratch | None = None) -> RelationalTraining:
@@ -175,15 +184,51 @@ def prepare_relational(data: RelationalData, scratch: Scratch | None = None) ->
     mark = scratch.mark()
     rows, parts = A.place_rows(data.fact, scratch, tuple(f"key_{rb.field}" for rb in data.relations))
     steps: list = []
-    for run in runs(data.segments):
-        if isinstance(run, RelationBlock):
-            side = scratch.place(run.rows.select("key", "features"), "key", parts, "side")
-            named = side.withColumnRenamed("key", "row_id")
-            segs = A.place_segments(named, run.blocks, parts, scratch)
-            steps.append(SideTable(run, side, segs))
+    sides: list[SideTable] = []
+    together: list = []         # consecutive blocks solved on fact rows: (block, its side table or None)
+
+    def close() -> None:
+        if together:
+            steps.append(place_fact_segments(rows, together, parts, scratch))
+            together.clear()
+
+    for run in data.segments:
+        if not isinstance(run, RelationBlock):
+            together.append((run, None))
+            continue
+        side = scratch.place(run.rows.select("key", "features"), "key", parts, "side")
+        segments = A.place_segments(side.withColumnRenamed("key", "row_id"), run.blocks, parts, scratch)
+        table = SideTable(run, side, segments)
+        sides.append(table)
+        if joins_facts(run, segments):
+            together += [(b, table) for b in segments[0].blocks]
         else:
-            steps.append(A.place_segments(rows, run, parts, scratch))
-    return RelationalTraining(rows, steps, data, parts, scratch, scratch.paths[mark:])
+            close()
+            steps.append(table)
+    close()
+    return RelationalTraining(rows, steps, data, parts, scratch, scratch.paths[mark:], sides)
+
+
+def place_fact_segments(rows: DataFrame, blocks: list, parts: int, scratch: Scratch) -> list[A.Segment]:
+    """Segments of fact-level blocks and of blocks of joining side tables, in order; the
+    latter's columns come by a broadcast join that leaves the rows where they are."""
+    out: list[A.Segment] = []
+    for part in A.cut_segments(blocks, segment_blocks(rows.sparkSession)):
+        frame = rows.select("row_id", *{f"key_{t.block.field}" for _, t in part if t is not None},
+                            *[c for j, (b, t) in enumerate(part) if t is None for c in A.entry_columns(b, j)])
+        for table in {id(t): t for _, t in part if t is not None}.values():
+            segment, key = table.segments[0], f"key_{table.block.field}"
+            at = {b.offset: segment.at[i] for i, b in enumerate(segment.blocks)}
+            side = segment.table.select(F.col("row_id").alias("_key"), *[
+                F.col(f"{c}{at[b.offset]}").alias(f"{c}{j}") for j, (b, t) in enumerate(part) if t is table for c in "lx"])
+            frame = frame.join(F.broadcast(side), F.col(key) == F.col("_key"), "left").drop("_key", key)
+        placed = scratch.place(frame, "row_id", parts, "segment", placed=True)
+        path = scratch.last()
+        segments = A.measured_segments(placed, [b for b, _ in part])
+        if not segments:
+            scratch.drop(path)
+        out += segments
+    return out
 
 
 # ---- learning ----------------------------------------------------------------
@@ -285,16 +330,34 @@ def _side_applied(rs: DataFrame, x: Column, t: Column, d: Column, factor: bool)
     return [new[c].alias(c) if c in new else c for c in rs.columns]
 
 
-def _side_narrow_step(rs: DataFrame, j: int, theta: list[float], reg: float,
-                      factor: bool) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """A narrow side-table block: old values and changes as array literals."""
-    arr, x, at = A.array_literal(theta, "double"), F.col(f"x{j}"), F.col(f"l{j}") + F.lit(1)
-    hh, eh = _side_terms(x, F.element_at(arr, at), factor)
-    stats = rs.where(f"l{j} IS NOT NULL").groupBy(f"l{j}").agg(F.sum(hh), F.sum(eh))
-    changed, delta = A.changes(stats.collect(), theta, reg)
-    d = F.coalesce(F.element_at(A.array_literal(delta, "double"), at), F.lit(0.0))
-    t = F.coalesce(F.element_at(arr, at), F.lit(0.0))
-    return rs.select(*_side_applied(rs, F.coalesce(x, F.lit(0.0)), t, d, factor)), changed
+def _side_segment_step(rs: DataFrame, segment: A.Segment, values: A.Values, slot: str, reg: float,
+                       updates: A.Updates) -> DataFrame:
+    """A segment of narrow side-table blocks: each side row stands for its facts, whose
+    ``r`` is their own part of q plus the side row's part outside the segment."""
+    factor = slot != "w"
+    run = gram.Run(segment.blocks, segment.constants, values.of(segment, slot), segment.at)
+    n, E, C, C2, EC = (F.col(c) for c in ("n", "E", "C", "C2", "EC"))
+    if factor:
+        s = gram.outside(run, F.col("qb"))
+        moments = gram.Moments(n, C + n * s, C2 + F.lit(2.0) * s * C + n * s * s, E, EC + s * E)
+    else:
+        moments = gram.Moments(n, None, None, E, None)
+    cells = gram.collected(gram.cell_sums(rs, run, factor, moments), run, factor)
+    new = gram.solve(run, cells, reg, factor)
+    updates.add_run(slot, run, new)
+    for j in range(len(run.blocks)):
+        if new[j] == run.thetas[j]:
+            continue
+        x = F.coalesce(F.col(f"x{run.at[j]}"), F.lit(0.0))
+        old, change = run.thetas[j], [b - a for a, b in zip(run.thetas[j], new[j])]
+        if run.blocks[j].size == 1:
+            t, d = A.number_literal(old[0]), A.number_literal(change[0])
+        else:
+            at = F.col(f"l{run.at[j]}") + F.lit(1)
+            t, d = (F.coalesce(F.element_at(A.array_literal(v, "double"), at), F.lit(0.0)) for v in (old, change))
+        rs = rs.withColumns({"_x": x, "_t": t, "_d": d})
+        rs = rs.select(*_side_applied(rs, F.col("_x"), F.col("_t"), F.col("_d"), factor)).drop("_x", "_t", "_d")
+    return rs
 
 
 def _side_wide_step(rs: DataFrame, params: DataFrame, j: int, blk: Block, slot: str, reg: float,
@@ -338,8 +401,8 @@ def _side_wide_step(rs: DataFrame, params: DataFrame, j: int, blk: Block, slot:
                                         F.coalesce(F.col("_dd"), F.lit(0.0)), factor))
 
 
-def relation_sweep(train: RelationalTraining, side: SideTable, state: DataFrame, params: DataFrame, slot: str,
-                   reg: float, updates: A.Updates, sums: DataFrame) -> DataFrame:
+def relation_sweep(train: RelationalTraining, side: SideTable, state: DataFrame, params: DataFrame, values: A.Values,
+                   slot: str, reg: float, updates: A.Updates, sums: DataFrame) -> DataFrame:
     """Sweep one side table's blocks for one family; returns the fact state
     (``row_id, key_*, e``, and ``q`` for a factor) with the change propagated."""
     scratch, rb = train.scratch, side.block
@@ -349,20 +412,16 @@ def relation_sweep(train: RelationalTraining, side: SideTable, state: DataFrame,
     rs = scratch.place(cache.withColumns({"qb0": F.col("qb"), "ssb0": F.col("ssb"), "dlin": F.lit(0.0)}),
                        "key", train.parts, "cache")
     for seg in side.segments:
-        before = scratch.last()
-        start = A.placed_join(rs, seg.table.withColumnRenamed("row_id", "key"), "key").persist()
-        work, moved = start, False
-        thetas = A.narrow_thetas(params, seg.blocks, slot)
-        for j, blk in enumerate(seg.blocks):
-            if blk.offset in thetas:
-                work, changed = _side_narrow_step(work, j, thetas[blk.offset], reg, factor is not None)
-                updates.add(slot, blk, changed)
-            else:
-                work = _side_wide_step(work, params, j, blk, slot, reg, updates)
-                moved = moved or not fits_broadcast(work.sparkSession, blk.size, 24 * blk.size)
-        rs = scratch.place(work.select(*keep), "key", train.parts, "cache", placed=not moved)
-        start.unpersist()
-        scratch.drop(before)
+        work = A.placed_join(rs, seg.table.withColumnRenamed("row_id", "key"), "key")
+        if not seg.wide(rs.sparkSession):
+            rs = _side_segment_step(work, seg, values, slot, reg, updates).select(*keep)
+            continue
+        before, blk = scratch.last(), seg.blocks[0]
+        work = _side_wide_step(work, params, seg.at[0], blk, slot, reg, updates)
+        rs = scratch.place(work.select(*keep), "key", train.parts, "cache",
+                           placed=fits_broadcast(work.sparkSession, blk.size, 24 * blk.size))
+        if "/cache-" in before:
+            scratch.drop(before)
     kcol = f"key_{rb.field}"
     if factor is None:
         ch = rs.select(F.col("key").alias("_ck"), F.col("dlin").alias("_de"))
@@ -379,37 +438,23 @@ def relation_sweep(train: RelationalTraining, side: SideTable, state: DataFrame,
     return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in state.columns])
 
 
-def relational_family(train: RelationalTraining, state: DataFrame, params: DataFrame, slot: str, reg: float,
-                      updates: A.Updates, sums: dict[int, DataFrame], own: str | None = None
-                      ) -> tuple[DataFrame, str | None]:
-    """One parameter family in flat order: fact blocks on the fact state, each side
-    table's blocks on its cache.  ``state``: ``row_id, key_*, e`` (and ``q``).  Returns
-    the state and its path; the one before it (``own``) is deleted."""
-    scratch = train.scratch
-
-    def cut(frame: DataFrame, placed: bool) -> DataFrame:
-        nonlocal own
-        out = scratch.place(frame, "row_id", train.parts, "rstate", placed=placed)
-        if own:
-            scratch.drop(own)
-        own = scratch.last()
-        return out
-
-    def fits(rb: RelationBlock) -> bool:
-        return fits_broadcast(state.sparkSession, rb.size, rb.size * 32)
-
-    for i, step in enumerate(train.steps):
-        if isinstance(step, SideTable):
-            state = cut(relation_sweep(train, step, state, params, slot, reg, updates, sums[step.block.field]),
-                        fits(step.block))
+def relational_family(train: RelationalTraining, work: A.Work, params: DataFrame, values: A.Values, slot: str,
+                      reg: float, updates: A.Updates, sums: dict[int, DataFrame]) -> None:
+    """One parameter family in flat order: segments on the fact state, the other side
+    tables' blocks on their caches."""
+    q = f"q{slot[1:]}" if slot != "w" else None
+    for step in train.steps:
+        if not isinstance(step, SideTable):
+            A.sweep(work, step, params, values, slot, reg, updates)
             continue
-        for seg in step:
-            start = A.placed_join(seg.table, state).persist()
-            work = A.block_steps(start, params, seg.blocks, slot, reg, updates)
-            moved = any(not fits_broadcast(work.sparkSession, b.size, 24 * b.size) for b in seg.blocks)
-            state = cut(work.select(*state.columns), not moved)
-            start.unpersist()
-    return state, own
+        rb = step.block
+        work.with_sums(q)
+        if work.pending > 1:
+            work.write(q)
+        state = work.frame.select("row_id", *work.keys, "e", *([F.col(q).alias("q")] if q else []))
+        state = relation_sweep(train, step, state, params, values, slot, reg, updates, sums[rb.field])
+        work.changed(state.withColumnRenamed("q", q) if q else state)
+        work.write(q, placed=fits_broadcast(state.sparkSession, rb.size, rb.size * 32))
 
 
 def relational_start(train: RelationalTraining, params: DataFrame, w0: float,
@@ -418,16 +463,20 @@ def relational_start(train: RelationalTraining, params: DataFrame, w0: float,
     its rows, shared by all families)."""
     data, scratch = train.data, train.scratch
     sums = {s.block.field: scratch.place(side_sums(s.rows, params, cfg, data.dimension), "key", train.parts, "sums",
-                                         placed=True) for s in train.sides()}
+                                         placed=True) for s in train.sides}
     fits = all(fits_broadcast(scratch.spark, rb.size, rb.size * 8 * (2 + 2 * cfg.k)) for rb in data.relations)
     state = scratch.place(relational_residuals(data, train.rows, params, w0, cfg, sums), "row_id", train.parts,
                           "rstate", placed=fits)
     summary = A.state_summary(state)
-    keys = [f"key_{rb.field}" for rb in data.relations]
-    errors = state.select("row_id", *keys, "e")
     if cfg.k0:
-        errors, w0 = A.global_bias_step(errors, w0, cfg, summary)
-    return A.PassState(errors, state.drop("e", *keys), w0, summary[2]), sums
+        state, w0 = A.global_bias_step(state, w0, cfg, summary)
+    keys = [f"key_{rb.field}" for rb in data.relations]
+    return A.PassState(state.select("row_id", *keys, "e"), state.drop("e", *keys), w0, summary[2], state), sums
+
+
+def relational_work(train: RelationalTraining, start: A.PassState) -> A.Work:
+    sums = [c for c in start.state.columns if c[0] == "q"]
+    return A.Work(train.scratch, train.parts, start.state.select("row_id", *train.keys(), "e", *sums), train.keys())
 
 
 def relational_iteration(train: RelationalTraining, params: DataFrame, w0: float, cfg: FMConfig,
@@ -436,12 +485,11 @@ def relational_iteration(train: RelationalTraining, params: DataFrame, w0: float
     scratch = train.scratch
     mark = scratch.mark()
     start, sums = relational_start(train, params, w0, cfg)
-    updates, state, own = A.Updates(scratch), start.errors, None
-    for slot, reg in A.families(cfg):
-        if slot != "w":
-            state = A.placed_join(state, start.sums.select("row_id", F.col(f"q{slot[1:]}").alias("q")))
-        state, own = relational_family(train, state, params, slot, reg, updates, sums, own)
-        state = state.drop("q")
+    updates, work = A.Updates(scratch), relational_work(train, start)
+    todo = A.families(cfg)
+    values = A.Values(params, train.segments(), [slot for slot, _ in todo])
+    for slot, reg in todo:
+        relational_family(train, work, params, values, slot, reg, updates, sums)
     made = scratch.paths[mark:]
     params = scratch.write(updates.apply(params, train.data.dimension), "params")
     for path in made:

@@ -741,13 +741,11 @@ def _relational_sweeps(spark, sf_dir, slots):
     train = RL.prepare_relational(d)
     params = M.init_params(spark, d.dimension, X.LEARN_CFG)
     start, sums = RL.relational_start(train, params, 0.0, X.LEARN_CFG)
-    updates, state, own = A.Updates(train.scratch), start.errors, None
+    updates, work = A.Updates(train.scratch), RL.relational_work(train, start)
+    values = A.Values(params, train.segments(), slots)
     for slot, reg in A.families(X.LEARN_CFG):
         if slot in slots:
-            if slot != "w":
-                state = A.placed_join(state, start.sums.select("row_id", F.col(f"q{slot[1:]}").alias("q")))
-            state, own = RL.relational_family(train, state, params, slot, reg, updates, sums, own)
-            state = state.drop("q")
+            RL.relational_family(train, work, params, values, slot, reg, updates, sums)
     return updates.apply(params, d.dimension)
 
 

@@ -39,6 +39,30 @@ def test_relational_pass_equals_flat_pass(spark):
         assert np.abs(pa[c].values - pb[c].values).max() < 1e-10, c
 
 
+def test_side_tables_by_caches_and_by_joined_columns_are_the_same(spark):
+    """The same pass with the side table's blocks solved with the fact's, solved on its own
+    rows a segment at a time, and a block at a time."""
+    fact, rel = star(spark, seed=11)
+    plain = Relation(rel.table, [Target("uid"), Identity("g"), Number("age")])
+    specs = [Identity("uid"), Identity("kind"), Target("y")]
+    cfg = M.FMConfig(k=2, iterations=1, init_stdev=0.2, seed=4, regv=0.5, regw=0.1)
+    for relation, cells, kinds in ((plain, "65536", ["list"]), (rel, "65536", ["list", "SideTable", "list"]),
+                                   (plain, "1", ["list", "SideTable", "list"])):
+        flat = relation_vectorize(fact, specs, {"uid": relation}, row_id="id")
+        params = M.init_params(spark, flat.dimension, cfg)
+        want = A.als_iteration(A.prepare(flat.rows, conflict_free_blocks(flat.rows, flat.blocks())), params, 0.0, cfg,
+                               flat.dimension).params.orderBy("feature_id").toPandas()
+        spark.conf.set("fmlattice.gramCells", cells)
+        try:
+            train = RL.prepare_relational(RL.relational_dataset(fact, specs, {"uid": relation}, row_id="id"))
+            assert [type(s).__name__ for s in train.steps] == kinds
+            got = RL.relational_iteration(train, params, 0.0, cfg).params.orderBy("feature_id").toPandas()
+        finally:
+            spark.conf.unset("fmlattice.gramCells")
+        for c in ("w", "v0", "v1"):
+            assert np.abs(want[c].values - got[c].values).max() < 1e-10, (cells, c)
+
+
 def test_fit_facade_takes_relational_data(spark):
     fact, rel = star(spark, seed=2)
     data = RL.relational_dataset(fact, [Identity("uid"), Identity("kind"), Target("y")], {"uid": rel},
