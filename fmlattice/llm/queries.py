@@ -159,9 +159,11 @@ o AS (
   SELECT *, dense_rank() OVER (ORDER BY conv_id) AS cn,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM d),
 w AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
                  WHEN row_number() OVER (PARTITION BY cn, role, text ORDER BY i) > 1 THEN 'duplicate'
-                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
          substr(role, 1, 1) AS kind, lag(substr(role, 1, 1)) OVER (PARTITION BY cn ORDER BY i) AS kind0 FROM o),
 z AS (SELECT struct_pack(k := '500000000000', r := '') AS none, struct_pack(k := lpad('0', 12, '0'), r := '') AS zero),
 p AS (
@@ -235,10 +237,11 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+q AS (SELECT DISTINCT vec_id AS query_id, x FROM v WHERE vec_id % 20 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT query_id, q.x, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM q JOIN v c ON query_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, x ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
