@@ -36,6 +36,7 @@ which rows without an entry have keys of their own; then the state is written.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -261,7 +262,11 @@ def theta_stats(work: DataFrame, params: DataFrame, j: int, block: Block, slot:
     sums = block_sums(work, j, block, factor)
     theta = params.where((F.col("feature_id") >= block.offset) & (F.col("feature_id") < block.end)) \
                   .select("feature_id", F.col(slot).alias("theta"))
-    st = sums.join(maybe_broadcast(theta, block.size, spark, 16 * block.size), "feature_id", "left")
+    return stats_of_sums(sums.join(maybe_broadcast(theta, block.size, spark, 16 * block.size), "feature_id", "left"), factor)
+
+
+def stats_of_sums(sums: DataFrame, factor: bool) -> DataFrame:
+    """``feature_id, theta, sum_hh, sum_eh`` of summed products joined with the old values."""
     t = F.coalesce(F.col("theta"), F.lit(0.0))
     if not factor:
         hh, eh = F.col("s_xx"), F.col("s_ex")
@@ -271,7 +276,7 @@ def theta_stats(work: DataFrame, params: DataFrame, j: int, block: Block, slot:
         none = hh <= F.lit(ROUNDING) * whole
         eh = F.when(none, F.lit(0.0)).otherwise(F.col("s_eq") - t * F.col("s_exx"))
         hh = F.when(none, F.lit(0.0)).otherwise(hh)
-    return st.select("feature_id", t.alias("theta"), hh.alias("sum_hh"), eh.alias("sum_eh"))
+    return sums.select("feature_id", t.alias("theta"), hh.alias("sum_hh"), eh.alias("sum_eh"))
 
 
 def theta_update(stats: DataFrame, reg: float) -> DataFrame:
@@ -453,6 +458,38 @@ def sweep(work: Work, segments: list[Segment], params: DataFrame, values: Values
         segment_step(work, segment, params, values, slot, reg, updates)
 
 
+@dataclass
+class BlockStep:
+    """One block of one family in order: its statistics, its changes, the state after it
+    (``row_id, e`` and, for a factor, ``q``)."""
+    slot: str
+    number: int
+    stats: DataFrame
+    delta: DataFrame
+    state: DataFrame
+
+
+def block_by_block(train: Training, start: PassState, params: DataFrame, cfg: FMConfig) -> Iterator[BlockStep]:
+    """A pass one block at a time, by tables only: what the sweeps do, open to inspection.
+    The written tables belong to the training's scratch."""
+    scratch = train.scratch
+    state = start.errors
+    for slot, reg in families(cfg):
+        factor = slot != "w"
+        if factor:
+            state = placed_join(state, start.sums.select("row_id", F.col(f"q{slot[1:]}").alias("q")))
+        keep = ["row_id", "e"] + ["q"] * factor
+        blocks = [(seg, j, b) for seg in train.segments for j, b in zip(seg.at, seg.blocks)]
+        for number, (seg, j, block) in enumerate(blocks):
+            work = placed_join(seg.table, state)
+            stats = scratch.write(theta_stats(work, params, j, block, slot), "stats")
+            delta = scratch.write(theta_update(stats, reg), "delta")
+            state = scratch.place(error_update(work, delta, j, block, factor).select(*keep), "row_id", train.parts, "state",
+                                  placed=fits_broadcast(scratch.spark, block.size, 24 * block.size))
+            yield BlockStep(slot, number, stats, delta, state)
+        state = state.select("row_id", "e")
+
+
 @dataclass
 class IterationResult:
     params: DataFrame
@@ -483,7 +520,7 @@ def als_iteration(train: Training, params: DataFrame, w0: float, cfg: FMConfig,
 
 def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] | None = None,
         learner=None, params: DataFrame | None = None, w0: float = 0.0,
-        scratch: Scratch | None = None, order: str = "ascending") -> FMModel:
+        scratch: Scratch | None = None, order: str = "ascending", max_blocks: int | None = None) -> FMModel:
     """``FM(dataset, k, iterations).learnWith(learner)``: initialise, then
     iterate; the trace holds the training RMSE before each iteration.  Only
     the final parameter table is kept in the scratch folder.
@@ -494,20 +531,34 @@ def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] |
 
     ``order="coloured"``: ``blocks`` may hold several ids of a row (a list field's
     uncut block); their ids are updated colour by colour (see ``blocks``), which is
-    coordinate descent in another order, in far fewer steps."""
-    if order not in ("ascending", "coloured"):
-        raise ValueError(f"unknown order {order!r}; ascending or coloured")
+    coordinate descent in another order, in far fewer steps.  ``order="damped"``: no
+    blocks; each family is one step with a line search (see ``damped``).  ``max_blocks``
+    refuses the exact orders where they would need more blocks than that."""
+    if order not in ("ascending", "coloured", "damped"):
+        raise ValueError(f"unknown order {order!r}; ascending, coloured or damped")
+
+    def refuse(n: int) -> None:
+        if max_blocks is not None and n > max_blocks:
+            raise ValueError(f"{n} blocks in {order} order, more than max_blocks={max_blocks}; "
+                             "fit(order='coloured') needs fewer, fit(order='damped') none")
+
     relabelling = None
     if isinstance(rows, DataFrame):
-        if dimension is None or blocks is None:
+        if dimension is None or (blocks is None and order != "damped"):
             raise ValueError("flat rows need their dimension and conflict-free blocks")
+        if order == "ascending":
+            refuse(len(blocks))
         scratch = scratch if scratch is not None else Scratch(rows.sparkSession, "als")
         mark = scratch.mark()
         if order == "coloured":
             relabelling = coloured_blocks(rows, blocks, scratch)
+            refuse(len(relabelling.blocks))
             rows, blocks = relabelled(rows, relabelling), relabelling.blocks
-        train = prepare(rows, blocks, scratch)
-        learner = learner or als_iteration
+        if order == "damped":
+            from .damped import damped_iteration
+            train, learner = prepare(rows, [], scratch), learner or damped_iteration
+        else:
+            train, learner = prepare(rows, blocks, scratch), learner or als_iteration
     else:
         from .relational import RelationalData, prepare_relational, relational_iteration
         if not isinstance(rows, RelationalData):
@@ -517,6 +568,7 @@ def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] |
         if dimension not in (None, rows.dimension):
             raise ValueError(f"the data have {rows.dimension} features, not {dimension}")
         dimension = rows.dimension
+        refuse(sum(len(getattr(x, "blocks", [x])) for x in rows.segments))
         scratch = scratch if scratch is not None else Scratch(rows.fact.sparkSession, "rel")
         mark = scratch.mark()
         train = prepare_relational(rows, scratch)

@@ -7,29 +7,40 @@ give exactly the sequential result (same ascending order).
 
 * a one-hot or numeric field is such a block by construction;
 * a list field (or libFM input, which has no field information) is cut
-  greedily: the next block after start ``s`` ends at the smallest id ``b``
+  greedily: the next block after start ``s`` begins at the smallest id ``b``
   that follows some id ``a >= s`` in a row.  Only adjacent ids in a row need
-  checking, so the cut works on ``near(b) = max a`` over adjacent pairs: one
-  small aggregation per block, one scalar to the driver.
+  checking.  A narrow field is cut on the driver from one collected aggregation.  A
+  wide one is cut by *pointer doubling*: every possible start gets a pointer to the
+  start after it (one suffix minimum, taken in two levels), and the starts that a
+  chain of pointers from the first id meets are found by joining the pointer table
+  with itself: as many rounds as the logarithm of the number of blocks;
 * or, in another order than ascending ids, it is **coloured**: ids that meet in no
-  row may share a colour, and a colour is a block.  A vocabulary whose neighbours
-  all meet is as many blocks by the cut, and about as many as the longest list by
-  colouring.  Colours are numbered first, ids within them, so that a colour is again
-  a contiguous range (of relabelled ids); ``als.fit(order="coloured")`` maps the
-  parameters back.
+  row may share a colour, and a colour is a block.  A row is an edge of a hypergraph;
+  in each round every uncoloured id proposes a colour, each (row, colour) keeps the
+  best of its proposers, and an id that is kept in all its rows is coloured.  Memory
+  is linear in the entries, whatever the length of a row.  A vocabulary whose
+  neighbours all meet is as many blocks by the cut, and a small multiple of the
+  longest list by colouring.  Colours are numbered first, ids within them, so that a
+  colour is again a contiguous range (of relabelled ids); ``als.fit(order="coloured")``
+  maps the parameters back.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import Scratch, literal_block_rows, maybe_broadcast
+from ..session import Scratch, fits_broadcast, literal_block_rows, maybe_broadcast
 from .dictionary import dense_ids
 from .vectorize import Block
 
+RANGES = 1024           # ranges of ids whose minima are collected for the suffix minimum
+SALT = 16               # parts of a key where a shuffle join may meet a hot one
+GROW_BELOW = 0.25       # share of the open ids a round has to colour, or the palette grows
+
 
 def adjacent_pairs(rows: DataFrame, lo: int, hi: int) -> DataFrame:
     """``near(b, a)``: for every id ``b`` in ``[lo, hi)`` the largest id ``a``
@@ -54,25 +65,79 @@ def greedy_cut(near: dict[int, int], lo: int, hi: int) -> list[tuple[int, int]]:
     return out + [(s, hi)]
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, right_rows: int, how: str = "inner") -> DataFrame:
+    """Join with a side of unique keys: broadcast under the checked size, else shuffled
+    with every key in ``SALT`` parts, so that a key of many left rows is no single task."""
+    if fits_broadcast(left.sparkSession, right_rows, 24 * right_rows):
+        return left.join(F.broadcast(right), key, how)
+    parts = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    own = F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")
+    return left.withColumn("_salt", own).join(parts, [key, "_salt"], how).drop("_salt")
+
+
+def next_starts(near: DataFrame, lo: int, hi: int) -> DataFrame:
+    """``s, t`` for every possible start ``s`` (``lo`` and each ``b`` of ``near``): the least
+    ``b`` that follows an ``a >= s`` in a row, or null.
+
+    A suffix minimum over positions: within a range by a window, over the later ranges
+    by their collected minima (at most ``RANGES``)."""
+    spark = near.sparkSession
+    width = max(1, -(-(hi - lo) // RANGES))
+    slot = F.floor((F.col("pos") - F.lit(lo)) / F.lit(width)).cast("int")
+    hops = near.groupBy(F.col("a").alias("pos")).agg(F.min("b").alias("t")).withColumn("slot", slot)
+    least = {r["slot"]: r["t"] for r in hops.groupBy("slot").agg(F.min("t").alias("t")).collect()}
+    later, best = [None] * (RANGES + 1), None
+    for i in range(RANGES, -1, -1):
+        later[i] = best
+        best = min((x for x in (best, least.get(i)) if x is not None), default=None)
+    starts = near.select(F.col("b").alias("pos")).unionByName(
+        spark.range(1).select(F.lit(lo).cast("bigint").alias("pos"))).distinct()
+    both = hops.unionByName(starts.withColumns({"t": F.lit(None).cast("bigint"), "slot": slot})).withColumn(
+        "start", F.col("t").isNull())
+    after = Window.partitionBy("slot").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = F.get(F.from_json(F.lit(json.dumps(later)), "array<bigint>"), F.col("slot"))
+    return (both.withColumn("t", F.least(F.min("t").over(after), rest)).where("start")
+            .select(F.col("pos").alias("s"), "t"))
+
+
+def cut_points(rows: DataFrame, lo: int, hi: int, scratch: Scratch | None = None, rounds: list | None = None) -> DataFrame:
+    """``s``: the starts of the greedy conflict-free ranges of ``[lo, hi)``, by pointer
+    doubling.  ``rounds`` takes the number of starts known after each round."""
+    scratch = scratch if scratch is not None else Scratch(rows.sparkSession, "cut")
+    near = scratch.write(adjacent_pairs(rows, lo, hi), "near")
+    jump = scratch.write(next_starts(near, lo, hi), "jump")
+    n = jump.count()
+    reached = scratch.write(rows.sparkSession.range(1).select(F.lit(lo).cast("bigint").alias("s")), "reached")
+    known = 1
+    while True:
+        before = [p for p in scratch.paths if "/reached-" in p or "/jump-" in p]
+        found = salted_join(reached, jump, "s", n).where("t IS NOT NULL").select(F.col("t").alias("s"))
+        reached = scratch.write(reached.unionByName(found).distinct(), "reached")
+        now = reached.count()
+        if rounds is not None:
+            rounds.append(now)
+        if now == known:
+            return reached
+        known = now
+        ahead = jump.select(F.col("s").alias("t"), F.col("t").alias("u"))
+        jump = scratch.write(salted_join(jump.where("t IS NOT NULL"), ahead, "t", n).select("s", F.col("u").alias("t")), "jump")
+        for path in before:
+            scratch.drop(path)
+
+
 def cut_block(rows: DataFrame, block: Block) -> list[Block]:
-    """Greedy conflict-free cut of one multi-valued block.  The cut itself is
-    sequential: a block at most the literal bound wide is cut from one collected
-    aggregation (a number per id); a wider one asks for one cut point at a time."""
+    """Greedy conflict-free cut of one multi-valued block: on the driver if it is at most
+    the literal bound wide (a number per id), else by pointer doubling."""
     if not block.multi or block.size <= 1:
         return [Block(block.name, block.offset, block.size, False)]
-    pairs = adjacent_pairs(rows, block.offset, block.end)
     if block.size <= literal_block_rows(rows.sparkSession):
+        pairs = adjacent_pairs(rows, block.offset, block.end)
         near = {int(r["b"]): int(r["a"]) for r in pairs.collect()}
         cuts = greedy_cut(near, block.offset, block.end)
     else:
-        scratch = Scratch(rows.sparkSession, "near")
-        table = scratch.write(pairs)
-        cuts, s = [], block.offset
-        while s < block.end:
-            t = table.where((F.col("b") > s) & (F.col("a") >= s)).agg(F.min("b").alias("t")).first()["t"]
-            t = block.end if t is None else int(t)
-            cuts.append((s, t))
-            s = t
+        scratch = Scratch(rows.sparkSession, "cut")
+        starts = sorted(r["s"] for r in cut_points(rows, block.offset, block.end, scratch).collect())
+        cuts = list(zip(starts, [*starts[1:], block.end]))
         scratch.drop_all()
     return [Block(f"{block.name}#{j}", s, t - s, False) for j, (s, t) in enumerate(cuts)]
 
@@ -98,40 +163,46 @@ class Relabelling:
     blocks: list[Block]
 
 
-def conflicts(rows: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Distinct ordered pairs ``a <> b`` of ids in ``[lo, hi)`` that some row holds both
-    of; a row gives the square of its number of ids in the range."""
+def colours(rows: DataFrame, lo: int, hi: int, scratch: Scratch, rounds: list | None = None) -> DataFrame:
+    """``id, colour`` for every id in ``[lo, hi)``: no row holds two ids of a colour.
+
+    A round: each open id proposes a colour of the palette (a hash of id and round; coloured
+    ids stand by theirs); each (row, colour) names its best holder, coloured ids first;
+    an open id named in all its rows keeps the colour.  The palette begins with the
+    longest row's length and grows when a round colours few.  ``rounds`` takes the open ids
+    before each round."""
+    spark = rows.sparkSession
     ids = F.array_distinct(F.transform(F.filter("features", lambda e: (e["feature_id"] >= lo) & (e["feature_id"] < hi)),
                                        lambda e: e["feature_id"]))
-    held = rows.select(ids.alias("ids")).where(F.size("ids") > 1)
-    return (held.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
-            .where("a <> b").distinct())
-
-
-def colours(edges: DataFrame, lo: int, hi: int, scratch: Scratch) -> DataFrame:
-    """``id, colour`` for every id in ``[lo, hi)``: no edge joins equal colours.
-
-    Each round, every uncoloured id whose priority (a hash) beats those of its
-    uncoloured neighbours takes the least colour that none of its neighbours has; a
-    logarithmic number of rounds is expected.  Every round is written."""
-    spark = edges.sparkSession
-    state = scratch.write(spark.range(lo, hi).select("id", F.lit(None).cast("int").alias("colour")), "colour")
-    edges = scratch.write(edges, "edges")
-    keep = [scratch.last()]
-    while True:
-        near = (edges.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(
-            F.max(F.when(F.col("colour").isNull(), F.struct(F.xxhash64("b"), "b"))).alias("rival"),
-            F.sort_array(F.collect_set("colour")).alias("used")))
-        least = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.lit(0),
-                            lambda acc, c: F.when(c == acc, acc + 1).otherwise(acc))
-        wins = F.col("rival").isNull() | (F.struct(F.xxhash64("id"), "id") > F.col("rival"))
-        before = [p for p in scratch.paths if "/colour-" in p and p not in keep]
-        state = scratch.write(state.join(near, "id", "left").select(
-            "id", F.when(F.col("colour").isNull() & wins, least).otherwise(F.col("colour")).alias("colour")), "colour")
-        for path in before:
-            scratch.drop(path)
-        if state.where("colour IS NULL").isEmpty():
-            return state
+    held = rows.select(ids.alias("ids")).where(F.size("ids") > 1).withColumn("u", F.monotonically_increasing_id())
+    entries = scratch.write(held.select("u", F.explode("ids").alias("id")), "entries")
+    longest = entries.groupBy("u").count().agg(F.max("count")).first()[0]
+    degrees = scratch.write(entries.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    n_held = degrees.count()
+    # an id that meets no other one needs no round
+    state = scratch.write(spark.range(lo, hi).join(maybe_broadcast(degrees, n_held), "id", "left").select(
+        "id", "degree", F.when(F.col("degree").isNull(), 0).cast("int").alias("colour")), "colour")
+    palette, open_, turn = longest or 1, n_held, 0
+    while open_:
+        if rounds is not None:
+            rounds.append(open_)
+        turn += 1
+        offer = F.coalesce("colour", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(palette)).cast("int"))
+        proposals = state.where("degree IS NOT NULL").select(
+            "id", offer.alias("offer"), F.struct(F.col("colour").isNull().alias("open"), F.xxhash64("id").alias("h"), F.col("id").alias("i"))
+            .alias("rank"))
+        best = (salted_join(entries, proposals, "id", n_held).groupBy("u", "offer").agg(F.min("rank").alias("best")))
+        named = best.where("best.open").groupBy(F.col("best.i").alias("id")).agg(F.count(F.lit(1)).alias("named"))
+        before = scratch.last()
+        won = F.col("colour").isNull() & (F.col("named") == F.col("degree"))
+        state = scratch.write(state.join(maybe_broadcast(named, n_held), "id", "left").select(
+            "id", "degree", F.when(won, offer).otherwise(F.col("colour")).alias("colour")), "colour")
+        scratch.drop(before)
+        left = state.where("colour IS NULL").count()
+        if open_ - left < GROW_BELOW * open_:
+            palette += max(1, palette // 4)
+        open_ = left
+    return state.select("id", "colour")
 
 
 def coloured_blocks(rows: DataFrame, blocks: list[Block], scratch: Scratch) -> Relabelling:
@@ -142,13 +213,13 @@ def coloured_blocks(rows: DataFrame, blocks: list[Block], scratch: Scratch) -> R
             out.append(Block(b.name, b.offset, b.size, False))
             continue
         mark = scratch.mark()
-        state = colours(conflicts(rows, b.offset, b.end), b.offset, b.end, scratch)
+        state = colours(rows, b.offset, b.end, scratch)
         token = F.format_string("%010d:%019d", F.col("colour"), F.col("id"))
         coded, n = dense_ids(state.select(token.alias("token")), b.size)
         mapping = scratch.write(coded.select(
             F.substring("token", 12, 19).cast("bigint").alias("old"),
             (F.col("code") + F.lit(b.offset)).alias("new")), "relabel")
-        per = sorted((r["colour"], r["count"]) for r in state.groupBy("colour").count().collect())
+        per = sorted((r["colour"], r["count"]) for r in state.groupBy("colour").count().collect())     # colours are few
         at = b.offset
         for c, width in per:
             out.append(Block(f"{b.name}~{c}", at, width, False))

@@ -546,6 +546,18 @@ def _after_bias(spark, sf_dir, slot="w"):
     return A.work_frame(seg, start.errors, start.sums, factor), seg.blocks[0], params
 
 
+def _every_block(spark, sf_dir, slots, of):
+    """What ``of`` makes of every block of the given families, in the order of the pass."""
+    train, params, dim = events_learning(spark, sf_dir)
+    start = A.start_pass(train, params, 0.0, X.LEARN_CFG, dim)
+    out = None
+    for step in A.block_by_block(train, start, params, X.LEARN_CFG):
+        if step.slot in slots:
+            rows = of(step)
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("residuals")
 def q_residuals(spark, sf_dir):
     train, params, dim = events_learning(spark, sf_dir)
@@ -567,54 +579,58 @@ def q_global_bias_step(spark, sf_dir):
     return spark.createDataFrame([(w0,)], "w0 double").select(r6("w0").alias("w0"))
 
 
-def _stats(spark, sf_dir, slot):
-    work, block, params = _after_bias(spark, sf_dir, slot)
-    st = A.theta_stats(work, params, 0, block, slot)
-    return st.select(big("feature_id").alias("feature_id"), r6("sum_hh").alias("sum_hh"),
-                     r6("sum_eh").alias("sum_eh"))
+FACTORS = [f"v{f}" for f in range(X.LEARN_CFG.k)]
+
+
+def factor_of(step):
+    return F.lit(int(step.slot[1:])).cast("bigint").alias("factor")
+
+
+def _stats_out(step, *more):
+    return step.stats.select(*more, big("feature_id").alias("feature_id"), r6("sum_hh").alias("sum_hh"),
+                             r6("sum_eh").alias("sum_eh"))
 
 
 @query("theta_stats")
 def q_theta_stats(spark, sf_dir):
-    return _stats(spark, sf_dir, "w")
+    return _every_block(spark, sf_dir, ["w"], _stats_out)
 
 
 @query("theta_stats_v")
 def q_theta_stats_v(spark, sf_dir):
-    return _stats(spark, sf_dir, "v0")
+    return _every_block(spark, sf_dir, FACTORS, lambda step: _stats_out(step, factor_of(step)))
 
 
-def _new_theta(spark, sf_dir, slot, reg):
-    work, block, params = _after_bias(spark, sf_dir, slot)
-    st = A.theta_stats(work, params, 0, block, slot)
+def _new_out(step, *more):
+    reg = X.LEARN_CFG.regw if step.slot == "w" else X.LEARN_CFG.regv
     new = A.updated_theta(F.col("theta"), F.col("sum_hh"), F.col("sum_eh"), reg)
-    return st.select(big("feature_id").alias("feature_id"), r6(new).alias(slot))
+    return step.stats.select(*more, big("feature_id").alias("feature_id"), r6(new).alias("w" if step.slot == "w" else "v"))
 
 
 @query("theta_update")
 def q_theta_update(spark, sf_dir):
-    return _new_theta(spark, sf_dir, "w", X.LEARN_CFG.regw)
+    return _every_block(spark, sf_dir, ["w"], _new_out)
 
 
 @query("theta_update_v")
 def q_theta_update_v(spark, sf_dir):
-    return _new_theta(spark, sf_dir, "v0", X.LEARN_CFG.regv)
+    return _every_block(spark, sf_dir, FACTORS, lambda step: _new_out(step, factor_of(step)))
+
+
+def _state_out(step, *more):
+    sums = [] if step.slot == "w" else [r6("q").alias("q")]
+    return step.state.select(*more, F.lit(step.number).cast("bigint").alias("block"), big("row_id").alias("row_id"),
+                             r6("e").alias("e"), *sums)
 
 
 @query("error_update")
 def q_error_update(spark, sf_dir):
-    work, block, params = _after_bias(spark, sf_dir)
-    delta = A.theta_update(A.theta_stats(work, params, 0, block, "w"), X.LEARN_CFG.regw)
-    out = A.error_update(work, delta, 0, block, False)
-    return out.select(big("row_id").alias("row_id"), r6("e").alias("e"))
+    return _every_block(spark, sf_dir, ["w"], _state_out)
 
 
 @query("error_update_v")
 def q_error_update_v(spark, sf_dir):
-    work, block, params = _after_bias(spark, sf_dir, "v0")
-    delta = A.theta_update(A.theta_stats(work, params, 0, block, "v0"), X.LEARN_CFG.regv)
-    out = A.error_update(work, delta, 0, block, True)
-    return out.select(big("row_id").alias("row_id"), r6("e").alias("e"), r6("q").alias("q0"))
+    return _every_block(spark, sf_dir, FACTORS, lambda step: _state_out(step, factor_of(step)))
 
 
 def _sweeps(spark, sf_dir, slots):
@@ -688,6 +704,63 @@ def q_fit_libfm(spark, sf_dir):
     return _params_out(m.params, m.w0)
 
 
+@query("conflict_cut")
+def q_conflict_cut(spark, sf_dir):
+    """The greedy conflict-free ranges of lineitem's libFM rows, by pointer doubling."""
+    from ..operators.blocks import cut_points
+    rows = S.read_libfm(spark, lineitem_libfm_dir(spark, sf_dir), assign_ids=False)
+    end = S.libfm_dimension(rows) + 1
+    starts = sorted(r["s"] for r in cut_points(rows, 0, end).collect())
+    return spark.createDataFrame([(i, s, e - s) for i, (s, e) in enumerate(zip(starts, [*starts[1:], end]))],
+                                 "block bigint, feature_offset bigint, width bigint")
+
+
+@query("order_parts_cut")
+def q_order_parts_cut(spark, sf_dir):
+    """The same over the parts of each order: a wide list field, cut into many ranges."""
+    from ..operators.blocks import cut_points
+    vec = order_parts_vectorized(spark, sf_dir)
+    b = vec.blocks()[0]
+    starts = sorted(r["s"] for r in cut_points(vec.rows, b.offset, b.end).collect())
+    return spark.createDataFrame([(i, s, e - s) for i, (s, e) in enumerate(zip(starts, [*starts[1:], b.end]))],
+                                 "block bigint, feature_offset bigint, width bigint")
+
+
+def order_parts_vectorized(spark, sf_dir):
+    """One row for each order, its parts as a list field."""
+    from ..operators.fields import List, Target
+    li = X.table(spark, sf_dir, "lineitem")
+    orders = li.groupBy("l_orderkey").agg(
+        F.array_join(F.sort_array(F.collect_list(F.col("l_partkey").cast("string"))), ",").alias("parts"),
+        F.max("l_quantity").alias("y"))
+    return standard_vectorize(orders, [List("parts"), Target("y")], row_id="l_orderkey")
+
+
+@query("coloured_ids")
+def q_coloured_ids(spark, sf_dir):
+    """The parts of each order coloured: every part has a colour, no order two of one."""
+    from ..operators.blocks import colours
+    from ..session import Scratch
+    vec = order_parts_vectorized(spark, sf_dir)
+    b = vec.blocks()[0]
+    coloured = colours(vec.rows, b.offset, b.end, Scratch(spark, "colours"))
+    held = vec.rows.select("row_id", F.inline("features")).select("row_id", F.col("feature_id").alias("id")).distinct()
+    same = held.join(coloured, "id").groupBy("row_id", "colour").count().where("count > 1")
+    return coloured.agg(F.count("colour").alias("n_ids")).crossJoin(same.agg(F.count(F.lit(1)).alias("n_conflicts")))
+
+
+@query("damped_step")
+def q_damped_step(spark, sf_dir):
+    """The linear terms moved at once, by the step of an exact line search."""
+    from ..operators.damped import damped_family
+    vec = events_vectorized(spark, sf_dir, X.EVENTS_MODEL_SPECS)
+    train = A.prepare(vec.rows, [])
+    params = M.init_params(spark, vec.dimension, X.LEARN_CFG)
+    start = A.start_pass(train, params, 0.0, X.LEARN_CFG, vec.dimension)
+    _, new, t = damped_family(train, start.errors, start.sums, params, "w", X.LEARN_CFG.regw, vec.dimension)
+    return new.select(big("feature_id").alias("feature_id"), r6("new").alias("w"), r6(F.lit(t)).alias("step"))
+
+
 # ---- 2.9 relation-level learning: orders -> customer ---------------------------------
 
 from ..operators import relational as RL  # noqa: E402
@@ -766,3 +839,10 @@ def q_relational_iteration(spark, sf_dir):
     train = RL.prepare_relational(d)
     res = RL.relational_iteration(train, M.init_params(spark, d.dimension, X.LEARN_CFG), 0.0, X.LEARN_CFG)
     return _params_out(res.params, res.w0)
+
+
+@query("relational_fit")
+def q_relational_fit(spark, sf_dir):
+    """Two passes on the normalised tables; some orders have no customer row."""
+    m = RL.relational_fit(orders_relational(spark, sf_dir, drop_segment=True), X.LEARN_CFG)
+    return _params_out(m.params, m.w0)

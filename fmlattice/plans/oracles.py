@@ -432,8 +432,8 @@ w0_1 AS (SELECT CAST(0.0 AS DOUBLE) AS w0)"""]
             parts.append(f"""{nxt} AS (SELECT {', '.join('s.' + c.strip() for c in scols.split(','))},
       s.e + coalesce(s.x{g} * (n.new - n.theta), 0.0) AS e, {', '.join(f's.q{f}' for f in range(k))}
     FROM {cur} s LEFT JOIN {nw} n ON n.feature_id = s.id{g})""")
-            if t == 1 and g == 0:
-                names.update(stats=st, upd=nw, err=nxt)
+            if t == 1:
+                names.setdefault("w_steps", []).append((nw, nxt))
             new_tables["w"].append(nw)
             cur = nxt
         if t == 1:
@@ -447,7 +447,7 @@ w0_1 AS (SELECT CAST(0.0 AS DOUBLE) AS w0)"""]
       s.x{g} * s.q{f} - s.x{g} * s.x{g} * p.v{f} AS h FROM {cur} s JOIN {P} p ON p.feature_id = s.id{g})""")
                 parts.append(f"""{st} AS (SELECT id{g} AS feature_id, sum(h * h) AS hh, sum(e * h) AS eh
     FROM {hh_src} GROUP BY id{g})""")
-                parts.append(f"""{nv} AS (SELECT st.feature_id, p.v{f} AS theta,
+                parts.append(f"""{nv} AS (SELECT st.feature_id, p.v{f} AS theta, st.hh, st.eh,
       {_upd(f'p.v{f}', 'st.hh', 'st.eh', cfg.regv)} AS new FROM {st} st JOIN {P} p USING (feature_id))""")
                 qsel = ", ".join(
                     (f"s.q{ff} + coalesce(s.x{g} * (n.new - n.theta), 0.0) AS q{ff}" if ff == f else f"s.q{ff}")
@@ -456,6 +456,8 @@ w0_1 AS (SELECT CAST(0.0 AS DOUBLE) AS w0)"""]
       s.e + coalesce((s.x{g} * s.q{f} - s.x{g} * s.x{g} * n.theta) * (n.new - n.theta), 0.0) AS e, {qsel}
     FROM {cur} s LEFT JOIN {nv} n ON n.feature_id = s.id{g})""")
                 new_tables[f"v{f}"].append(nv)
+                if t == 1:
+                    names.setdefault("v_steps", []).append((f, g, nv, nxt))
                 cur = nxt
             if t == 1 and f == 0:
                 names["after_v0"] = new_tables["v0"]
@@ -484,11 +486,41 @@ oracle("residuals", with_(_C1, f"SELECT CAST(row_id AS BIGINT) AS row_id, {r6('e
 oracle("factor_sums", with_(_C1, f"""
 SELECT CAST(row_id AS BIGINT) AS row_id, {r6('q0')} AS q0, {r6('q1')} AS q1 FROM {_N['state0']}"""))
 oracle("global_bias_step", with_(_C1, f"SELECT {r6('w0')} AS w0 FROM {_N['w0n']}"))
-oracle("theta_stats", with_(_C1, f"""
-SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('hh')} AS sum_hh, {r6('eh')} AS sum_eh FROM {_N['stats']}"""))
-oracle("theta_update", with_(_C1, f"""
-SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('new')} AS w FROM {_N['upd']}"""))
-oracle("error_update", with_(_C1, f"SELECT CAST(row_id AS BIGINT) AS row_id, {r6('e')} AS e FROM {_N['err']}"))
+
+
+def _union(parts) -> str:
+    return "\nUNION ALL ".join(parts)
+
+
+oracle("theta_stats", with_(_C1, _union(f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('hh')} AS sum_hh, {r6('eh')} AS sum_eh FROM {nw}""" for nw, _ in _N["w_steps"])))
+oracle("theta_update", with_(_C1, _union(f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('new')} AS w FROM {nw}""" for nw, _ in _N["w_steps"])))
+oracle("error_update", with_(_C1, _union(f"""
+SELECT CAST({g} AS BIGINT) AS block, CAST(row_id AS BIGINT) AS row_id, {r6('e')} AS e FROM {after}"""
+                                         for g, (_, after) in enumerate(_N["w_steps"]))))
+oracle("theta_stats_v", with_(_C1, _union(f"""
+SELECT CAST({f} AS BIGINT) AS factor, CAST(feature_id AS BIGINT) AS feature_id, {r6('hh')} AS sum_hh, {r6('eh')} AS sum_eh
+  FROM {nv}""" for f, _, nv, _ in _N["v_steps"])))
+oracle("theta_update_v", with_(_C1, _union(f"""
+SELECT CAST({f} AS BIGINT) AS factor, CAST(feature_id AS BIGINT) AS feature_id, {r6('new')} AS v FROM {nv}"""
+                                           for f, _, nv, _ in _N["v_steps"])))
+oracle("error_update_v", with_(_C1, _union(f"""
+SELECT CAST({f} AS BIGINT) AS factor, CAST({g} AS BIGINT) AS block, CAST(row_id AS BIGINT) AS row_id, {r6('e')} AS e,
+       {r6(f'q{f}')} AS q FROM {after}""" for f, g, _, after in _N["v_steps"])))
+
+# all features of the linear terms at once: d = new - theta (0 before), step of least squares
+oracle("damped_step", with_(_C1 + f""",
+dm_st AS (SELECT id AS feature_id, sum(x * x) AS hh, sum(e * x) AS eh FROM (
+            SELECT id0 AS id, x0 AS x, e FROM {_N['stateb']} UNION ALL SELECT id1, x1, e FROM {_N['stateb']}) GROUP BY id),
+dm_d AS (SELECT st.feature_id, p.w AS theta, {_upd('p.w', 'st.hh', 'st.eh', X.LEARN_CFG.regw)} - p.w AS d
+           FROM dm_st st JOIN p_1 p USING (feature_id)),
+dm_a AS (SELECT s.e, s.x0 * a.d + s.x1 * b.d AS a FROM {_N['stateb']} s JOIN dm_d a ON a.feature_id = s.id0
+           JOIN dm_d b ON b.feature_id = s.id1),
+dm_t AS (SELECT greatest(0.0, -(sum(e * a) + {X.LEARN_CFG.regw!r} * (SELECT sum(theta * d) FROM dm_d))
+                / (sum(a * a) + {X.LEARN_CFG.regw!r} * (SELECT sum(d * d) FROM dm_d))) AS t FROM dm_a)""", f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('theta + t * d')} AS w, {r6('t')} AS step
+  FROM dm_d CROSS JOIN dm_t WHERE d <> 0"""))
 oracle("linear_sweep", with_(_C1, f"SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('w')} AS w FROM pw_1"))
 oracle("factor_sweep", with_(_C1, f"""
 SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('v0')} AS v0, {r6('v1')} AS v1 FROM p_2"""))
@@ -534,16 +566,28 @@ rl_ids AS (
 REL_ROWS, REL_ALL_ROWS = REL + REL_SLOTS, REL_ALL + REL_SLOTS
 
 
-def flat_sweep_ctes(base: str, G: int, stop: str) -> str:
+def flat_sweep_ctes(base: str, G: int, stop: str, passes: int = 1) -> str:
     """One flat pass (w0, w, v0 ...) over ``rl`` rows whose slots may be
-    NULL; stops after family ``stop`` (``w`` or ``v0``)."""
+    NULL; stops after family ``stop`` (``w`` or ``v0``).  Further ``passes`` have
+    names that end with their number."""
     cfg = X.LEARN_CFG
     k = cfg.k
-    P = "fp_1"
     parts = [base.strip(), f"""
-{P} AS (SELECT feature_id, CAST(0.0 AS DOUBLE) AS w,
+fp_1 AS (SELECT feature_id, CAST(0.0 AS DOUBLE) AS w,
         {', '.join(gauss(cfg.init_mean, cfg.init_stdev, str(cfg.seed), str(f), 'feature_id') + f' AS v{f}' for f in range(k))}
       FROM rl_ids)"""]
+    for t in range(1, passes + 1):
+        parts += flat_pass(G, stop, t)
+    return ",\n".join(parts)
+
+
+def flat_pass(G: int, stop: str, t: int) -> list[str]:
+    cfg = X.LEARN_CFG
+    k, parts = cfg.k, []
+    end, old = "" if t == 1 else f"_{t}", "" if t <= 2 else f"_{t - 1}"
+    P, w0 = "fp_1" if t == 1 else f"fp_all{end}", "0.0" if t == 1 else f"(SELECT w0 FROM fw0{old})"
+    if t > 1:
+        parts.append(f"{P} AS (SELECT * FROM fp_w{old} " + " ".join(f"JOIN fp_v{f}{old} USING (feature_id)" for f in range(k)) + ")")
     joins = " ".join(f"LEFT JOIN {P} a{g} ON a{g}.feature_id = rl.id{g}" for g in range(G))
 
     def c(expr):
@@ -553,19 +597,19 @@ def flat_sweep_ctes(base: str, G: int, stop: str) -> str:
     ssf = {f: " + ".join(c(f"(a{g}.v{f} * rl.x{g}) * (a{g}.v{f} * rl.x{g})") for g in range(G)) for f in range(k)}
     inter = " + ".join(f"0.5 * (({qf[f]}) * ({qf[f]}) - ({ssf[f]}))" for f in range(k))
     slots = ", ".join(f"rl.id{g}, rl.x{g}" for g in range(G))
-    parts.append(f"""fs_0 AS (SELECT rl.row_id, rl.y, {slots}, ({lin} + {inter}) - rl.y AS e,
+    parts.append(f"""fs_0{end} AS (SELECT rl.row_id, rl.y, {slots}, ({w0} + {lin} + {inter}) - rl.y AS e,
       {', '.join(f'({qf[f]}) AS q{f}' for f in range(k))} FROM rl {joins})""")
-    parts.append(f"""fw0 AS (SELECT {_upd('0.0', 'CAST(count(*) AS DOUBLE)', 'sum(e)', cfg.reg0)} AS w0 FROM fs_0)""")
+    parts.append(f"""fw0{end} AS (SELECT {_upd(w0, 'CAST(count(*) AS DOUBLE)', 'sum(e)', cfg.reg0)} AS w0 FROM fs_0{end})""")
     scols = "row_id, y, " + ", ".join(f"id{g}, x{g}" for g in range(G))
     qcols = ", ".join(f"q{f}" for f in range(k))
-    parts.append(f"fs_b AS (SELECT {scols}, e + (SELECT w0 FROM fw0) AS e, {qcols} FROM fs_0)")
-    cur = "fs_b"
+    parts.append(f"fs_b{end} AS (SELECT {scols}, e + ((SELECT w0 FROM fw0{end}) - {w0}) AS e, {qcols} FROM fs_0{end})")
+    cur = f"fs_b{end}"
     fams = ["w"] + [f"v{f}" for f in range(k)]
     fams = fams[:fams.index(stop) + 1]
     for fam in fams:
         news = []
         for g in range(G):
-            tag = f"{fam}_{g}"
+            tag = f"{fam}_{g}{end}"
             if fam == "w":
                 parts.append(f"""fst_{tag} AS (SELECT id{g} AS feature_id, sum(x{g} * x{g}) AS hh, sum(e * x{g}) AS eh
     FROM {cur} WHERE id{g} IS NOT NULL GROUP BY id{g})""")
@@ -590,9 +634,9 @@ def flat_sweep_ctes(base: str, G: int, stop: str) -> str:
             news.append(f"fnw_{tag}")
             cur = f"fs_{tag}"
         u = " UNION ALL ".join(f"SELECT feature_id, new FROM {x}" for x in news)
-        parts.append(f"fp_{fam} AS (SELECT p.feature_id, coalesce(u.new, p.{fam}) AS {fam} FROM {P} p "
+        parts.append(f"fp_{fam}{end} AS (SELECT p.feature_id, coalesce(u.new, p.{fam}) AS {fam} FROM {P} p "
                      f"LEFT JOIN ({u}) u ON u.feature_id = p.feature_id)")
-    return ",\n".join(parts)
+    return parts
 
 
 oracle("relation_block", with_(REL_ALL, f"""
@@ -727,15 +771,31 @@ ent AS (
 SELECT CAST(row_id AS BIGINT) AS row_id, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM ent WHERE v <> 0""")
 
 
-# ---- the v form of the single block steps, after the bias step ------------------------------
-_V = _C1 + f""",
-bv_h AS (SELECT s.*, p.v0 AS theta, s.x0 * s.q0 - s.x0 * s.x0 * p.v0 AS h FROM {_N['stateb']} s JOIN p_1 p ON p.feature_id = s.id0),
-bv_st AS (SELECT id0 AS feature_id, any_value(theta) AS theta, sum(h * h) AS hh, sum(e * h) AS eh FROM bv_h GROUP BY id0),
-bv_new AS (SELECT feature_id, theta, {_upd('theta', 'hh', 'eh', X.LEARN_CFG.regv)} AS new FROM bv_st)"""
-oracle("theta_stats_v", with_(_V, f"""
-SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('hh')} AS sum_hh, {r6('eh')} AS sum_eh FROM bv_st"""))
-oracle("theta_update_v", with_(_V, f"""
-SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('new')} AS v0 FROM bv_new"""))
-oracle("error_update_v", with_(_V, f"""
-SELECT CAST(h.row_id AS BIGINT) AS row_id, {r6('h.e + h.h * (n.new - n.theta)')} AS e,
-       {r6('h.q0 + h.x0 * (n.new - n.theta)')} AS q0 FROM bv_h h JOIN bv_new n ON n.feature_id = h.id0"""))
+# ---- conflict-free ranges and colours -------------------------------------------------------
+def greedy_cut_sql(ctes: str, end: str, recursive: str = "RECURSIVE") -> str:
+    """``ctes`` end with ``ent(rid, id)``: from each start the least id that follows another
+    one, not below the start, in a row."""
+    return f"""WITH {recursive} {ctes.strip()},
+pairs AS (SELECT id AS b, lag(id) OVER (PARTITION BY rid ORDER BY id) AS a FROM ent),
+near AS (SELECT b, max(a) AS a FROM pairs WHERE a IS NOT NULL GROUP BY b),
+cuts(s) AS (SELECT CAST(0 AS BIGINT) UNION ALL
+            SELECT (SELECT CAST(min(b) AS BIGINT) FROM near WHERE a >= s) FROM cuts
+             WHERE EXISTS (SELECT 1 FROM near WHERE a >= s))
+SELECT CAST(row_number() OVER (ORDER BY s) - 1 AS BIGINT) AS block, s AS feature_offset,
+       CAST(coalesce(lead(s) OVER (ORDER BY s), ({end})) - s AS BIGINT) AS width FROM cuts"""
+
+
+oracle("conflict_cut", greedy_cut_sql(LI_LIBFM + """,
+ent AS (SELECT DISTINCT rid, fid + 1 AS id FROM li_ent)""", "SELECT max(fid) + 2 FROM li_ent"))
+
+_ORDER_PARTS = """
+op_d AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS token FROM lineitem)),
+ent AS (SELECT DISTINCT l_orderkey AS rid, d.code AS id FROM lineitem JOIN op_d d ON d.token = CAST(l_partkey AS VARCHAR))"""
+oracle("order_parts_cut", greedy_cut_sql(_ORDER_PARTS, "SELECT count(*) FROM op_d"))
+oracle("coloured_ids", """
+SELECT count(DISTINCT l_partkey) AS n_ids, CAST(0 AS BIGINT) AS n_conflicts FROM lineitem""")
+
+oracle("relational_fit", with_(materialized(flat_sweep_ctes(REL_ROWS, 6, "v1", passes=2)), f"""
+SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('w')} AS w, {r6('v0')} AS v0, {r6('v1')} AS v1,
+       {r6('(SELECT w0 FROM fw0_2)')} AS w0
+  FROM fp_w_2 JOIN fp_v0_2 USING (feature_id) JOIN fp_v1_2 USING (feature_id)"""))
