@@ -435,8 +435,8 @@ def segment_step(work: Work, segment: Segment, params: DataFrame, values: Values
     frame = work.on(segment, q)
     if not segment.wide(frame.sparkSession):
         run = gram.Run(segment.blocks, segment.constants, values.of(segment, slot), segment.at)
-        rest = gram.outside(run, F.col(q)) if factor else None
-        cells = gram.collected(gram.cell_sums(frame, run, factor, gram.row_moments(rest)), run, factor)
+        read = frame.withColumn("_r", gram.outside(run, F.col(q))) if factor else frame
+        cells = gram.collected(gram.cell_sums(read, run, factor, gram.row_moments(F.col("_r") if factor else None)), run, factor)
         new = gram.solve(run, cells, reg, factor)
         updates.add_run(slot, run, new)
         work.changed(gram.changed_rows(frame, run, new, factor, q or ""))

@@ -338,7 +338,7 @@ def _side_segment_step(rs: DataFrame, segment: A.Segment, values: A.Values, slot
     run = gram.Run(segment.blocks, segment.constants, values.of(segment, slot), segment.at)
     n, E, C, C2, EC = (F.col(c) for c in ("n", "E", "C", "C2", "EC"))
     if factor:
-        s = gram.outside(run, F.col("qb"))
+        rs, s = rs.withColumn("_s", gram.outside(run, F.col("qb"))), F.col("_s")
         moments = gram.Moments(n, C + n * s, C2 + F.lit(2.0) * s * C + n * s * s, E, EC + s * E)
     else:
         moments = gram.Moments(n, None, None, E, None)

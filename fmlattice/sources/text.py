@@ -15,6 +15,9 @@ from ..functions import format_compact, split_keep_java
 from ..operators.vectorize import FEATURES, assign_row_ids
 
 
+JVM_BLANKS = "".join(map(chr, range(33)))
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = "::") -> DataFrame:
     """Lines -> ``fields array<string>`` split by a literal separator, with
     the JVM's rule for trailing empty pieces (Q23)."""
@@ -29,21 +32,20 @@ def write_delimited(df: DataFrame, path: str, sep: str = "::") -> None:
 def filter_comment_blank(lines: DataFrame, col: str = "value") -> DataFrame:
     """Trim as the JVM does (all characters up to the blank, tabs too), then drop empty
     lines and ``#`` comments."""
-    t = F.regexp_replace(F.col(col), "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
-    return lines.select(t.alias(col)).where((F.length(col) > 0) & ~F.col(col).startswith("#"))
+    trimmed = F.btrim(F.col(col), F.lit(JVM_BLANKS))
+    # as a generator of one row or none: a filter would be moved below the projection, and
+    # a line trimmed once for each use
+    kept = F.filter(F.array(trimmed), lambda t: (F.length(t) > 0) & ~F.startswith(t, F.lit("#")))
+    return lines.select(F.explode(kept).alias(col))
 
 
 def parse_libfm(lines: DataFrame, index_base: int = 0, col: str = "value") -> DataFrame:
     """Trimmed, filtered libFM lines -> ``y double, features``."""
-    # a filter derived from these expressions may run before the one on the lines, so
-    # they leave comments alone
-    line = F.when((F.length(col) > 0) & ~F.col(col).startswith("#"), F.col(col))
-    items = F.split(line, " ", -1)
+    items = F.split(F.col(col), " ", -1)
     tail = F.filter(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))),
                     lambda t: F.length(t) > 0)
-    ent = F.transform(tail, lambda t: F.struct(
-        (F.split(t, ":", -1)[0].cast("bigint") - F.lit(index_base)).alias("feature_id"),
-        F.split(t, ":", -1)[1].cast("double").alias("value")))
+    ent = F.transform(F.transform(tail, lambda t: F.split(t, ":", -1)), lambda p: F.struct(
+        (p[0].cast("bigint") - F.lit(index_base)).alias("feature_id"), p[1].cast("double").alias("value")))
     return lines.select(items[0].cast("double").alias("y"), ent.cast(FEATURES).alias("features"))
 
 
