@@ -7,7 +7,8 @@ whole-stage codegen).  ``w0`` is one scalar.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,27 @@ class FMModel:
     dimension: int
     trace: DataFrame | None = None
 
+    def save(self, path: str) -> None:
+        """Write the model below ``path``: ``params`` (one row a feature) and ``meta`` (one row)."""
+        spark = self.params.sparkSession
+        self.params.write.mode("overwrite").parquet(f"{path}/params")
+        meta = json.dumps({"w0": self.w0, "dimension": self.dimension, "cfg": asdict(self.cfg)})
+        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+    @staticmethod
+    def load(spark, path: str) -> "FMModel":
+        """The model written by ``save`` (without its trace)."""
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+        return FMModel(meta["w0"], spark.read.parquet(f"{path}/params"), FMConfig(**meta["cfg"]), meta["dimension"])
+
+    def grown(self, dimension: int) -> "FMModel":
+        """The model for a larger dimension: the new features' parameters as they are before
+        any training, the others unchanged."""
+        if dimension < self.dimension:
+            raise ValueError(f"the model has {self.dimension} features, not fewer ({dimension})")
+        more = init_params(self.params.sparkSession, dimension, self.cfg).where(F.col("feature_id") >= self.dimension)
+        return FMModel(self.w0, self.params.unionByName(more), self.cfg, dimension, self.trace)
+
 
 def vcols(k: int) -> list[str]:
     return [f"v{f}" for f in range(k)]

@@ -8,20 +8,26 @@ matched row takes the relation's features instead of the key's one-hot
 the two blocks have disjoint id ranges, a miss never shifts other fields' ids
 (Q10 deviation).
 
+A side table's own fields may be keys into further side tables (``Relation.relations``):
+those are encoded first, and a side row that matches takes the features of the row it
+points to, in a block of its own layout.  So a key's one-hot is replaced at every
+level that has a row, and the ids of a whole chain of tables lie in one range of the
+fact's layout.
+
 Plan: one left equi-join per relation.  The dimension side is broadcast when
 its exact row count is under the bound, otherwise both sides shuffle on the
 key (AQE splits a hot key's partition on the fact side)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ENTRY_OVERHEAD_BYTES, Scratch
 from .fields import IDENTITY, FieldSpec, split_target_inputs
-from .vectorize import FEATURES, Vectorized, _source_type, base_columns, vectorize_base, within_budget
+from .vectorize import FEATURES, Learned, Vectorized, _source_type, base_columns, vectorize_base, within_budget
 
 
 @dataclass
@@ -31,6 +37,7 @@ class Relation:
     specs: list[FieldSpec]
     on_duplicate: str = "error"      # or "first": keep the row with the smallest ``order_by``
     order_by: str | None = None
+    relations: dict[str, Relation] = field(default_factory=dict)     # of its own key columns
 
 
 @dataclass
@@ -65,7 +72,7 @@ def encode_relation(rel: Relation) -> EncodedRelation:
     dtypes = {s.column: _source_type(table, s.column) for s in rel.specs}
     base = table.select(F.col(key_spec.column).alias("row_id"), F.lit(0.0).alias("y"),
                         *[F.col(s.column).alias(f"_c{i}") for i, s in enumerate(inputs)])
-    vec = vectorize_base(base, inputs, dtypes)
+    vec = vectorize_related(base, inputs, dtypes, encode_relations(inputs, rel.relations))
     rows = Scratch(table.sparkSession, "relation").write(vec.rows.select(F.col("row_id").alias("key"), "features"))
     r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("features")).alias("m")).first()
     return EncodedRelation(rows, vec, key_spec.column, int(r["n"]), int(r["m"] or 0))
@@ -106,15 +113,8 @@ def attach(frame: DataFrame, column: str, side: DataFrame, key: str, small: bool
     return frame.where(F.col(column).isNotNull()).join(side, on, "left").unionByName(none.select("*", *blank))
 
 
-def relation_vectorize(df: DataFrame, specs: list[FieldSpec], relations: dict[str, Relation],
-                       row_id: str | None = None, keep_key: bool = False, ids: bool = True) -> Vectorized:
-    """Vectorize a fact table whose columns named in ``relations`` are keys
-    into side tables."""
-    _, inputs = split_target_inputs(specs)
-    encoded = encode_relations(inputs, relations)
-    extra = {i: (e.vec.dimension, e.vec.blocks()) for i, e in encoded.items()}
-    small, reserved = small_sides(df.sparkSession, encoded)
-
+def substitution(encoded: dict[int, EncodedRelation], small: set, keep_key: bool = False):
+    """Replaces (or, ``keep_key``, extends) the one-hot of each key that has a side row."""
     def substitute(frame: DataFrame, layout) -> DataFrame:
         for i, enc in encoded.items():
             shift = layout[i].offset + layout[i].blocks[0].size
@@ -128,15 +128,33 @@ def relation_vectorize(df: DataFrame, specs: list[FieldSpec], relations: dict[st
             frame = frame.withColumn(f"_a{i}", F.when(F.col(f"_rk{i}").isNotNull(), sub).otherwise(F.col(f"_a{i}")))
         return frame
 
+    return substitute
+
+
+def vectorize_related(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, str], encoded: dict[int, EncodedRelation],
+                      keep_key: bool = False, learned: Learned | None = None, unseen: str = "skip") -> Vectorized:
+    """``vectorize_base`` with side tables."""
+    extra = {i: (e.vec.dimension, e.vec.blocks()) for i, e in encoded.items()}
+    small, reserved = small_sides(base.sparkSession, encoded)
+    return vectorize_base(base, inputs, dtypes, extra=extra, reserved=reserved, learned=learned, unseen=unseen,
+                          substitute=substitution(encoded, small, keep_key) if encoded else None)
+
+
+def relation_vectorize(df: DataFrame, specs: list[FieldSpec], relations: dict[str, Relation],
+                       row_id: str | None = None, keep_key: bool = False, ids: bool = True) -> Vectorized:
+    """Vectorize a fact table whose columns named in ``relations`` are keys
+    into side tables, which may have side tables of their own."""
+    _, inputs = split_target_inputs(specs)
+    encoded = encode_relations(inputs, relations)
     base, dtypes = base_columns(df, specs, row_id, ids)
-    vec = vectorize_base(base, inputs, dtypes, extra=extra, substitute=substitute, reserved=reserved)
+    vec = vectorize_related(base, inputs, dtypes, encoded, keep_key)
 
-    def encode(other: DataFrame, unseen: str) -> DataFrame:
+    def encode(other: DataFrame, unseen: str, learned: Learned | None = None) -> DataFrame:
         b, types = base_columns(other, specs, row_id, ids, target=False)
-        return vectorize_base(b, inputs, types, extra=extra, substitute=substitute, learned=vec.learned,
-                              unseen=unseen, reserved=reserved).rows
+        return vectorize_related(b, inputs, types, encoded, keep_key, learned or vec.learned, unseen).rows
 
     vec.encoder = encode
+    vec.inputs = inputs
     return vec
 
 

@@ -20,7 +20,7 @@ Nothing row- or feature-sized is collected to the driver.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,8 +66,9 @@ class Vectorized:
     layout: list[FieldLayout]
     dictionary: DataFrame
     dimension: int
-    encoder: Callable[[DataFrame, str], DataFrame] | None = None
+    encoder: Callable[..., DataFrame] | None = None
     learned: "Learned | None" = None
+    inputs: list[FieldSpec] = field(default_factory=list)
 
     def entries(self) -> DataFrame:
         """Long form ``row_id, feature_id, value`` (one row per non-zero)."""
@@ -76,6 +77,17 @@ class Vectorized:
     def blocks(self) -> list[Block]:
         return [b for f in self.layout for b in f.blocks]
 
+    def extend(self, df: DataFrame) -> "Vectorized":
+        """The same with the tokens of ``df`` that the dictionaries lack (``extend_dictionary``):
+        a new version, whose ``rows`` are those of ``df``.  Old ids stay as they are, the new
+        ones follow the last old one, so parameters fitted on an older version keep their
+        meaning."""
+        learned, layout, dimension = extend_dictionary(self.learned, self.layout, self.inputs, self.dimension, df)
+        out = Vectorized(self.encoder(df, "error", learned), layout, dictionary_frame(df.sparkSession, learned, layout), dimension)
+        out.learned, out.inputs = learned, self.inputs
+        out.encoder = lambda other, unseen, known=None: self.encoder(other, unseen, known or learned)
+        return out
+
     def encode(self, df: DataFrame, unseen: str = "error") -> DataFrame:
         """``row_id, y, features`` of other data of the same columns, by the learned
         dictionaries.  A token that they lack raises (``unseen="error"``) or has no
@@ -87,10 +99,82 @@ class Vectorized:
 
 @dataclass
 class Learned:
-    """Dictionaries of the categorical fields with their exact sizes and token bytes."""
+    """Dictionaries of the categorical fields (``token, code``: the id less the field's
+    offset) with their exact sizes and token bytes.  ``first`` holds the sizes at version 0:
+    the field's own block has so many ids, later tokens' ids lie after all fields."""
     dicts: dict[int, DataFrame]
     sizes: dict[int, int]
     nbytes: dict[int, int]
+    version: int = 0
+    first: dict[int, int] = field(default_factory=dict)
+
+    def own(self, i: int) -> int:
+        return self.first.get(i, self.sizes[i])
+
+    def save(self, path: str) -> None:
+        """Write the dictionaries as one Parquet table: field, token, code, version, own."""
+        if not self.dicts:
+            raise ValueError("no dictionary to save")
+        parts = [d.select(F.lit(i).alias("field"), "token", "code", F.lit(self.version).alias("version"),
+                          F.lit(self.own(i)).cast("bigint").alias("own")) for i, d in self.dicts.items()]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        out.write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark, path: str, fields: list[int]) -> "Learned":
+        """The dictionaries saved at ``path``; ``fields``: the positions of all categorical
+        fields (one whose dictionary is empty has no row there)."""
+        saved = spark.read.parquet(path)
+        rows = {r["field"]: r for r in saved.groupBy("field").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("b"), F.max("version").alias("v"),
+            F.max("own").alias("own")).collect()}
+        return Learned({i: saved.where(F.col("field") == i).select("token", "code") for i in fields},
+                       {i: int(rows[i]["n"]) if i in rows else 0 for i in fields},
+                       {i: int(rows[i]["b"]) if i in rows else 0 for i in fields},
+                       max((r["v"] for r in rows.values()), default=0),
+                       {i: int(rows[i]["own"]) if i in rows else 0 for i in fields})
+
+
+def dictionary_frame(spark, learned: Learned, layout: list[FieldLayout]) -> DataFrame:
+    """``field, token, code, feature_id`` of all categorical fields."""
+    out = None
+    for i, d in learned.dicts.items():
+        part = d.select(F.lit(i).alias("field"), "token", "code", (F.col("code") + F.lit(layout[i].offset)).alias("feature_id"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "field int, token string, code bigint, feature_id bigint")
+
+
+def extend_dictionary(learned: Learned, layout: list[FieldLayout], inputs: list[FieldSpec], dimension: int,
+                      df: DataFrame) -> tuple[Learned, list[FieldLayout], int]:
+    """The next version of the dictionaries: the tokens of ``df`` that a field lacks (an
+    anti-join) get the ids after ``dimension``, field by field in token order; each field
+    that grows gets one more block there.  Returns it with the layout and the dimension."""
+    cat = [(i, s) for i, s in enumerate(inputs) if s.categorical]
+    base = df.select(*[F.col(s.column).alias(f"_c{i}") for i, s in enumerate(inputs)])
+    scratch = Scratch(df.sparkSession, "dictionary")
+    dicts, sizes, nbytes = dict(learned.dicts), dict(learned.sizes), dict(learned.nbytes)
+    layout = [replace(f, blocks=list(f.blocks)) for f in layout]
+    # the whole of each field's tokens is made distinct before it meets the dictionary
+    for i, s in cat:
+        c = F.col(f"_c{i}")
+        tokens = base.select((F.explode(_tokens(s, c)) if s.kind == LIST else c.cast("string")).alias("token"))
+        known = dicts[i].select("token")
+        if sizes[i] <= broadcast_rows(df.sparkSession) and nbytes[i] + sizes[i] * ENTRY_OVERHEAD_BYTES <= broadcast_bytes(df.sparkSession):
+            known = F.broadcast(known)
+        new = scratch.write(tokens.where(F.col("token").isNotNull()).distinct().join(known, "token", "left_anti"))
+        r = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("b")).first()
+        if not r["n"]:
+            continue
+        coded, _ = dense_ids(new, r["n"])
+        grown = coded.select("token", (F.col("code") + F.lit(dimension - layout[i].offset)).alias("code"))
+        dicts[i] = scratch.write(dicts[i].unionByName(grown))
+        sizes[i], nbytes[i] = sizes[i] + int(r["n"]), nbytes[i] + int(r["b"] or 0)
+        layout[i].blocks.append(Block(f"{s.column}+{learned.version + 1}", dimension, int(r["n"]), s.kind == LIST))
+        dimension += int(r["n"])
+    first = {i: learned.own(i) for i in dicts}
+    return Learned(dicts, sizes, nbytes, learned.version + 1, first), layout, dimension
 
 
 def within_budget(spark, sides: dict, budget: int | None = None) -> set:
@@ -198,11 +282,12 @@ def standard_vectorize(df: DataFrame, specs: list[FieldSpec], row_id: str | None
     base, dtypes = base_columns(df, specs, row_id, ids)
     vec = vectorize_base(base, inputs, dtypes)
 
-    def encode(other: DataFrame, unseen: str) -> DataFrame:
+    def encode(other: DataFrame, unseen: str, learned: Learned | None = None) -> DataFrame:
         b, types = base_columns(other, specs, row_id, ids, target=False)
-        return vectorize_base(b, inputs, types, learned=vec.learned, unseen=unseen).rows
+        return vectorize_base(b, inputs, types, learned=learned or vec.learned, unseen=unseen).rows
 
     vec.encoder = encode
+    vec.inputs = inputs
     return vec
 
 
@@ -229,7 +314,7 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
     layout: list[FieldLayout] = []
     offset = 0
     for i, s in enumerate(inputs):
-        size = sizes[i] if s.categorical else 1
+        size = learned.own(i) if s.categorical else 1
         blocks = [Block(s.column, offset, size, s.kind == LIST)]
         width = size
         if i in extra:
@@ -240,15 +325,7 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
         offset += width
     dimension = offset
 
-    dict_parts = [d.select(F.lit(i).alias("field"), "token", "code",
-                           (F.col("code") + F.lit(layout[i].offset)).alias("feature_id"))
-                  for i, d in dicts.items()]
-    if dict_parts:
-        dictionary = dict_parts[0]
-        for p in dict_parts[1:]:
-            dictionary = dictionary.unionByName(p)
-    else:
-        dictionary = spark.createDataFrame([], "field int, token string, code bigint, feature_id bigint")
+    dictionary = dictionary_frame(spark, learned, layout)
 
     enc = base
     for i, s in enumerate(inputs):

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -514,6 +516,58 @@ def q_relation_vectorize_two(spark, sf_dir):
     return _entries_out(lineitem_two_relations(spark, sf_dir), key="line_id", with_y=True)
 
 
+@query("relation_vectorize_nested")
+def q_relation_vectorize_nested(spark, sf_dir):
+    """lineitem -> supplier -> nation -> region, each encoded into the one that points to it;
+    one region has no row."""
+    from ..operators.fields import Identity, Target
+    li = X.table(spark, sf_dir, "lineitem").withColumn("line_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    region = R.Relation(X.table(spark, sf_dir, "region").where(F.col("r_name") != X.REGION_DROPPED), X.REGION_SPECS)
+    nation = R.Relation(X.table(spark, sf_dir, "nation"), X.NATION_SPECS, relations={"n_regionkey": region})
+    supplier = R.Relation(X.table(spark, sf_dir, "supplier"), X.SUPPLIER_KEY_SPECS, relations={"s_nationkey": nation})
+    specs = [Identity("l_suppkey"), Identity("l_returnflag"), Target("l_extendedprice", transform=X.price_target)]
+    return _entries_out(R.relation_vectorize(li, specs, {"l_suppkey": supplier}, row_id="line_id"), key="line_id", with_y=True)
+
+
+@query("extend_dictionary")
+def q_extend_dictionary(spark, sf_dir):
+    """The dictionary of some users' events, extended by the tokens of all events: old ids
+    stay, new ones follow the last old one."""
+    ev = X.table(spark, sf_dir, "events")
+    vec = standard_vectorize(ev.where(F.col("user_id") % X.UNSEEN_MODULUS != 0), X.EVENTS_SPECS, row_id="event_id")
+    more = vec.extend(ev)
+    return more.rows.select("row_id", F.inline("features")).select(
+        big("row_id").alias("row_id"), big("feature_id").alias("feature_id"), r6("value").alias("value"))
+
+
+def arrow_log1p():
+    """``log(1 + x)`` of a column as an Arrow-batched function; null stays null."""
+    @F.pandas_udf("double")
+    def log1p(x: pd.Series) -> pd.Series:
+        return np.log1p(x.astype("float64"))
+
+    return log1p
+
+
+def arrow_token_weight():
+    """A tenth of a token's length; a null token has no weight."""
+    @F.pandas_udf("double")
+    def weight(token: pd.Series) -> pd.Series:
+        return token.str.len().astype("float64") / 10
+
+    return weight
+
+
+@query("custom_transform_arrow")
+def q_custom_transform_arrow(spark, sf_dir):
+    """Vectorised functions in the transform slots: of a number, and of each token of a list."""
+    from ..operators.fields import List, Number, Target
+    specs = [List("p_name", sep=" ", transform=arrow_token_weight()), Number("p_size", transform=arrow_log1p()),
+             Target("p_retailprice")]
+    vec = standard_vectorize(X.table(spark, sf_dir, "part"), specs, row_id="p_partkey")
+    return _entries_out(vec, key="p_partkey")
+
+
 @query("encode_unseen")
 def q_encode_unseen(spark, sf_dir):
     """Dictionaries learned from some users' events encode all events; the others'

@@ -71,6 +71,13 @@ ONE_PASS_CFG = LEARN_CFG.with_(iterations=1)
 PART_SIDE_SPECS = [Target("p_partkey"), List("p_name", sep=" "), Identity("p_brand")]
 SUPPLIER_SPECS = [Target("s_suppkey"), Identity("s_nationkey"), Number("s_acctbal", transform=acctbal_number)]
 
+# a chain of side tables: supplier -> nation -> region
+SUPPLIER_KEY_SPECS = [Target("s_suppkey"), Identity("s_nationkey"), Number("s_acctbal", transform=acctbal_number)]
+NATION_SPECS = [Target("n_nationkey"), Identity("n_regionkey")]
+REGION_SPECS = [Target("r_regionkey"), Identity("r_name")]
+# regions that have no row in the chain, so that their nations keep the key's one-hot
+REGION_DROPPED = "ASIA"
+
 # users whose id this divides are not in the dictionary that encode_unseen learns
 UNSEEN_MODULUS = 3
 

@@ -799,3 +799,59 @@ oracle("relational_fit", with_(materialized(flat_sweep_ctes(REL_ROWS, 6, "v1", p
 SELECT CAST(feature_id AS BIGINT) AS feature_id, {r6('w')} AS w, {r6('v0')} AS v0, {r6('v1')} AS v1,
        {r6('(SELECT w0 FROM fw0_2)')} AS w0
   FROM fp_w_2 JOIN fp_v0_2 USING (feature_id) JOIN fp_v1_2 USING (feature_id)"""))
+
+
+# ---- a chain of side tables -------------------------------------------------------------------
+def _codes(name: str, column: str, table: str) -> str:
+    return (f"{name} AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code "
+            f"FROM (SELECT DISTINCT CAST({column} AS VARCHAR) AS token FROM {table}))")
+
+
+oracle("relation_vectorize_nested", f"""
+WITH rg AS (SELECT * FROM region WHERE r_name <> '{X.REGION_DROPPED}'),
+{_codes('d_sk', 'l_suppkey', 'lineitem')}, {_codes('d_nk', 's_nationkey', 'supplier')},
+{_codes('d_rk', 'n_regionkey', 'nation')}, {_codes('d_rn', 'r_name', 'rg')}, {_codes('d_rf', 'l_returnflag', 'lineitem')},
+d AS (SELECT (SELECT count(*) FROM d_sk) AS ns, (SELECT count(*) FROM d_nk) AS nn, (SELECT count(*) FROM d_rk) AS nr,
+             (SELECT count(*) FROM d_rn) AS nm),
+-- local ids of each level: own one-hot, then the level below
+nat AS (SELECT n.n_nationkey AS key, CASE WHEN r.r_regionkey IS NULL THEN k.code ELSE d.nr + m.code END AS fid
+          FROM nation n CROSS JOIN d JOIN d_rk k ON k.token = CAST(n.n_regionkey AS VARCHAR)
+          LEFT JOIN rg r ON r.r_regionkey = n.n_regionkey LEFT JOIN d_rn m ON m.token = r.r_name),
+sup AS (SELECT s.s_suppkey AS key, CASE WHEN nat.key IS NULL THEN k.code ELSE d.nn + nat.fid END AS fid, 1.0 AS v
+          FROM supplier s CROSS JOIN d JOIN d_nk k ON k.token = CAST(s.s_nationkey AS VARCHAR)
+          LEFT JOIN nat ON nat.key = s.s_nationkey
+        UNION ALL SELECT s.s_suppkey, d.nn + d.nr + d.nm, s.s_acctbal / {X.ACCTBAL_SCALE!r} FROM supplier s CROSS JOIN d
+         WHERE s.s_acctbal <> 0),
+li AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_extendedprice / {X.PRICE_SCALE!r} AS y, * FROM lineitem),
+ent AS (
+  SELECT line_id, y, d.ns + sup.fid AS fid, sup.v FROM li CROSS JOIN d JOIN sup ON sup.key = l_suppkey
+  UNION ALL SELECT line_id, y, k.code, 1.0 FROM li JOIN d_sk k ON k.token = CAST(l_suppkey AS VARCHAR)
+    WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+  UNION ALL SELECT line_id, y, d.ns + d.nn + d.nr + d.nm + 1 + k.code, 1.0 FROM li CROSS JOIN d JOIN d_rf k ON k.token = l_returnflag)
+SELECT CAST(line_id AS BIGINT) AS line_id, {r6('y')} AS y, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM ent""")
+
+
+# ---- a dictionary that grows --------------------------------------------------------------------
+oracle("extend_dictionary", f"""
+WITH learned AS (SELECT * FROM events WHERE user_id % {X.UNSEEN_MODULUS} <> 0),
+{_codes('u', 'user_id', 'learned')}, {_codes('t', 'event_type', 'learned')},
+d AS (SELECT (SELECT count(*) FROM u) AS nu, (SELECT count(*) FROM t) AS nt),
+u2 AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+         FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS token FROM events) WHERE token NOT IN (SELECT token FROM u)),
+t2 AS (SELECT token, dense_rank() OVER (ORDER BY token) - 1 AS code
+         FROM (SELECT DISTINCT event_type AS token FROM events) WHERE token NOT IN (SELECT token FROM t)),
+ids AS (SELECT 'u' AS f, token, code AS fid FROM u UNION ALL SELECT 't', token, d.nu + code FROM t CROSS JOIN d
+        UNION ALL SELECT 'u', token, d.nu + d.nt + 1 + code FROM u2 CROSS JOIN d
+        UNION ALL SELECT 't', token, d.nu + d.nt + 1 + (SELECT count(*) FROM u2) + code FROM t2 CROSS JOIN d),
+ent AS (
+  SELECT event_id AS row_id, fid, 1.0 AS v FROM events JOIN ids ON f = 'u' AND token = CAST(user_id AS VARCHAR)
+  UNION ALL SELECT event_id, fid, 1.0 FROM events JOIN ids ON f = 't' AND token = event_type
+  UNION ALL SELECT event_id, d.nu + d.nt, CAST((epoch_us(ts) // 1000000) // 86400 AS DOUBLE) FROM events CROSS JOIN d)
+SELECT CAST(row_id AS BIGINT) AS row_id, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM ent WHERE v <> 0""")
+
+
+oracle("custom_transform_arrow", f"""
+WITH {PART_LIST.strip()},
+ent AS (SELECT DISTINCT t.p_partkey AS k, d.code AS fid, length(d.token) / 10.0 AS v FROM pt_tok t JOIN pt_dict d USING (token)
+        UNION ALL SELECT p_partkey, (SELECT count(*) FROM pt_dict), ln(1 + p_size) FROM part)
+SELECT CAST(k AS BIGINT) AS p_partkey, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM ent WHERE v <> 0""")

@@ -1,6 +1,6 @@
 import pytest
 
-from fmlattice.operators.fields import Identity, Number, Target
+from fmlattice.operators.fields import Identity, List, Number, Target
 from fmlattice.operators.relations import Relation, encode_relation, relation_vectorize
 
 
@@ -61,3 +61,44 @@ def test_learned_relation_encodes_other_facts(spark):
     other = spark.createDataFrame([(9, 11, "p"), (8, 99, "q")], "id long, uid long, kind string")
     got = {r["row_id"]: [e["feature_id"] for e in r["features"]] for r in vec.encode(other, unseen="skip").collect()}
     assert got == {9: [3, 5, 6], 8: [7]}
+
+
+def chain(spark):
+    fact = spark.createDataFrame([(i, i % 7 if i % 5 else None, float(i)) for i in range(40)], "id long, sup long, y double")
+    sup = spark.createDataFrame([(0, "n0", 1.0), (1, "n1", 2.0), (2, "n9", 3.0), (3, None, 4.0), (4, "n0", 0.0)],
+                                "sup long, nation string, bal double")
+    nation = spark.createDataFrame([("n0", 0), ("n1", 1), ("n2", 0)], "nation string, region int")
+    region = spark.createDataFrame([(0, "R|S")], "region int, names string")
+    r = Relation(region, [Target("region"), List("names", sep="|")])
+    n = Relation(nation, [Target("nation"), Identity("region")], relations={"region": r})
+    return fact, Relation(sup, [Target("sup"), Identity("nation"), Number("bal")], relations={"nation": n})
+
+
+def test_chain_of_side_tables(spark):
+    """Each level's key gives way to the row it points to; misses at any level keep it."""
+    fact, rel = chain(spark)
+    vec = relation_vectorize(fact, [Identity("sup"), Target("y")], {"sup": rel}, row_id="id")
+    # fact keys 0..6 | nations n0 n1 n9 | regions 0 1 | names R S | bal
+    assert [(b.offset, b.size) for b in vec.blocks()] == [(0, 7), (7, 3), (10, 2), (12, 2), (14, 1)]
+    got = {r["row_id"]: {(e["feature_id"], e["value"]) for e in r["features"]} for r in vec.rows.collect()}
+    of = {0: {(12, 0.5), (13, 0.5), (14, 1.0)}, 1: {(11, 1.0), (14, 2.0)}, 2: {(9, 1.0), (14, 3.0)}, 3: {(14, 4.0)},
+          4: {(12, 0.5), (13, 0.5)}, 5: {(5, 1.0)}, 6: {(6, 1.0)}}
+    for i in range(40):
+        assert got[i] == (of[i % 7] if i % 5 else set()), i
+
+
+def test_relational_learning_over_a_chain(spark):
+    from fmlattice.operators import als as A
+    from fmlattice.operators import model as M
+    from fmlattice.operators import relational as RL
+    from fmlattice.operators.blocks import conflict_free_blocks
+    fact, rel = chain(spark)
+    specs = [Identity("sup"), Target("y")]
+    cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.2, seed=4, regv=0.5, regw=0.5)
+    flat = relation_vectorize(fact, specs, {"sup": rel}, row_id="id")
+    params = M.init_params(spark, flat.dimension, cfg)
+    a = A.als_iteration(A.prepare(flat.rows, conflict_free_blocks(flat.rows, flat.blocks())), params, 0.0, cfg, flat.dimension)
+    data = RL.relational_dataset(fact, specs, {"sup": rel}, row_id="id")
+    b = RL.relational_iteration(RL.prepare_relational(data), params, 0.0, cfg)
+    x, y = (p.params.orderBy("feature_id").toPandas() for p in (a, b))
+    assert abs(x.w - y.w).max() < 1e-9 and abs(x.v0 - y.v0).max() < 1e-9

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from fmlattice.operators.dictionary import dense_ids
 from fmlattice.operators.fields import Identity, List, Number, Target, Time, split_target_inputs
@@ -116,3 +117,62 @@ def test_null_and_hot_tokens_over_the_broadcast_bound(spark):
         assert rows_of(standard_vectorize(df, specs, row_id="id")) == small
     finally:
         spark.conf.unset("fmlattice.broadcastBytes")
+
+
+def grown(spark):
+    from fmlattice.operators.fields import Identity, List, Number, Target
+    old = spark.createDataFrame([(1, "b", "x|y", 1.0, 0.5), (2, "d", "y", 2.0, 0.1)], "id long, c string, l string, n double, y double")
+    new = spark.createDataFrame([(3, "a", "z|x", 3.0, 0.2), (4, "b", "y|y|w", 0.0, 0.3), (5, None, "", 1.0, 0.4)],
+                                "id long, c string, l string, n double, y double")
+    return standard_vectorize(old, [Identity("c"), List("l", sep="|"), Number("n"), Target("y")], row_id="id"), old, new
+
+
+def entries(rows):
+    return {r["row_id"]: [(e["feature_id"], e["value"]) for e in r["features"]] for r in rows.collect()}
+
+
+def test_extended_dictionaries_keep_old_ids(spark, tmp_path):
+    vec, old, new = grown(spark)
+    # c: b d | l: x y | n; then c: a, l: '' w z
+    more = vec.extend(new)
+    assert more.dimension == 9 and [(b.name, b.offset, b.size) for b in more.blocks()] == [
+        ("c", 0, 2), ("c+1", 5, 1), ("l", 2, 2), ("l+1", 6, 3), ("n", 4, 1)]
+    assert entries(more.rows) == {3: [(5, 1.0), (2, 0.5), (8, 0.5), (4, 3.0)], 4: [(0, 1.0), (3, 1 / 3), (7, 1 / 3)],
+                                  5: [(6, 1.0), (4, 1.0)]}
+    assert entries(more.encode(old)) == entries(vec.rows)
+    again = more.extend(spark.createDataFrame([(9, "zz", "x", 1.0, 0.0)], old.schema))
+    assert again.dimension == 10 and entries(again.rows)[9] == [(9, 1.0), (2, 1.0), (4, 1.0)]
+    assert again.extend(old).dimension == 10
+    assert more.dictionary.count() == 8
+
+
+def test_saved_dictionaries_and_models(spark, tmp_path):
+    from fmlattice.operators import model as M
+    from fmlattice.operators.vectorize import Learned
+    vec, old, new = grown(spark)
+    more = vec.extend(new)
+    more.learned.save(str(tmp_path / "dict"))
+    back = Learned.load(spark, str(tmp_path / "dict"), [0, 1])
+    assert (back.sizes, back.nbytes, back.version, back.first) == (more.learned.sizes, more.learned.nbytes, 1, more.learned.first)
+    assert entries(vec.encoder(new, "error", back)) == entries(more.rows)
+    cfg = M.FMConfig(k=2, init_stdev=0.1, seed=4)
+    model = M.FMModel(0.5, M.init_params(spark, vec.dimension, cfg), cfg, vec.dimension)
+    model.save(str(tmp_path / "model"))
+    loaded = M.FMModel.load(spark, str(tmp_path / "model"))
+    assert (loaded.w0, loaded.cfg, loaded.dimension) == (0.5, cfg, vec.dimension)
+    assert loaded.params.orderBy("feature_id").collect() == model.params.orderBy("feature_id").collect()
+    wide = loaded.grown(more.dimension)
+    assert wide.params.count() == more.dimension
+    assert wide.params.where(F.col("feature_id") < vec.dimension).orderBy("feature_id").collect() == \
+        model.params.orderBy("feature_id").collect()
+
+
+def test_arrow_functions_as_transforms(spark):
+    """One Python evaluation in the plan; a null number has no entry."""
+    from fmlattice.operators.fields import Number, Target
+    from fmlattice.plans.catalog import arrow_log1p
+    df = spark.createDataFrame([(1, 1.0, 0.0), (2, None, 0.0), (3, 0.0, 0.0)], "id long, n double, y double")
+    vec = standard_vectorize(df, [Number("n", transform=arrow_log1p()), Target("y")], row_id="id")
+    plan = vec.rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert entries(vec.rows) == {1: [(0, 0.6931471805599453)], 2: [], 3: []}
