@@ -61,11 +61,84 @@ MARKS = re.compile("©|copyright|all rights reserved|cookie|subscribe|newsletter
 HELD = re.compile(r"</(select|noscript|template)(?=[\s/>])", re.I)
 
 
+class Open:
+    """An open element.  ``up``: the nearest enclosing one that counts (no inline element
+    without class or id words); ``own``: its hashed features; ``new``: those that none of
+    the enclosing ones has.  Blocks share these nodes, so a page of n elements takes memory
+    for n, however deep it is."""
+
+    __slots__ = ("name", "inline", "words", "up", "own", "new", "sums")
+
+    def __init__(self, name, words):
+        self.name, self.words = name, words
+        self.inline = name in INLINE
+        self.up = self.own = self.new = self.sums = None
+
+    def counts(self) -> bool:
+        return not self.inline or bool(self.words)
+
+
 class Block:
-    __slots__ = ("path", "parts", "linked", "text", "n")
+    __slots__ = ("inside", "parts", "linked", "text", "n")
+
+    def __init__(self, inside):
+        self.inside, self.parts, self.linked = inside, [], 0
 
-    def __init__(self, path):
-        self.path, self.parts, self.linked = path, [], 0
+
+class Elements:
+    """The open elements, with what finds one of a name, or the innermost block, at once."""
+
+    def __init__(self):
+        self.stack: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []         # places of those that are not inline
+        self.inside: Open | None = None     # the innermost one that counts
+        self.held: dict[int, int] = {}      # hashed features of the open ones
+        self.links = 0
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        o, at = Open(name, words), len(self.stack)
+        self.stack.append(o)
+        self.places.setdefault(name, []).append(at)
+        self.links += name == "a"
+        if not o.inline:
+            self.blocks.append(at)
+        if o.counts():
+            o.up, self.inside = self.inside, o
+            o.own = {hashed(f"in:{name}"), *(hashed(f"word:{w}") for w in words)}
+            o.new = tuple(sorted(f for f in o.own if not self.held.get(f)))
+            for f in o.own:
+                self.held[f] = self.held.get(f, 0) + 1
+
+    def close(self, depth: int) -> None:
+        """Close the elements from ``depth`` on."""
+        while len(self.stack) > depth:
+            o = self.stack.pop()
+            self.places[o.name].pop()
+            self.links -= o.name == "a"
+            if not o.inline:
+                self.blocks.pop()
+            if o.own is not None:
+                self.inside = o.up
+                for f in o.own:
+                    self.held[f] -= 1
+
+    def last(self, name: str) -> int | None:
+        places = self.places.get(name)
+        return places[-1] if places else None
+
+    def close_innermost(self, ends, border=frozenset(), through=None) -> None:
+        """Close the innermost open block of ``ends`` unless one of ``border`` (or, with
+        ``through``, any but those) lies within it."""
+        if not any(self.places.get(e) for e in ends):
+            return
+        for at in reversed(self.blocks):
+            name = self.stack[at].name
+            if name in ends:
+                self.close(at)
+                return
+            if name in border or (through is not None and name not in through):
+                return
 
 
 def attribute_words(attrs: str) -> tuple[str, ...]:
@@ -83,9 +156,8 @@ def attribute_words(attrs: str) -> tuple[str, ...]:
 def leaf_blocks(html: str) -> list[Block]:
     """The page's blocks with some text, in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []       # open elements, inline ones too
+    open_ = Elements()
     current: Block | None = None
-    links = 0
     at, n = 0, len(html)
     find = TOKEN.search
     last_end = {m.group(1).lower(): m.start() for m in HELD.finditer(html)}
@@ -95,10 +167,10 @@ def leaf_blocks(html: str) -> list[Block]:
         if current is None:
             if not piece.strip():
                 return
-            current = Block(tuple(e for e in stack if e[0] not in INLINE or e[1]))
+            current = Block(open_.inside)
             blocks.append(current)
         current.parts.append(piece)
-        if links:
+        if open_.links:
             current.linked += len(piece)
 
     while at < n:
@@ -118,15 +190,14 @@ def leaf_blocks(html: str) -> list[Block]:
             continue
         name = name.lower()
         if m.group("end"):
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name not in INLINE:
                 current = None
+            depth = open_.last(name)
             if depth is None:
                 continue
-            if name in INLINE and any(e[0] not in INLINE for e in stack[depth + 1:]):
+            if name in INLINE and open_.blocks and open_.blocks[-1] > depth:
                 continue                                # an inline end tag does not close blocks
-            links -= sum(e[0] == "a" for e in stack[depth:])
-            del stack[depth:]
+            open_.close(depth)
             continue
         attrs = m.group("attrs")
         if name == "br":
@@ -142,45 +213,24 @@ def leaf_blocks(html: str) -> list[Block]:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             if name in SHOWN:
                 current = None
-                stack.append((name, attribute_words(attrs) if attrs else ()))
+                open_.push(name, attribute_words(attrs) if attrs else ())
                 add(html[at:close.start() if close else n].replace("&", "&amp;"))     # as it stands
-                stack.pop()
+                open_.close(len(open_.stack) - 1)
                 current = None
             at = close.end() if close else n
             continue
         if name not in INLINE:
             current = None
             if name in CLOSES:
-                ends, border = CLOSES[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in border:
-                        break
-                    if stack[i][0] in ends:
-                        links -= sum(e[0] == "a" for e in stack[i:])
-                        del stack[i:]
-                        break
+                open_.close_innermost(*CLOSES[name])
             if name not in ("option", "optgroup"):      # a select holds nothing else
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "select":
-                        links -= sum(e[0] == "a" for e in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE and stack[i][0] not in ("option", "optgroup"):
-                        break
-            for i in range(len(stack) - 1, -1, -1):     # a block closes an open paragraph
-                if name in KEEPS_P:
-                    break
-                if stack[i][0] == CLOSED_BY_BLOCK:
-                    links -= sum(e[0] == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+                open_.close_innermost({"select"}, through={"option", "optgroup"})
+            if name not in KEEPS_P:                     # a block closes an open paragraph
+                open_.close_innermost({CLOSED_BY_BLOCK}, through=())
         if name in ("select", "noscript", "template") and last_end.get(name, -1) < at:
             continue                                    # never closed: the page's rest is not its content
         if not attrs.endswith("/"):
-            stack.append((name, attribute_words(attrs) if attrs else ()))
-            links += name == "a"
+            open_.push(name, attribute_words(attrs) if attrs else ())
     out = []
     for b in blocks:
         b.text = SPACE.sub(" ", unescape("".join(b.parts))).strip()
@@ -195,37 +245,41 @@ def hashed(feature) -> int:
     return crc32(repr(feature).encode("utf-8")) & ((1 << BITS) - 1)
 
 
-@lru_cache(maxsize=1 << 14)
-def path_features(path) -> tuple[int, ...]:
-    names = [f"in:{tag}" for tag, _ in path]
-    words = [f"word:{w}" for _, ws in path for w in ws]
-    own = [f"own:{path[-1][0]}"] + [f"own-word:{w}" for w in path[-1][1]] if path else ["own:none"]
-    return tuple(sorted({hashed(f) for f in [*names, *words, *own]}))
-
-
 def bucket(x: float, cuts) -> int:
     return sum(x >= c for c in cuts)
 
 
-def features(blocks: list[Block]) -> list[tuple[int, ...]]:
-    out = []
-    for i, b in enumerate(blocks):
-        raw = sum(map(len, b.parts)) or 1
-        words = b.text.count(" ") + 1
-        low = b.text[:400].lower()
-        f = [("words", bucket(words, (2, 4, 8, 16, 32, 64))), ("links", bucket(b.linked / raw, (0.01, 0.3, 0.7))),
-             ("stops", bucket((b.text.count(".") + b.text.count(",")) / words, (0.01, 0.05, 0.15))),
-             ("ends", b.text[-1] in ".!?:;…»”\"'"), ("upper", b.text[0].isupper()),
-             ("place", bucket((i + 1) / (len(blocks) + 1), (0.1, 0.3, 0.7, 0.9))), ("bias", 1)]
-        f += [("mark", m) for m in set(MARKS.findall(b.text[:400].lower()))]
-        if i == 0:
-            f.append(("place", "first"))
-        if i == len(blocks) - 1:
-            f.append(("place", "last"))
-        out.append(path_features(b.path) + tuple(hashed(x) for x in f))
+def own_features(b: Block, i: int, n: int) -> list[int]:
+    """Features of block ``i`` of ``n``: its element and its whole text."""
+    raw = sum(map(len, b.parts)) or 1
+    words = b.text.count(" ") + 1
+    inside = b.inside
+    f = [f"own:{inside.name}", *(f"own-word:{w}" for w in set(inside.words))] if inside else ["own:none"]
+    f += [("words", bucket(words, (2, 4, 8, 16, 32, 64))), ("links", bucket(b.linked / raw, (0.01, 0.3, 0.7))),
+          ("stops", bucket((b.text.count(".") + b.text.count(",")) / words, (0.01, 0.05, 0.15))),
+          ("ends", b.text[-1] in ".!?:;…»”\"'"), ("upper", b.text[0].isupper()),
+          ("place", bucket((i + 1) / (n + 1), (0.1, 0.3, 0.7, 0.9))), ("bias", 1)]
+    f += [("mark", m) for m in set(MARKS.findall(b.text.lower()))]
+    if i == 0:
+        f.append(("place", "first"))
+    if i == n - 1:
+        f.append(("place", "last"))
+    return [hashed(x) for x in f]
+
+
+def path_features(inside: Open | None) -> list[int]:
+    out: list[int] = []
+    while inside is not None:
+        out += inside.new
+        inside = inside.up
     return out
 
 
+def features(blocks: list[Block]) -> list[tuple[int, ...]]:
+    """All features of each block, for training; a page is decoded by ``decode_blocks``."""
+    return [tuple(path_features(b.inside) + own_features(b, i, len(blocks))) for i, b in enumerate(blocks)]
+
+
 class Chain:
     """Two-state linear-chain CRF over hashed binary features."""
 
@@ -289,7 +343,33 @@ class Chain:
         if not feats:
             return []
         w0, w1 = self.frozen
-        emit = [(sum([w0[k] for k in f]), sum([w1[k] for k in f])) for f in feats]
+        return self.best([(sum([w0[k] for k in f]), sum([w1[k] for k in f])) for f in feats])
+
+    def decode_blocks(self, blocks: list[Block]) -> list[int]:
+        """``decode`` of their features.  What an element adds to the score of all blocks
+        within it is kept with it, so the work is linear in the page."""
+        if not blocks:
+            return []
+        w0, w1 = self.frozen
+        emit = []
+        for i, b in enumerate(blocks):
+            s0, s1 = self.inherited(b.inside)
+            own = own_features(b, i, len(blocks))
+            emit.append((s0 + sum([w0[k] for k in own]), s1 + sum([w1[k] for k in own])))
+        return self.best(emit)
+
+    def inherited(self, inside: Open | None) -> tuple[float, float]:
+        w0, w1 = self.frozen
+        above = []
+        while inside is not None and inside.sums is None:
+            above.append(inside)
+            inside = inside.up
+        sums = inside.sums if inside is not None else (0.0, 0.0)
+        for o in reversed(above):
+            sums = o.sums = (sums[0] + sum([w0[k] for k in o.new]), sums[1] + sum([w1[k] for k in o.new]))
+        return sums
+
+    def best(self, emit: list[tuple[float, float]]) -> list[int]:
         (a00, a01), (a10, a11) = self.step.tolist()
         s0, s1 = emit[0]
         back = []
@@ -307,7 +387,7 @@ class Chain:
 
 def main_text(chain: Chain, html: str) -> str:
     blocks = leaf_blocks(html)
-    return "\n\n".join(b.text for b, s in zip(blocks, chain.decode(features(blocks))) if s)
+    return "\n\n".join(b.text for b, s in zip(blocks, chain.decode_blocks(blocks)) if s)
 
 
 @lru_cache(maxsize=1)

@@ -75,9 +75,11 @@ class Writer:
 
         if self.r.random() < 0.8:
             out.append(f"<h1>{say(self.words(self.r.randint(2, 12)) + self.r.choice(['', '.']))}</h1>")
-        for _ in range(self.r.choice([1, 2, 4, 8, 12])):
+        for k in range(self.r.choice([1, 2, 4, 8, 12])):
             kind = self.r.random()
-            if kind < 0.70:
+            if kind < 0.70 and self.r.random() < (0.15 if k == 0 else 0.04):      # a paragraph that is a link
+                out.append(f'<p><a href="/{self.n}">{say(self.sentences())}</a></p>')
+            elif kind < 0.70:
                 out.append(f"<p>{say(self.sentences())}</p>")
             elif kind < 0.78:
                 out.append(f"<p><b>{say(self.sentences())}<br>")
@@ -91,8 +93,8 @@ class Writer:
                 out.append(f"<pre>{say(self.sentences())}</pre>")
             else:
                 out.append(f"<div>{say(self.sentences())}</div>")
-            if self.r.random() < 0.08:
-                other = self.r.choice([AD_WRAPS, SIDE_WRAPS, NOTE_WRAPS, COMMENT_WRAPS, [("form", "")], [("nav", "")],
+            if self.r.random() < 0.12:
+                other = self.r.choice([AD_WRAPS, SIDE_WRAPS, [("aside", "")], NOTE_WRAPS, COMMENT_WRAPS, [("form", "")], [("nav", "")],
                                        [("footer", "")]])
                 out.append(self.wrap(other, self.r.choice(["{}", "<p>{}</p>"]).format(escape(self.sentences()))))
         return "".join(out)
@@ -102,7 +104,14 @@ class Writer:
         r = self.r
         tag, attrs = r.choice(MAIN_WRAPS[:2] + MAIN_WRAPS)
         body = f"<{tag}{attrs}>{self.article(main)}</{tag}>"
-        if r.random() < 0.15:
+        if r.random() < 0.08:               # bare text, its lines broken by hand
+            lines = [self.sentences() for _ in range(r.randint(1, 5))]
+            main = {" ".join(" ".join(lines).split())}
+            body = r.choice(["<br>", "<br><br>", "<br/>\n"]).join(escape(x, quote=False) for x in lines)
+            body = r.choice(["{}", "{}", "<center>{}</center>", "<font size=3>{}</font>"]).format(body)
+        elif r.random() < 0.06:             # columns of a table
+            body = f'<table><tr><td{r.choice(["", " class=menu"])}>{self.links()}</td><td>{self.article(main := set())}</td></tr></table>'
+        elif r.random() < 0.15:
             body = f'<div class="{r.choice(["wrapper", "container", "page", "row"])}">{body}</div>'
         before, after = [], []
         for wraps, odds, inner in (

@@ -84,6 +84,99 @@ def test_tables_pages(spark, chain):
         assert got[r["page_id"]]["text"] == "\n\n".join(p for p in parts if p)
 
 
+def block_by_hand(html):
+    """Leaf blocks of well-formed pages of divs, paragraphs and spans, by another reader."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.text = [], ""
+
+        def cut(self):
+            if self.text.strip():
+                self.out.append(" ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("span", "b", "a"):
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag not in ("span", "b", "a"):
+                self.cut()
+
+        def handle_data(self, data):
+            self.text += data
+
+    r = Reader()
+    r.feed(html)
+    r.close()
+    r.cut()
+    return r.out
+
+
+def test_blocks_against_another_reader():
+    import random
+    r = random.Random(8)
+
+    def node(depth):
+        if depth == 0 or r.random() < 0.3:
+            return r.choice(["a", " b\n", "&amp;", "c &lt; d", "é", " "])
+        tag = r.choice(["div", "section", "span", "b", "a", "ul"])
+        return f"<{tag}>" + "".join(node(depth - 1) for _ in range(r.randint(0, 3))) + f"</{tag}>"
+
+    for _ in range(300):
+        html = "".join(node(4) for _ in range(3))
+        if not any(f"<{i}>" in html and f"<{b}" in html for i in ("span", "b", "a") for b in ("div", "section", "ul")):
+            assert texts(html) == block_by_hand(html), html
+
+
+def test_decoding_by_elements_is_decoding_by_features(chain):
+    for html, _ in labelled_pages(30, seed=77):
+        blocks = leaf_blocks(html)
+        assert chain.decode_blocks(blocks) == chain.decode(features(blocks))
+
+
+def test_deep_pages_take_linear_memory(chain):
+    import time
+    import tracemalloc
+    for page in ("<div>a" * 100_000, "".join(f"<div class=c{i}x>a" for i in range(20_000)),
+                 "<b>" * 50_000 + "<div></div>" * 50_000 + "a", "<b>" + "<div></b>" * 50_000 + "a", "<ul><li>" * 30_000 + "a"):
+        tracemalloc.start()
+        began = time.time()
+        main_text(chain, page)
+        took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 << 20 and took < 60, (page[:30], peak, took)
+
+
+def test_layouts_unlike_the_samples(chain):
+    """Hand-written pages in layouts that no sample has."""
+    story = ["The council met on Monday, and it decided to close the bridge for a year.",
+             "Repairs will cost two million, the mayor said. Traffic goes by the old road.",
+             "Nobody was hurt. The river, high since March, has begun to fall."]
+    link = f'<p><a href="/s">{story[0]}</a></p>'
+    menu = '<div class="nav"><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a></div>'
+    foot = '<div class="footer">Copyright 2020 The Paper. All rights reserved.</div>'
+    p = "".join(f"<p>{x}</p>" for x in story)
+    linked = main_text(chain, f"<body>{menu}<article>{link}<p>{story[1]}</p><p>{story[2]}</p></article>{foot}")
+    assert all(x in linked for x in story) and "Home" not in linked and "Copyright" not in linked
+    bare = main_text(chain, f"<html><body>{'<br>'.join(story)}</body></html>")
+    assert all(x in bare for x in story)
+    side = main_text(chain, f"<body>{menu}<article><h1>The bridge</h1>{p}<aside><p>More news: the fair opens on Friday.</p></aside>"
+                            f"<p>{story[0]} Again.</p></article>{foot}")
+    assert all(x in side for x in story) and "fair" not in side
+    table = main_text(chain, f"<table><tr><td class=menu><a href=/>Home</a></td><td><h1>The bridge</h1>{p}</td></tr></table>{foot}")
+    assert all(x in table for x in story) and "Home" not in table
+
+
+def test_marks_are_looked_for_in_the_whole_block():
+    from fmlattice.llm.html_extract import hashed
+    late = "word " * 200 + "we use cookies here"
+    assert hashed(("mark", "cookie")) in features(leaf_blocks(f"<p>{late}</p>"))[0]
+
+
 def test_unclosed_elements_keep_the_article(chain):
     story = "Some words, of a story. And more of it."
     for tag in "select noscript svg math template".split():
