@@ -4,10 +4,14 @@ A document of more tokens than the longest sequence is cut: full sequences, and
 rest.  Rests and shorter documents are pieces; they are dealt to shards of bounded
 tokens by a hash, and each shard packs its pieces by length, longest first, into
 the open bin that they leave the least room in.  A piece that fits no open bin
-opens one, of the size that costs least for each token of capacity.  That size
-depends on which lengths may be opened, so a shard packs once for each limit on
-them, shrinks every bin to the shortest permitted length that holds its contents,
-and keeps the packing of least total cost.
+opens one.  Its size is decided by what is left to pack: for each permitted length the
+piece and the largest remaining pieces that still fit are put together, and the length
+whose bin, shrunk to that content, costs least for each token in it is opened.  At the
+end every bin is shrunk to the shortest permitted length that holds its contents.
+
+A shard also packs once for each length by itself (every bin opened at that length,
+then shrunk) and keeps the cheapest of all, so the joint choice of lengths is never
+dearer than best fit into any single one of them.
 
 Only ids and counts shuffle (no text).  A shard is one sorted run of rows, so
 shards add tasks, not size, as the input grows; the last bins of a shard are all
@@ -42,8 +46,8 @@ def pack(sizes: list[int], lengths=LENGTHS, cost=sequence_cost) -> tuple[list[in
     ``sizes`` are in descending order, each at most the largest length."""
     lengths = sorted(lengths)
     best = None
-    for limit in lengths:
-        bins, room = _pack_once(sizes, lengths, limit, cost)
+    for opening in [joint_opening(sizes, lengths, cost), *(single_opening(sizes, lengths, c) for c in lengths)]:
+        bins, room = best_fit_run(sizes, opening)
         # downsize every bin to its contents
         used = [0] * len(room)
         for b, s in zip(bins, sizes):
@@ -55,19 +59,51 @@ def pack(sizes: list[int], lengths=LENGTHS, cost=sequence_cost) -> tuple[list[in
     return best[1], best[2]
 
 
-def _pack_once(sizes, lengths, limit, cost):
-    """Best fit with bins opened up to ``limit`` (longer only for a longer piece)."""
+def single_opening(sizes, lengths, length):
+    """Every bin is opened at ``length`` (a longer piece: at the shortest that holds it)."""
+    return lambda i: next(c for c in lengths if c >= max(sizes[i], length))
+
+
+def joint_opening(sizes, lengths, cost):
+    """The length to open for piece i: of the bins that it and the largest pieces after it
+    would make, the one that costs least for each token; the shorter one on ties."""
+    n = len(sizes)
+    falling = [-s for s in sizes]
+    end = [n] * n                           # of the run of equal sizes
+    for i in range(n - 2, -1, -1):
+        end[i] = end[i + 1] if sizes[i] == sizes[i + 1] else i + 1
+
+    def content(i: int, length: int) -> int:
+        room, j = length - sizes[i], i + 1
+        while room:
+            j = max(j, bisect_left(falling, -room))
+            if j >= n:
+                break
+            take = min(end[j] - j, room // sizes[j])
+            room -= take * sizes[j]
+            j += take
+        return length - room
+
+    def opened(i: int) -> int:
+        def price(c: int) -> float:
+            held = content(i, c)
+            return cost(lengths[bisect_left(lengths, held)]) / held
+        return min((c for c in lengths if c >= sizes[i]), key=lambda c: (price(c), c))
+
+    return opened
+
+
+def best_fit_run(sizes, opening):
+    """Each piece into the open bin that it leaves the least room in, else into a new one."""
     rooms: list[tuple[int, int]] = []           # (room left, bin) of open bins, sorted
     bins, opened = [], []
     least = min(sizes, default=0)
-    for s in sizes:
+    for i, s in enumerate(sizes):
         k = bisect_left(rooms, (s, -1))
         if k < len(rooms):
             room, b = rooms.pop(k)
         else:
-            fitting = [c for c in lengths if c >= s]
-            allowed = [c for c in fitting if c <= limit] or fitting[:1]
-            room = min(allowed, key=lambda c: (cost(c) / c, c))
+            room = opening(i)
             b = len(opened)
             opened.append(room)
         bins.append(b)
