@@ -1,15 +1,19 @@
 """Exact duplicates by counting quotient filters.
 
-Every partition of the documents builds a counting quotient filter over the
-64-bit fingerprints of its normalised texts: a fingerprint is cut into a
-quotient (high bits: which run) and a remainder; a run holds its remainders in
-sorted order, each with a count.  Runs of the same quotient block merge without
-loss, as sorted remainders with added counts.  A fingerprint whose merged count
-is one belongs to a text that occurs once; the documents of all others go to a
-byte verification, which groups the whole normalised texts.
-
-Scale: what shuffles is one (remainder, count) entry for each distinct
-fingerprint of a partition, the texts of fingerprints that occur more than once
+Every partition of the documents builds counting quotient filters over the 64-bit
+fingerprints of its normalised texts, one for each block (the fingerprint's first
+bits, by which filters shuffle).  The next q bits are the quotient, the rest the
+remainder, with q by the number of slots the entries need.  Remainders lie in a table
+of slots of r + 1 bits, packed; a quotient's run is sorted and begins at its own slot
+or where the run before it ends.  Two bits a slot say which quotients have a run and
+where runs end, so nothing else of the quotient is stored.  Counts are encoded in
+the run: a remainder once, twice, or followed by its count's digits, each behind a
+mark.  Filters of a block merge without loss: their runs are scanned in order and equal remainders' counts
+added.  A fingerprint whose merged count is one belongs to a text that occurs once;
+the documents of all others go to a byte verification, which groups the whole
+normalised texts.
+
+Scale: what shuffles is one filter entry for each distinct fingerprint of a partition, the texts of fingerprints that occur more than once
 (combined before the shuffle, so a text held by a third of all rows leaves each
 task once), and light rows (id, fingerprint, SHA-256).  Blocks of quotients are
 as many as the shuffle needs, so no task holds more than its share.
@@ -36,10 +40,105 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
 
 
+LOAD = 0.95                 # of a filter's slots, at most
+PACK_AT_ONCE = 1 << 16      # slots whose bits are spread out at a time
+
+
+def pack_slots(values: np.ndarray, bits: int) -> bytes:
+    """Values of ``bits`` bits one after another."""
+    out, carry = [], np.zeros(0, np.uint8)
+    places = np.arange(bits - 1, -1, -1, dtype=np.uint64)
+    for a in range(0, len(values), PACK_AT_ONCE):
+        part = values[a:a + PACK_AT_ONCE, None] >> places & np.uint64(1)
+        flat = np.concatenate([carry, part.astype(np.uint8).ravel()])
+        whole = len(flat) // 8 * 8
+        out.append(np.packbits(flat[:whole]).tobytes())
+        carry = flat[whole:]
+    return b"".join(out) + np.packbits(carry).tobytes()
+
+
+def unpack_slots(data: bytes, bits: int, n: int) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
+    raw = np.frombuffer(data, np.uint8)
+    for a in range(0, n, PACK_AT_ONCE):         # a multiple of 8 slots begins a byte
+        b = min(n, a + PACK_AT_ONCE)
+        part = np.unpackbits(raw[a * bits // 8:-(-b * bits // 8)])[:(b - a) * bits].reshape(b - a, bits)
+        for k in range(bits):
+            out[a:b] = out[a:b] << np.uint64(1) | part[:, k]
+    return out
+
+
+def pack_filter(keys: np.ndarray, counts: np.ndarray, width: int) -> bytes:
+    """A filter of sorted distinct keys below ``2 ** width`` and their counts."""
+    n_slots = int((np.minimum(counts, 3)).sum())
+    q = min(width - 1, max(1, int(np.ceil(np.log2(max(1.0, n_slots / LOAD))))))
+    r = width - q
+    base = (1 << min(r + 1, 62)) - 1            # of a count's digits, stored with 1 added
+    quotient = (keys >> np.uint64(r)).astype(np.int64)
+    value = (keys & np.uint64((1 << r) - 1)) + np.uint64(1)         # 0 marks a digit
+    size = np.minimum(counts, 2)
+    left, digits = np.where(counts > 2, counts, 0), []
+    while left.any():
+        digits.append((left > 0, left % base))
+        size = size + np.where(left > 0, 2, 0)
+        left = left // base
+    size = size - (counts > 2)                  # its remainder stands there once
+    at = np.cumsum(size) - size
+    slots = np.repeat(value, size)
+    for k, (some, digit) in enumerate(digits):
+        slots[at[some] + 1 + 2 * k] = 0
+        slots[at[some] + 2 + 2 * k] = digit[some].astype(np.uint64) + np.uint64(1)
+    first = np.flatnonzero(np.r_[True, quotient[1:] != quotient[:-1]])
+    run = np.add.reduceat(size, first)
+    before = np.cumsum(run) - run
+    start = before + np.maximum.accumulate(quotient[first] - before)
+    end = start + run - 1
+    length = max(1 << q, int(end[-1]) + 1)
+    occupied, ends = np.zeros(1 << q, bool), np.zeros(length, bool)
+    occupied[quotient[first]], ends[end] = True, True
+    table = np.zeros(length, np.uint64)
+    table[np.arange(len(slots)) + np.repeat(start - before, run)] = slots
+    head = np.array([q, length], "<i8").tobytes()
+    return head + np.packbits(occupied).tobytes() + np.packbits(ends).tobytes() + pack_slots(table, r + 1)
+
+
+def scan_filter(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a packed filter, run after run."""
+    q, length = np.frombuffer(data, "<i8", 2).tolist()
+    r, at = width - q, 16
+    n_bytes = [-(-(1 << q) // 8), -(-length // 8)]
+    quotient = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, n_bytes[0], at))[:1 << q])
+    at += n_bytes[0]
+    end = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, n_bytes[1], at))[:length])
+    table = unpack_slots(data[at + n_bytes[1]:], r + 1, length)
+    start = np.maximum(quotient, np.r_[0, end[:-1] + 1])
+    run = end - start + 1
+    before = np.cumsum(run) - run
+    slots = table[np.arange(int(run.sum())) + np.repeat(start - before, run)]
+    of = np.repeat(quotient, run)
+    mark = np.flatnonzero(slots == 0)
+    plain = np.ones(len(slots), bool)
+    plain[mark] = plain[mark + 1] = False       # a mark and its digit
+    twice = np.zeros(len(slots), bool)
+    twice[1:] = plain[1:] & plain[:-1] & (slots[1:] == slots[:-1]) & (of[1:] == of[:-1])
+    entry = np.flatnonzero(plain & ~twice)
+    counts = np.ones(len(entry), np.int64)
+    counts[np.searchsorted(entry, np.flatnonzero(twice) - 1)] = 2
+    owner = np.searchsorted(entry, mark) - 1
+    place = (mark - entry[owner] - 1) // 2      # of the digit in its count
+    counts[owner] = 0
+    base = (1 << min(r + 1, 62)) - 1
+    for k in range(int(place.max()) + 1 if len(place) else 0):
+        digit = place == k
+        counts[owner[digit]] += (slots[mark[digit] + 1].astype(np.int64) - 1) * base ** k
+    return of[entry].astype(np.uint64) << np.uint64(r) | (slots[entry] - np.uint64(1)), counts
+
+
 class CountingQuotientFilter:
-    """Sorted runs of (quotient block, remainder, count)."""
+    """The filters of one partition, by block."""
 
     def __init__(self, block_bits: int):
+        self.width = 64 - block_bits
         self.shift = np.uint64(64 - block_bits)
         self.mask = np.uint64((1 << (64 - block_bits)) - 1)
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -49,8 +148,8 @@ class CountingQuotientFilter:
         if len(self.runs) > 16:
             self.runs = [merge_runs(self.runs)]
 
-    def blocks(self):
-        """(block, remainders, counts) for every block that has entries."""
+    def packed(self):
+        """(block, filter) for every block that has entries."""
         if not self.runs:
             return
         keys, counts = merge_runs(self.runs)
@@ -59,13 +158,16 @@ class CountingQuotientFilter:
         block = keys >> self.shift
         cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for a, b in zip(cut, np.r_[cut[1:], len(keys)]):
-            yield int(block[a]), keys[a:b] & self.mask, counts[a:b]
+            yield int(block[a]), pack_filter(keys[a:b] & self.mask, counts[a:b], self.width)
+
+    def blocks(self):
+        """(block, keys within it, counts), as the filters hold them."""
+        for block, data in self.packed():
+            yield block, *scan_filter(data, self.width)
 
 
 def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Merge sorted runs: equal keys become one with the sum of their counts."""
-    if len(runs) == 1:
-        return runs[0]
     keys = np.concatenate([r[0] for r in runs])
     counts = np.concatenate([r[1] for r in runs])
     order = np.argsort(keys, kind="stable")
@@ -84,38 +186,40 @@ def repeated_fingerprints(fingerprints: DataFrame, column: str, block_bits: int)
         cqf = CountingQuotientFilter(block_bits)
         for b in batches:
             cqf.add(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False))
-        rows = list(cqf.blocks())
-        for a in range(0, len(rows), 4096):
-            part = rows[a:a + 4096]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in part], pa.int64()),
-                 pa.array([r[1].astype("<u8").tobytes() for r in part], pa.binary()),
-                 pa.array([r[2].astype("<i8").tobytes() for r in part], pa.binary())],
-                names=["block", "remainders", "counts"])
+        rows = []
+        for row in cqf.packed():
+            rows.append(row)
+            if len(rows) == 4096:
+                yield filter_batch(rows)
+                rows = []
+        if rows:
+            yield filter_batch(rows)
+
+    def filter_batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+                                          names=["block", "filter"])
 
     def merge(batches):
         shift = np.uint64(64 - block_bits)
         for g in groups(batches, ["block"]):
-            runs = [(np.frombuffer(r, "<u8"), np.frombuffer(c, "<i8"))
-                    for r, c in zip(g.column("remainders").to_pylist(), g.column("counts").to_pylist())]
-            keys, counts = merge_runs(runs)
+            keys, counts = merge_runs([scan_filter(f, 64 - block_bits) for f in g.column("filter").to_pylist()])
             keys, counts = keys[counts > 1], counts[counts > 1]
             block = np.uint64(g.column("block")[0].as_py())
-            fps = ((block << shift) | keys) if block_bits else keys
+            fps = (block << shift) | keys
             yield pa.RecordBatch.from_arrays(
                 [pa.array(fps.view(np.int64), pa.int64()), pa.array(counts, pa.int64())],
                 names=["fp", "n"])
 
-    parts = fingerprints.select(column).mapInArrow(build, "block long, remainders binary, counts binary")
+    parts = fingerprints.select(column).mapInArrow(build, "block long, filter binary")
     n = shuffle_partitions(fingerprints.sparkSession)
     return (parts.repartition(n, "block").sortWithinPartitions("block")
             .mapInArrow(merge, "fp long, n long"))
 
 
 def block_bits_for(rows: int, partitions: int) -> int:
-    """Blocks: several for each shuffle partition, and bounded entries in each."""
-    blocks = max(8 * partitions, rows // BLOCK_ENTRIES, 1)
-    return min(40, max(1, int(blocks - 1).bit_length()))
+    """Blocks: one for each shuffle partition at least, and bounded entries in each."""
+    blocks = max(partitions, rows // BLOCK_ENTRIES, 2)
+    return min(32, max(1, int(blocks - 1).bit_length()))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,10 @@ import re
 
 import numpy as np
 
-from fmlattice.llm.exact_dedup import CountingQuotientFilter, exact_dedup, keep_first, merge_runs
+import pytest
+
+from fmlattice.llm.exact_dedup import (CountingQuotientFilter, exact_dedup, keep_first, merge_runs, pack_filter,
+                                       pack_slots, scan_filter, unpack_slots)
 from tests.llm.frames import frame  # noqa: F401
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, kept string, norm string"
@@ -65,6 +68,40 @@ def test_filter_counts():
     assert sorted(got) == sorted(int(x) for x in np.unique(a.view(np.uint64)))
 
 
+@pytest.mark.parametrize("width", [2, 5, 12, 48, 63])
+def test_filters_give_back_what_they_hold(width):
+    r = np.random.default_rng(width)
+    for n in (1, 2, 7, 100, 3000):
+        top = min(1 << width, 1 << 62)
+        keys = np.unique(r.integers(0, top, n, dtype=np.uint64) if n % 2 else r.integers(0, max(1, top // 50), n, dtype=np.uint64))
+        counts = r.choice([1, 1, 1, 2, 3, 4, 9, 100_000, 5_000_000_000], len(keys)).astype(np.int64)
+        if width < 12:
+            counts = np.minimum(counts, 40)
+        got = merge_runs([scan_filter(pack_filter(keys, counts, width), width)])
+        assert (got[0] == keys).all() and (got[1] == counts).all()
+
+
+def test_first_and_last_keys_and_long_runs():
+    """Quotients at the table's ends, and runs that push others on."""
+    for keys in ([0], [(1 << 40) - 1], [0, (1 << 40) - 1], list(range(200)), list(range((1 << 40) - 200, 1 << 40))):
+        keys = np.array(keys, np.uint64)
+        for counts in (np.ones(len(keys), np.int64), np.full(len(keys), 2), np.full(len(keys), 7)):
+            got = scan_filter(pack_filter(keys, counts, 40), 40)
+            assert (got[0] == keys).all() and (got[1] == counts).all()
+
+
+def test_packed_slots_and_bytes_an_entry():
+    r = np.random.default_rng(2)
+    for bits in (2, 13, 45, 64):
+        values = r.integers(0, 1 << min(bits, 63), 70_001, dtype=np.uint64)
+        data = pack_slots(values, bits)
+        assert len(data) == -(-len(values) * bits // 8) and (unpack_slots(data, bits, len(values)) == values).all()
+    # 16 bytes as key and count; a table has a power of two of slots
+    for n, most in ((249_000, 6.5), (250_000, 11)):
+        keys = np.unique(r.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert len(pack_filter(keys, np.ones(len(keys), np.int64), 56)) / len(keys) < most
+
+
 def test_clashing_columns(frame):
     df = frame([(1, "a", 9, 9, 9, 9, 9), (2, "a", 8, 8, 8, 8, 8), (2, "b", 7, 7, 7, 7, 7), (2, "b", 6, 6, 6, 6, 6)],
                "doc_id long, text string, __fp int, __of_id int, k_fp int, n int, row int")
