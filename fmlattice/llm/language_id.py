@@ -14,6 +14,11 @@ their code lengths and its contexts with their escapes', sorted, so the memory
 follows the trained bytes.  The distinct pairs of a piece of text are looked up
 with numpy, one language after the other.  Training uses a bounded sample of labelled rows (``SAMPLE_*``), drawn by
 a hash of the id; scoring is a scan without shuffle.
+
+A text is *identified* if the trees code it about as well as texts of its language: a
+fifth of the sample is kept aside from the trees, and a text whose code length exceeds
+``REJECT_FACTOR`` times the median length of those, byte for byte, by more than
+``REJECT_BITS`` is in no learned language.
 """
 
 from __future__ import annotations
@@ -28,9 +33,14 @@ from .common import text_batches
 ORDER = 3
 SAMPLE_DOCS = 400               # labelled rows for each language
 SAMPLE_BYTES = 1 << 20          # and their bytes in sum
+SAMPLE_ALL_DOCS = 100_000       # of all languages; many languages have fewer each
+SAMPLE_ALL_BYTES = 1 << 28
 SAMPLE_TEXT_BYTES = 1 << 16     # of a longer text a stretch from its first letter on is drawn
 MIN_CONTEXT = 4                 # a context is in the tree if it occurs so often in some language
 SEGMENT = 1 << 18               # bytes scored at a time
+ASIDE = 5                       # every fifth text of the sample measures what is usual
+REJECT_FACTOR = 3.5
+REJECT_BITS = 64.0              # what a short text may take besides
 
 
 def held_out(doc_id) -> F.Column:
@@ -179,36 +189,90 @@ def found(codes: np.ndarray, wanted: np.ndarray):
     return at, codes[at] == wanted
 
 
-def train(docs: DataFrame) -> ContextTrees | None:
-    """Context trees of the languages of ``docs`` (text, lang, doc_id), from rows
-    with a label, a text with a letter, and an id that is not held out.  None if
-    there is no such row."""
+def sampled(docs: DataFrame) -> dict[str, list[bytes]]:
+    """The training texts of each language of ``docs`` (text, lang, doc_id): of the rows with
+    a label, a text with a letter, and an id that is not held out, the first ones by a
+    hash of the id, so many that all of them are within ``SAMPLE_*``.
+
+    Exact counts bound the draw before any window sorts rows: about four times the rows
+    wanted of a language are looked at (more if that was too few)."""
+    spark = docs.sparkSession
     usable = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                           F.col("text").cast("string").alias("text")).where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\p{L}"))
         .withColumn("key", F.struct(F.xxhash64(F.lit("sample"), "doc_id").alias("draw"), "doc_id",
                                     F.xxhash64("text").alias("of"))))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+              .limit(SAMPLE_ALL_DOCS + 1).collect()}
+    if not counts:
+        return {}
+    if len(counts) > SAMPLE_ALL_DOCS:
+        raise ValueError(f"more than {SAMPLE_ALL_DOCS} different labels: these are no languages")
+    each, each_bytes = min(SAMPLE_DOCS, SAMPLE_ALL_DOCS // len(counts)), min(SAMPLE_BYTES, SAMPLE_ALL_BYTES // len(counts))
     # the first rows of each language by its keys alone, then their texts
     by_key = Window.partitionBy("lang").orderBy("key")
-    last = (usable.select("lang", "key").withColumn("place", F.row_number().over(by_key))
-            .where(F.col("place") <= SAMPLE_DOCS).groupBy("lang").agg(F.max("key").alias("last")))
+    share = {lang: min(1.0, 4 * each / n) for lang, n in counts.items()}
+    while True:
+        limits = spark.createDataFrame([(lang, min((1 << 63) - 1, int(p * 2.0 ** 64) - (1 << 63))) for lang, p in share.items()],
+                                       "lang string, most long")
+        near = usable.select("lang", "key").join(F.broadcast(limits), "lang").where("key.draw <= most")
+        last = {r["lang"]: r for r in near.withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= each)
+                .groupBy("lang").agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).collect()}
+        short = [x for x, n in counts.items() if share[x] < 1 and (last[x]["n"] if x in last else 0) < min(each, n)]
+        if not short:
+            break
+        share |= {x: min(1.0, 4 * share[x]) for x in short}
+    ends = spark.createDataFrame([(x, *r["last"]) for x, r in last.items()], "lang string, draw long, doc_id long, of long") \
+        .select("lang", F.struct("draw", "doc_id", "of").alias("last"))
     stretch = F.regexp_extract("text", f"(?s)\\p{{L}}.{{0,{SAMPLE_TEXT_BYTES // 4 - 1}}}", 0)
-    drawn = (usable.join(F.broadcast(last), "lang").where(F.col("key") <= F.col("last"))
-             .withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= SAMPLE_DOCS)
+    drawn = (usable.join(F.broadcast(ends), "lang").where(F.col("key") <= F.col("last"))
+             .withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= each)
              .select("lang", "place", F.when(F.octet_length("text") <= SAMPLE_TEXT_BYTES, F.col("text"))
                      .otherwise(stretch).alias("text")))
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("place")) - F.octet_length("text")
-    drawn = drawn.withColumn("before", so_far).where(F.col("before") < SAMPLE_BYTES).drop("before")
+    drawn = drawn.withColumn("before", so_far).where(F.col("before") < each_bytes).drop("before")
     samples: dict[str, list[bytes]] = {}
     used: dict[str, int] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["place"])):
         mine = samples.setdefault(r["lang"], [])
         data = r["text"].encode("utf-8")
-        if used.get(r["lang"], 0) + len(data) <= SAMPLE_BYTES:
+        if used.get(r["lang"], 0) + len(data) <= each_bytes:
             mine.append(data)
             used[r["lang"]] = used.get(r["lang"], 0) + len(data)
-    langs = sorted(x for x, t in samples.items() if t)
-    return ContextTrees(langs, samples) if langs else None
+    return {x: t for x, t in samples.items() if t}
+
+
+def train(docs: DataFrame) -> ContextTrees | None:
+    """Context trees of the languages of ``docs`` (text, lang, doc_id), from ``sampled`` rows.
+    None if there is no such row."""
+    samples = sampled(docs)
+    return ContextTrees(sorted(samples), samples) if samples else None
+
+
+class Identifier:
+    """Trees, and for each language the bits per byte beyond which a text is not in it."""
+
+    def __init__(self, samples: dict[str, list[bytes]]):
+        aside = {x: t[ASIDE - 1::ASIDE] for x, t in samples.items()}
+        rest = {x: [b for i, b in enumerate(t) if i % ASIDE != ASIDE - 1] for x, t in samples.items()}
+        self.trees = ContextTrees(sorted(samples), rest)
+        usual = {}
+        for j, x in enumerate(self.trees.langs):
+            if aside[x]:
+                bits = self.trees.code_lengths(aside[x])[:, j]
+                usual[x] = float(np.median(bits / np.array([len(b) for b in aside[x]])))
+        most = max(usual.values(), default=8.0)         # too few texts: as the hardest language
+        self.bound = {x: REJECT_FACTOR * usual.get(x, most) for x in self.trees.langs}
+
+    def identified(self, texts: list[str | None]) -> list[bool]:
+        pred, _, rate = label(self.trees, texts)
+        sizes = [len(t.encode("utf-8")) if t else 0 for t in texts]
+        return [p != "und" and r * n <= self.bound[p] * n + REJECT_BITS for p, r, n in zip(pred, rate.tolist(), sizes)]
+
+
+def identifier(docs: DataFrame) -> Identifier | None:
+    samples = sampled(docs)
+    return Identifier(samples) if samples else None
 
 
 def lettered(text: str | None) -> bool:
@@ -253,18 +317,18 @@ def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter, with the columns of ``docs``.
+    """The rows of ``docs`` whose text is in a learned language, with the columns of ``docs``.
 
-    Null, empty and letterless texts go, as ``und`` in ``predict``.  Code lengths reject
-    nothing: a text in a language that was not learned is taken for the nearest one and
-    stays, and all texts with a letter stay if nothing was learned."""
-    frozen = docs.sparkSession.sparkContext.broadcast(train(docs))
+    Null, empty and letterless texts go, and those whose code length in the nearest
+    language is beyond its bound (``Identifier``): gibberish, and languages that were
+    not learned.  If nothing was learned, all texts with a letter stay."""
+    frozen = docs.sparkSession.sparkContext.broadcast(identifier(docs))
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in text_batches(batches, at):
             texts = batch.column(at).to_pylist()
-            keep = [p != "und" for p in label(frozen.value, texts)[0]] if frozen.value else [lettered(t) for t in texts]
+            keep = frozen.value.identified(texts) if frozen.value else [lettered(t) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

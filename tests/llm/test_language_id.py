@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from fmlattice.llm.language_id import ContextTrees, keep_identified, predict, train
 from fmlattice.llm.common import table
 from tests.llm.frames import frame  # noqa: F401
@@ -150,3 +152,56 @@ def test_accuracy_on_the_tables(spark):
     df = table(spark, "/root/testdata/sf0.001", "documents")
     got = predict(df, train(df)).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) >= 0.95
+
+
+STRANGE = ["Tämä on suomenkielinen teksti, jota malli ei ole koskaan nähnyt. Se kertoo pitkästä talvesta ja lyhyestä kesästä, "
+           "jolloin yö ei tule lainkaan.", "これは日本語の文章です。モデルはこれを見たことがありません。" * 3,
+           "Это русский текст, которого модель никогда не видела, и он должен быть отвергнут.", "qxj zvkw " * 40, "0a" * 200]
+
+
+def test_gibberish_and_unlearned_languages_go(spark):
+    """And nothing else: the tables' documents are in learned languages."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    strange = spark.createDataFrame([(10**9 + i, t, "fi", "s", 1) for i, t in enumerate(STRANGE)],
+                                    "doc_id long, text string, lang string, source string, n_chars long").withColumn("lang", F.lit(None).cast("string"))
+    both = docs.unionByName(strange)
+    kept = {r["doc_id"] for r in keep_identified(both).select("doc_id").collect()}
+    with_letter = {r["doc_id"] for r in docs.where("text rlike '\\\\p{L}'").select("doc_id").collect()}
+    assert kept == with_letter
+
+
+def test_labels_decide_what_stays(spark):
+    """With one language's labels only, that language's documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    some = docs.withColumn("lang", F.when(F.col("lang") == "de", "de"))
+    other = spark.createDataFrame([(10**9, STRANGE[2], None, "s", 1)], docs.schema)
+    kept = keep_identified(some.unionByName(other)).join(docs.select("doc_id", F.col("lang").alias("is")), "doc_id").collect()
+    left = [r["is"] for r in kept]
+    assert left.count("de") == docs.where("lang = 'de'").count() and 10**9 not in {r["doc_id"] for r in kept}
+
+
+def test_many_labels_share_the_sample(frame, monkeypatch):
+    from fmlattice.llm import language_id as L
+    rows = [(i, f"text number {i} about {'abc'[i % 3] * 5}", f"l{i % 40}") for i in range(400)]
+    df = frame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "SAMPLE_ALL_DOCS", 80)
+    samples = L.sampled(df)
+    assert 0 < max(map(len, samples.values())) <= 2
+    monkeypatch.setattr(L, "SAMPLE_ALL_DOCS", 20)
+    import pytest
+    with pytest.raises(ValueError, match="no languages"):
+        L.sampled(df)
+
+
+def test_draw_by_share_is_the_draw_by_order(frame, monkeypatch):
+    """The bounded draw takes the first rows by key, whatever share it begins with."""
+    from fmlattice.llm import language_id as L
+    rows = [(i // 2, f"text {i}", "a" if i % 10 else "b") for i in range(600)]
+    df = frame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "SAMPLE_DOCS", 7)
+    got = L.sampled(df)
+    key = df.select("lang", "text", L.held_out(F.col("doc_id")).alias("h"),
+                    F.struct(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", F.xxhash64("text")).alias("k")).where("not h")
+    for lang in "ab":
+        want = [r["text"].encode() for r in key.where(F.col("lang") == lang).orderBy("k").limit(7).collect()]
+        assert got[lang] == want
