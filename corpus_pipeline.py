@@ -9,7 +9,8 @@ from fmlattice.llm.common import discard, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter; null, empty and letterless ones go."""
+    """Documents whose text is in a learned language; null, empty and letterless ones go, and
+    those whose code length under the nearest language is beyond what is usual for it."""
     return language_id.keep_identified(docs)
 
 
