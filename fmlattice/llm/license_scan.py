@@ -164,10 +164,13 @@ def matches(index: TemplateIndex, words: np.ndarray, grams: np.ndarray, at: np.n
             return True
 
         alone = [g for g in groups if not measure(g[0], g[-1])]
+        j = 0
         for i, g in enumerate(alone):           # a notice with text put in or left out
-            end = max(h[-1] for h in alone[i:] if h[-1] - g[0] <= len(template) or h is g)
-            if end > g[-1]:
-                measure(g[0], end)
+            j = max(j, i)
+            while j + 1 < len(alone) and alone[j + 1][-1] - g[0] <= len(template):
+                j += 1
+            if alone[j][-1] > g[-1]:
+                measure(g[0], alone[j][-1])
     best: dict[tuple[int, int], tuple] = {}
     for m in out:                       # one match for each template and first token
         key = (m[0], m[3])

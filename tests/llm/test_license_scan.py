@@ -109,3 +109,27 @@ def test_winnowing_keeps_one_of_each_window():
     assert all(any(a <= k < a + 4 for k in kept) for a in range(197))
     grams, at = k_grams(np.arange(6, dtype=np.uint64), np.array([0, 0, 0, 0, 1, 1]), 3)
     assert at.tolist() == [0, 1]
+
+
+def test_repeated_phrases_take_linear_time():
+    """A phrase of a template over and over, and a whole notice over and over."""
+    import time
+
+    from fmlattice.llm import license_scan as L
+    index = L.TemplateIndex(L.ALL)
+    notice = L.ALL[min(index.names, key=lambda n: len(L.ALL[n]))] + " "
+    phrase = " ".join(L.ALL[max(index.names, key=lambda n: len(L.ALL[n]))].split()[:8]) + " "
+
+    def took(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        hashes, _, _, owner = L.tokens(data, np.array([0, len(data)]))
+        grams, at = L.k_grams(hashes, owner)
+        began = time.process_time()
+        found = L.matches(index, hashes, grams, at, L.COVERAGE)
+        return time.process_time() - began, len(found)
+
+    for piece, found in ((notice, True), (phrase, False)):
+        n = 100_000 // len(piece)
+        few, many = took(piece * n), took(piece * 4 * n)
+        assert (few[1] > 0) == found and abs(many[1] - 4 * few[1]) <= 4
+        assert many[0] < 8 * few[0] + 0.5       # quadratic: 16 times
