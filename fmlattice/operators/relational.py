@@ -107,13 +107,14 @@ def relational_dataset(df: DataFrame, specs: list[FieldSpec], relations: dict[st
     small, reserved = small_sides(df.sparkSession, encoded)
     rel_rows: dict[int, DataFrame] = {}
 
-    def substitute(frame: DataFrame, layout) -> DataFrame:
+    def substitute(frame: DataFrame, layout, hot: dict[int, list[str]]) -> DataFrame:
         for i, enc in encoded.items():
             shift = layout[i].offset + layout[i].blocks[0].size
             rel_rows[i] = enc.rows.select(F.col("key"), F.transform("features", lambda e: F.struct(
                 (e["feature_id"] + F.lit(shift)).alias("feature_id"), e["value"].alias("value")))
                 .cast(FEATURES).alias("features"))
-            frame = attach(frame, f"_c{i}", enc.rows.select(F.col("key").alias(f"key_{i}")), f"key_{i}", i in small)
+            frame = attach(frame, f"_c{i}", enc.rows.select(F.col("key").alias(f"key_{i}")), f"key_{i}", i in small,
+                           hot.get(i))
             frame = frame.withColumn(f"_a{i}", F.when(F.col(f"key_{i}").isNotNull(), F.array().cast(FEATURES))
                                      .otherwise(F.col(f"_a{i}")))
         return frame

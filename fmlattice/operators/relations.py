@@ -16,7 +16,7 @@ fact's layout.
 
 Plan: one left equi-join per relation.  The dimension side is broadcast when
 its exact row count is under the bound, otherwise both sides shuffle on the
-key (AQE splits a hot key's partition on the fact side)."""
+key, with the fact's hot keys (by exact counts) salted."""
 
 from __future__ import annotations
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..session import ENTRY_OVERHEAD_BYTES, Scratch
 from .fields import IDENTITY, FieldSpec, split_target_inputs
-from .vectorize import FEATURES, Learned, Vectorized, _source_type, base_columns, vectorize_base, within_budget
+from .vectorize import (FEATURES, Learned, Vectorized, _source_type, base_columns, salted_join, vectorize_base,
+                        within_budget)
 
 
 @dataclass
@@ -102,20 +103,23 @@ def small_sides(spark, encoded: dict[int, EncodedRelation]) -> tuple[set, int]:
     return small, sum(sides[i][1] + sides[i][0] * ENTRY_OVERHEAD_BYTES for i in small)
 
 
-def attach(frame: DataFrame, column: str, side: DataFrame, key: str, small: bool) -> DataFrame:
+def attach(frame: DataFrame, column: str, side: DataFrame, key: str, small: bool, hot: list[str] | None = None) -> DataFrame:
     """Left join of a side table by key: broadcast if ``small``, else shuffled, rows with
-    a null key apart (they match nothing, and would meet in one task)."""
+    a null key apart (they match nothing, and would meet in one task) and hot keys in
+    several parts."""
     on = same_key(frame, column, side, key)
     if small:
         return frame.join(F.broadcast(side), on, "left")
     none = frame.where(F.col(column).isNull())
     blank = [F.lit(None).cast(t).alias(c) for c, t in side.dtypes]
-    return frame.where(F.col(column).isNotNull()).join(side, on, "left").unionByName(none.select("*", *blank))
+    some = salted_join(frame.where(F.col(column).isNotNull()), side, on, F.col(column).cast("string"),
+                       F.col(key).cast("string"), hot or [])
+    return some.unionByName(none.select("*", *blank))
 
 
 def substitution(encoded: dict[int, EncodedRelation], small: set, keep_key: bool = False):
     """Replaces (or, ``keep_key``, extends) the one-hot of each key that has a side row."""
-    def substitute(frame: DataFrame, layout) -> DataFrame:
+    def substitute(frame: DataFrame, layout, hot: dict[int, list[str]]) -> DataFrame:
         for i, enc in encoded.items():
             shift = layout[i].offset + layout[i].blocks[0].size
             side = enc.rows.select(
@@ -123,7 +127,7 @@ def substitution(encoded: dict[int, EncodedRelation], small: set, keep_key: bool
                 F.transform("features", lambda e: F.struct(
                     (e["feature_id"] + F.lit(shift)).alias("feature_id"),
                     e["value"].alias("value"))).cast(FEATURES).alias(f"_r{i}"))
-            frame = attach(frame, f"_c{i}", side, f"_rk{i}", i in small)
+            frame = attach(frame, f"_c{i}", side, f"_rk{i}", i in small, hot.get(i))
             sub = F.concat(F.col(f"_a{i}"), F.col(f"_r{i}")) if keep_key else F.col(f"_r{i}")
             frame = frame.withColumn(f"_a{i}", F.when(F.col(f"_rk{i}").isNotNull(), sub).otherwise(F.col(f"_a{i}")))
         return frame

@@ -31,6 +31,9 @@ from ..session import ENTRY_OVERHEAD_BYTES, Scratch, broadcast_bytes, broadcast_
 from .dictionary import dense_ids
 from .fields import IDENTITY, LIST, NUMBER, TIME, FieldSpec, split_target_inputs
 
+HOT_SHARE = 1000        # a token with more than such a share of a field's rows is hot
+SALTS = 64              # parts of a hot token in a shuffle join
+
 ENTRY = T.StructType([T.StructField("feature_id", T.LongType()),
                       T.StructField("value", T.DoubleType())])
 FEATURES = T.ArrayType(ENTRY)
@@ -107,6 +110,7 @@ class Learned:
     nbytes: dict[int, int]
     version: int = 0
     first: dict[int, int] = field(default_factory=dict)
+    hot: dict[int, list[str]] = field(default_factory=dict)     # of fields that shuffle
 
     def own(self, i: int) -> int:
         return self.first.get(i, self.sizes[i])
@@ -174,7 +178,7 @@ def extend_dictionary(learned: Learned, layout: list[FieldLayout], inputs: list[
         layout[i].blocks.append(Block(f"{s.column}+{learned.version + 1}", dimension, int(r["n"]), s.kind == LIST))
         dimension += int(r["n"])
     first = {i: learned.own(i) for i in dicts}
-    return Learned(dicts, sizes, nbytes, learned.version + 1, first), layout, dimension
+    return Learned(dicts, sizes, nbytes, learned.version + 1, first, learned.hot), layout, dimension
 
 
 def within_budget(spark, sides: dict, budget: int | None = None) -> set:
@@ -230,13 +234,16 @@ def learn_dictionaries(base: DataFrame, cat_fields: list[tuple[int, FieldSpec]])
     allt = parts[0]
     for p in parts[1:]:
         allt = allt.unionByName(p)
-    distinct = allt.where(F.col("token").isNotNull()).distinct().persist()
+    distinct = allt.where(F.col("token").isNotNull()).groupBy("field", "token").agg(F.count(F.lit(1)).alias("held")).persist()
     sizes = {i: 0 for i, _ in cat_fields}
     nbytes = {i: 0 for i, _ in cat_fields}
-    for r in distinct.groupBy("field").agg(F.count(F.lit(1)).alias("n"),
-                                           F.sum(F.octet_length("token")).alias("b")).collect():
+    rows = {}
+    for r in distinct.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("b"),
+                                           F.sum("held").alias("rows")).collect():
         sizes[int(r["field"])] = int(r["n"])
         nbytes[int(r["field"])] = int(r["b"] or 0)
+        rows[int(r["field"])] = int(r["rows"])
+    hot = hot_tokens(distinct, rows, [i for i in rows if i not in within_budget(spark, {i: (sizes[i], nbytes[i]) for i in rows})])
     limit = single_task_rows(spark)
     small = [i for i, _ in cat_fields if sizes[i] <= limit]
     scratch = Scratch(spark, "dictionary")
@@ -253,7 +260,33 @@ def learn_dictionaries(base: DataFrame, cat_fields: list[tuple[int, FieldSpec]])
             coded, _ = dense_ids(distinct.where(F.col("field") == i).select("token"), sizes[i], max_single_task=limit)
             dicts[i] = scratch.write(coded)
     distinct.unpersist()
-    return Learned(dicts, sizes, nbytes)
+    return Learned(dicts, sizes, nbytes, hot=hot)
+
+
+def hot_tokens(counted: DataFrame, rows: dict[int, int], fields: list[int]) -> dict[int, list[str]]:
+    """By field the tokens that more than a ``HOT_SHARE``-th of its rows hold: fewer than
+    ``HOT_SHARE`` of them, from exact counts."""
+    if not fields:
+        return {}
+    many = F.lit(False)
+    for i in fields:
+        many = many | ((F.col("field") == i) & (F.col("held") * HOT_SHARE > rows[i]))
+    out: dict[int, list[str]] = {}
+    for r in counted.where(many).select("field", "token").collect():
+        out.setdefault(int(r["field"]), []).append(r["token"])
+    return {i: sorted(t) for i, t in out.items()}
+
+
+def salted_join(frame: DataFrame, side: DataFrame, on: Column, token: Column, key: Column, hot: list[str]) -> DataFrame:
+    """Left shuffle join ``on`` two columns.  Rows whose ``token`` is hot are spread over
+    ``SALTS`` parts, and the side's rows of those keys copied to all of them, so a token
+    with a third of the rows is no single task, with or without adaptive execution."""
+    if not hot:
+        return frame.join(side, on, "left")
+    part = F.when(token.isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    parts = F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = side.withColumn("_part", F.explode(parts))
+    return frame.withColumn("_own_part", part).join(copied, on & (F.col("_own_part") == F.col("_part")), "left").drop("_own_part", "_part")
 
 
 def base_columns(df: DataFrame, specs: list[FieldSpec], row_id: str | None = None, ids: bool = True,
@@ -299,7 +332,7 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
 
     ``extra[i] = (width, blocks)`` reserves ids right after field ``i``'s own
     block (side-table features, see ``relations``); ``substitute(frame,
-    layout)`` may then replace the per-field arrays ``_a{i}`` before they are
+    layout, hot tokens)`` may then replace the per-field arrays ``_a{i}`` before they are
     concatenated, and add columns, of which those in ``carry`` stay with the rows.
     ``learned``: dictionaries to use; their unseen tokens follow ``unseen``.
     ``reserved``: bytes that the plan broadcasts besides dictionaries."""
@@ -335,7 +368,8 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
         if s.kind == IDENTITY:
             d = dicts[i].select(F.col("token").alias(f"_k{i}"),
                                 (F.col("code") + F.lit(lay.offset)).alias(f"_id{i}"))
-            enc = _lookup(enc.withColumn(f"_t{i}", c.cast("string")), F.col(f"_t{i}"), d, f"_k{i}", i in small)
+            enc = _lookup(enc.withColumn(f"_t{i}", c.cast("string")), F.col(f"_t{i}"), d, f"_k{i}", i in small,
+                          learned.hot.get(i))
             val = s.transform(F.col(f"_t{i}")).cast("double") if s.transform else F.lit(1.0)
             found = _known(F.col(f"_t{i}"), F.col(f"_id{i}"), policy, s.column)
             arr = (F.when(found.isNotNull() & F.col(f"_t{i}").isNotNull(),
@@ -349,9 +383,9 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
                 .otherwise(F.array().cast(FEATURES)))
             enc = enc.withColumn(f"_a{i}", arr.cast(FEATURES))
         else:  # LIST
-            enc = encode_list(enc, s, f"_c{i}", f"_a{i}", dicts[i], lay.offset, i in small, policy)
+            enc = encode_list(enc, s, f"_c{i}", f"_a{i}", dicts[i], lay.offset, i in small, policy, learned.hot.get(i))
     if substitute is not None:
-        enc = substitute(enc, layout)
+        enc = substitute(enc, layout, learned.hot)
     arrays = [F.col(f"_a{i}") for i in range(len(inputs))]
     feats = F.concat(*arrays) if arrays else F.array().cast(FEATURES)
     # a sparse vector stores no zeros: a zero-valued entry is absent, so the
@@ -363,14 +397,16 @@ def vectorize_base(base: DataFrame, inputs: list[FieldSpec], dtypes: dict[str, s
     return vec
 
 
-def _lookup(frame: DataFrame, token: Column, dictionary: DataFrame, key: str, small: bool) -> DataFrame:
+def _lookup(frame: DataFrame, token: Column, dictionary: DataFrame, key: str, small: bool,
+            hot: list[str] | None = None) -> DataFrame:
     """Left join with a dictionary.  Where it shuffles, null tokens get keys of their
-    own, so that they do not meet in one task (a null token has no entry)."""
+    own, so that they do not meet in one task (a null token has no entry), and hot ones
+    several parts."""
     if small:
         return frame.join(F.broadcast(dictionary), token == F.col(key), "left")
     own = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
-    return (frame.withColumn("_own", F.coalesce(token, own))
-            .join(dictionary, F.col("_own") == F.col(key), "left").drop("_own"))
+    return salted_join(frame.withColumn("_own", F.coalesce(token, own)), dictionary, F.col("_own") == F.col(key),
+                       F.col("_own"), F.col(key), hot or []).drop("_own")
 
 
 def _known(token: Column, feature_id: Column, policy: str, column: str) -> Column:
@@ -381,7 +417,7 @@ def _known(token: Column, feature_id: Column, policy: str, column: str) -> Colum
 
 
 def encode_list(frame: DataFrame, spec: FieldSpec, column: str, out: str, dictionary: DataFrame, offset: int,
-                small: bool = True, policy: str = "skip") -> DataFrame:
+                small: bool = True, policy: str = "skip", hot: list[str] | None = None) -> DataFrame:
     """``frame`` with ``out``: the multi-hot entries of the list in ``column``, ids
     ascending.  Each of the m tokens gets 1/m (or its transform); duplicate tokens
     collapse to one entry (same value).  Rows are told apart by a number drawn here,
@@ -390,7 +426,7 @@ def encode_list(frame: DataFrame, spec: FieldSpec, column: str, out: str, dictio
     d = dictionary.select(F.col("token").alias("_key"), (F.col("code") + F.lit(offset)).alias("_fid"))
     ex = (frame.withColumns({"_u": F.monotonically_increasing_id(), "_toks": _tokens(spec, F.col(column))})
           .withColumn("_tok", F.explode_outer(F.array_distinct("_toks"))))
-    j = _lookup(ex, F.col("_tok"), d, "_key", small)
+    j = _lookup(ex, F.col("_tok"), d, "_key", small, hot)
     val = spec.transform(F.col("_tok")).cast("double") if spec.transform else list_weights("_toks")
     fid = _known(F.col("_tok"), F.col("_fid"), policy, spec.column)
     entry = F.when(fid.isNotNull() & F.col("_tok").isNotNull(), F.struct(fid.alias("feature_id"), val.alias("value")))

@@ -113,3 +113,42 @@ def test_predict_shuffles_each_row_once(spark):
     rows = Scratch(spark, "plan").write(vec.rows)
     text = plan_text(M.predict(rows, M.init_params(spark, vec.dimension, X.SCORE_CFG), 0.0, X.SCORE_CFG, vec.dimension))
     assert text.replace("BroadcastExchange", "").count("Exchange") == 1 and "SortMergeJoin" not in text
+
+
+def test_hot_tokens_are_spread_without_adaptive_execution(spark):
+    """A third of the rows on one token and one key, above every broadcast bound: no task
+    gets all of them, and the rows are the same."""
+    from pyspark.sql import functions as F
+
+    from fmlattice.operators.fields import Identity, List, Target
+    from fmlattice.operators.relations import Relation, relation_vectorize
+    from fmlattice.operators.vectorize import standard_vectorize
+    df = spark.range(6000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 500)).alias("c"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 400).alias("uid"),
+        F.when(F.col("id") % 3 == 1, "hot|x").otherwise(F.concat(F.lit("y|z"), F.col("id") % 300)).alias("l"), F.lit(0.0).alias("y"))
+    side = spark.range(300).select(F.col("id").alias("uid"), (F.col("id") % 5).cast("string").alias("g"))
+    plain = [Identity("c"), Target("y")]
+    related = [Identity("uid"), Target("y")]
+    rel = {"uid": Relation(side, [Target("uid"), Identity("g")])}
+
+    def entries(rows):
+        return sorted((r["row_id"], [tuple(e) for e in r["features"]]) for r in rows.collect())
+
+    listed = [List("l", sep="|"), Target("y")]
+    want = [entries(standard_vectorize(df, plain, row_id="id").rows), entries(standard_vectorize(df, listed, row_id="id").rows),
+            entries(relation_vectorize(df, related, rel, row_id="id").rows)]
+    bounds = {"fmlattice.broadcastRows": "0", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in bounds.items():
+        spark.conf.set(name, value)
+    try:
+        vecs = [standard_vectorize(df, plain, row_id="id"), standard_vectorize(df, listed, row_id="id"),
+                relation_vectorize(df, related, rel, row_id="id")]
+        assert all(t in v.learned.hot[0] for t, v in zip(("hot", "hot", "7"), vecs))
+        for v in (vecs[0], vecs[2]):
+            sizes = [r["count"] for r in v.rows.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(sizes) < 0.45 * 6000, sizes         # 4 partitions; a hot one would hold half
+        assert [entries(v.rows) for v in vecs] == want
+    finally:
+        for name in bounds:
+            spark.conf.unset(name)
