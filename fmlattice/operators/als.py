@@ -74,10 +74,34 @@ def block_columns(blocks: list[Block]) -> list[Column]:
     return [c for j, b in enumerate(blocks) for c in entry_columns(b, j)]
 
 
-def updated_theta(theta: Column, sum_hh: Column, sum_eh: Column, reg: float) -> Column:
+def strength_column(slot: str) -> str:
+    """The parameter table's column of a family's own strengths by feature, if it has one."""
+    return "_regw" if slot == "w" else "_regv"
+
+
+def with_strengths(params: DataFrame, groups: DataFrame, strengths: dict[int, tuple[float, float]], cfg: FMConfig,
+                   dimension: int) -> DataFrame:
+    """``params`` with each feature's regularisation (of w and of v) by its attribute group
+    (``feature_id, group_id``); groups and features without one have the model's."""
+    rows = [(int(g), float(w), float(v)) for g, (w, v) in strengths.items()]
+    table = F.broadcast(params.sparkSession.createDataFrame(rows, "group_id bigint, _regw double, _regv double"))
+    own = groups.select("feature_id", "group_id").join(table, "group_id").select("feature_id", "_regw", "_regv")
+    j = params.join(maybe_broadcast(own, dimension, extra_bytes=24 * dimension), "feature_id", "left")
+    return j.select(*params.columns, F.coalesce("_regw", F.lit(float(cfg.regw))).alias("_regw"),
+                    F.coalesce("_regv", F.lit(float(cfg.regv))).alias("_regv"))
+
+
+def theta_columns(params: DataFrame, slot: str) -> list[Column]:
+    """``feature_id``, the old value and, where features have strengths of their own, ``reg``."""
+    own = [F.col(strength_column(slot)).alias("reg")] if strength_column(slot) in params.columns else []
+    return [F.col("feature_id"), F.col(slot).alias("theta"), *own]
+
+
+def updated_theta(theta: Column, sum_hh: Column, sum_eh: Column, reg: float | Column) -> Column:
     """``−(Σeh − θΣh²)/(reg + Σh²)``; the old value is kept when the new one
     is not finite (or the denominator is 0)."""
-    new = F.try_divide(-(sum_eh - theta * sum_hh), F.lit(float(reg)) + sum_hh)
+    reg = reg if isinstance(reg, Column) else F.lit(float(reg))
+    new = F.try_divide(-(sum_eh - theta * sum_hh), reg + sum_hh)
     finite = new.isNotNull() & ~F.isnan(new) & (F.abs(new) != F.lit(float("inf")))
     return F.when(finite, new).otherwise(theta)
 
@@ -261,7 +285,7 @@ def theta_stats(work: DataFrame, params: DataFrame, j: int, block: Block, slot:
     spark = work.sparkSession
     sums = block_sums(work, j, block, factor)
     theta = params.where((F.col("feature_id") >= block.offset) & (F.col("feature_id") < block.end)) \
-                  .select("feature_id", F.col(slot).alias("theta"))
+                  .select(*theta_columns(params, slot))
     return stats_of_sums(sums.join(maybe_broadcast(theta, block.size, spark, 16 * block.size), "feature_id", "left"), factor)
 
 
@@ -276,12 +300,15 @@ def stats_of_sums(sums: DataFrame, factor: bool) -> DataFrame:
         none = hh <= F.lit(ROUNDING) * whole
         eh = F.when(none, F.lit(0.0)).otherwise(F.col("s_eq") - t * F.col("s_exx"))
         hh = F.when(none, F.lit(0.0)).otherwise(hh)
-    return sums.select("feature_id", t.alias("theta"), hh.alias("sum_hh"), eh.alias("sum_eh"))
+    return sums.select("feature_id", t.alias("theta"), hh.alias("sum_hh"), eh.alias("sum_eh"),
+                       *[c for c in sums.columns if c == "reg"])
 
 
 def theta_update(stats: DataFrame, reg: float) -> DataFrame:
-    """``feature_id, theta, new, delta`` for the ids whose value changes."""
-    new = updated_theta(F.col("theta"), F.col("sum_hh"), F.col("sum_eh"), reg)
+    """``feature_id, theta, new, delta`` for the ids whose value changes.  ``stats`` with a
+    column ``reg`` bring their own strengths."""
+    own = F.coalesce(F.col("reg"), F.lit(float(reg))) if "reg" in stats.columns else reg
+    new = updated_theta(F.col("theta"), F.col("sum_hh"), F.col("sum_eh"), own)
     return (stats.select("feature_id", "theta", new.alias("new"))
             .withColumn("delta", F.col("new") - F.col("theta"))
             .where(F.col("delta") != 0))
@@ -359,10 +386,11 @@ class Values:
     they are few, else segment by segment."""
 
     def __init__(self, params: DataFrame, segments: list[Segment], slots: list[str]):
-        self.params, self.slots = params, slots
+        own = sorted({strength_column(s) for s in slots} & set(params.columns))
+        self.params, self.slots = params, [*slots, *own]
         self.spark = params.sparkSession
         narrow = [b for s in segments if not s.wide(self.spark) for b in s.blocks]
-        self.all = self._read(narrow) if sum(b.size for b in narrow) * len(slots) <= KEPT_VALUES else None
+        self.all = self._read(narrow) if sum(b.size for b in narrow) * len(self.slots) <= KEPT_VALUES else None
 
     def _read(self, blocks: list[Block]) -> dict[tuple[str, int], list[float]]:
         cond = F.lit(False)
@@ -379,6 +407,11 @@ class Values:
         known = self.all if self.all is not None else self._read(segment.blocks)
         return [known[slot, b.offset] for b in segment.blocks]
 
+    def strengths(self, segment: Segment, slot: str, reg: float) -> float | list[list[float]]:
+        """``reg``, or the features' own where the parameter table has them."""
+        column = strength_column(slot)
+        return self.of(segment, column) if column in self.slots else reg
+
 
 def joined_ranges(blocks: list[Block]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
@@ -437,7 +470,7 @@ def segment_step(work: Work, segment: Segment, params: DataFrame, values: Values
         run = gram.Run(segment.blocks, segment.constants, values.of(segment, slot), segment.at)
         read = frame.withColumn("_r", gram.outside(run, F.col(q))) if factor else frame
         cells = gram.collected(gram.cell_sums(read, run, factor, gram.row_moments(F.col("_r") if factor else None)), run, factor)
-        new = gram.solve(run, cells, reg, factor)
+        new = gram.solve(run, cells, values.strengths(segment, slot, reg), factor)
         updates.add_run(slot, run, new)
         work.changed(gram.changed_rows(frame, run, new, factor, q or ""))
         return
@@ -520,7 +553,8 @@ def als_iteration(train: Training, params: DataFrame, w0: float, cfg: FMConfig,
 
 def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] | None = None,
         learner=None, params: DataFrame | None = None, w0: float = 0.0,
-        scratch: Scratch | None = None, order: str = "ascending", max_blocks: int | None = None) -> FMModel:
+        scratch: Scratch | None = None, order: str = "ascending", max_blocks: int | None = None,
+        groups: DataFrame | None = None, group_reg: dict[int, tuple[float, float]] | None = None) -> FMModel:
     """``FM(dataset, k, iterations).learnWith(learner)``: initialise, then
     iterate; the trace holds the training RMSE before each iteration.  Only
     the final parameter table is kept in the scratch folder.
@@ -533,7 +567,13 @@ def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] |
     uncut block); their ids are updated colour by colour (see ``blocks``), which is
     coordinate descent in another order, in far fewer steps.  ``order="damped"``: no
     blocks; each family is one step with a line search (see ``damped``).  ``max_blocks``
-    refuses the exact orders where they would need more blocks than that."""
+    refuses the exact orders where they would need more blocks than that.
+
+    ``group_reg``: regularisation (of w, of v) by attribute group, in place of the
+    model's; ``groups`` (``feature_id, group_id``) says which group a feature is in (a
+    ``RelationalData`` has its own: one group for each leaf block)."""
+    if group_reg is not None and order != "ascending":
+        raise ValueError("strengths by group go with the ascending order")
     if order not in ("ascending", "coloured", "damped"):
         raise ValueError(f"unknown order {order!r}; ascending, coloured or damped")
 
@@ -579,9 +619,15 @@ def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] |
         params = init_params(spark, dimension, cfg)
     if relabelling is not None:
         params = renumbered(params, relabelling)
-    if not given or relabelling is not None:
+    if group_reg is not None:
+        if groups is None:
+            if isinstance(rows, DataFrame):
+                raise ValueError("strengths by group need the features' groups")
+            groups = rows.groups()
+        params = with_strengths(params, groups, group_reg, cfg, dimension)
+    if not given or relabelling is not None or group_reg is not None:
         params = scratch.write(params, "params")
-    own = None if given and relabelling is None else scratch.last()
+    own = None if given and relabelling is None and group_reg is None else scratch.last()
     trace = []
     for it in range(1, cfg.iterations + 1):
         res = learner(train, params, w0, cfg, dimension)
@@ -596,4 +642,5 @@ def fit(rows, cfg: FMConfig, dimension: int | None = None, blocks: list[Block] |
     for path in scratch.paths[mark:]:
         if path != own:
             scratch.drop(path)
+    params = params.drop("_regw", "_regv")
     return FMModel(w0, params, cfg, dimension, spark.createDataFrame(trace, "iteration bigint, rmse double"))

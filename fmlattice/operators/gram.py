@@ -164,9 +164,10 @@ def collected(sums: DataFrame, run: Run, factor: bool) -> Cells:
     return Cells(ids, {x: numbers(f"m{i}") for i, x in enumerate(plain)}, {x: numbers(f"n{i}") for i, x in enumerate(with_e)})
 
 
-def solve(run: Run, cells: Cells, reg: float, factor: bool) -> list[list[float]]:
+def solve(run: Run, cells: Cells, reg: float | list[list[float]], factor: bool) -> list[list[float]]:
     """The blocks' new values: block after block, each on the sums as the ones before it
-    left them."""
+    left them.  ``reg``: one strength, or each block's by id."""
+    strengths = [np.array(r, float) for r in reg] if isinstance(reg, list) else [float(reg)] * len(run.blocks)
     m, n_cells = len(run.varying), len(cells.ids[0])
     place = {j: 2 + a for a, j in enumerate(run.varying)}       # index in z = (1, r, x ..)
 
@@ -208,8 +209,8 @@ def solve(run: Run, cells: Cells, reg: float, factor: bool) -> list[list[float]]
         none = sums[0] <= ROUNDING * sums[1]
         s_hh, s_eh = np.where(none, 0.0, sums[0]), np.where(none, 0.0, sums[2])
         with np.errstate(all="ignore"):
-            new = -(s_eh - thetas[j] * s_hh) / (reg + s_hh)
-        new = np.where(seen & (reg + s_hh != 0) & np.isfinite(new), new, thetas[j])
+            new = -(s_eh - thetas[j] * s_hh) / (strengths[j] + s_hh)
+        new = np.where(seen & (strengths[j] + s_hh != 0) & np.isfinite(new), new, thetas[j])
         change = of(new - thetas[j], ids) * scale
         for i in w:
             pair = tuple(sorted((s[0] if s else 0, i)))

@@ -344,7 +344,7 @@ def _side_segment_step(rs: DataFrame, segment: A.Segment, values: A.Values, slot
     else:
         moments = gram.Moments(n, None, None, E, None)
     cells = gram.collected(gram.cell_sums(rs, run, factor, moments), run, factor)
-    new = gram.solve(run, cells, reg, factor)
+    new = gram.solve(run, cells, values.strengths(segment, slot, reg), factor)
     updates.add_run(slot, run, new)
     for j in range(len(run.blocks)):
         if new[j] == run.thetas[j]:
@@ -377,7 +377,7 @@ def _side_wide_step(rs: DataFrame, params: DataFrame, j: int, blk: Block, slot:
           .groupBy((F.col(f"l{j}") + F.lit(blk.offset).cast("bigint")).alias("feature_id"))
           .agg(*[F.sum(c).alias(a) for a, c in sums.items()]))
     theta = params.where((F.col("feature_id") >= blk.offset) & (F.col("feature_id") < blk.end)) \
-                  .select("feature_id", F.col(slot).alias("theta"))
+                  .select(*A.theta_columns(params, slot))
     st = st.join(maybe_broadcast(theta, blk.size, extra_bytes=16 * blk.size), "feature_id", "left")
     t = F.coalesce(F.col("theta"), F.lit(0.0))
     hh, eh = F.col("h0"), F.col("e0")
@@ -387,7 +387,8 @@ def _side_wide_step(rs: DataFrame, params: DataFrame, j: int, blk: Block, slot:
         none = hh <= F.lit(A.ROUNDING) * whole
         eh = F.when(none, F.lit(0.0)).otherwise(F.col("e0") - t * F.col("e1"))
         hh = F.when(none, F.lit(0.0)).otherwise(hh)
-    stats = st.select("feature_id", t.alias("theta"), hh.alias("sum_hh"), eh.alias("sum_eh"))
+    stats = st.select("feature_id", t.alias("theta"), hh.alias("sum_hh"), eh.alias("sum_eh"),
+                      *[c for c in st.columns if c == "reg"])
     delta = updates.scratch.write(A.theta_update(stats, reg), "delta")
     updates.add_table(slot, delta)
     d = delta.select((F.col("feature_id") - F.lit(blk.offset)).alias("_dl"), F.col("theta").alias("_dth"),

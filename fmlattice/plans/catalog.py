@@ -900,3 +900,11 @@ def q_relational_fit(spark, sf_dir):
     """Two passes on the normalised tables; some orders have no customer row."""
     m = RL.relational_fit(orders_relational(spark, sf_dir, drop_segment=True), X.LEARN_CFG)
     return _params_out(m.params, m.w0)
+
+
+@query("fit_groups")
+def q_fit_groups(spark, sf_dir):
+    """One pass with regularisation by attribute group."""
+    d = orders_relational(spark, sf_dir, drop_segment=True)
+    m = A.fit(d, X.ONE_PASS_CFG, group_reg=X.GROUP_REG)
+    return _params_out(m.params, m.w0)

@@ -78,6 +78,9 @@ REGION_SPECS = [Target("r_regionkey"), Identity("r_name")]
 # regions that have no row in the chain, so that their nations keep the key's one-hot
 REGION_DROPPED = "ASIA"
 
+# strengths (of w, of v) of the attribute groups of orders -> customer; the others have the model's
+GROUP_REG = {1: (0.5, 2.0), 2: (0.25, 4.0), 3: (0.0, 1.0), 5: (2.0, 20.0)}
+
 # users whose id this divides are not in the dictionary that encode_unseen learns
 UNSEEN_MODULUS = 3
 

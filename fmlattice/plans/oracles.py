@@ -566,7 +566,7 @@ rl_ids AS (
 REL_ROWS, REL_ALL_ROWS = REL + REL_SLOTS, REL_ALL + REL_SLOTS
 
 
-def flat_sweep_ctes(base: str, G: int, stop: str, passes: int = 1) -> str:
+def flat_sweep_ctes(base: str, G: int, stop: str, passes: int = 1, group_reg: dict | None = None) -> str:
     """One flat pass (w0, w, v0 ...) over ``rl`` rows whose slots may be
     NULL; stops after family ``stop`` (``w`` or ``v0``).  Further ``passes`` have
     names that end with their number."""
@@ -577,11 +577,12 @@ fp_1 AS (SELECT feature_id, CAST(0.0 AS DOUBLE) AS w,
         {', '.join(gauss(cfg.init_mean, cfg.init_stdev, str(cfg.seed), str(f), 'feature_id') + f' AS v{f}' for f in range(k))}
       FROM rl_ids)"""]
     for t in range(1, passes + 1):
-        parts += flat_pass(G, stop, t)
+        parts += flat_pass(G, stop, t, group_reg or {})
     return ",\n".join(parts)
 
 
-def flat_pass(G: int, stop: str, t: int) -> list[str]:
+def flat_pass(G: int, stop: str, t: int, group_reg: dict) -> list[str]:
+    """``group_reg``: strengths (of w, of v) by slot."""
     cfg = X.LEARN_CFG
     k, parts = cfg.k, []
     end, old = "" if t == 1 else f"_{t}", "" if t <= 2 else f"_{t - 1}"
@@ -614,7 +615,7 @@ def flat_pass(G: int, stop: str, t: int) -> list[str]:
                 parts.append(f"""fst_{tag} AS (SELECT id{g} AS feature_id, sum(x{g} * x{g}) AS hh, sum(e * x{g}) AS eh
     FROM {cur} WHERE id{g} IS NOT NULL GROUP BY id{g})""")
                 parts.append(f"""fnw_{tag} AS (SELECT st.feature_id, p.w AS theta,
-      {_upd('p.w', 'st.hh', 'st.eh', cfg.regw)} AS new FROM fst_{tag} st JOIN {P} p USING (feature_id))""")
+      {_upd('p.w', 'st.hh', 'st.eh', group_reg.get(g, (cfg.regw,))[0])} AS new FROM fst_{tag} st JOIN {P} p USING (feature_id))""")
                 parts.append(f"""fs_{tag} AS (SELECT {', '.join('s.' + cc.strip() for cc in scols.split(','))},
       s.e + coalesce(s.x{g} * (n.new - n.theta), 0.0) AS e, {', '.join(f's.q{f}' for f in range(k))}
     FROM {cur} s LEFT JOIN fnw_{tag} n ON n.feature_id = s.id{g})""")
@@ -625,7 +626,7 @@ def flat_pass(G: int, stop: str, t: int) -> list[str]:
                 parts.append(f"""fst_{tag} AS (SELECT id{g} AS feature_id, sum(h * h) AS hh, sum(e * h) AS eh
     FROM fh_{tag} GROUP BY id{g})""")
                 parts.append(f"""fnw_{tag} AS (SELECT st.feature_id, p.v{f} AS theta,
-      {_upd(f'p.v{f}', 'st.hh', 'st.eh', cfg.regv)} AS new FROM fst_{tag} st JOIN {P} p USING (feature_id))""")
+      {_upd(f'p.v{f}', 'st.hh', 'st.eh', group_reg.get(g, (0.0, cfg.regv))[1])} AS new FROM fst_{tag} st JOIN {P} p USING (feature_id))""")
                 qsel = ", ".join((f"s.q{ff} + coalesce(s.x{g} * (n.new - n.theta), 0.0) AS q{ff}" if ff == f
                                   else f"s.q{ff}") for ff in range(k))
                 parts.append(f"""fs_{tag} AS (SELECT {', '.join('s.' + cc.strip() for cc in scols.split(','))},
@@ -855,3 +856,6 @@ WITH {PART_LIST.strip()},
 ent AS (SELECT DISTINCT t.p_partkey AS k, d.code AS fid, length(d.token) / 10.0 AS v FROM pt_tok t JOIN pt_dict d USING (token)
         UNION ALL SELECT p_partkey, (SELECT count(*) FROM pt_dict), ln(1 + p_size) FROM part)
 SELECT CAST(k AS BIGINT) AS p_partkey, CAST(fid AS BIGINT) AS feature_id, {r6('v')} AS value FROM ent WHERE v <> 0""")
+
+
+oracle("fit_groups", with_(flat_sweep_ctes(REL_ROWS, 6, "v1", group_reg=X.GROUP_REG), ONE_PASS))

@@ -146,3 +146,28 @@ def test_hot_side_key(spark):
     b = RL.relational_iteration(RL.prepare_relational(data), params, 0.0, cfg).params
     a, b = (x.orderBy("feature_id").toPandas() for x in (a, b))
     assert np.abs(a.w.values - b.w.values).max() < 1e-10 and np.abs(a.v0.values - b.v0.values).max() < 1e-10
+
+
+def test_strengths_by_group(spark):
+    """By all three ways of a side table; one group of the model's strength is no change."""
+    fact, rel = star(spark, seed=6)
+    specs = [Identity("uid"), Identity("kind"), Target("y")]
+    cfg = M.FMConfig(k=1, iterations=1, init_stdev=0.2, seed=4, regv=0.5, regw=0.1)
+    data = RL.relational_dataset(fact, specs, {"uid": rel}, row_id="id")
+
+    def fitted(**kw):
+        return A.fit(data, cfg, **kw).params.orderBy("feature_id").toPandas()
+
+    plain = fitted()
+    same = fitted(group_reg={g: (cfg.regw, cfg.regv) for g in range(5)})
+    assert np.abs(plain.values - same.values).max() < 1e-12 and list(plain.columns) == list(same.columns)
+    reg = {1: (3.0, 4.0), 2: (0.0, 9.0), 4: (1.0, 0.25)}
+    got = fitted(group_reg=reg)
+    assert np.abs(got.w - plain.w).max() > 1e-3
+    for name, value in (("gramCells", "1"), ("literalBlockRows", "0")):
+        spark.conf.set(f"fmlattice.{name}", value)
+        try:
+            other = fitted(group_reg=reg)
+        finally:
+            spark.conf.unset(f"fmlattice.{name}")
+        assert np.abs(got.values - other.values).max() < 1e-9, name
