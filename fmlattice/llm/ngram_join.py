@@ -9,14 +9,20 @@ of its 64-bit hashed n-grams of words (all words, if they are fewer than n).
 3. Band hashes shuffle.  A bucket is its members' representatives; buckets with
    the same members are one (by an order-free digest), so a pair found in
    many bands is not looked at as often.
-4. Buckets are cut into blocks of bounded rows and n-grams; a task gets two
-   blocks of one bucket with the full sets, and verifies the pairs between them.
-   A pair belongs to the least bucket that both sides share, so it counts once.
-   The task returns, for each member, its number of links and an edge of a
-   spanning forest, never the pairs: a bucket of m members returns O(m) rows.
-5. Links add up; forest edges give the components.
-
-A bucket that a third of all texts share is many block pairs, in as many tasks.
+4. Buckets of more than a block have a pivot, their least member.  Members whose full
+   sets are within half the threshold's distance of a pivot are its ball: Jaccard
+   distance is a metric, so all pairs of a ball are links, known without a look at
+   them.  A member is compared with its buckets' pivots only, at most one a band.
+5. Buckets are cut into blocks of bounded rows and n-grams, a large ball into blocks of
+   its own; a task gets two blocks of one bucket with the full sets, and verifies the
+   pairs between them.  Blocks of one ball do not meet, so a bucket of close copies is
+   no block pair.  A pair belongs to the least bucket that both sides share, so it
+   counts once.  The task returns, for each member, its number of links and an edge of
+   a spanning forest, never the pairs: a bucket of m members returns O(m) rows.
+6. Links add up; forest edges give the components.
+
+A bucket that a third of all texts share, but not as close copies, is many block pairs,
+in as many tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +31,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import (GOLDEN, discard, groups, keep_decided, mix, seeds, shuffle_partitions, text_batches, text_slices,
@@ -39,6 +46,7 @@ MAX_HASHES = 160
 BLOCK_ROWS = 256                # members of a block of a bucket
 BLOCK_GRAMS = 400_000           # n-grams of a block, but for single larger sets
 BROADCAST_IDS = 1_000_000       # representatives (a long each) that a scan may be sent
+NO_BALL = -1                    # nodes are not negative
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
 
@@ -46,13 +54,19 @@ NOT_SPACE[[32, *range(9, 14)]] = False
 def choose_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
                  max_hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows (fewest false candidates) whose bands reach the
-    recall at the threshold within the number of hashes."""
-    best = (1, 1)
+    recall at the threshold within the number of hashes.  Raises where none does."""
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError(f"threshold {threshold} and recall {recall} have to be above 0, recall below 1, threshold at most 1")
+    best = None
     for rows in range(1, 17):
         p = threshold ** rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
+        bands = 1 if p >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-p))
         if bands * rows <= max_hashes:
             best = (bands, rows)
+    if best is None:
+        need = math.ceil(math.log1p(-recall) / math.log1p(-threshold))
+        raise ValueError(f"a recall of {recall} at a threshold of {threshold} takes {need} hashes: "
+                         f"max_hashes is {max_hashes}")
     return best
 
 
@@ -186,9 +200,36 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
+def in_thousandths(threshold: float) -> int:
+    """The threshold as similarities are compared with it, in integers only."""
+    return round(threshold * 1000)
+
+
+def near_rows(threshold: float):
+    """Arrow function over rows sorted by (pivot, chunk), the pivot's own among them:
+    (node, pivot) where the similarity is at least halfway between threshold and 1."""
+    t = in_thousandths(threshold)
+
+    def run(batches):
+        for g in groups(batches, ["pivot", "chunk"]):
+            pivot = g.column("pivot")[0].as_py()
+            g = g.combine_chunks()
+            node = g.column("node").to_numpy()
+            sets = [np.frombuffer(x, "<u8") for x in g.column("grams").to_pylist()]
+            own = sets[int(np.flatnonzero(node == pivot)[0])]
+            size = np.array([len(x) for x in sets])
+            shared = np.array([(own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x).sum() for x in sets])
+            near = node[2000 * shared >= (1000 + t) * (size + len(own) - shared)]
+            yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(np.full(len(near), pivot))],
+                                             names=["node", "pivot"])
+
+    return run
+
+
 def verify_rows(threshold: float):
     """Arrow function over rows sorted by (bucket, i, j): verify the pairs of block i
-    with block j of a bucket; returns (node, links, root)."""
+    with block j of a bucket that are not in one ball; returns (node, links, root)."""
+    t = in_thousandths(threshold)
 
     def roots_of(linked: np.ndarray) -> np.ndarray:
         """The least member of each one's component in the boolean matrix."""
@@ -209,10 +250,10 @@ def verify_rows(threshold: float):
             copies, size = g.column("copies").to_numpy(), g.column("n_grams").to_numpy()
             sets = [np.frombuffer(x, "<u8") for x in g.column("grams").to_pylist()]
             shared = shared_counts(sets)
-            # integers only: |A and B| >= t |A or B|, t as a fraction of 1000
-            t = round(threshold * 1000)
             linked = 1000 * shared >= t * (size[:, None] + size[None, :] - shared)
             np.fill_diagonal(linked, False)
+            ball = g.column("ball").to_numpy()
+            linked &= (ball[:, None] != ball[None, :]) | (ball == NO_BALL)[:, None]
             if i != j:
                 linked &= block[:, None] != block[None, :]
             if linked.any():
@@ -230,9 +271,71 @@ def verify_rows(threshold: float):
     return run
 
 
+def cuts_of(rows: Column, n_grams: Column, block_rows: int, block_grams: int) -> Column:
+    """Blocks for so many rows and n-grams."""
+    return F.greatest(F.ceil(rows / block_rows), F.ceil(n_grams / block_grams)).cast("int")
+
+
+def balls_of(inside: DataFrame, sets: DataFrame, threshold: float, block_rows: int, block_grams: int,
+             rows: int) -> DataFrame:
+    """(node, ball) for the members of buckets of more than a block (``inside``) that are
+    near a pivot of theirs: the least such pivot.  A pivot meets its members in chunks
+    of bounded rows and n-grams, so one with very many of them is many tasks."""
+    parts = shuffle_partitions(inside.sparkSession)
+    near = inside.select("node", "pivot", "n_grams").distinct()
+    chunks = written(near.groupBy("pivot").agg(cuts_of(F.count(F.lit(1)), F.sum("n_grams"), block_rows, block_grams)
+                                               .alias("chunks")), "join-pivots", rows=rows)
+    members = (near.where("node <> pivot").join(bounded(chunks), "pivot")
+               .select("pivot", F.pmod(F.xxhash64("node", "pivot"), F.col("chunks")).cast("int").alias("chunk"), "node"))
+    pivots = chunks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+                           F.col("pivot").alias("node"))
+    found = (members.unionByName(pivots).join(sets, "node").select("pivot", "chunk", "node", "grams")
+             .repartition(parts, "pivot", "chunk").sortWithinPartitions("pivot", "chunk")
+             .mapInArrow(near_rows(threshold), "node long, pivot long"))
+    out = written(found.groupBy("node").agg(F.min("pivot").alias("ball")), "join-balls", rows=rows)
+    discard(chunks)
+    return out
+
+
+def laid_out(inside: DataFrame, balls: DataFrame, block_rows: int, block_grams: int) -> DataFrame:
+    """(bucket, node, block, others) for the members of buckets of more than a block:
+    the block of each one and the blocks that it meets.  A ball with more than a block of
+    members in a bucket has blocks of its own there, which do not meet each other; the other
+    members of the bucket share blocks that meet all."""
+    none = F.lit(NO_BALL).cast("long")
+    member = (inside.select("bucket", "node", "n_grams").join(bounded(balls), "node", "left")
+              .withColumn("ball", F.coalesce("ball", none)))
+    size = (member.groupBy("bucket", "ball").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams"))
+            .withColumn("own", (F.col("ball") != none) & (cuts_of(F.col("m"), F.col("grams"), block_rows, block_grams) > 1)))
+    bucket = W.partitionBy("bucket")
+    before = bucket.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    layout = written(size.groupBy("bucket", F.when(F.col("own"), F.col("ball")).otherwise(none).alias("part"))
+                     .agg(cuts_of(F.sum("m"), F.sum("grams"), block_rows, block_grams).alias("cuts"))
+                     .withColumns({"first": F.coalesce(F.sum("cuts").over(before), F.lit(0)).cast("int"),
+                                   "total": F.sum("cuts").over(bucket).cast("int")}), "join-layout")
+    own = layout.where(F.col("part") != none).select("bucket", F.col("part").alias("ball"), F.lit(True).alias("own"))
+    last = F.col("first") + F.col("cuts")
+    return (member.join(bounded(own), ["bucket", "ball"], "left")
+            .withColumn("part", F.when(F.col("own"), F.col("ball")).otherwise(none))
+            .join(bounded(layout), ["bucket", "part"])
+            .select("bucket", "node",
+                    (F.col("first") + F.pmod(F.xxhash64("node", "bucket"), F.col("cuts")).cast("int")).alias("block"),
+                    F.filter(F.sequence(F.lit(0), F.col("total") - 1),
+                             lambda x: (F.col("part") == none) | (x < F.col("first")) | (x >= last)).alias("others")))
+
+
+def ball_links(balls: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """(node, links, root) of the pairs within balls; the root is the ball's pivot."""
+    known = balls.join(classes.select("node", "copies"), "node")
+    whole = written(known.groupBy("ball").agg(F.sum("copies").alias("whole")), "join-ball-sizes", rows=rows)
+    return (known.join(bounded(whole), "ball").where("whole > copies")
+            .select("node", (F.col("whole") - F.col("copies")).alias("links"), F.col("ball").alias("root")))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
                  threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
-                 block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS,
+                 max_hashes: int = MAX_HASHES) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (least id of the texts joined to
     it by links, its own included), n_links (other rows whose n-gram set has a
     Jaccard similarity of at least ``threshold`` with its own), n_grams, kept (one
@@ -246,7 +349,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * Other columns are ignored.  An empty table gives no row."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    bands, rows = choose_bands(threshold, recall)
+    bands, rows = choose_bands(threshold, recall, max_hashes)
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     sig = written(source.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"))
@@ -267,14 +370,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      .select("node", "n_grams", F.xxhash64("band", "hash").alias("bucket")), "join-members",
                      rows=n_rows * bands)
     size = member.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams"),
+        F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams"), F.min("node").alias("pivot"),
         F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2"))
-    distinct = size.where("m > 1").groupBy("m", "grams", "x1", "x2").agg(F.min("bucket").alias("bucket"))
-    cuts = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("grams") / block_grams)).cast("int")
-    buckets = written(distinct.select("bucket", cuts.alias("cuts")), "join-buckets", rows=n_rows)
-    inside = written(member.select("node", "bucket").join(bounded(buckets), "bucket")
-                     .withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("cuts")).cast("int")), "join-inside",
-                     rows=n_rows)
+    distinct = size.where("m > 1").groupBy("m", "grams", "pivot", "x1", "x2").agg(F.min("bucket").alias("bucket"))
+    cuts = cuts_of(F.col("m"), F.col("grams"), block_rows, block_grams)
+    buckets = written(distinct.select("bucket", "m", "pivot", cuts.alias("cuts")), "join-buckets", rows=n_rows * bands)
+    n_inside = buckets.agg(F.sum("m")).first()[0] or 0
+    inside = written(member.join(bounded(buckets.drop("m")), "bucket"), "join-inside", rows=n_inside)
 
     # the full sets of the classes in some bucket, computed again from a text of theirs
     wanted = written(inside.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
@@ -286,17 +388,35 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .join(bounded(wanted.select("node", "h1", "h2"), wanted), ["h1", "h2"])
             .groupBy("node").agg(F.first("grams").alias("grams")))
 
+    # balls of large buckets; the blocks of each bucket
+    one = F.lit(0).alias("block")
+    blocks = inside.where("cuts = 1").select("bucket", "node", one, F.array(F.lit(0)).alias("others"))
+    large = inside.where("cuts > 1")
+    balls = None
+    if not large.isEmpty():
+        sets = written(sets, "join-sets")
+        balls = balls_of(large, sets, threshold, block_rows, block_grams, rows=n_rows)
+        blocks = blocks.unionByName(laid_out(large, balls, block_rows, block_grams))
+        side = wanted.join(bounded(balls), "node", "left")
+    else:
+        side = wanted.withColumn("ball", F.lit(None).cast("long"))
+    side = side.select("node", "buckets", "n_grams", "copies",
+                       F.coalesce("ball", F.lit(NO_BALL).cast("long")).alias("ball"))
+
     # block pairs, verified
     i, j = F.least("block", "other"), F.greatest("block", "other")
-    pairs = (inside.join(wanted.select("node", "buckets", "n_grams", "copies").join(sets, "node"), "node")
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-             .select("bucket", i.alias("i"), j.alias("j"), "node", "block", "buckets", "n_grams", "copies", "grams"))
+    pairs = (blocks.withColumn("other", F.explode("others")).join(side.join(sets, "node"), "node")
+             .select("bucket", i.alias("i"), j.alias("j"), "node", "block", "buckets", "n_grams", "copies", "ball", "grams"))
     # a few rounds of tasks for the cores there are: no more files than that helps
     tasks = min(parts, 8 * spark.sparkContext.defaultParallelism)
     verified = written(pairs.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
                        .mapInArrow(verify_rows(threshold), "node long, links long, root long").coalesce(tasks),
                        "join-verified")
 
+    if balls is not None:
+        links = written(ball_links(balls, classes, n_rows), "join-ball-links", rows=n_rows)
+        verified = verified.unionByName(links)
+        discard(sets, balls)
     discard(member, buckets, inside, wanted)
 
     # classes of linked texts

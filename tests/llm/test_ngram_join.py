@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from fmlattice.llm import ngram_join
 from fmlattice.llm.common import mix, table
 from fmlattice.llm.components import components
 from fmlattice.llm.ngram_join import choose_bands, gram_hashes, jaccard_join, one_of_each, shared_counts
@@ -56,6 +57,17 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9999 and bands * rows <= 160
 
 
+def test_bands_that_cannot_reach_the_recall_raise():
+    assert choose_bands(0.1)[0] >= 88
+    with pytest.raises(ValueError, match="max_hashes"):
+        choose_bands(0.05)
+    bands, rows = choose_bands(0.05, max_hashes=400)
+    assert 1 - (1 - 0.05 ** rows) ** bands >= 0.9999
+    for bad in (0, 1.2):
+        with pytest.raises(ValueError):
+            choose_bands(bad)
+
+
 def test_gram_hashes_do_not_cross_texts():
     texts = ["a b c d e f", "", "g", " a  b\tc d e", "x y", "\xe9 a b c d e"]
     data = [t.encode() for t in texts]
@@ -103,6 +115,48 @@ def test_hot_group(frame):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_large_buckets_at_every_distance(frame, seed):
+    """Families whose members lie within half the distance of a pivot, between that and the
+    threshold, and beyond it, with equal sets among them; blocks of three rows."""
+    r = random.Random(seed)
+    rows = []
+    for size, family, edits in ((120, 40, [0, 1, 1]), (120, 40, [1, 2, 3]), (60, 30, [0, 1, 2, 4]), (300, 30, [1, 5, 9])):
+        base = [f"b{r.randrange(10**6)}" for _ in range(size)]
+        for _ in range(family):
+            w = list(base)
+            for _ in range(r.choice(edits)):
+                w[r.randrange(size)] = f"n{r.randrange(12)}"
+            rows.append((len(rows), " ".join(w)))
+    r.shuffle(rows)
+    for block_rows, block_grams in ((3, 400_000), (256, 900)):
+        got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in
+               jaccard_join(frame(rows, "doc_id long, text string"), block_rows=block_rows, block_grams=block_grams).collect()}
+        assert got == brute(rows)
+
+
+def test_bucket_of_many_near_copies_is_linear(frame, monkeypatch):
+    """20,000 different texts, all pairs of them links: a set is not sent once for every
+    block of its buckets."""
+    many = 20_000
+    sent = []
+    group = ngram_join.laid_out
+
+    def counted(*args):
+        out = group(*args)
+        sent.append(out.selectExpr("coalesce(sum(size(others)), 0) AS n").first()["n"])
+        return out
+
+    monkeypatch.setattr(ngram_join, "laid_out", counted)
+    texts = frame([(0,)], "z int").selectExpr(f"explode(sequence(0, {many - 1})) AS i").selectExpr(
+        "CAST(i AS long) AS doc_id", "concat_ws(' ', transform(sequence(0, 199), j -> IF(j = (i * 7) % 200, "
+        "concat('n', i), concat('w', j)))) AS text")
+    got = jaccard_join(texts)
+    bad = got.where(f"class_id <> 0 OR n_links <> {many - 1}")
+    assert got.count() == many and bad.count() == 0
+    assert len(sent) == 1 and sent[0] <= 24 * many
+
+
 def test_repeated_rows_and_null_ids(frame):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (7, "q r s t u v"), (None, "k l m n o p")]
     df = frame([(*r, "x", 1) for r in rows], SCHEMA)
