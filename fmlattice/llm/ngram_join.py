@@ -12,7 +12,7 @@ of its 64-bit hashed n-grams of words (all words, if they are fewer than n).
 4. Buckets of more than a block have a pivot, their least member.  Members whose full
    sets are within half the threshold's distance of a pivot are its ball: Jaccard
    distance is a metric, so all pairs of a ball are links, known without a look at
-   them.  A member is compared with its buckets' pivots only, at most one a band.
+   them.  A member is compared with one pivot only, the one in most of its buckets.
 5. Buckets are cut into blocks of bounded rows and n-grams, a large ball into blocks of
    its own; a task gets two blocks of one bucket with the full sets, and verifies the
    pairs between them.  Blocks of one ball do not meet, so a bucket of close copies is
@@ -276,24 +276,29 @@ def cuts_of(rows: Column, n_grams: Column, block_rows: int, block_grams: int) ->
     return F.greatest(F.ceil(rows / block_rows), F.ceil(n_grams / block_grams)).cast("int")
 
 
-def balls_of(inside: DataFrame, sets: DataFrame, threshold: float, block_rows: int, block_grams: int,
+def balls_of(inside: DataFrame, classes: DataFrame, sets_of, threshold: float, block_rows: int, block_grams: int,
              rows: int) -> DataFrame:
     """(node, ball) for the members of buckets of more than a block (``inside``) that are
-    near a pivot of theirs: the least such pivot.  A pivot meets its members in chunks
-    of bounded rows and n-grams, so one with very many of them is many tasks."""
+    near their pivot: of their buckets' pivots the one in most of them, then the least.
+    A set is sent once; a pivot meets its members in chunks of bounded rows and
+    n-grams, so one with very many of them is many tasks."""
     parts = shuffle_partitions(inside.sparkSession)
-    near = inside.select("node", "pivot", "n_grams").distinct()
-    chunks = written(near.groupBy("pivot").agg(cuts_of(F.count(F.lit(1)), F.sum("n_grams"), block_rows, block_grams)
-                                               .alias("chunks")), "join-pivots", rows=rows)
-    members = (near.where("node <> pivot").join(bounded(chunks), "pivot")
-               .select("pivot", F.pmod(F.xxhash64("node", "pivot"), F.col("chunks")).cast("int").alias("chunk"), "node"))
-    pivots = chunks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-                           F.col("pivot").alias("node"))
-    found = (members.unionByName(pivots).join(sets, "node").select("pivot", "chunk", "node", "grams")
+    chosen = written(inside.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+                     .groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
+                     .join(classes.select("node", "h1", "h2", "n_grams", F.col("first.doc_id").alias("first_id")), "node"),
+                     "join-pivots", rows=rows)
+    chunks = written(chosen.groupBy("pivot").agg(cuts_of(F.count(F.lit(1)), F.sum("n_grams"), block_rows, block_grams)
+                                                 .alias("chunks")), "join-chunks", rows=rows)
+    own = chunks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+                        F.col("pivot").alias("node"))
+    members = written(chosen.where("node <> pivot").join(bounded(chunks), "pivot")
+                      .select("pivot", F.pmod(F.xxhash64("node", "pivot"), F.col("chunks")).cast("int").alias("chunk"), "node")
+                      .unionByName(own), "join-near", rows=2 * rows)
+    found = (sets_of(chosen).join(bounded(members), "node").select("pivot", "chunk", "node", "grams")
              .repartition(parts, "pivot", "chunk").sortWithinPartitions("pivot", "chunk")
              .mapInArrow(near_rows(threshold), "node long, pivot long"))
     out = written(found.groupBy("node").agg(F.min("pivot").alias("ball")), "join-balls", rows=rows)
-    discard(chunks)
+    discard(chosen, chunks, members)
     return out
 
 
@@ -378,30 +383,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_inside = buckets.agg(F.sum("m")).first()[0] or 0
     inside = written(member.join(bounded(buckets.drop("m")), "bucket"), "join-inside", rows=n_inside)
 
-    # the full sets of the classes in some bucket, computed again from a text of theirs
-    wanted = written(inside.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-                     .join(classes.select("node", "h1", "h2", "n_grams", "copies",
-                                          F.col("first.doc_id").alias("first_id")), "node"), "join-wanted", rows=n_rows)
-    ids = wanted.select("first_id").distinct()
-    texts = source.join(bounded(ids, wanted), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = (texts.mapInArrow(gram_rows(n), "doc_id long, h1 long, h2 long, grams binary").drop("doc_id")
-            .join(bounded(wanted.select("node", "h1", "h2"), wanted), ["h1", "h2"])
-            .groupBy("node").agg(F.first("grams").alias("grams")))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, grams) of the classes in a written table, computed again from a text of
+        theirs; some rows repeat where ids do."""
+        texts = source.join(bounded(nodes.select("first_id").distinct(), nodes),
+                            F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+        return (texts.mapInArrow(gram_rows(n), "doc_id long, h1 long, h2 long, grams binary")
+                .join(bounded(nodes.select("node", "h1", "h2"), nodes), ["h1", "h2"]).select("node", "grams"))
 
     # balls of large buckets; the blocks of each bucket
-    one = F.lit(0).alias("block")
-    blocks = inside.where("cuts = 1").select("bucket", "node", one, F.array(F.lit(0)).alias("others"))
+    none = F.lit(NO_BALL).cast("long")
+    blocks = inside.where("cuts = 1").select("bucket", "node", F.lit(0).alias("block"), F.array(F.lit(0)).alias("others"))
     large = inside.where("cuts > 1")
     balls = None
     if not large.isEmpty():
-        sets = written(sets, "join-sets")
-        balls = balls_of(large, sets, threshold, block_rows, block_grams, rows=n_rows)
+        balls = balls_of(large, classes, sets_of, threshold, block_rows, block_grams, rows=n_rows)
         blocks = blocks.unionByName(laid_out(large, balls, block_rows, block_grams))
-        side = wanted.join(bounded(balls), "node", "left")
-    else:
-        side = wanted.withColumn("ball", F.lit(None).cast("long"))
-    side = side.select("node", "buckets", "n_grams", "copies",
-                       F.coalesce("ball", F.lit(NO_BALL).cast("long")).alias("ball"))
+    blocks = written(blocks.where(F.size("others") > 0), "join-blocks", rows=n_inside)
+
+    # the classes that meet others there, and their sets
+    of_node = (inside.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+               .join(blocks.select("node").distinct(), "node", "left_semi")
+               .join(classes.select("node", "h1", "h2", "n_grams", "copies", F.col("first.doc_id").alias("first_id")), "node"))
+    of_node = of_node.withColumn("ball", none) if balls is None else (
+        of_node.join(bounded(balls), "node", "left").withColumn("ball", F.coalesce("ball", none)))
+    wanted = written(of_node, "join-wanted", rows=n_rows)
+    sets = sets_of(wanted).groupBy("node").agg(F.first("grams").alias("grams"))
+    side = wanted.select("node", "buckets", "n_grams", "copies", "ball")
 
     # block pairs, verified
     i, j = F.least("block", "other"), F.greatest("block", "other")
@@ -416,8 +424,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if balls is not None:
         links = written(ball_links(balls, classes, n_rows), "join-ball-links", rows=n_rows)
         verified = verified.unionByName(links)
-        discard(sets, balls)
-    discard(member, buckets, inside, wanted)
+        discard(balls)
+    discard(member, buckets, inside, blocks, wanted)
 
     # classes of linked texts
     linked_rows = verified.count()
