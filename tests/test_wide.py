@@ -65,6 +65,17 @@ def test_colours(spark):
     assert coloured(spark, [[1, 1], [2]], 4) == (1, [])
 
 
+def test_each_id_is_joined_once_in_all_rounds(spark, monkeypatch):
+    from fmlattice.operators import blocks
+    joined, real = [], blocks.salted_join
+    monkeypatch.setattr(blocks, "salted_join", lambda left, right, key, n, how="inner": joined.append(n) or real(left, right, key, n, how))
+    r = np.random.default_rng(6)
+    lists = [r.choice(300, 4, replace=False).tolist() for _ in range(500)]
+    _, rounds = coloured(spark, lists, 300)
+    held = len({i for ids in lists for i in ids})
+    assert len(rounds) > 4 and sum(joined) <= 2 * held
+
+
 def test_a_row_of_ten_thousand_ids(spark):
     n, rounds = coloured(spark, [list(range(10_000)), [3, 4], [9_999, 10_001]], 10_002)
     assert 10_000 <= n < 16_000 and len(rounds) < 60
