@@ -68,3 +68,11 @@ def test_precision(spark):
     import pytest
     with pytest.raises(ValueError):
         libfm_lines(rows, precision=-1)
+
+
+def test_a_line_is_split_once(spark):
+    from fmlattice.sources.text import parse_libfm
+    lines = spark.createDataFrame([("5 1:1  9:0.5",), ("3",)], "value string")
+    rows = parse_libfm(lines)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
+    assert [(r["y"], [tuple(e) for e in r["features"]]) for r in rows.collect()] == [(5.0, [(1, 1.0), (9, 0.5)]), (3.0, [])]

@@ -36,6 +36,27 @@ def test_pointer_doubling_is_the_greedy_cut(spark, bound):
         spark.conf.unset("fmlattice.broadcastRows")
 
 
+def test_pointers_that_no_chain_needs_leave_the_table(spark, monkeypatch):
+    from fmlattice.operators import blocks
+    sizes, real = [], blocks.salted_join
+    monkeypatch.setattr(blocks, "salted_join", lambda left, right, key, n, how="inner": sizes.append(n) or real(left, right, key, n, how))
+    r = np.random.default_rng(4)
+    rows = listed(spark, [sorted(r.choice(300, 3, replace=False)) for _ in range(60)])
+    cut_points(rows, 0, 300).collect()
+    assert sizes[-1] < sizes[0] / 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_are_made_once(spark):
+    rows = listed(spark, [[1, 2, 3], [2, 2, 5], [7], []])
+    pairs = adjacent_pairs(rows, 0, 8)
+    assert plan_of(pairs).count("array_distinct(") == 1
+    assert {(x["b"], x["a"]) for x in pairs.collect()} == {(2, 1), (3, 2), (5, 2)}
+
+
 def test_wide_blocks_are_cut_alike(spark):
     r = np.random.default_rng(3)
     rows = listed(spark, [sorted(r.choice(60, 4, replace=False)) for _ in range(30)])
@@ -173,3 +194,21 @@ def test_max_blocks(spark):
     with pytest.raises(ValueError, match="max_blocks=2"):
         A.fit(vec.rows, cfg, vec.dimension, vec.blocks(), order="coloured", max_blocks=2)
     assert A.fit(vec.rows, cfg, vec.dimension, blocks, max_blocks=len(blocks)).params.count() == vec.dimension
+
+
+@pytest.mark.parametrize("ids", [[None] * 6, [1] * 6, [1, 2, 3, 4, 5, None]])
+def test_rows_without_ids_of_their_own_are_not_dealt_by_them(spark, monkeypatch, ids):
+    dealt, real = [], Scratch.place
+
+    def place(self, df, key, parts, name=None, placed=False):
+        if key == "row_id":
+            dealt.append([x["row_id"] for x in df.select("row_id").collect()])
+        return real(self, df, key, parts, name, placed)
+
+    monkeypatch.setattr(Scratch, "place", place)
+    rows = spark.createDataFrame([(i, float(n), [(n, 1.0)]) for n, i in enumerate(ids)], ROWS)
+    scratch = Scratch(spark, "ids")
+    placed, _ = A.place_rows(rows, scratch)
+    assert sorted(x["y"] for x in placed.collect()) == [float(n) for n in range(6)]
+    assert all(None not in got and len(set(got)) == 6 for got in dealt)
+    scratch.drop_all()
