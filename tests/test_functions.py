@@ -51,3 +51,12 @@ def test_ntz_epoch_days_ignore_session_time_zone(spark):
         got.append([r[0] for r in df.select(epoch_to_days("ts", "timestamp_ntz")).collect()])
     spark.conf.set("spark.sql.session.timeZone", old)
     assert got[0] == got[1] == got[2] == [19723.0, 0.0]
+
+
+def test_one_character_is_split_by_without_a_pattern(spark):
+    from fmlattice.functions.columns import quote_regex, split_keep_java
+    from pyspark.sql import functions as F
+    assert quote_regex(",") == "," and quote_regex("|") == "\\|" and quote_regex("::") == "\\Q::\\E"
+    for sep in ".$|()[]{}^?*+\\,;- #&~/":
+        row = spark.range(1).select(*[split_keep_java(F.lit(t.replace("_", sep)), sep) for t in ("a_b", "_a__b__", "", "__", "ab")]).first()
+        assert [list(x) for x in row] == [["a", "b"], ["", "a", "", "b"], [""], [], ["ab"]], sep
