@@ -97,6 +97,40 @@ def test_each_id_is_joined_once_in_all_rounds(spark, monkeypatch):
     assert len(rounds) > 4 and sum(joined) <= 2 * held
 
 
+def test_few_ids_go_through_many_rounds(spark):
+    r = np.random.default_rng(8)
+    lists = [r.choice(400, 4, replace=False).tolist() for _ in range(3000)]
+    n, rounds = coloured(spark, lists, 400)
+    assert n <= 90 and sum(rounds) <= 5 * 400
+
+
+def test_contests_row_by_row(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from fmlattice.operators import blocks
+    monkeypatch.setattr(blocks, "PIECE", 50)
+    r = np.random.default_rng(9)
+    lists = [r.choice(1000, r.integers(1, 9), replace=False).tolist() for _ in range(200)] + [list(range(300))]
+    got = {i: i % 150 for i in range(0, 1000, 3)}
+    taken = [r.choice(np.arange(150, 200), 3, replace=False).tolist() for _ in lists]
+    column = [[got.get(i) for i in ids] for ids in lists]
+    given = {"open": pa.array(lists, pa.list_(pa.int64())), "taken": pa.array(taken, pa.list_(pa.int32()))}
+    known = SimpleNamespace(value=(np.array(list(got)), np.array(list(got.values()))))
+    by_column = pa.record_batch({**given, "colour": pa.array(column, pa.list_(pa.int32()))})
+    out = [x for b in blocks.contests(2, 200)(iter([by_column])) for x in b.to_pylist()]
+    assert out == [x for b in blocks.contests(2, 200, known)(iter([pa.record_batch(given)])) for x in b.to_pylist()]
+    want = [([i for i in ids if i not in got], {*t, *(got[i] for i in ids if i in got)}) for ids, t in zip(lists, taken)]
+    want = [w for w in want if w[0]]
+    assert [(x["open"], set(x["taken"])) for x in out] == want
+    for x in out:
+        mine = [{w * blocks.WORD + c for c in range(blocks.WORD) if m >> c & 1} for w, m in zip(x["word"], x["wins"])]
+        assert sum(len(m) for m in mine) == len(set().union(*mine))         # a colour has one best
+        words = set(x["word"])
+        assert set().union(*mine) == {c for c in range(200) if c // blocks.WORD in words} - set(x["taken"])
+
+
 def test_a_row_of_ten_thousand_ids(spark):
     n, rounds = coloured(spark, [list(range(10_000)), [3, 4], [9_999, 10_001]], 10_002)
     assert 10_000 <= n < 16_000 and len(rounds) < 60
